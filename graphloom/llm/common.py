@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of narrow key columns that may be broadcast (some tens of MB at most).
-BROADCAST_ROWS = 1_000_000
+#: Rows of narrow key columns that may be broadcast (some MB).
+BROADCAST_ROWS = 250_000
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

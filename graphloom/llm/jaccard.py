@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import BROADCAST_ROWS, cut, small
@@ -25,9 +25,11 @@ from graphloom.llm.graph import components
 from graphloom.llm.words import distinct_per_row, mix, ragged, shingle_hashes, text_slices, word_hashes
 
 #: A token in more prefixes than this is frequent; doubled while over HOT_ROWS tokens are.
-HOT, HOT_ROWS = 8, 500_000
+HOT, HOT_ROWS = 8, 200_000
 #: Rounds of pivots before what is apart meets in full, and how many pairs end them earlier.
-ROUNDS, PAIRS_PER_ROW = 8, 4
+ROUNDS, PAIRS_PER_ROW = 8, 16
+#: A round that leaves more than this share of the pairs apart is the last of pivots: the rest are unlike.
+SHRINK = 0.7
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 
 
@@ -88,8 +90,8 @@ def frequent(tokens: DataFrame, hot: int, rows: int) -> tuple[np.ndarray, np.nda
     least = 0
     while sum(k for level, k in by_level if level >= least) > rows:
         least += 1
-    kept = counted.where(F.col("level") >= least).toPandas()  # at most ``rows`` rows
-    token, level = kept["token"].to_numpy(np.int64).view(np.uint64), kept["level"].to_numpy(np.int8)
+    kept = counted.where(F.col("level") >= least).toArrow()  # at most ``rows`` rows
+    token, level = kept["token"].to_numpy().view(np.uint64), kept["level"].to_numpy().astype(np.int8)
     order = np.argsort(token)
     return token[order], level[order]
 
@@ -110,43 +112,59 @@ def join_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     classes = linkable.groupBy("mark", "mark2", "n").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes)
     hot = docs.sparkSession.sparkContext.broadcast(frequent(linkable.select(F.explode("prefix").alias("token")), HOT, HOT_ROWS))
+    by_row = cut(linkable.select("id", "mark", "mark2", "n").join(classes, ["mark", "mark2", "n"]))
+    # every text but its class's own is left out; only classes of several texts carry their number
+    marked = "id", "mark", "mark2"
+    copied = small(cut(by_row.where("id <> class_id").select(*marked).distinct()))
+    counted = small(cut(by_row.where("id = class_id and copies > 1").select(*marked, "copies").distinct()))
     schema = "mark long, mark2 long, prefix array<long>, prefix2 array<long>"
     again = _per_text(rows, shingle, lambda s: [*s.marks(), s.prefixes(SEEDS[0], percent, hot.value), s.prefixes(SEEDS[1], percent, hot.value)], schema)
-    chosen = small(classes.select(F.col("class_id").alias("id"), "mark", "mark2", "copies"))
-    sets = cut(again.join(chosen, ["id", "mark", "mark2"]).drop("mark", "mark2").dropDuplicates(["id", "n", "prefix"]))
-
-    tokens = sets.select(F.explode("prefix").alias("token"), "id", "n", "copies")
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    buckets = cut(tokens.join(shared, "token"))
+    chosen = again.where("n > 0 and id is not null").join(copied, [*marked], "left_anti").join(counted, [*marked], "left")
+    sets = cut(chosen.withColumn("copies", F.coalesce("copies", F.lit(1).cast("long"))).drop("mark", "mark2"))
+
+    # of a pair, the smaller set has its shared token among fewer: it is at most as large as the other
+    fewer = F.col("n") - F.floor((F.col("n") * (2 * percent) + 99 + percent) / (100 + percent)) + 1
+    tokens = sets.select(F.posexplode("prefix").alias("pos", "token"), "id", "n", "copies").withColumn("first", F.col("pos") < fewer)
+    # tokens that the same texts share make one bucket: near copies share most of their prefixes
+    member = F.xxhash64("id", "n", "first"), F.xxhash64(F.lit(1), "id", "n", "first")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.count_if("first").alias("few"), *(F.bit_xor(m).alias(f"m{i}") for i, m in enumerate(member)))
+    shared = cut(shared.where("k > 1"))
+    # how many tokens before it a text shares with any other: those that none has can't be common
+    before = Window.partitionBy("id", "n").orderBy("pos")
+    ranked = tokens.join(small(shared.select("token")), "token").withColumn("rank", F.row_number().over(before) - 1)
+    chosen = shared.where("few > 0").groupBy("k", "m0", "m1").agg(F.min("token").alias("token")).select("token")
+    buckets = cut(ranked.join(small(cut(chosen)), "token"))
     # ids with several texts tie the classes of these together
-    by_row = linkable.select("id", "mark", "mark2", "n").join(classes.drop("copies"), ["mark", "mark2", "n"])
     several = by_row.groupBy("id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a < b").select("id", "a")
     tied = by_row.join(several, "id").select("a", F.col("class_id").alias("b")).where("a != b")
     labels = components(tied) if tied.limit(1).count() else None
 
+    before = float("inf")
     for turn in range(ROUNDS + 1):
         active = buckets.withColumn("label", F.col("id"))
         if labels is not None:
             active = buckets.join(small(labels), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        apart = active.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-        active = cut(active.join(apart, "token"))
-        by_label = active.groupBy("token", "label").agg(F.count(F.lit(1)).cast("double").alias("k"))
-        by_token = by_label.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        n, pairs = by_token.agg(F.coalesce(F.sum("k"), F.lit(0.0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0.0))).first()
+        apart = active.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k"), F.count_if("first").alias("few"))
+        apart = cut(apart.where("lo < hi").select("token", "k", "few"))
+        n, pairs = apart.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k").cast("double") * F.col("few")), F.lit(0.0))).first()
         if not n:
             break
-        last = turn == ROUNDS or turn and pairs <= PAIRS_PER_ROW * n
+        active = cut(active.join(small(apart.select("token")), "token"))
+        last = turn == ROUNDS or turn and pairs <= PAIRS_PER_ROW * n or pairs > SHRINK * before
+        before = pairs
+        columns = ("id", "n", "pos", "rank", "first", "label")
         if last:
-            other = active.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-            met = active.join(other, "token").where("label < other")
+            other = active.select("token", *(F.col(c).alias(f"o_{c}") for c in columns))
+            met = active.where("first").join(other, "token").where(f"label <> o_label and (n < o_n or n = o_n and id < o_id) and {_possible(percent)}")
         else:
             # the pivot is the class with most copies at first, then any; all members meet it alone
             worth = F.least("copies", F.lit(1 << 22)) if turn == 0 else F.lit(0).cast("long")
             order = F.shiftleft(worth, 40) + F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 40))
-            pivot = active.groupBy("token").agg(F.max_by("id", order).alias("b"), F.max_by("n", order).alias("m"), F.max_by("label", order).alias("other"))
-            met = active.join(pivot, "token").where("label != other")
-        met = met.where(F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
-        links = verify(rows, candidates(met, sets, percent), shingle, percent)
+            pivot = active.groupBy("token").agg(*(F.max_by(c, order).alias(f"o_{c}") for c in columns))
+            met = active.join(pivot, "token").where(f"label <> o_label and (n <= o_n and first or n >= o_n and o_first) and {_possible(percent)}")
+        met = met.withColumnRenamed("o_id", "b")
+        cand = candidates(met, sets, percent)
+        links = verify(rows, cand, shingle, percent)
         known = links if labels is None else links.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
         labels = components(known)
         if last:
@@ -161,6 +179,12 @@ def join_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
 
 
+def _possible(percent: int) -> str:
+    """What a shared token's places leave possible: common tokens before it, itself and those after it."""
+    most = "least(rank, o_rank) + 1 + least(n - pos - 1, o_n - o_pos - 1)"
+    return f"100 * least(n, o_n) >= {percent} * greatest(n, o_n) and {100 + percent} * ({most}) >= {percent} * (n + o_n)"
+
+
 def candidates(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the overlap bound in both orders."""
     pairs = met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
