@@ -113,27 +113,31 @@ def join_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     classes = cut(classes)
     hot = docs.sparkSession.sparkContext.broadcast(frequent(linkable.select(F.explode("prefix").alias("token")), HOT, HOT_ROWS))
     by_row = cut(linkable.select("id", "mark", "mark2", "n").join(classes, ["mark", "mark2", "n"]))
-    # every text but its class's own is left out; only classes of several texts carry their number
+    # every text but its class's own is left out
     marked = "id", "mark", "mark2"
     copied = small(cut(by_row.where("id <> class_id").select(*marked).distinct()))
-    counted = small(cut(by_row.where("id = class_id and copies > 1").select(*marked, "copies").distinct()))
+    counted = cut(by_row.where("id = class_id and copies > 1").select("id", "copies").distinct())
     schema = "mark long, mark2 long, prefix array<long>, prefix2 array<long>"
     again = _per_text(rows, shingle, lambda s: [*s.marks(), s.prefixes(SEEDS[0], percent, hot.value), s.prefixes(SEEDS[1], percent, hot.value)], schema)
-    chosen = again.where("n > 0 and id is not null").join(copied, [*marked], "left_anti").join(counted, [*marked], "left")
-    sets = cut(chosen.withColumn("copies", F.coalesce("copies", F.lit(1).cast("long"))).drop("mark", "mark2"))
+    chosen = again.where("n > 0 and id is not null").join(copied, [*marked], "left_anti")
+    sets = cut(chosen.drop("mark", "mark2"))
 
+    # narrow rows while most tokens are one text's alone
+    tokens = sets.select(F.posexplode("prefix").alias("pos", "token"), "id", "n").select("token", "id", F.shiftleft("n", 24).bitwiseOR(F.col("pos").cast("long")).alias("place"))
+    shared = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
+    # how many tokens before it a text shares with any other: those that none has can't be common
+    before = Window.partitionBy("id", n := F.shiftright("place", 24)).orderBy("place")
+    ranked = cut(tokens.join(small(shared), "token").withColumn("rank", F.row_number().over(before) - 1))
     # of a pair, the smaller set has its shared token among fewer: it is at most as large as the other
+    ranked = ranked.select("token", "id", n.alias("n"), F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).alias("pos"), "rank")
     fewer = F.col("n") - F.floor((F.col("n") * (2 * percent) + 99 + percent) / (100 + percent)) + 1
-    tokens = sets.select(F.posexplode("prefix").alias("pos", "token"), "id", "n", "copies").withColumn("first", F.col("pos") < fewer)
+    ranked = ranked.withColumn("first", F.col("pos") < fewer)
     # tokens that the same texts share make one bucket: near copies share most of their prefixes
     member = F.xxhash64("id", "n", "first"), F.xxhash64(F.lit(1), "id", "n", "first")
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.count_if("first").alias("few"), *(F.bit_xor(m).alias(f"m{i}") for i, m in enumerate(member)))
-    shared = cut(shared.where("k > 1"))
-    # how many tokens before it a text shares with any other: those that none has can't be common
-    before = Window.partitionBy("id", "n").orderBy("pos")
-    ranked = tokens.join(small(shared.select("token")), "token").withColumn("rank", F.row_number().over(before) - 1)
-    chosen = shared.where("few > 0").groupBy("k", "m0", "m1").agg(F.min("token").alias("token")).select("token")
-    buckets = cut(ranked.join(small(cut(chosen)), "token"))
+    by_token = ranked.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.count_if("first").alias("few"), *(F.bit_xor(m).alias(f"m{i}") for i, m in enumerate(member)))
+    chosen = cut(by_token.where("few > 0").groupBy("k", "m0", "m1").agg(F.min("token").alias("token")).select("token"))
+    copies = small(counted.groupBy("id").agg(F.max("copies").alias("copies")))
+    buckets = cut(ranked.join(small(chosen), "token").join(copies, "id", "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long"))))
     # ids with several texts tie the classes of these together
     several = by_row.groupBy("id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a < b").select("id", "a")
     tied = by_row.join(several, "id").select("a", F.col("class_id").alias("b")).where("a != b")
@@ -188,6 +192,9 @@ def _possible(percent: int) -> str:
 def candidates(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the overlap bound in both orders."""
     pairs = met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    pairs = cut(pairs)
+    wanted = small(cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
+    sets = sets.join(wanted, "id")  # few of all
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}"), F.col("prefix2").alias(f"q_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
