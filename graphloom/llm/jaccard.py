@@ -5,6 +5,8 @@ A pair of sets at the threshold shares a token among the first n - ceil(t*n) + 1
 each, in whatever order all tokens are put; so a candidate must pass that filter
 under two different orders, each with a bound on the overlap, before its full sets
 are compared. Both orders put frequent tokens last, by level, and differ within a level.
+Levels come from counts of all tokens of all texts in a table of fixed size, so what
+a near copy has of its own stands first and its group's tokens are seldom in prefixes.
 
 Classes are compared only until their components are known: in a bucket of a shared
 prefix token all members first meet one pivot, and members of one component never
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +27,10 @@ from graphloom.llm.common import BROADCAST_ROWS, cut, small
 from graphloom.llm.graph import components
 from graphloom.llm.words import distinct_per_row, mix, ragged, shingle_hashes, text_slices, word_hashes
 
-#: A token in more prefixes than this is frequent; doubled while over HOT_ROWS tokens are.
-HOT, HOT_ROWS = 8, 200_000
+#: Tokens are counted in BLOCKS * CELLS cells by their highest bits; two of one cell share a level.
+BLOCKS, CELLS = 256, 1 << 16
+#: Tokens that a task counts before it sends them, and parts that a block is first merged in.
+FLUSH, SALTS = 1 << 22, 16
 #: Rounds of pivots before what is apart meets in full, and how many pairs end them earlier.
 ROUNDS, PAIRS_PER_ROW = 8, 16
 #: A round that leaves more than this share of the pairs apart is the last of pivots: the rest are unlike.
@@ -49,11 +54,11 @@ class _Sets:
         self.row, self.token = distinct_per_row(*shingle_hashes(*word_hashes(data, offsets), shingle))
         self.n = np.bincount(self.row, minlength=self.rows)
 
-    def prefixes(self, seed: np.uint64, percent: int, hot: tuple[np.ndarray, np.ndarray] | None) -> pa.ListArray:
-        level = np.zeros(len(self.token), np.int8)
-        if hot is not None and len(hot[0]):
-            at = np.minimum(np.searchsorted(hot[0], self.token), len(hot[0]) - 1)
-            level = np.where(hot[0][at] == self.token, hot[1][at], 0)
+    def cells(self) -> np.ndarray:
+        return (self.token >> np.uint64(40)).astype(np.int64)
+
+    def prefixes(self, seed: np.uint64, percent: int, levels: np.ndarray) -> pa.ListArray:
+        level = levels[self.cells()]
         order = np.lexsort((mix(self.token ^ seed), level, self.row))
         row, token = self.row[order], self.token[order]
         first = np.cumsum(self.n) - self.n
@@ -83,17 +88,57 @@ def _per_text(docs: DataFrame, shingle: int, columns, schema: str) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long" + (f", {schema}" if schema else ""))
 
 
-def frequent(tokens: DataFrame, hot: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(token, level) of tokens in more than ``hot`` prefixes, at most ``rows`` of them, ascending."""
-    counted = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).withColumn("level", F.floor(F.log2("n")).cast("int")))
-    by_level = sorted((r["level"], r["k"]) for r in counted.groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect())
-    least = 0
-    while sum(k for level, k in by_level if level >= least) > rows:
-        least += 1
-    kept = counted.where(F.col("level") >= least).toArrow()  # at most ``rows`` rows
-    token, level = kept["token"].to_numpy().view(np.uint64), kept["level"].to_numpy().astype(np.int8)
-    order = np.argsort(token)
-    return token[order], level[order]
+def token_levels(texts: DataFrame, shingle: int) -> np.ndarray:
+    """The log2 of how many texts have a token of each cell: BLOCKS * CELLS bytes whatever the input."""
+    schema = "block int, salt int, cells binary, counts binary"
+
+    def blocks(cells: np.ndarray, salt: int) -> pa.RecordBatch:
+        cell, count = np.unique(cells, return_counts=True)
+        ends = np.searchsorted(cell, np.arange(BLOCKS + 1) * CELLS)
+        held = np.flatnonzero(np.diff(ends))
+        parts = [slice(ends[b], ends[b + 1]) for b in held]
+        low, count = (cell % CELLS).astype(np.uint16), count.astype(np.uint32)
+        columns = [pa.array(held, pa.int32()), pa.array(np.full(len(held), salt), pa.int32()), pa.array([low[p].tobytes() for p in parts], pa.binary()), pa.array([count[p].tobytes() for p in parts], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "salt", "cells", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, n = [], 0
+        salt = TaskContext.get().partitionId() % SALTS
+        for batch in batches:
+            for _, data, offsets in text_slices(batch.column(0)):
+                kept.append(_Sets(data, offsets, shingle).cells())
+                n += len(kept[-1])
+                if n >= FLUSH:
+                    yield blocks(np.concatenate(kept), salt)
+                    kept, n = [], 0
+        if n:
+            yield blocks(np.concatenate(kept), salt)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, _, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = sums.setdefault(block, np.zeros(CELLS, np.int64))
+                total[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint32)
+        return sums
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, total in totals(batches).items():
+            at = np.flatnonzero(total)
+            counts = np.minimum(total[at], np.iinfo(np.uint32).max).astype(np.uint32)
+            columns = [pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "salt", "cells", "counts"])
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, total in totals(batches).items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.log2(np.maximum(total, 1)).astype(np.uint8).tobytes()], pa.binary())], ["block", "levels"])
+
+    counted = texts.mapInArrow(count, schema).repartition("block", "salt").mapInArrow(merge, schema)
+    found = counted.repartition("block").mapInArrow(level, "block int, levels binary")
+    levels = np.zeros((BLOCKS, CELLS), np.uint8)
+    for row in found.collect():  # at most BLOCKS rows
+        levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
+    return levels.reshape(-1)
 
 
 def join_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,21 +149,21 @@ def join_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     smallest id reachable by links, the own one included; ``class_id`` the smallest id with an equal
     set. Null, empty and blank texts have the empty set and link with nothing, nor do rows
     without an id (component null). Rows of one id are one document with the links of all. Shingles
-    are 64-bit hashes. Broadcast: frequent tokens (at most HOT_ROWS) and id lists below a checked size.
+    are 64-bit hashes. Broadcast: a byte a cell of the token counts (16 MiB) and id lists below a checked size.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    first = cut(_per_text(rows, shingle, lambda s: [*s.marks(), s.prefixes(SEEDS[0], percent, None)], "mark long, mark2 long, prefix array<long>"))
+    first = cut(_per_text(rows, shingle, lambda s: s.marks(), "mark long, mark2 long"))
     linkable = first.where("n > 0 and id is not null")
     classes = linkable.groupBy("mark", "mark2", "n").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes)
-    hot = docs.sparkSession.sparkContext.broadcast(frequent(linkable.select(F.explode("prefix").alias("token")), HOT, HOT_ROWS))
+    levels = docs.sparkSession.sparkContext.broadcast(token_levels(rows.select("text"), shingle))
     by_row = cut(linkable.select("id", "mark", "mark2", "n").join(classes, ["mark", "mark2", "n"]))
     # every text but its class's own is left out
     marked = "id", "mark", "mark2"
     copied = small(cut(by_row.where("id <> class_id").select(*marked).distinct()))
     counted = cut(by_row.where("id = class_id and copies > 1").select("id", "copies").distinct())
     schema = "mark long, mark2 long, prefix array<long>, prefix2 array<long>"
-    again = _per_text(rows, shingle, lambda s: [*s.marks(), s.prefixes(SEEDS[0], percent, hot.value), s.prefixes(SEEDS[1], percent, hot.value)], schema)
+    again = _per_text(rows, shingle, lambda s: [*s.marks(), s.prefixes(SEEDS[0], percent, levels.value), s.prefixes(SEEDS[1], percent, levels.value)], schema)
     chosen = again.where("n > 0 and id is not null").join(copied, [*marked], "left_anti")
     sets = cut(chosen.drop("mark", "mark2"))
 
