@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,18 +89,30 @@ def _per_text(docs: DataFrame, shingle: int, columns, schema: str) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long" + (f", {schema}" if schema else ""))
 
 
+def _pack(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending cells as gaps, and counts up to 2**32 - 1, compressed."""
+    gaps = np.diff(cells.astype(np.uint16), prepend=np.uint16(0)).astype(np.uint16)
+    return zstandard.compress(gaps.tobytes() + np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes())
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zstandard.decompress(packed)
+    n = len(data) // 6
+    return np.cumsum(np.frombuffer(data, np.uint16, n), dtype=np.int64), np.frombuffer(data[2 * n :], np.uint32)
+
+
 def token_levels(texts: DataFrame, shingle: int) -> np.ndarray:
     """The log2 of how many texts have a token of each cell: BLOCKS * CELLS bytes whatever the input."""
-    schema = "block int, salt int, cells binary, counts binary"
+    schema = "block int, salt int, counts binary"
 
     def blocks(cells: np.ndarray, salt: int) -> pa.RecordBatch:
         cell, count = np.unique(cells, return_counts=True)
         ends = np.searchsorted(cell, np.arange(BLOCKS + 1) * CELLS)
         held = np.flatnonzero(np.diff(ends))
         parts = [slice(ends[b], ends[b + 1]) for b in held]
-        low, count = (cell % CELLS).astype(np.uint16), count.astype(np.uint32)
-        columns = [pa.array(held, pa.int32()), pa.array(np.full(len(held), salt), pa.int32()), pa.array([low[p].tobytes() for p in parts], pa.binary()), pa.array([count[p].tobytes() for p in parts], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["block", "salt", "cells", "counts"])
+        packed = [_pack(cell[p] % CELLS, count[p]) for p in parts]
+        columns = [pa.array(held, pa.int32()), pa.array(np.full(len(held), salt), pa.int32()), pa.array(packed, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "salt", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
@@ -117,17 +130,16 @@ def token_levels(texts: DataFrame, shingle: int) -> np.ndarray:
     def totals(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, _, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, _, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 total = sums.setdefault(block, np.zeros(CELLS, np.int64))
-                total[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint32)
+                cells, counts = _unpack(packed)
+                total[cells] += counts
         return sums
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, total in totals(batches).items():
             at = np.flatnonzero(total)
-            counts = np.minimum(total[at], np.iinfo(np.uint32).max).astype(np.uint32)
-            columns = [pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "salt", "cells", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([_pack(at, total[at])], pa.binary())], ["block", "salt", "counts"])
 
     def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, total in totals(batches).items():
