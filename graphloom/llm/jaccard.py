@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import BROADCAST_ROWS, cut, small
+from graphloom.llm.common import cut, small
 from graphloom.llm.graph import components
 from graphloom.llm.words import distinct_per_row, mix, ragged, shingle_hashes, text_slices, word_hashes
 
@@ -32,6 +32,8 @@ from graphloom.llm.words import distinct_per_row, mix, ragged, shingle_hashes, t
 BLOCKS, CELLS = 256, 1 << 16
 #: Tokens that a task counts before it sends them, and parts that a block is first merged in.
 FLUSH, SALTS = 1 << 22, 16
+#: Bits of the map of shared tokens (16 MiB).
+MAP_BITS = 27
 #: Rounds of pivots before what is apart meets in full, and how many pairs end them earlier.
 ROUNDS, PAIRS_PER_ROW = 8, 16
 #: A round that leaves more than this share of the pairs apart is the last of pivots: the rest are unlike.
@@ -153,6 +155,29 @@ def token_levels(texts: DataFrame, shingle: int) -> np.ndarray:
     return levels.reshape(-1)
 
 
+def maybe_shared(sets: DataFrame, shared: DataFrame) -> DataFrame:
+    """(token, id, place) of prefix tokens, without nearly all that ``shared`` lacks: a bitmap of fixed size tells."""
+    block, bit = F.shiftrightunsigned("token", 64 - MAP_BITS + 15), F.shiftrightunsigned("token", 64 - MAP_BITS).bitwiseAND(F.lit((1 << 15) - 1))
+    bits = np.zeros((1 << (MAP_BITS - 15), 1 << 12), np.uint8)
+    for row in shared.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bits")).toLocalIterator():  # at most 2**MAP_BITS bits
+        bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    held = sets.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(2).value_lengths().to_numpy()
+            token = batch.column(2).flatten().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+            at = (token.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+            keep = np.flatnonzero((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            row, pos = row[keep], pos[keep]
+            place = (batch.column(1).to_numpy()[row] << 24) | pos
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), batch.column(0).take(pa.array(row)), pa.array(place)], ["token", "id", "place"])
+
+    return sets.mapInArrow(spread, "token long, id long, place long")
+
+
 def join_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, ``n_shingles``, ``component_id``, ``class_id``.
 
@@ -180,11 +205,11 @@ def join_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     sets = cut(chosen.drop("mark", "mark2"))
 
     # narrow rows while most tokens are one text's alone
-    tokens = sets.select(F.posexplode("prefix").alias("pos", "token"), "id", "n").select("token", "id", F.shiftleft("n", 24).bitwiseOR(F.col("pos").cast("long")).alias("place"))
-    shared = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
+    shared = cut(sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
+    tokens = maybe_shared(sets.select("id", "n", "prefix"), shared)
     # how many tokens before it a text shares with any other: those that none has can't be common
     before = Window.partitionBy("id", n := F.shiftright("place", 24)).orderBy("place")
-    ranked = cut(tokens.join(small(shared), "token").withColumn("rank", F.row_number().over(before) - 1))
+    ranked = cut(tokens.join(shared, "token").withColumn("rank", F.row_number().over(before) - 1))
     # of a pair, the smaller set has its shared token among fewer: it is at most as large as the other
     ranked = ranked.select("token", "id", n.alias("n"), F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).alias("pos"), "rank")
     fewer = F.col("n") - F.floor((F.col("n") * (2 * percent) + 99 + percent) / (100 + percent)) + 1
@@ -265,12 +290,32 @@ def candidates(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def verify(rows: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs at or above the threshold, by full sets, which are made for their texts alone."""
+    """The pairs at or above the threshold, by full sets, made where both texts of a pair are."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = rows.join(small(cut(wanted), BROADCAST_ROWS), "id").select("id", "text")
-    full = _per_text(texts, shingle, lambda s: [ragged(s.row, signed(s.token), s.rows)], "tokens array<long>").dropDuplicates(["id", "n", "tokens"])
-    side = lambda x: full.select(F.col("id").alias(x), F.col("tokens").alias(f"t_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("t_a", "t_b"))
-    union = F.size("t_a") + F.size("t_b") - shared
-    return cut(both.where(F.lit(100) * shared >= F.lit(percent) * union).select("a", "b").distinct())
+    texts = rows.join(small(cut(wanted)), "id").select("id", "text")
+    repeated = cut(texts.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id"))
+    if repeated.limit(1).count():
+        again = small(repeated)
+        texts = texts.join(again, "id", "left_anti").unionByName(texts.join(again, "id", "left_semi").distinct())
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in text_slices(batch.column(2)):
+                one, row, token = _Sets(data, offsets, shingle), [], []
+                n = one.n.copy()
+                for at, other, ends in text_slices(batch.column(3).slice(first, one.rows)):
+                    two = _Sets(other, ends, shingle)
+                    n[at : at + two.rows] += two.n
+                    row.append(two.row + at)
+                    token.append(two.token)
+                row, token = np.concatenate([one.row, *row]), np.concatenate([one.token, *token])
+                order = np.lexsort((token, row))
+                row, token = row[order], token[order]
+                twice = (row[1:] == row[:-1]) & (token[1:] == token[:-1])
+                shared = np.bincount(row[1:][twice], minlength=one.rows)
+                linked = pa.array((shared > 0) & (100 * shared >= percent * (n - shared)))
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(first, one.rows).filter(linked) for i in (0, 1)], ["a", "b"])
+
+    return cut(both.mapInArrow(run, "a long, b long").distinct())
