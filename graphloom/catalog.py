@@ -528,6 +528,325 @@ def n5_kinds(spark, d):
     return text.infer_kind(n.unpivot([], ["n_name", "n_nationkey"], "col", "value"))
 
 
+# more analytics: lines are the calls of their order's run
+
+def _run_calls(spark, d) -> DataFrame:
+    """Runs with an array of calls; runs without calls are left out."""
+    call = F.struct(F.when(F.col("l_returnflag") == "A", "search_a").otherwise("other").alias("tool_name"), (F.col("l_quantity") * 10).alias("output_size"), F.col("l_quantity").alias("duration_ms"), F.col("l_quantity").cast("int").alias("k"), F.col("l_returnflag").alias("flag"))
+    calls = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.collect_list(call).alias("calls"))
+    return _runs(spark, d).join(calls, "run_id")
+
+
+@register("""WITH r AS (SELECT o_orderkey, o_orderpriority AS condition, o_totalprice AS x, count(*) FILTER (l_returnflag = 'A') AS n, count(*) FILTER (l_returnflag = 'A' AND l_quantity * 10 <= 150) AS f FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+ SELECT condition, round(avg(x), 4) AS mean_score, round(avg(n), 4) AS searches, round(100 * sum(f) / sum(n), 4) AS failed_percent FROM r GROUP BY 1""")
+def a2_condition_table(spark, d):
+    t = analytics.condition_table(_run_calls(spark, d), ["score"], ["condition"])
+    return t.select("condition", *(F.round(c, 4).alias(c) for c in ("mean_score", "searches", "failed_percent")))
+
+
+@register("SELECT o_orderpriority AS condition, round(avg((n > 3)::INT), 6) AS retry_rate FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1")
+def a3_retry_rate(spark, d):
+    r = _run_calls(spark, d).withColumn("retrieval_iterations", F.size("calls") - 2)
+    return analytics.retry_rate(r, ["condition"]).select("condition", F.round("retry_rate", 6).alias("retry_rate"))
+
+
+@register("""SELECT instructed, coalesce(question_id, -1) AS question_id, count(*) AS n, count(*) FILTER (u AND r) AS recognised, count(*) FILTER (NOT u AND r) AS false_alarms FROM (SELECT o_orderkey % 2 = 0 AS instructed, o_custkey AS question_id, o_orderkey % 3 = 0 AS u, o_orderkey % 5 < 2 AS r FROM orders)
+ GROUP BY GROUPING SETS ((instructed, question_id), (instructed))""")
+def a4_recognition(spark, d):
+    k = F.col("run_id")
+    return analytics.recognition(_runs(spark, d).select("question_id", (k % 2 == 0).alias("instructed"), (k % 3 == 0).alias("underspecified"), (k % 5 < 2).alias("recognised"))).withColumn("question_id", F.coalesce("question_id", F.lit(-1)))
+
+
+@register("SELECT condition, round(avg(t), 4) AS tool_ms, round(avg(x), 4) AS run_ms FROM (SELECT o_orderkey, o_orderpriority AS condition, o_totalprice AS x, sum(l_quantity) AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) GROUP BY 1")
+def a5_tool_time(spark, d):
+    t = analytics.tool_time(_run_calls(spark, d).withColumnRenamed("score", "total_time_ms"), ["condition"])
+    return t.select("condition", F.round("tool_ms", 4).alias("tool_ms"), F.round("run_ms", 4).alias("run_ms"))
+
+
+@register("SELECT approach, handed_back, count(*) AS n, round(avg(f1), 6) AS mean_f1, round(avg((f1 >= 0.9)::INT), 6) AS high_share FROM (SELECT o_orderstatus AS approach, o_orderkey % 2 = 0 AS handed_back, (o_orderkey % 11) / 10.0::DOUBLE AS f1 FROM orders) GROUP BY 1, 2")
+def a6_handback(spark, d):
+    r = _runs(spark, d).withColumn("handed_back", F.col("run_id") % 2 == 0).withColumn("f1", (F.col("run_id") % 11) / 10.0)
+    return analytics.handback(r, ["approach"]).select("approach", "handed_back", "n", F.round("mean_f1", 6).alias("mean_f1"), F.round("high_share", 6).alias("high_share"))
+
+
+@register("""SELECT condition, round(sum(over) / sum(n), 6) AS over_share, max(most)::INT AS max_k, median(most)::DOUBLE AS median_max_k FROM (SELECT o_orderkey, o_orderpriority AS condition, max(l_quantity::INT) AS most, count(*) AS n, count(*) FILTER (l_quantity > 20) AS over FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL) GROUP BY 1""")
+def a7_search_size(spark, d):
+    t = analytics.search_size(_run_calls(spark, d), 20, ["condition"])
+    return t.select("condition", F.round("over_share", 6).alias("over_share"), "max_k", "median_max_k")
+
+
+@register("SELECT o_orderstatus AS approach, round(sum(o_orderkey % 3) / sum(o_orderkey % 7), 6) AS syntax_error_rate, round(sum(o_orderkey % 5) / sum(o_orderkey % 5 + o_orderkey % 2), 6) AS tool_success_rate FROM orders GROUP BY 1")
+def a10_error_rates(spark, d):
+    k = F.col("run_id")
+    r = _runs(spark, d).select("approach", (k % 3).alias("syntax_errors"), (k % 7).alias("queries"), (k % 5).alias("tool_ok"), (k % 5 + k % 2).alias("tool_calls"))
+    return analytics.error_rates(r, ["approach"]).select("approach", F.round("syntax_error_rate", 6).alias("syntax_error_rate"), F.round("tool_success_rate", 6).alias("tool_success_rate"))
+
+
+@register("SELECT l_returnflag || l_linestatus AS tool_name, count(*) AS calls, round(avg(l_quantity), 4) AS mean_ms FROM lineitem GROUP BY 1 ORDER BY calls DESC, tool_name LIMIT 4")
+def a11_tool_usage(spark, d):
+    calls = table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("tool_name"), F.col("l_quantity").alias("duration_ms"))
+    return analytics.tool_usage(calls, 4).select("tool_name", "calls", F.round("mean_ms", 4).alias("mean_ms"))
+
+
+@register("""WITH b AS (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW'), q AS (SELECT o_orderpriority AS c, o_custkey, avg(o_totalprice) AS m FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_custkey IN (FROM b) GROUP BY 1, 2)
+ SELECT c AS condition, round(avg(m), 4) AS mean, round(coalesce(stddev_samp(m) / sqrt(count(m)), 0), 4) AS se, count(m) AS n FROM q GROUP BY 1""")
+def a13_paired_cells(spark, d):
+    t = analytics.paired_cells(_runs(spark, d), "condition", "1-URGENT", "5-LOW", "score")
+    return t.select("condition", F.round("mean", 4).alias("mean"), F.round("se", 4).alias("se"), "n")
+
+
+@register("SELECT question_id, round(avg(m) FILTER (cell = 'F'), 4) AS f_mean, round(avg(m) FILTER (cell = 'O'), 4) AS o_mean FROM (SELECT o_custkey AS question_id, o_orderstatus AS cell, o_orderpriority AS model, avg(o_totalprice) AS m FROM orders GROUP BY ALL) GROUP BY 1")
+def a14_group_scores(spark, d):
+    r = _runs(spark, d).withColumnsRenamed({"approach": "cell", "condition": "model"})
+    return analytics.group_scores(r, "score", ["F", "O"]).select("question_id", F.round("F", 4).alias("f_mean"), F.round("O", 4).alias("o_mean"))
+
+
+@register("SELECT CASE WHEN p_partkey % 3 = 0 THEN 'entity' WHEN p_size * 2 > 50 THEN 'displaced' ELSE 'bridged' END AS subtype, count(*) AS n, round(avg(p_retailprice), 4) AS mean FROM part GROUP BY 1")
+def a15_subtypes(spark, d):
+    q = table(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, "instance").otherwise("class").alias("target_kind"), (F.col("p_size") * 2).alias("worst_rank"), F.col("p_retailprice").alias("score"))
+    return analytics.subtypes(q).select("subtype", "n", F.round("mean", 4).alias("mean"))
+
+
+def _variants(spark, d) -> DataFrame:
+    """Runs whose odd keys ask a variant of the question of the even key before them."""
+    base = F.concat(F.lit("Q"), F.floor(F.col("run_id") / 2).cast("string"))
+    return _runs(spark, d).withColumn("question_id", F.when(F.col("run_id") % 2 == 1, F.concat(base, F.lit("_SYN1"))).otherwise(base))
+
+
+VARIANTS = "(SELECT o_orderkey AS k, 'Q' || (o_orderkey // 2) AS b, o_orderkey % 2 = 1 AS v, o_totalprice AS x, o_orderstatus AS m FROM orders)"
+
+
+@register(f"SELECT b || '_SYN1' AS question_id, b AS baseline_id FROM {VARIANTS} WHERE v AND b IN (SELECT b FROM {VARIANTS} WHERE NOT v)")
+def a28_baselines(spark, d):
+    return analytics.baseline_of(_variants(spark, d))
+
+
+@register(f"SELECT b || '_SYN1' AS question_id, a.m AS model, round(a.x - c.x, 4) AS delta FROM {VARIANTS} a JOIN {VARIANTS} c USING (b) WHERE a.v AND NOT c.v AND a.m = c.m")
+def a16_deltas(spark, d):
+    r = _variants(spark, d)
+    return analytics.deltas(r.withColumnRenamed("approach", "model"), analytics.baseline_of(r), "score").select("question_id", "model", F.round("delta", 4).alias("delta"))
+
+
+@register("SELECT l_returnflag AS error, count(*) AS n, count(DISTINCT l_orderkey) AS runs FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1 ORDER BY n DESC, error LIMIT 2")
+def a22_syntax_metrics(spark, d):
+    return analytics.syntax_metrics(_run_calls(spark, d).withColumn("errors", F.col("calls.flag")), 2)
+
+
+@register("SELECT o_orderpriority AS template, round(avg(o_totalprice), 4) AS mean, round(var_samp(o_totalprice), 2) AS variance, count(*) FILTER (o_orderkey % 4 = 0) AS failures FROM orders GROUP BY 1")
+def a23_template_summary(spark, d):
+    r = _runs(spark, d).withColumn("success", F.col("run_id") % 4 > 0).withColumnRenamed("condition", "template")
+    return analytics.template_summary(r, "score").select("template", F.round("mean", 4).alias("mean"), F.round("variance", 2).alias("variance"), "failures")
+
+
+def _judged(spark, d) -> DataFrame:
+    k = F.col("run_id")
+    return _runs(spark, d).select("run_id", "question_id", F.col("condition").alias("ambiguity"), (k % 5).alias("n_rows"), ((k % 10) / 10.0).alias("concept_recall"), ((k % 7) / 10.0 + 0.3).alias("measurement_recall"), ((k % 9) / 10.0).alias("instance_recall"), (k % 2 == 0).alias("aggregate_ok"))
+
+
+PROBLEMS = """(SELECT o_orderkey AS run_id, o_orderpriority AS ambiguity, unnest(list_filter([CASE WHEN o_orderkey % 5 = 0 THEN 'empty_result' END, CASE WHEN o_orderkey % 10 < 3 THEN 'concept_missing' WHEN o_orderkey % 10 < 7 THEN 'concept_partial' END,
+ CASE WHEN o_orderkey % 7 < 5 THEN 'measurement' END, CASE WHEN o_orderkey % 9 < 7 THEN 'instance_' || o_orderpriority END, CASE WHEN o_orderkey % 2 = 1 THEN 'aggregation' END], lambda x: x IS NOT NULL)) AS problem FROM orders)"""
+
+
+@register(f"SELECT run_id, problem FROM {PROBLEMS}")
+def a24_problems(spark, d):
+    return analytics.detect_problems(_judged(spark, d)).select("run_id", "problem")
+
+
+@register(f"SELECT ambiguity, problem, round(count(DISTINCT run_id) / any_value(n), 6) AS p FROM {PROBLEMS} JOIN (SELECT o_orderpriority AS ambiguity, count(*) AS n FROM orders GROUP BY 1) USING (ambiguity) GROUP BY 1, 2")
+def a26_correlations(spark, d):
+    r = _judged(spark, d)
+    return analytics.correlations(analytics.detect_problems(r), r).select("ambiguity", "problem", F.round("p", 6).alias("p"))
+
+
+@register("SELECT CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0) THEN 'no_reading' WHEN o_orderkey % 4 = 0 THEN 'failed_run' WHEN o_orderstatus = 'P' THEN 'no_prediction' ELSE 'evaluated' END AS reason, count(*) AS n FROM orders GROUP BY 1")
+def a30_skips(spark, d):
+    readings = table(spark, d, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("question_id"))
+    r = _runs(spark, d).withColumn("success", F.col("run_id") % 4 > 0).withColumn("prediction", F.nullif(F.col("approach"), F.lit("P")))
+    return analytics.skip_report(r, readings)
+
+
+# more trace events: kinds by the parity of the event's number
+@register("""SELECT run_id, phase, start_ts, end_ts FROM (SELECT user_id AS run_id, event_type AS phase, ts AS start_ts, event_id % 3 AS k, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS end_ts FROM events) WHERE k = 0""")
+def t1_phases(spark, d):
+    kind = F.when(F.col("event_id") % 3 == 0, "phase_start").when(F.col("event_id") % 3 == 1, "phase_end").otherwise("run_end")
+    e = _events(spark, d).withColumn("phase", F.col("event_type")).withColumn("event_type", kind).withColumn("duration_ms", F.col("value"))
+    return traces.phase_intervals(e).select("run_id", "phase", "start_ts", "end_ts")
+
+
+@register("SELECT a.event_id // 2 AS call_id, a.ts AS call_ts, b.ts AS result_ts, b.value AS duration_ms FROM events a JOIN events b ON b.event_id = a.event_id + 1 AND a.event_id % 2 = 0 WHERE b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 hour")
+def t2_call_pairs(spark, d):
+    call = F.floor(F.col("event_id") / 2)
+    e = table(spark, d, "events").select((call % 50).alias("run_id"), call.alias("call_id"), F.col("event_type").alias("agent"), "ts", F.col("value").alias("duration_ms"), F.when(F.col("event_id") % 2 == 0, "tool_call").otherwise("tool_result").alias("event_type"))
+    return traces.pair_calls(e).select("call_id", "call_ts", "result_ts", "duration_ms")
+
+
+@register("SELECT event_id, CASE WHEN k = 1 THEN n END AS tokens FROM (SELECT event_id, lead(value) OVER w AS n, lead(event_id % 2) OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_id % 2 = 0")
+def t3_llm_calls(spark, d):
+    e = _events(spark, d).withColumn("event_type", F.when(F.col("event_id") % 2 == 0, "llm_call").otherwise("llm_result")).withColumn("tokens", F.col("value"))
+    return traces.llm_calls(e).select("event_id", "tokens")
+
+
+@register("SELECT event_type AS agent, count(*) AS n, round(sum(value - 50), 4) AS total, round(min(value - 50), 4) AS low, round(max(value - 50), 4) AS high FROM events WHERE value > 50 GROUP BY 1")
+def t4_agent_times(spark, d):
+    t = traces.agent_times(_events(spark, d).select("run_id", F.col("event_type").alias("agent"), (F.col("value") - 50).alias("duration_ms")))
+    return t.select("agent", "n", *(F.round(c, 4).alias(c) for c in ("total", "low", "high")))
+
+
+@register("""SELECT run_id, agent, start_ts, end_ts, coalesce(why, false) AS success FROM (SELECT user_id AS run_id, event_type AS agent, event_id AS k, ts AS start_ts, lead(ts) OVER w AS end_ts, lead(event_id % 3 = 0) OVER w AS why FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)) WHERE k % 2 = 0""")
+def t5_delegations(spark, d):
+    k = F.col("event_id")
+    e = _events(spark, d).withColumn("agent", F.col("event_type")).withColumn("event_type", F.when(k % 2 == 0, "delegate").otherwise("delegate_end")).withColumn("reason", F.when(k % 3 == 0, "success").otherwise("timeout"))
+    return traces.delegations(e)
+
+
+@register("SELECT l_orderkey AS run_id, l_linestatus AS agent, 'search_' || l_returnflag AS tool, count(*) AS calls, sum(l_quantity) AS total_ms, round(avg((l_tax > 0.04)::INT), 6) AS success_rate, count(*) FILTER (l_extendedprice / 100 > 150) AS useful, 'search' AS category FROM lineitem GROUP BY 1, 2, 3")
+def t6_tool_usage(spark, d):
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linestatus").alias("agent"), F.concat(F.lit("search_"), "l_returnflag").alias("tool"), F.col("l_quantity").alias("duration_ms"), (F.col("l_tax") > 0.04).alias("success"), (F.col("l_extendedprice") / 100).alias("size"))
+    return traces.tool_usage_by_agent(c).withColumn("success_rate", F.round("success_rate", 6))
+
+
+@register("SELECT run_id, total, a AS A, r AS R, greatest(0, total - a - r)::BIGINT AS orchestrator FROM (SELECT l_orderkey AS run_id, 120::BIGINT AS total, coalesce(sum(l_quantity::BIGINT) FILTER (l_returnflag = 'A'), 0)::BIGINT AS a, coalesce(sum(l_quantity::BIGINT) FILTER (l_returnflag = 'R'), 0)::BIGINT AS r FROM lineitem GROUP BY 1)")
+def t7_run_totals(spark, d):
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("phase"), F.col("l_quantity").cast("long").alias("tokens"), F.lit(120).cast("long").alias("total"))
+    return traces.run_totals(c, ["A", "R"])
+
+
+# more linking
+@register("SELECT p_partkey AS k, p_name || ' ' || p_brand AS v FROM part")
+def l2_camel(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), text.expand_camel(F.concat("p_name", "p_brand")).alias("v"))
+
+
+@register("SELECT DISTINCT c_mktsegment AS value FROM customer WHERE regexp_matches(c_mktsegment, 'build|auto', 'i')")
+def l6_grep_values(spark, d):
+    return linking.grep_values(graph(spark, d, [CUSTOMER], terms.RDF_TYPE, NS + "segment"), NS + "Customer", NS + "segment", "build|auto")
+
+
+RANKS = "(SELECT p_brand AS phrase, p_partkey AS element, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice DESC, p_partkey) AS type_rank FROM part)"
+
+
+def _ranks(spark, d) -> DataFrame:
+    p = table(spark, d, "part").select(F.col("p_brand").alias("phrase"), F.col("p_partkey").alias("element"), F.col("p_type").alias("type"), F.col("p_size").alias("domain"), F.col("p_retailprice").alias("score"))
+    return linking.target_rank(p, p.where("element % 10 = 0").select("phrase", "element", "domain"))
+
+
+@register(f"SELECT phrase, element, rank::INT AS rank, type_rank::INT AS type_rank FROM {RANKS} WHERE element % 10 = 0")
+def l12_target_rank(spark, d):
+    return _ranks(spark, d)
+
+
+@register(f"SELECT phrase, bool_and(type_rank <= 5 AND rank <= 15) AS reachable, max(rank)::INT AS worst_rank FROM {RANKS} WHERE element % 10 = 0 GROUP BY 1")
+def l13_reachability(spark, d):
+    return linking.reachability(_ranks(spark, d), 5)
+
+
+@register("SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 2 WHEN length(split_part(p_name, ' ', 2)) >= 5 THEN 1 ELSE 0 END AS score FROM part")
+def l14_phrase_score(spark, d):
+    other = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.upper("p_name"), F.lit("s"))).otherwise(F.concat(F.element_at(F.split("p_name", " "), 2), F.lit("s")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), linking.phrase_score(F.col("p_name"), other).alias("score"))
+
+
+@register("SELECT col, count(*) AS n_values, sum(length(v))::BIGINT AS sum_length, (sum(length(v)) < 2000000 AND avg(length(v)) < 25) OR count(*) < 100 AS eligible FROM (SELECT DISTINCT 'c_name' AS col, c_name AS v FROM customer UNION SELECT 'c_mktsegment', c_mktsegment FROM customer) GROUP BY 1")
+def l16_eligible_columns(spark, d):
+    return linking.eligible_columns(table(spark, d, "customer"), []).select("col", "n_values", "sum_length", "eligible")
+
+
+@register("""SELECT DISTINCT p_partkey AS id, unnest([p_name] || list_transform(range(1, len(w)), lambda i: array_to_string(w[1:i], ' ')) || list_transform(range(1, len(w)), lambda i: array_to_string(w[i + 1:], ' '))) AS part FROM (SELECT p_partkey, p_name, string_split(p_name, ' ') AS w FROM part)""")
+def l18_keyword_parts(spark, d):
+    return linking.keyword_parts(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("keyword")))
+
+
+@register("SELECT p_size AS query_id, p_brand AS tbl, p_type AS col, min(p_partkey) AS rank FROM part GROUP BY 1, 2, 3")
+def l21_describe(spark, d):
+    p = table(spark, d, "part").select(F.col("p_size").alias("query_id"), F.col("p_brand").alias("tbl"), F.col("p_type").alias("col"), F.col("p_name").alias("text"), F.col("p_partkey").alias("rank"))
+    return linking.describe(p).select("query_id", "tbl", "col", "rank")
+
+
+@register("SELECT 'shop' AS dataset, term, count(*) AS n, min('http://example.org/customer/' || c_custkey) AS example FROM (SELECT c_custkey, c_mktsegment AS v FROM customer UNION ALL SELECT c_custkey, c_name FROM customer) JOIN (VALUES ('build'), ('customer#')) t(term) ON contains(lower(v), term) GROUP BY 2")
+def l22_search_instances(spark, d):
+    g = graph(spark, d, [CUSTOMER], NS + "segment", NS + "name").withColumn("dataset", F.lit("shop"))
+    return linking.search_instances(g, spark.createDataFrame([("build",), ("Customer#",), ("ab",)], "term string").withColumn("term", F.lower("term")))
+
+
+# more scoring
+@register("""WITH g AS (SELECT (o_custkey % 7)::INT AS pair, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) AS pos FROM orders) SELECT pair, coalesce(min(pos) FILTER (k % 11 = 10) - 1, count(*))::BIGINT AS prefix, count(*) AS n, count(*) FILTER (k % 11 = 10) = 0 AS perfect FROM g GROUP BY 1""")
+def e6_prefix(spark, d):
+    from pyspark.sql import Window
+
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 7).cast("int").alias("pair"), F.col("o_orderkey").alias("k"), F.array(F.col("o_orderkey").cast("string")).alias("row"))
+    gt = o.withColumn("pos", F.row_number().over(Window.partitionBy("pair").orderBy("k")).cast("long"))
+    return scoring.score_prefix(gt, o.where("k % 11 < 10").select("pair", "row"))
+
+
+@register("""SELECT pair, 'status' AS gt_col, 'status' AS sys_col, count(*) AS overlap FROM (SELECT DISTINCT o_custkey % 7 AS pair, o_orderstatus || '|' || o_orderpriority AS v FROM orders WHERE o_orderkey % 2 = 0) JOIN (SELECT DISTINCT o_custkey % 7 AS pair, o_orderstatus || '|' || o_orderpriority AS v FROM orders WHERE o_orderkey % 3 > 0) USING (pair, v) GROUP BY 1""")
+def e9_column_overlap(spark, d):
+    return scoring.column_overlap(_cells(spark, d, "o_orderkey % 2 = 0"), _cells(spark, d, "o_orderkey % 3 > 0")).withColumn("pair", F.col("pair").cast("long"))
+
+
+@register("SELECT run_id, reading_id FROM (SELECT o_custkey AS run_id, o_orderkey AS reading_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3 DESC, o_orderkey % 5 DESC, o_orderkey % 7 DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
+def e17_best_reading(spark, d):
+    k = F.col("o_orderkey")
+    s = table(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), k.alias("reading_id"), (k % 3).alias("schema_recall"), (k % 5).alias("data_f1"), (k % 7).alias("schema_precision"))
+    return scoring.best_reading(s).select("run_id", "reading_id")
+
+
+@register("SELECT o_custkey AS question_id, o_orderstatus AS term, 'property' AS kind, CASE WHEN bool_or(o_orderkey % 4 = 0) THEN 'required' ELSE 'acceptable' END AS necessity FROM orders GROUP BY 1, 2")
+def e23_retrieval_truth(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("question_id"), F.col("o_orderstatus").alias("p"), F.col("o_orderpriority").alias("o"), F.when(F.col("o_orderkey") % 4 == 0, "required").otherwise("acceptable").alias("necessity"))
+    return scoring.retrieval_truth(o)
+
+
+@register("SELECT DISTINCT q, kind, term FROM (SELECT o_custkey AS q, 'class' AS kind, o_orderstatus AS term FROM orders UNION ALL SELECT o_custkey, 'property', o_orderpriority FROM orders UNION ALL SELECT o_custkey, 'class', 'Day' || (o_orderkey % 3) FROM orders)")
+def e29_triple_terms(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("q"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), F.concat(F.lit("Day"), (F.col("o_orderkey") % 3).cast("string")).alias("o"))
+    return scoring.triple_terms(o)
+
+
+@register("SELECT o_custkey AS pair, (bool_and(o_orderkey % 5 > 0))::INT AS correct FROM orders GROUP BY 1")
+def e30_same_result(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("pair"), F.col("o_orderkey").alias("k"), F.array(F.col("o_orderkey").cast("string")).alias("row"))
+    return scoring.same_result(o.select("pair", "row"), o.where("k % 5 > 0").select("pair", "row"), o)
+
+
+CANDS = "(SELECT o_custkey AS question_id, o_orderkey AS candidate, o_orderstatus AS fingerprint, o_orderkey % 3 AS score, o_orderkey % 4 > 0 AS ok, o_orderkey % 6 AS n_rows FROM orders)"
+
+
+def _cands(spark, d) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("question_id"), k.alias("candidate"), F.col("o_orderstatus").alias("fingerprint"), (k % 3).alias("score"), (k % 4 > 0).alias("ok"), (k % 6).alias("n_rows"))
+
+
+@register(f"SELECT question_id, candidate FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, votes DESC, candidate) AS r FROM (SELECT *, count(*) OVER (PARTITION BY question_id, fingerprint) AS votes FROM {CANDS})) WHERE r = 1")
+def e32_pick_best(spark, d):
+    return scoring.pick_best(_cands(spark, d)).select("question_id", "candidate")
+
+
+@register(f"""WITH s AS (SELECT question_id, fingerprint, count(*) AS k, count(*) FILTER (ok) AS o, count(*) FILTER (n_rows > 0) AS f FROM {CANDS} GROUP BY 1, 2)
+ SELECT question_id, round(max(k) / sum(k), 6) AS agreement, count(*) AS n_groups, round(0.3 * sum(o) / sum(k) + 0.5 * max(k) / sum(k) + CASE WHEN sum(f) > 0 THEN 0.2 ELSE 0.1 END, 6) AS confidence FROM s GROUP BY 1""")
+def e33_agreement(spark, d):
+    return scoring.agreement(_cands(spark, d)).select("question_id", F.round("agreement", 6).alias("agreement"), "n_groups", F.round("confidence", 6).alias("confidence"))
+
+
+# more functions
+@register("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'integer' WHEN o_orderkey % 4 = 1 THEN 'decimal' WHEN o_orderkey % 4 = 2 THEN 'temporal' ELSE 'string' END AS kind FROM orders")
+def n6_literal_kind(spark, d):
+    k = F.col("o_orderkey")
+    value = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.col("o_totalprice").cast("decimal(18,2)").cast("string")).when(k % 4 == 2, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.col("o_orderpriority"))
+    return table(spark, d, "orders").select(k.alias("k"), text.literal_kind(value).alias("kind"))
+
+
+@register("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'connection' ELSE 'other' END AS error FROM events")
+def n8_error_class(spark, d):
+    k = F.col("event_id")
+    message = F.concat("event_type", F.when(k % 3 == 0, " timed out after 15 s").when(k % 3 == 1, ": host refused").otherwise(": stopped"))
+    return table(spark, d, "events").select("event_id", text.error_class(message).alias("error"))
+
+
+@register("SELECT event_id, 'x = xsd:string .' AS v FROM events")
+def n14_mask_literals(spark, d):
+    return table(spark, d, "events").select("event_id", text.mask_literals(F.concat(F.lit('x = "'), "event_type", F.lit('"@en .'))).alias("v"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -248,7 +248,7 @@ def score_triples(truth: DataFrame, retrieved: DataFrame, ancestors: DataFrame)
 
 def triple_terms(triples: DataFrame) -> DataFrame:
     """Classes and properties of retrieved (q, s, p, o) triples."""
-    return triples.select("q", F.explode(F.array(F.struct(F.lit("class").alias("kind"), F.col("s").alias("term")), F.struct(F.lit("property"), F.col("p")), F.struct(F.lit("class"), F.col("o")))).alias("x")).select("q", "x.kind", "x.term").distinct()
+    return triples.select("q", F.explode(F.array(F.struct(F.lit("class").alias("kind"), F.col("s").alias("term")), F.struct(F.lit("property").alias("kind"), F.col("p").alias("term")), F.struct(F.lit("class").alias("kind"), F.col("o").alias("term")))).alias("x")).select("q", "x.kind", "x.term").distinct()
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
