@@ -2,9 +2,10 @@
 
 A trigram model with absolute discounting, interpolated down to the unigram share
 (c + 0.1) / (N + 0.1 * (V + 1)). Trigrams (u, v, w) are dealt by their middle word v; a
-very frequent v is dealt by classes of u as well, and each class is a context of its own,
-so every part has all it needs. A part counts its training trigrams, writes
-its trie to memory-mapped files and answers all texts' trigrams from it.
+very frequent v is dealt by classes of u as well; the pairs (v, w) of such a v are added up
+over all classes and sent whole to each class's part, so the bigram level covers all its
+occurrences. A part counts its training trigrams, writes its trie to memory-mapped files
+and answers all texts' trigrams from it.
 
 Levels of a part: contexts v; their successors w with the bigram's log10
 probability; their left words u with the weight of backing off; and under each (u, v) its
@@ -123,13 +124,22 @@ def code(p: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """One part's model: ``keys`` are u, v, w packed as v << 40 | u << 20 | w, ascending, with counts."""
+    """One part's model: ``keys`` are u, v, w packed as v << 40 | u << 20 | w, ascending, with counts.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, share: np.ndarray, folder: Path):
+    ``whole`` has all bigrams v << 20 | w, ascending, with counts, of the v whose trigrams are in several parts.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, share: np.ndarray, folder: Path, whole: tuple[np.ndarray, np.ndarray] | None = None):
         self.share_codes = code(share).astype(np.int64)
         bigram = ((keys >> np.uint64(40)) << BITS) | (keys & LOW)
         two, at = np.unique(bigram, return_inverse=True)
         c2 = np.bincount(at, counts, len(two))
+        if whole is not None and len(whole[0]):
+            own = ~np.isin(two >> BITS, np.unique(whole[0] >> BITS))
+            two, c2 = np.concatenate((two[own], whole[0])), np.concatenate((c2[own], whole[1]))
+            order = np.argsort(two)
+            two, c2 = two[order], c2[order]
+            at = np.searchsorted(two, bigram)
         one, ctx2 = np.unique(two >> BITS, return_inverse=True)
         c1, n1 = np.bincount(ctx2, c2, len(one)), np.bincount(ctx2, minlength=len(one))
         node, under = np.unique(keys >> BITS, return_inverse=True)
@@ -275,11 +285,43 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         return np.where(known[at] == h, at, REST)
 
+    def classes_of() -> np.ndarray:
+        """The number of classes that each id's left words are dealt by."""
+        freq_all = np.zeros(1 << 20, np.int64)
+        freq_all[: len(shared.value[1])] = shared.value[1]
+        freq_all[REST] = rest_count
+        return np.maximum(1, -(-2 * parts * freq_all // max(1, total))).astype(np.uint64)
+
+    def part_of(v: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        return (mix(v * np.uint64(4099) + kind) % np.uint64(parts)).astype(np.int64)
+
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of every text: tokens, known ones, the base score without rare words, the first token's code, and rare words."""
-        share = shares()
+        """Of every text: tokens, known ones, the base score without rare words, the first token's code, and rare words.
+
+        Rows with a part instead hold counts of the training pairs (v, w) of words v with several classes.
+        """
+        share, split = shares(), classes_of() > 1
         log_share, codes = np.log10(np.maximum(share, 1e-300)), code(share).astype(np.int64)
+        gathered: list[tuple[np.ndarray, np.ndarray]] = []
+        most = 4 * BLOCK_TOKENS
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            own, times = summed(gathered)
+            gathered.clear()
+            part = (mix(own) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(edges)):
+                at = order[edges[p] : edges[p + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.nulls(1, k) for k in kinds), pa.array([int(p)], pa.int64()), *(pa.array([x], pa.binary()) for x in (packed(own[at]), times[at].astype("<u4").tobytes()))],
+                    [*names, "part", "keys", "times"],
+                )
+
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
+        names = ["key", "n_tokens", "n_top", "base_top", "first_code", "rare"]
         for batch in batches:
+            train = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for first, data, offsets in text_slices(batch.column(1)):
                 n = len(offsets) - 1
                 row, h = word_hashes(data, offsets)
@@ -290,19 +332,51 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
                 start = np.full(n, END)
                 fresh = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
                 start[row[fresh]] = t[fresh]
+                after = np.append(t[1:], END)[: len(t)]
+                after[np.append(row[1:] != row[:-1], True)[: len(row)]] = END
+                taken = split[t] & train[first + row]
+                gathered.append(summed([((t[taken].astype(np.uint64) << BITS) | after[taken].astype(np.uint64), np.ones(int(taken.sum()), np.int64))]))
+                if sum(len(x[0]) for x in gathered) >= most:
+                    gathered[:] = [summed(gathered)]
+                    if len(gathered[0][0]) >= most // 2:
+                        yield from pairs()
                 rare = ~top
                 ends = np.searchsorted(row[rare], np.arange(n + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(count + 1), pa.array(np.bincount(row[top], minlength=n) + int(n_docs > 0)), pa.array(base), pa.array(codes[start]), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rare].view(np.int64)))],
-                    ["key", "n_tokens", "n_top", "base_top", "first_code", "rare"],
+                    [batch.column(0).slice(first, n), pa.array(count + 1), pa.array(np.bincount(row[top], minlength=n) + int(n_docs > 0)), pa.array(base), pa.array(codes[start]), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rare].view(np.int64))), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                    [*names, "part", "keys", "times"],
                 )
+        yield from pairs()
+
+    def whole_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds up the pairs and sends those of each v to the parts of all its classes, as blocks without texts."""
+        gathered, most = [], 4 * BLOCK_TOKENS
+        for batch in batches:
+            for r in range(batch.num_rows):
+                gathered.append((unpacked(batch.column("keys")[r].as_py()), np.frombuffer(batch.column("times")[r].as_buffer(), "<u4").astype(np.int64)))
+            if sum(len(x[0]) for x in gathered) > most:
+                gathered = [summed(gathered)]
+                most = max(most, 2 * len(gathered[0][0]))
+        if not gathered:
+            return
+        keys, times = summed(gathered)
+        classes, own = classes_of(), np.unique(keys >> BITS)
+        n = classes[own.astype(np.int64)].astype(np.int64)
+        owner = np.repeat(np.arange(len(own)), n)
+        kind = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        sent = np.unique(part_of(own[owner], kind.astype(np.uint64)) * len(own) + owner)
+        first = np.append(np.searchsorted(keys >> BITS, own), len(keys))
+        edges = np.flatnonzero(np.append(True, np.diff(sent // len(own)) > 0))
+        for group in np.split(sent, edges[1:]):
+            at = np.concatenate([np.arange(first[i], first[i + 1]) for i in group % len(own)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(group[0]) // len(own)], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.binary()) for x in (packed(keys[at]), times[at].astype("<u8").tobytes())), pa.nulls(1, pa.binary())],
+                ["part", "block", "names", "train", "keys", "times", "texts"],
+            )
 
     def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of trigrams by part: keys ascending, how often each, and in which text of the block."""
-        freq_all = np.zeros(1 << 20, np.int64)
-        freq_all[: len(shared.value[1])] = shared.value[1]
-        freq_all[REST] = rest_count
-        classes = np.maximum(1, -(-2 * parts * freq_all // max(1, total))).astype(np.uint64)
+        classes = classes_of()
         held: list[tuple] = []
         size = 0
 
@@ -312,7 +386,7 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
             block = pa.array(names[:1] ^ len(keys), pa.int64())  # any value that the block's rows share
             held.clear()
             v, u = keys >> np.uint64(40), (keys >> BITS) & LOW
-            part = (mix(v * np.uint64(4099) + mix(u) % classes[v.astype(np.int64)]) % np.uint64(parts)).astype(np.int64)
+            part = part_of(v, mix(u) % classes[v.astype(np.int64)])
             order = np.lexsort((keys, part))
             keys, text, part = keys[order], text[order], part[order]
             edges = np.searchsorted(part, np.arange(parts + 1))
@@ -353,8 +427,14 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts a part's training trigrams, then scores all of its blocks, read again from memory or, beyond KEPT_BYTES, a local file."""
         with tempfile.TemporaryDirectory() as name, tempfile.SpooledTemporaryFile(KEPT_BYTES) as blocks:
-            folder, writer, gathered, most = Path(name), None, [], 4 * BLOCK_TOKENS
+            folder, writer, gathered, most, whole = Path(name), None, [], 4 * BLOCK_TOKENS, []
             for batch in batches:
+                pairs = batch.filter(batch.column("texts").is_null())
+                for r in range(pairs.num_rows):
+                    whole.append((unpacked(pairs.column("keys")[r].as_py()), np.frombuffer(pairs.column("times")[r].as_buffer(), "<u8").astype(np.int64)))
+                batch = batch.filter(batch.column("texts").is_valid())
+                if not batch.num_rows:
+                    continue
                 if writer is None:
                     writer = pa.ipc.new_stream(blocks, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4"))
                 writer.write_batch(batch)
@@ -368,8 +448,9 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
             if writer is None:
                 return
             writer.close()
-            trie = Trie(*summed(gathered), shares(), folder)
+            trie = Trie(*summed(gathered), shares(), folder, summed(whole))
             gathered.clear()
+            whole.clear()
             blocks.seek(0)
             for batch in pa.ipc.open_stream(blocks):
                 for r in range(batch.num_rows):
@@ -383,11 +464,15 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
         own, at = np.unique(names, return_inverse=True)
         return pa.table({"key": own, "code": np.bincount(at, codes.astype(np.float64), len(own)).astype(np.int64)})
 
-    totals_kind = "key long, n_tokens long, n_top long, base_top double, first_code long, rare array<long>"
-    texts = cut(rows.select("key", "text").mapInArrow(totals, totals_kind))
+    totals_kind = "key long, n_tokens long, n_top long, base_top double, first_code long, rare array<long>, part long, keys binary, times binary"
+    both = cut(rows.select("key", "text", "held_out").mapInArrow(totals, totals_kind))
+    texts = both.where("part IS NULL").drop("part", "keys", "times")
     rare = texts.select("key", F.explode("rare").alias("word")).join(counts.where(~is_top), "word", "left")
     rare = rare.groupBy("key").agg(F.count("n").alias("known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("logs"), F.count(F.lit(1)).alias("n_rare"))
-    dealt = rows.select("key", "text", "held_out").mapInArrow(trigrams, "part long, block long, names binary, train binary, keys binary, times binary, texts binary")
+    dealt_kind = "part long, block long, names binary, train binary, keys binary, times binary, texts binary"
+    pairs = both.where("part IS NOT NULL").select("part", "keys", "times")
+    pairs = pairs.repartitionById(parts, F.col("part").cast("int")).mapInArrow(whole_pairs, dealt_kind)
+    dealt = rows.select("key", "text", "held_out").mapInArrow(trigrams, dealt_kind).unionByName(pairs)
     codes = dealt.repartitionById(parts, F.col("part").cast("int")).mapInArrow(answer, "block long, names binary, codes binary")
     codes = codes.groupBy("block").applyInArrow(added, "key long, code long").groupBy("key").agg(F.sum("code").alias("code"))
     # equal rows have one key: their sums are shared out

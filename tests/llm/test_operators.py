@@ -4,7 +4,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -83,6 +83,44 @@ def test_op2_rare_words_outside_the_trie(spark, sf_dir):
     assert all(few[d]["n_known"] == r["n_known"] and math.isclose(few[d]["base_score"], r["base_score"], rel_tol=1e-9) for d, r in whole.items())
 
 
+def trigram_scores(own, held):
+    """op2's model with plain dictionaries."""
+    seqs = {d: [*words(t), None] for d, t in own.items()}
+    c = Counter(w for d, s in seqs.items() if not held[d] for w in s)
+    norm = sum(c.values()) + 0.1 * (len(c) + 1)
+    two, three = defaultdict(Counter), defaultdict(Counter)
+    for d, s in seqs.items():
+        for u, v, w in zip(["<s>", *s], s, s[1:], strict=False):
+            if not held[d]:
+                two[v][w] += 1
+                three[u, v][w] += 1
+
+    def mixed(seen, w, lower):
+        return (max(seen[w] - 0.75, 0) + 0.75 * len(seen) * lower) / sum(seen.values()) if seen else lower
+
+    share = lambda w: (c[w] + 0.1) / norm
+    return {d: math.log10(share(s[0])) + sum(math.log10(mixed(three[u, v], w, mixed(two[v], w, share(w)))) for u, v, w in zip(["<s>", *s], s, s[1:], strict=False)) for d, s in seqs.items()}
+
+
+def zipf_texts(spark):
+    rng = np.random.default_rng(5)
+    own = {d: " ".join(f"w{min(int(x), 400)}" for x in rng.zipf(1.6, int(rng.integers(0, 80)))) for d in range(120)}
+    return own, spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(3)
+
+
+def assert_scores(frame, own, **how):
+    want = trigram_scores(own, {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in own})
+    for r in language_model.score_texts(frame, **how).collect():
+        # each token's score is a sum of at most three codes
+        assert abs(r["score"] - want[r["doc_id"]]) <= r["n_tokens"] * 1.6 / language_model.STEP
+
+
+@pytest.mark.parametrize("part_tokens", [200, 1 << 21])
+def test_op2_split_words_have_all_their_pairs(spark, part_tokens):
+    own, frame = zipf_texts(spark)
+    assert_scores(frame, own, part_tokens=part_tokens)
+
+
 def test_op2_probabilities_sum_to_one(tmp_path):
     rng = np.random.default_rng(1)
     keys = np.unique((rng.integers(0, 5, 300) << 40 | rng.integers(0, 5, 300) << 20 | rng.integers(0, 8, 300)).astype(np.uint64))
