@@ -7,6 +7,10 @@ over all classes and sent whole to each class's part, so the bigram level covers
 occurrences. A part counts its training trigrams, writes its trie to memory-mapped files
 and answers all texts' trigrams from it.
 
+Every word is a word of its own. Frequent words have ids that are broadcast; the others
+travel as hashes beside each block and get ids within a part. Their counts are joined at
+the end: a probability is a + b * share(w), and the parts answer a and b for a rare w.
+
 Levels of a part: contexts v; their successors w with the bigram's log10
 probability; their left words u with the weight of backing off; and under each (u, v) its
 successors as positions among v's successors. All are monotone sequences in
@@ -27,11 +31,13 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import crc_bucket, cut, small
 from graphloom.llm.words import mix, text_slices, word_hashes
 
-#: Words with own ids (ids have 20 bits); the rest share one id within the trie and keep their exact counts outside.
+#: Words with broadcast ids below RARE; all others are hashes from RARE on, and ids from RARE on within a block or part.
 TOP_WORDS = 1 << 18
-END, REST, BEGIN = (1 << 20) - 3, (1 << 20) - 2, (1 << 20) - 1
-BITS = np.uint64(20)
-LOW = np.uint64((1 << 20) - 1)
+RARE = 1 << 20
+END, OTHER, BEGIN = RARE - 3, RARE - 2, RARE - 1
+#: Bits of an id in the keys of blocks and parts, and ids of rare words that a part may have.
+ID_BITS = 21
+RARE_IDS = (1 << ID_BITS) - RARE
 #: Codes are log10 probabilities in steps of 1/4096.
 STEP = 4096
 DISCOUNT = 0.75
@@ -124,14 +130,17 @@ def code(p: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """One part's model: ``keys`` are u, v, w packed as v << 40 | u << 20 | w, ascending, with counts.
+    """One part's model: ``keys`` are u, v, w packed as v << 2 * bits | u << bits | w, ascending, with counts.
 
-    ``whole`` has all bigrams v << 20 | w, ascending, with counts, of the v whose trigrams are in several parts.
+    ``whole`` has all bigrams v << bits | w, ascending, with counts, of the v whose trigrams are in several
+    parts; ``others`` how many successors of a v (v << bits | OTHER) one bigram in it stands for, none of them
+    ever asked for. Words beyond ``share`` have the share 0 here, so that their probabilities lack the share's term.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, share: np.ndarray, folder: Path, whole: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, share: np.ndarray, folder: Path, whole: tuple[np.ndarray, np.ndarray] | None = None, bits: int = 20, others: tuple[np.ndarray, np.ndarray] | None = None):
+        self.bits, self.low = (BITS, LOW) = np.uint64(bits), np.uint64((1 << bits) - 1)
         self.share_codes = code(share).astype(np.int64)
-        bigram = ((keys >> np.uint64(40)) << BITS) | (keys & LOW)
+        bigram = ((keys >> (BITS + BITS)) << BITS) | (keys & LOW)
         two, at = np.unique(bigram, return_inverse=True)
         c2 = np.bincount(at, counts, len(two))
         if whole is not None and len(whole[0]):
@@ -142,10 +151,14 @@ class Trie:
             at = np.searchsorted(two, bigram)
         one, ctx2 = np.unique(two >> BITS, return_inverse=True)
         c1, n1 = np.bincount(ctx2, c2, len(one)), np.bincount(ctx2, minlength=len(one))
+        kinds = n1.copy()
+        if others is not None:
+            kinds[np.searchsorted(one, others[0] >> BITS)] += others[1] - 1
         node, under = np.unique(keys >> BITS, return_inverse=True)
         cn, nn = np.bincount(under, counts, len(node)), np.bincount(under, minlength=len(node))
         ctx_n = np.searchsorted(one, node >> BITS)
-        p2 = (np.maximum(c2 - DISCOUNT, 0) + DISCOUNT * n1[ctx2] * share[(two & LOW).astype(np.int64)]) / c1[ctx2]
+        last = (two & LOW).astype(np.int64)
+        p2 = (np.maximum(c2 - DISCOUNT, 0) + DISCOUNT * kinds[ctx2] * np.where(last < len(share), share[np.minimum(last, len(share) - 1)], 0)) / c1[ctx2]
         p3 = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * nn[under] * p2[at]) / cn[under]
         pointer = np.concatenate(([0], np.cumsum(n1))).astype(np.uint64)
         self.width = int(n1.max()) if len(n1) else 1
@@ -156,7 +169,7 @@ class Trie:
         }
         self.levels = {k: EliasFano.build(v).save(folder, k) for k, v in levels.items()}
         self.codes = {}
-        for name, p in (("one", DISCOUNT * n1 / np.maximum(c1, 1)), ("two", p2), ("node", DISCOUNT * nn / np.maximum(cn, 1)), ("three", p3)):
+        for name, p in (("one", DISCOUNT * kinds / np.maximum(c1, 1)), ("two", p2), ("node", DISCOUNT * nn / np.maximum(cn, 1)), ("three", p3)):
             np.save(folder / f"{name}.code.npy", code(p))
             self.codes[name] = np.load(folder / f"{name}.code.npy", mmap_mode="r")
 
@@ -167,7 +180,15 @@ class Trie:
 
     def score(self, keys: np.ndarray) -> np.ndarray:
         """Codes of the keys' probabilities."""
-        v, u, w = keys >> np.uint64(40), (keys >> BITS) & LOW, keys & LOW
+        return self.terms(keys)[0]
+
+    def terms(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes, whether the pair (v, w) is known, and the codes of backing off to w's share.
+
+        For a w beyond the shares, the code of a known pair lacks w's share times the backing off; that of another is the latter alone.
+        """
+        BITS, LOW = self.bits, self.low
+        v, u, w = keys >> (BITS + BITS), (keys >> BITS) & LOW, keys & LOW
         level = self.levels
         r1, has1 = level["one"].find(v)
         at = np.where(has1, r1, 0).astype(np.uint64) << BITS
@@ -180,8 +201,10 @@ class Trie:
         place = np.where(has2, r2 - first, 0).astype(np.uint64)
         r3, has3 = level["three"].find(np.where(has_n, rn, 0).astype(np.uint64) * np.uint64(self.width) + place)
         has3 &= has2 & has_n
-        lower = np.where(has2, self.value("two", r2, has2), self.value("one", r1, has1) + self.share_codes[w.astype(np.int64)])
-        return np.where(has3, self.value("three", r3, has3), self.value("node", rn, has_n) + lower)
+        last, most = w.astype(np.int64), len(self.share_codes)
+        off, node = self.value("one", r1, has1), self.value("node", rn, has_n)
+        lower = np.where(has2, self.value("two", r2, has2), off + np.where(last < most, self.share_codes[np.minimum(last, most - 1)], 0))
+        return np.where(has3, self.value("three", r3, has3), node + lower), has2, node + off
 
     def pointer(self, r: np.ndarray) -> np.ndarray:
         """The pointer at ``r``: the r-th one of the unary part, then its low bits."""
@@ -209,6 +232,66 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(rows.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def localized(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens with ids from RARE on in place of hashes, and the hashes, ascending."""
+    own = np.unique(tokens[tokens >= RARE])
+    return np.where(tokens >= RARE, np.searchsorted(own, tokens).astype(np.uint64) + np.uint64(RARE), tokens), own
+
+
+def renamed(keys: np.ndarray, ids: np.ndarray, places: int) -> np.ndarray:
+    """Keys of ``places`` ids with ``ids[i]`` in place of RARE + i."""
+    if not len(ids):
+        return keys
+    out = np.zeros(len(keys), np.uint64)
+    for shift in range(0, places * ID_BITS, ID_BITS):
+        x = (keys >> np.uint64(shift)) & np.uint64((1 << ID_BITS) - 1)
+        rare = x >= RARE
+        x[rare] = ids[(x[rare] - np.uint64(RARE)).astype(np.int64)]
+        out |= x << np.uint64(shift)
+    return out
+
+
+def tightened(keys: np.ndarray, own: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys with only the hashes that they use; they stay ascending."""
+    used = np.zeros(len(own), bool)
+    for shift in range(0, places * ID_BITS, ID_BITS):
+        x = (keys >> np.uint64(shift)) & np.uint64((1 << ID_BITS) - 1)
+        used[(x[x >= RARE] - np.uint64(RARE)).astype(np.int64)] = True
+    ids = (np.cumsum(used) - 1 + RARE).astype(np.uint64)
+    return renamed(keys, ids, places), own[used]
+
+
+class RareWords:
+    """A part's ids of hashes, from RARE on, in the order of their coming."""
+
+    def __init__(self):
+        self.hashes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def known(self, own: np.ndarray) -> np.ndarray:
+        """Ids of ascending distinct hashes, OTHER for unknown ones."""
+        if not len(self.hashes):
+            return np.full(len(own), OTHER, np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == own, self.ids[at], np.uint64(OTHER))
+
+    def of(self, own: np.ndarray) -> np.ndarray:
+        """Ids of ascending distinct hashes; unknown ones are added."""
+        at, fresh = np.searchsorted(self.hashes, own), self.known(own) == OTHER
+        if fresh.any():
+            n = len(self.hashes) + int(fresh.sum())
+            if n > RARE_IDS:
+                raise ValueError(f"more than {RARE_IDS} rare words in one part: lower part_tokens")
+            self.ids = np.insert(self.ids, at[fresh], np.arange(len(self.hashes), n).astype(np.uint64) + np.uint64(RARE))
+            self.hashes = np.insert(self.hashes, at[fresh], own[fresh])
+        return self.ids[np.searchsorted(self.hashes, own)]
+
+
+def hashes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word, without the hashes that ids use."""
+    row, h = word_hashes(data, offsets)
+    return row, np.maximum(h, np.uint64(RARE))
+
+
 def block_of(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, ...]:
     """keys, times, text of each occurrence, whether a text is learnt from, and the texts' names."""
     get = lambda name, kind: np.frombuffer(batch.column(name)[r].as_buffer(), kind)
@@ -231,7 +314,8 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
     Learns from the rows whose crc32(id as text) mod 10 is not 0 (null id: held out) and scores
     all. Null and empty texts are the end token alone. Repeated rows stay; they count each.
     Without training rows every count is 0. Broadcast: at most ``top_words`` words and
-    their counts; rarer words' counts are joined by a shuffle. Words are 64-bit hashes.
+    their counts, as an encoding; the scores do not depend on it. Rarer words' counts are joined by
+    a shuffle. Words are 64-bit hashes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -247,7 +331,7 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
 
         for batch in batches:
             for _, data, offsets in text_slices(batch.column(0)):
-                gathered.append(word_hashes(data, offsets)[1])
+                gathered.append(hashes_of(data, offsets)[1])
                 if sum(map(len, gathered)) >= 4 * BLOCK_TOKENS:
                     yield flush()
         yield flush()
@@ -266,37 +350,37 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
     words, freq = table["word"].to_numpy().view(np.uint64), table["n"].to_numpy()
     order = np.argsort(words)
     words, freq = words[order], freq[order]
-    rest_count, rest_types = int(n_words - freq.sum()), int(n_types - len(words))
-    norm, rest_norm = total + 0.1 * (types + 1), rest_count + 0.1 * (rest_types + 1)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_tokens))
+    norm = total + 0.1 * (types + 1)
+    # a rare word is in up to three trigrams: a quarter of a part's ids on average
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_tokens), -(-12 * int(n_words - freq.sum()) // RARE_IDS))
     shared = spark.sparkContext.broadcast((words, freq))
 
     def shares() -> np.ndarray:
         """The unigram share of every id."""
-        p = np.zeros(1 << 20)
+        p = np.zeros(RARE)
         p[: len(shared.value[1])] = (shared.value[1] + 0.1) / norm
-        p[END], p[REST] = ((n_docs + 0.1) if n_docs else 0.1) / norm, rest_norm / norm
+        p[END] = ((n_docs + 0.1) if n_docs else 0.1) / norm
         return p
 
     def ids_of(h: np.ndarray) -> np.ndarray:
+        """Ids of frequent words, the hashes of others."""
         known = shared.value[0]
         if not len(known):
-            return np.full(len(h), REST, np.int64)
+            return h
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        return np.where(known[at] == h, at, REST)
+        return np.where(known[at] == h, at.astype(np.uint64), h)
 
     def classes_of() -> np.ndarray:
-        """The number of classes that each id's left words are dealt by."""
-        freq_all = np.zeros(1 << 20, np.int64)
+        """The number of classes that each id's left words are dealt by; the last is for all rare words."""
+        freq_all = np.zeros(RARE + 1, np.int64)
         freq_all[: len(shared.value[1])] = shared.value[1]
-        freq_all[REST] = rest_count
         return np.maximum(1, -(-2 * parts * freq_all // max(1, total))).astype(np.uint64)
 
     def part_of(v: np.ndarray, kind: np.ndarray) -> np.ndarray:
         return (mix(v * np.uint64(4099) + kind) % np.uint64(parts)).astype(np.int64)
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of every text: tokens, known ones, the base score without rare words, the first token's code, and rare words.
+        """Of every text: tokens, frequent ones, the base score without rare words, and the first token's code or rare word.
 
         Rows with a part instead hold counts of the training pairs (v, w) of words v with several classes.
         """
@@ -305,73 +389,95 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
         gathered: list[tuple[np.ndarray, np.ndarray]] = []
         most = 4 * BLOCK_TOKENS
 
+        words_seen = RareWords()
+
         def pairs() -> Iterator[pa.RecordBatch]:
+            nonlocal words_seen
             own, times = summed(gathered)
             gathered.clear()
-            part = (mix(own) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            # ids by ascending hash
+            rare, ids = words_seen.hashes, np.zeros(len(words_seen.ids), np.uint64)
+            ids[(words_seen.ids - np.uint64(RARE)).astype(np.int64)] = np.arange(len(ids), dtype=np.uint64) + np.uint64(RARE)
+            words_seen = RareWords()
+            own = renamed(own, ids, 2)
+            v, w = own >> np.uint64(ID_BITS), own & np.uint64((1 << ID_BITS) - 1)
+            far = w >= RARE
+            w[far] = rare[(w[far] - np.uint64(RARE)).astype(np.int64)]
+            part = (mix(v * np.uint64(4099) + mix(w)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((own, part))
             edges = np.searchsorted(part[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edges)):
                 at = order[edges[p] : edges[p + 1]]
+                k, used = tightened(own[at], rare, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.nulls(1, k) for k in kinds), pa.array([int(p)], pa.int64()), *(pa.array([x], pa.binary()) for x in (packed(own[at]), times[at].astype("<u4").tobytes()))],
-                    [*names, "part", "keys", "times"],
+                    [*(pa.nulls(1, x) for x in kinds), pa.array([int(p)], pa.int64()), *(pa.array([x], pa.binary()) for x in (packed(k), times[at].astype("<u4").tobytes(), used.tobytes()))],
+                    [*names, "part", "keys", "times", "rare"],
                 )
 
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
-        names = ["key", "n_tokens", "n_top", "base_top", "first_code", "rare"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        names = ["key", "n_tokens", "n_top", "base_top", "first_code", "first_word"]
         for batch in batches:
             train = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for first, data, offsets in text_slices(batch.column(1)):
                 n = len(offsets) - 1
-                row, h = word_hashes(data, offsets)
+                row, h = hashes_of(data, offsets)
                 t = ids_of(h)
                 count = np.bincount(row, minlength=n)
-                top = t != REST
-                base = np.bincount(row[top], log_share[t[top]], n) + log_share[END]
-                start = np.full(n, END)
+                top = t < RARE
+                base = np.bincount(row[top], log_share[t[top].astype(np.int64)], n) + log_share[END]
+                start = np.full(n, END, np.uint64)
                 fresh = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
                 start[row[fresh]] = t[fresh]
-                after = np.append(t[1:], END)[: len(t)]
+                after = np.append(t[1:], np.uint64(END))[: len(t)]
                 after[np.append(row[1:] != row[:-1], True)[: len(row)]] = END
-                taken = split[t] & train[first + row]
-                gathered.append(summed([((t[taken].astype(np.uint64) << BITS) | after[taken].astype(np.uint64), np.ones(int(taken.sum()), np.int64))]))
-                if sum(len(x[0]) for x in gathered) >= most:
-                    gathered[:] = [summed(gathered)]
-                    if len(gathered[0][0]) >= most // 2:
+                taken = np.flatnonzero(split[np.minimum(t, np.uint64(RARE)).astype(np.int64)] & train[first + row])
+                for some in np.split(taken, np.arange(RARE_IDS // 2, len(taken), RARE_IDS // 2)):
+                    if len(words_seen.hashes) > RARE_IDS // 2:
                         yield from pairs()
-                rare = ~top
-                ends = np.searchsorted(row[rare], np.arange(n + 1)).astype(np.int32)
+                    w, own = localized(after[some])
+                    gathered.append(summed([(renamed((t[some] << np.uint64(ID_BITS)) | w, words_seen.of(own), 2), np.ones(len(some), np.int64))]))
+                    if sum(len(x[0]) for x in gathered) >= most:
+                        gathered[:] = [summed(gathered)]
+                        if len(gathered[0][0]) >= most // 2:
+                            yield from pairs()
+                rare = start >= RARE
+                start_code = np.where(rare, 0, codes[np.minimum(start, np.uint64(END)).astype(np.int64)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(count + 1), pa.array(np.bincount(row[top], minlength=n) + int(n_docs > 0)), pa.array(base), pa.array(codes[start]), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rare].view(np.int64))), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
-                    [*names, "part", "keys", "times"],
+                    [batch.column(0).slice(first, n), pa.array(count + 1), pa.array(np.bincount(row[top], minlength=n) + int(n_docs > 0)), pa.array(base), pa.array(start_code), pa.array(start.view(np.int64), mask=~rare), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 3],
+                    [*names, "part", "keys", "times", "rare"],
                 )
         yield from pairs()
 
     def whole_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds up the pairs and sends those of each v to the parts of all its classes, as blocks without texts."""
-        gathered, most = [], 4 * BLOCK_TOKENS
+        gathered, most, words_seen = [], 4 * BLOCK_TOKENS, RareWords()
         for batch in batches:
             for r in range(batch.num_rows):
-                gathered.append((unpacked(batch.column("keys")[r].as_py()), np.frombuffer(batch.column("times")[r].as_buffer(), "<u4").astype(np.int64)))
+                ids = words_seen.of(np.frombuffer(batch.column("rare")[r].as_buffer(), np.uint64))
+                gathered.append((renamed(unpacked(batch.column("keys")[r].as_py()), ids, 2), np.frombuffer(batch.column("times")[r].as_buffer(), "<u4").astype(np.int64)))
             if sum(len(x[0]) for x in gathered) > most:
                 gathered = [summed(gathered)]
                 most = max(most, 2 * len(gathered[0][0]))
         if not gathered:
             return
         keys, times = summed(gathered)
-        classes, own = classes_of(), np.unique(keys >> BITS)
+        # ids by ascending hash
+        rare, ids = words_seen.hashes, np.zeros(len(words_seen.ids), np.uint64)
+        ids[(words_seen.ids - np.uint64(RARE)).astype(np.int64)] = np.arange(len(ids), dtype=np.uint64) + np.uint64(RARE)
+        keys, times = summed([(renamed(keys, ids, 2), times)])
+        classes, own = classes_of(), np.unique(keys >> np.uint64(ID_BITS))
         n = classes[own.astype(np.int64)].astype(np.int64)
         owner = np.repeat(np.arange(len(own)), n)
         kind = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         sent = np.unique(part_of(own[owner], kind.astype(np.uint64)) * len(own) + owner)
-        first = np.append(np.searchsorted(keys >> BITS, own), len(keys))
+        first = np.append(np.searchsorted(keys >> np.uint64(ID_BITS), own), len(keys))
         edges = np.flatnonzero(np.append(True, np.diff(sent // len(own)) > 0))
         for group in np.split(sent, edges[1:]):
             at = np.concatenate([np.arange(first[i], first[i + 1]) for i in group % len(own)])
+            k, used = tightened(keys[at], rare, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(group[0]) // len(own)], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.binary()) for x in (packed(keys[at]), times[at].astype("<u8").tobytes())), pa.nulls(1, pa.binary())],
-                ["part", "block", "names", "train", "keys", "times", "texts"],
+                [pa.array([int(group[0]) // len(own)], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.binary()) for x in (packed(k), times[at].astype("<u8").tobytes())), pa.nulls(1, pa.binary()), pa.array([used.tobytes()], pa.binary())],
+                ["part", "block", "names", "train", "keys", "times", "texts", "rare"],
             )
 
     def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,43 +487,53 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, text = np.concatenate([x[0] for x in held]), np.concatenate([x[1] + sum(len(y[2]) for y in held[:i]) for i, x in enumerate(held)])
-            names, train = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
-            block = pa.array(names[:1] ^ len(keys), pa.int64())  # any value that the block's rows share
+            tokens, begins, names, train = (np.concatenate([x[i] for x in held]) for i in (0, 1, 3, 4))
+            text = np.concatenate([x[2] + sum(len(y[3]) for y in held[:i]) for i, x in enumerate(held)])
             held.clear()
-            v, u = keys >> np.uint64(40), (keys >> BITS) & LOW
-            part = part_of(v, mix(u) % classes[v.astype(np.int64)])
+            # a long text makes several blocks
+            for start in range(0, len(tokens), RARE_IDS - 2):
+                yield from block(tokens, begins, text, names, train, start, start + RARE_IDS - 2)
+
+        def block(tokens: np.ndarray, begins: np.ndarray, text: np.ndarray, names: np.ndarray, train: np.ndarray, start: int, stop: int) -> Iterator[pa.RecordBatch]:
+            """The trigrams that end from ``start`` to ``stop``; the two tokens before them count as well."""
+            low = max(0, start - 2)
+            tokens, begins, text = tokens[low:stop], begins[low:stop], text[low:stop]
+            own, rare = localized(tokens)
+            at = np.arange(start - low, len(tokens))
+            at = at[~begins[at]]
+            second = begins[at - 1]
+            left = lambda x: np.where(second, np.uint64(BEGIN), x[at - 2])
+            v, u = tokens[at - 1], left(tokens)
+            part = part_of(v, mix(u) % classes[np.minimum(v, np.uint64(RARE)).astype(np.int64)])
+            keys = (own[at - 1] << np.uint64(2 * ID_BITS)) | (left(own) << np.uint64(ID_BITS)) | own[at]
+            text = text[at]
+            name = pa.array(names[text[:1]] ^ len(keys), pa.int64())  # any value that the block's rows share
             order = np.lexsort((keys, part))
             keys, text, part = keys[order], text[order], part[order]
             edges = np.searchsorted(part, np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edges)):
                 k, t = keys[edges[p] : edges[p + 1]], text[edges[p] : edges[p + 1]]
                 used, local = np.unique(t, return_inverse=True)
-                own, times = np.unique(k, return_counts=True)
+                k, times = np.unique(k, return_counts=True)
+                k, words_used = tightened(k, rare, 3)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(p)], pa.int64()), block, *(pa.array([x], pa.binary()) for x in (names[used].tobytes(), train[used].tobytes(), packed(own), times.astype("<u4").tobytes(), local.astype("<u2" if len(used) < 65536 else "<u4").tobytes()))],
-                    ["part", "block", "names", "train", "keys", "times", "texts"],
+                    [pa.array([int(p)], pa.int64()), name, *(pa.array([x], pa.binary()) for x in (names[used].tobytes(), train[used].tobytes(), packed(k), times.astype("<u4").tobytes(), local.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), words_used.tobytes()))],
+                    ["part", "block", "names", "train", "keys", "times", "texts", "rare"],
                 )
 
         for batch in batches:
             names, train = batch.column(0).to_numpy(), ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for first, data, offsets in text_slices(batch.column(1)):
                 n = len(offsets) - 1
-                row, h = word_hashes(data, offsets)
-                # every text's tokens and its end, with two places before them
+                row, h = hashes_of(data, offsets)
+                # every text's tokens and its end
                 ends = np.cumsum(np.bincount(row, minlength=n) + 1)
                 tokens, owner = np.full(int(ends[-1]), END, np.uint64), np.repeat(np.arange(n), np.diff(ends, prepend=0))
                 tokens[np.arange(len(row)) + row] = ids_of(h)
-                begin = np.concatenate(([0], ends[:-1]))
-                back1, back2 = np.roll(tokens, 1), np.roll(tokens, 2)
-                inside = np.ones(len(tokens), bool)
-                inside[begin] = False
-                second = begin + 1
-                second = second[second < ends]
-                back2[second] = BEGIN
-                keys = (back1 << np.uint64(40)) | (back2 << BITS) | tokens
-                held.append((keys[inside], owner[inside], names[first : first + n], train[first : first + n]))
-                size += int(inside.sum())
+                begins = np.zeros(len(tokens), bool)
+                begins[np.concatenate(([0], ends[:-1]))] = True
+                held.append((tokens, begins, owner, names[first : first + n], train[first : first + n]))
+                size += int((~begins).sum())
                 if size >= BLOCK_TOKENS:
                     yield from flush()
                     size = 0
@@ -427,11 +543,10 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts a part's training trigrams, then scores all of its blocks, read again from memory or, beyond KEPT_BYTES, a local file."""
         with tempfile.TemporaryDirectory() as name, tempfile.SpooledTemporaryFile(KEPT_BYTES) as blocks:
-            folder, writer, gathered, most, whole = Path(name), None, [], 4 * BLOCK_TOKENS, []
+            folder, writer, gathered, most, whole, words_seen = Path(name), None, [], 4 * BLOCK_TOKENS, [], RareWords()
             for batch in batches:
                 pairs = batch.filter(batch.column("texts").is_null())
-                for r in range(pairs.num_rows):
-                    whole.append((unpacked(pairs.column("keys")[r].as_py()), np.frombuffer(pairs.column("times")[r].as_buffer(), "<u8").astype(np.int64)))
+                whole.extend(pairs.select(["keys", "times", "rare"]).to_pylist())
                 batch = batch.filter(batch.column("texts").is_valid())
                 if not batch.num_rows:
                     continue
@@ -440,6 +555,7 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
                 writer.write_batch(batch)
                 for r in range(batch.num_rows):
                     k, times, texts, train, _ = block_of(batch, r)
+                    k = renamed(k, words_seen.of(np.frombuffer(batch.column("rare")[r].as_buffer(), np.uint64)), 3)
                     seen = np.add.reduceat(train[texts].astype(np.int64), np.cumsum(times) - times)
                     gathered.append((k[seen > 0], seen[seen > 0]))
                 if sum(len(x[0]) for x in gathered) > most:
@@ -448,39 +564,71 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
             if writer is None:
                 return
             writer.close()
-            trie = Trie(*summed(gathered), shares(), folder, summed(whole))
-            gathered.clear()
+            pairs, others = [], []
+            for x in whole:
+                # words that no text of this part has only count
+                k = renamed(unpacked(x["keys"]), words_seen.known(np.frombuffer(x["rare"], np.uint64)), 2)
+                pairs.append(summed([(k, np.frombuffer(x["times"], "<u8").astype(np.int64))]))
+                k = k[(k & np.uint64((1 << ID_BITS) - 1)) == OTHER]
+                others.append((k, np.ones(len(k), np.int64)))
             whole.clear()
+            trie = Trie(*summed(gathered), shares(), folder, summed(pairs), ID_BITS, summed(others))
+            gathered.clear()
+            pairs.clear()
             blocks.seek(0)
             for batch in pa.ipc.open_stream(blocks):
                 for r in range(batch.num_rows):
                     k, times, texts, _, names = block_of(batch, r)
-                    cost = np.bincount(texts, np.repeat(trie.score(k), times).astype(np.float64), len(names))
-                    yield pa.RecordBatch.from_arrays([batch.column("block").slice(r, 1), *(pa.array([x.tobytes()], pa.binary()) for x in (names, cost.astype(np.int64)))], ["block", "names", "codes"])
+                    own = np.frombuffer(batch.column("rare")[r].as_buffer(), np.uint64)
+                    codes, seen, off = trie.terms(renamed(k, words_seen.of(own), 3))
+                    last = (k & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)
+                    rare = last >= RARE
+                    cost = np.bincount(texts, np.repeat(np.where(rare, 0, codes), times).astype(np.float64), len(names))
+                    # of each rare word: its text, itself, and a, b of its probability a + b * share
+                    often = times[rare]
+                    a, b = np.where(seen[rare], 10.0 ** (-codes[rare] / STEP), 0), 10.0 ** (-off[rare] / STEP)
+                    terms = (names[texts[np.repeat(rare, times)]], np.repeat(own[last[rare] - RARE], often), *(np.repeat(x.astype("<f4"), often) for x in (a, b)))
+                    yield pa.RecordBatch.from_arrays([batch.column("block").slice(r, 1), *(pa.array([x.tobytes()], pa.binary()) for x in (names, cost.astype(np.int64), *terms))], ["block", "names", "codes", "keys", "words", "a", "b"])
 
     def added(answers: pa.Table) -> pa.Table:
-        """The parts' sums of one block's texts, added up."""
-        names, codes = (np.frombuffer(b"".join(answers[c].to_pylist()), np.int64) for c in ("names", "codes"))
-        own, at = np.unique(names, return_inverse=True)
-        return pa.table({"key": own, "code": np.bincount(at, codes.astype(np.float64), len(own)).astype(np.int64)})
-
-    totals_kind = "key long, n_tokens long, n_top long, base_top double, first_code long, rare array<long>, part long, keys binary, times binary"
+        """The parts' sums of one block's texts, added up, and its rare words."""
+        get = lambda c, kind: np.frombuffer(b"".join(answers[c].to_pylist()), kind)
+        own, at = np.unique(get("names", np.int64), return_inverse=True)
+        total_code = np.bincount(at, get("codes", np.int64).astype(np.float64), len(own)).astype(np.int64)
+        keys = get("keys", np.int64)
+        n, m = len(own), len(keys)
+        return pa.table(
+            {
+                "key": np.concatenate((own, keys)), "code": np.concatenate((total_code, np.zeros(m, np.int64))),
+                "word": pa.array(np.concatenate((own, get("words", np.int64))), mask=np.arange(n + m) < n),
+                "a": np.concatenate((np.zeros(n, np.float32), get("a", "<f4"))), "b": np.concatenate((np.zeros(n, np.float32), get("b", "<f4"))),
+            }
+        )
+
+    totals_kind = "key long, n_tokens long, n_top long, base_top double, first_code long, first_word long, part long, keys binary, times binary, rare binary"
     both = cut(rows.select("key", "text", "held_out").mapInArrow(totals, totals_kind))
-    texts = both.where("part IS NULL").drop("part", "keys", "times")
-    rare = texts.select("key", F.explode("rare").alias("word")).join(counts.where(~is_top), "word", "left")
-    rare = rare.groupBy("key").agg(F.count("n").alias("known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("logs"), F.count(F.lit(1)).alias("n_rare"))
-    dealt_kind = "part long, block long, names binary, train binary, keys binary, times binary, texts binary"
-    pairs = both.where("part IS NOT NULL").select("part", "keys", "times")
+    texts = both.where("part IS NULL").drop("part", "keys", "times", "rare")
+    dealt_kind = "part long, block long, names binary, train binary, keys binary, times binary, texts binary, rare binary"
+    pairs = both.where("part IS NOT NULL").select("part", "keys", "times", "rare")
     pairs = pairs.repartitionById(parts, F.col("part").cast("int")).mapInArrow(whole_pairs, dealt_kind)
     dealt = rows.select("key", "text", "held_out").mapInArrow(trigrams, dealt_kind).unionByName(pairs)
-    codes = dealt.repartitionById(parts, F.col("part").cast("int")).mapInArrow(answer, "block long, names binary, codes binary")
-    codes = codes.groupBy("block").applyInArrow(added, "key long, code long").groupBy("key").agg(F.sum("code").alias("code"))
+    answers = dealt.repartitionById(parts, F.col("part").cast("int")).mapInArrow(answer, "block long, names binary, codes binary, keys binary, words binary, a binary, b binary")
+    answers = answers.groupBy("block").applyInArrow(added, "key long, code long, word long, a float, b float")
+    starts = texts.where("first_word IS NOT NULL").select("key", F.lit(0).cast("long").alias("code"), F.col("first_word").alias("word"), F.lit(0.0).cast("float").alias("a"), F.lit(1.0).cast("float").alias("b"))
+    # a text's own row meets no word: it goes by its key
+    rare = counts.where(~is_top).select(F.col("word").alias("at"), "n")
+    codes = answers.unionByName(starts).withColumn("at", F.coalesce("word", "key")).join(rare, "at", "left")
+    n, is_rare = F.coalesce("n", F.lit(0)) + F.lit(0.1), F.col("word").isNotNull()
+    codes = codes.groupBy("key").agg(
+        F.sum("code").alias("code"), F.count(F.when(is_rare, F.col("n"))).alias("known"), F.count("word").alias("n_rare"),
+        F.sum(F.when(is_rare, F.log10(n))).alias("logs"), F.sum(F.when(is_rare, F.log10(F.col("a") + F.col("b") * n / F.lit(float(norm))))).alias("rare_score"),
+    )
     # equal rows have one key: their sums are shared out
-    each = texts.drop("rare").groupBy("key").agg(*(F.first(x).alias(x) for x in ("n_tokens", "n_top", "base_top", "first_code")), F.count(F.lit(1)).alias("equal"))
-    done = each.join(rare, "key", "left").join(codes, "key", "left")
+    each = texts.groupBy("key").agg(*(F.first(x).alias(x) for x in ("n_tokens", "n_top", "base_top", "first_code")), F.count(F.lit(1)).alias("equal"))
+    done = each.join(codes, "key", "left")
     of = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("equal")
     base = F.col("base_top") + of("logs") - of("n_rare") * F.lit(float(np.log10(norm)))
-    score = -(F.col("first_code") + of("code")) / F.lit(STEP) + of("logs") - of("n_rare") * F.lit(float(np.log10(rest_norm)))
+    score = -(F.col("first_code") + of("code")) / F.lit(STEP) + of("rare_score")
     done = done.select("key", "n_tokens", (F.col("n_top") + of("known")).cast("long").alias("n_known"), base.alias("base_score"), score.alias("score"))
     out = rows.select("key", F.col("id").alias(id_col), "held_out").join(done, "key")
     return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -121,6 +121,12 @@ def test_op2_split_words_have_all_their_pairs(spark, part_tokens):
     assert_scores(frame, own, part_tokens=part_tokens)
 
 
+@pytest.mark.parametrize(("top_words", "part_tokens"), [(0, 1 << 21), (5, 200), (100, 200)])
+def test_op2_rare_words_keep_their_ngrams(spark, top_words, part_tokens):
+    own, frame = zipf_texts(spark)
+    assert_scores(frame, own, top_words=top_words, part_tokens=part_tokens)
+
+
 def test_op2_probabilities_sum_to_one(tmp_path):
     rng = np.random.default_rng(1)
     keys = np.unique((rng.integers(0, 5, 300) << 40 | rng.integers(0, 5, 300) << 20 | rng.integers(0, 8, 300)).astype(np.uint64))
