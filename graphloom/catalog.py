@@ -294,6 +294,13 @@ def g10_components(spark, d):
     return schema.components(l.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b")).distinct())
 
 
+@register()
+def g10_components_all(spark, d):
+    """All customers and suppliers; without SQL, as a recursive one is too slow here."""
+    l = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return schema.components(l.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b")).distinct())
+
+
 @register(f"SELECT property FROM (VALUES ('{NS}nmae'), ('{NS}colour')) v(property) WHERE (SELECT count(*) FROM region) > 0")
 def g11_unknown_terms(spark, d):
     p = spark.createDataFrame([("?x", terms.RDF_TYPE, NS + "Region"), ("?x", NS + "name", "?n"), ("?x", NS + "nmae", "?n"), ("?x", NS + "colour", "?n")], "s string, p string, o string")

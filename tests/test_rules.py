@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from graphloom import catalog
 from graphloom.functions import terms, text
 from graphloom.operators import analytics, linking, patterns, reshape, schema, scoring
 from graphloom.sources import files
@@ -90,6 +91,30 @@ def test_closure_and_components(spark):
     assert {r["component"] for r in schema.components(links).collect()} == {1, 100}
 
 
+def test_components_of_all_orders(spark, sf_dir, tmp_path):
+    orders, lines = [(k, k // 3) for k in range(600)], [(k, 1000 * (k // 60) + k % 7) for k in range(600) for _ in range(2)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def union_find(links):
+        up = {}
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        for a, b in links:
+            low, high = sorted((root(a), root(b)))
+            up[high] = low
+        return {x: root(x) for x in up}
+
+    for d in (str(tmp_path), sf_dir):
+        got = {r["node"]: r["component"] for r in catalog.queries()["g10_components_all"](spark, d).collect()}
+        o = {r["o_orderkey"]: r["o_custkey"] for r in spark.read.parquet(f"{d}/orders.parquet").collect()}
+        assert got == union_find({(o[r["l_orderkey"]], 1_000_000 + r["l_suppkey"]) for r in spark.read.parquet(f"{d}/lineitem.parquet").collect() if r["l_orderkey"] in o})
+
+
 def test_linking(spark):
     parts = linking.keyword_parts(spark.createDataFrame([(1, "a b=c")], "id int, keyword string"))
     assert {r["part"] for r in parts.collect()} == {"a b=c", "a", "b=c", "c"}
