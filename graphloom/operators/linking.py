@@ -28,7 +28,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """L3: (query_id, item_id, score, rank), the k items of largest cosine for each query (query_id, v) over items (item_id, v).
 
     The query matrix is broadcast in pieces of at most QUERY_FLOATS numbers; each task keeps k
-    items a query and batch, and a window merges them. Ties go to the smaller item.
+    items a query and batch, and a window merges them. Ties, of cosines rounded to 12 digits, go to the smaller item.
     """
     spark = items.sparkSession
     dim = queries.select(F.max(F.size("v"))).first()[0] or 1
@@ -44,20 +44,22 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
             ids, q = shared.value
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
             for frame in frames:
+                frame = frame.sort_values("item_id", kind="stable", na_position="first")
                 x = np.stack([np.asarray(v, np.float64) for v in frame["v"]]) if len(frame) else np.zeros((0, q.shape[1]))
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
                 score = q @ x.T
                 for i in range(len(ids)):
-                    keep = np.argsort(-score[i], kind="stable")[: 2 * k]
-                    yield pd.DataFrame({"query_id": ids[i], "item_id": frame["item_id"].to_numpy()[keep], "score": score[i][keep]})
+                    key = np.round(score[i], 12) + 0.0
+                    keep = np.argsort(-key, kind="stable")[:k]
+                    yield pd.DataFrame({"query_id": ids[i], "item_id": frame["item_id"].to_numpy()[keep], "score": score[i][keep], "key": key[keep]})
 
         kinds = queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-        parts.append(items.select("item_id", "v").mapInPandas(best, f"query_id {kinds[0]}, item_id {kinds[1]}, score double"))
+        parts.append(items.select("item_id", "v").mapInPandas(best, f"query_id {kinds[0]}, item_id {kinds[1]}, score double, key double"))
     if not parts:
         raise ValueError("no query vectors")
     out = reduce(DataFrame.unionByName, parts)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "item_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("key"), "item_id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("key")
 
 
 def vector_topk_typed(queries: DataFrame, items: DataFrame, types: DataFrame, kind, k: int) -> DataFrame:

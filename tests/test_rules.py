@@ -115,6 +115,14 @@ def test_components_of_all_orders(spark, sf_dir, tmp_path):
         assert got == union_find({(o[r["l_orderkey"]], 1_000_000 + r["l_suppkey"]) for r in spark.read.parquet(f"{d}/lineitem.parquet").collect() if r["l_orderkey"] in o})
 
 
+def test_vector_ties_go_to_the_smaller_item(spark):
+    items = spark.createDataFrame([(i, [1.0 + i % 3, 2.0 + 2 * (i % 3)]) for i in range(200, 0, -1)], "item_id long, v array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, v array<double>")
+    assert rows(linking.vector_topk(q, items, 3).select("rank", "item_id")) == [(1, 1), (2, 2), (3, 3)]
+    values = items.select(F.format_string("v%03d", "item_id").alias("value"), "v")
+    assert rows(linking.search_values(values, q, 2).select("rank", "item_id")) == [(1, "v001"), (2, "v002")]
+
+
 def test_linking(spark):
     parts = linking.keyword_parts(spark.createDataFrame([(1, "a b=c")], "id int, keyword string"))
     assert {r["part"] for r in parts.collect()} == {"a b=c", "a", "b=c", "c"}
