@@ -132,19 +132,20 @@ def drop_bind_labels(cells: DataFrame, columns: DataFrame) -> DataFrame:
     return cells.join(columns, ["pair", "col"], "left_anti")
 
 
-def null_variants(rows: DataFrame, most: int = 12) -> DataFrame:
+def null_variants(rows: DataFrame) -> DataFrame:
     """(pair, row) -> (pair, variant, row): for each set of columns that hold nulls ('' here), the rows complete in it.
 
-    Bit i of a variant means that column i must not be null; pairs with more than ``most`` null columns keep
-    variant 0 and the full one, and are flagged ``capped``.
+    Bit i of a variant means that column i must not be null. All 2**n variants of n null columns are made,
+    by twelve columns at a time.
     """
     mask = F.aggregate(F.sequence(F.lit(1), F.size("row")), F.lit(0).cast("long"), lambda a, i: a + F.when(F.element_at("row", i.cast("int")) == "", F.pow(F.lit(2.0), i - 1).cast("long")).otherwise(F.lit(0).cast("long")))
     marked = rows.withColumn("mask", mask)
-    wide = marked.groupBy("pair").agg(F.bit_or("mask").alias("nulls"))
-    n = F.bit_count("nulls")
-    full = F.filter(F.sequence(F.lit(0).cast("long"), F.least("nulls", F.lit((1 << most) - 1).cast("long"))), lambda v: v.bitwiseAND(F.col("nulls")) == v)
-    variants = wide.withColumn("capped", n > most).withColumn("variant", F.explode(F.when(n > most, F.array(F.lit(0).cast("long"), "nulls")).otherwise(full)))
-    return marked.join(variants, "pair").where("mask & variant = 0").select("pair", "variant", "row", "capped")
+    variants = marked.groupBy("pair").agg(F.bit_or("mask").alias("nulls")).withColumn("variant", F.lit(0).cast("long"))
+    for first in range(0, 63, 12):
+        bits = F.filter(F.array(*(F.lit(1 << i).cast("long") for i in range(first, min(first + 12, 63)))), lambda b: b.bitwiseAND(F.col("nulls")) != 0)
+        subsets = F.aggregate(bits, F.array(F.lit(0).cast("long")), lambda a, b: F.concat(a, F.transform(a, lambda x: x + b)))
+        variants = variants.withColumn("subset", F.explode(subsets)).withColumn("variant", F.col("variant") + F.col("subset")).drop("subset")
+    return marked.join(variants, "pair").where("mask & variant = 0").select("pair", "variant", "row")
 
 
 def score_adaptive(gt_variants: DataFrame, sys: DataFrame) -> DataFrame:

@@ -58,6 +58,17 @@ def test_pairing_and_null_variants(spark):
     assert scoring.jaccard("a", "b") is not None
 
 
+def test_null_variants_of_late_and_many_columns(spark):
+    late = ["a"] * 14 + [""]
+    many = [[""] * 13 + ["x"], ["a"] * 14]
+    r = spark.createDataFrame([(1, late), (1, ["b"] * 15), (2, many[0]), (2, many[1])], "pair int, row array<string>")
+    got = scoring.null_variants(r).cache()
+    assert rows(got.where("pair = 1").groupBy("variant").count()) == [(0, 2), (1 << 14, 1)]
+    assert got.where("pair = 2").select("variant").distinct().count() == 1 << 13 and got.where("pair = 2").count() == (1 << 13) + 1
+    best = scoring.score_adaptive(got.where("pair = 1").select("pair", "variant", "row"), spark.createDataFrame([(1, ["b"] * 15)], "pair int, row array<string>")).first()
+    assert (best["variant"], best["f1"]) == (1 << 14, 1.0)
+
+
 def test_prefix_and_topn(spark):
     gt = spark.createDataFrame([(1, 1, ["a"]), (1, 2, ["b"]), (1, 3, ["c"])], "pair int, pos int, row array<string>")
     sys = spark.createDataFrame([(1, ["a"]), (1, ["c"])], "pair int, row array<string>")
