@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms, text
@@ -341,6 +341,27 @@ def l4_typed_topk(spark, d):
     return near.select("query_id", "item_id")
 
 
+RANKED = "(SELECT q.vec_id AS query_id, e.vec_id AS item_id, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0)"
+
+
+def _vectors(spark, d):
+    """Every hundredth vector as a query, and all vectors."""
+    e = table(spark, d, "embeddings")
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("type"))
+
+
+@register(f"SELECT query_id, item_id, rank::INT AS rank FROM {RANKED} WHERE rank <= 10")
+def l3_vector_topk_hundredth(spark, d):
+    queries, items, _ = _vectors(spark, d)
+    return linking.vector_topk(queries, items, 10).select("query_id", "item_id", "rank")
+
+
+@register(f"SELECT query_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS t FROM {RANKED} WHERE rank <= 30 AND label = 1) WHERE t <= 10")
+def l4_typed_topk_hundredth(spark, d):
+    queries, items, types = _vectors(spark, d)
+    return linking.vector_topk_typed(queries, items, types, 1, 10).select("query_id", "item_id")
+
+
 @register("SELECT DISTINCT c_mktsegment AS value FROM customer ORDER BY 1 LIMIT 3")
 def l5_property_values(spark, d):
     return linking.property_values(graph(spark, d, [CUSTOMER], terms.RDF_TYPE, NS + "segment"), NS + "Customer", NS + "segment", 3)
@@ -369,8 +390,9 @@ def l11_token_budget(spark, d):
 
 @register()
 def l17_lsh_values(spark, d):
+    """All names of parts, for every name."""
     values = table(spark, d, "part").select(F.col("p_name").alias("value")).distinct()
-    return linking.lsh_values(values, values.orderBy("value").limit(3).withColumnRenamed("value", "keyword"), 10, hashes=32, least=0.3)
+    return linking.lsh_values(values, values.withColumnRenamed("value", "keyword"))
 
 
 # scoring: even orders are expected, those with another modulus are found
@@ -400,6 +422,18 @@ def e5_tied_topn(spark, d):
     return scoring.score_topn(gt.drop("p_partkey"), sys.drop("p_partkey")).select("pair", "tp")
 
 
+@register("""WITH g AS (SELECT *, min(p_size) OVER (PARTITION BY p_brand) AS edge FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS r FROM part) WHERE r <= 10),
+ s AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey DESC) AS r FROM part WHERE p_partkey % 3 > 0),
+ e AS (SELECT p_brand, min(edge) AS edge, count(*) AS n, count(*) FILTER (p_size = edge) AS slots FROM g GROUP BY 1)
+ SELECT e.p_brand AS pair, count(*) FILTER (s.p_size > e.edge) + least(count(*) FILTER (s.p_size = e.edge), any_value(slots)) AS tp, any_value(n) AS gt FROM e LEFT JOIN s ON s.p_brand = e.p_brand AND s.r <= 10 GROUP BY 1""")
+def e5_tied_topn_brands(spark, d):
+    """The ten largest parts of each brand, against those found without every third part and with ties in the other order."""
+    part = table(spark, d, "part").select(F.col("p_brand").alias("pair"), F.array(F.col("p_partkey").cast("string")).alias("row"), F.col("p_size").cast("double").alias("score"), "p_partkey")
+    top = lambda df, tie: df.withColumn("r", F.row_number().over(Window.partitionBy("pair").orderBy(F.desc("score"), tie))).where("r <= 10").drop("r", "p_partkey")
+    gt, sys = top(part, F.asc("p_partkey")), top(part.where("p_partkey % 3 > 0"), F.desc("p_partkey"))
+    return scoring.score_topn(gt, sys).join(gt.groupBy("pair").agg(F.count(F.lit(1)).alias("gt")), "pair").select("pair", "tp", "gt")
+
+
 @register("SELECT o_orderpriority AS question_id, o_orderstatus AS fingerprint, n AS votes FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n, row_number() OVER (PARTITION BY o_orderpriority ORDER BY count(*) DESC, min(length(o_orderkey::VARCHAR)), min(o_orderkey::VARCHAR)) AS r FROM orders GROUP BY 1, 2) WHERE r = 1")
 def e31_vote(spark, d):
     r = table(spark, d, "orders").select(F.col("o_orderpriority").alias("question_id"), F.col("o_orderkey").alias("candidate"), F.col("o_orderkey").cast("string").alias("text"), F.col("o_orderstatus").alias("fingerprint"))

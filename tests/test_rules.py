@@ -126,6 +126,21 @@ def test_components_of_all_orders(spark, sf_dir, tmp_path):
         assert got == union_find({(o[r["l_orderkey"]], 1_000_000 + r["l_suppkey"]) for r in spark.read.parquet(f"{d}/lineitem.parquet").collect() if r["l_orderkey"] in o})
 
 
+def test_lsh_takes_all_values(spark, sf_dir):
+    names = {r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct().collect()}
+    grams = {n: {n.lower()[i : i + 3] for i in range(max(1, len(n) - 2))} for n in names}
+    got = catalog.queries()["l17_lsh_values"](spark, sf_dir).collect()
+    assert {r["keyword"] for r in got} == names
+    assert all(abs(r["jaccard"] - len(grams[r["keyword"]] & grams[r["value"]]) / len(grams[r["keyword"]] | grams[r["value"]])) < 0.05 and r["jaccard"] >= 0.2 for r in got)
+
+
+def test_whole_queries_take_more_with_size(spark, sf_dir):
+    q = catalog.queries()
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 100 = 0").count()
+    assert q["l3_vector_topk_hundredth"](spark, sf_dir).select("query_id").distinct().count() == n
+    assert q["e5_tied_topn_brands"](spark, sf_dir).where("tp < gt").count() > 0
+
+
 def test_vector_ties_go_to_the_smaller_item(spark):
     items = spark.createDataFrame([(i, [1.0 + i % 3, 2.0 + 2 * (i % 3)]) for i in range(200, 0, -1)], "item_id long, v array<double>").coalesce(1)
     q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, v array<double>")
