@@ -2,8 +2,10 @@
 
 A vector is its centroid plus a residual; the residual is rotated at random and
 kept as its signs, its length and the inner product of the signs with its
-direction. From these a query's inner product is estimated with an error bound;
-vectors whose upper bound reaches the k-th lower bound are computed exactly.
+direction. A query is rotated as well and its components are rounded to a few bits, so that
+the inner product is estimated from the packed signs by counting the bits that they share
+with each bit plane of the query. Vectors whose estimate plus its error bound reaches the
+k-th best found so far are computed exactly, in double precision.
 """
 
 from __future__ import annotations
@@ -12,13 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors and queries in a block, and vectors that one task compares with a block of queries.
-BLOCK, QUERY_BLOCK, TASK_VECTORS = 2048, 256, 1 << 20
-#: Standard errors of the bounds; about 1 in 3,000 estimates lies beyond them.
-EPSILON = 3.5
+#: Vectors in a block, queries in a block, and vectors that one task compares with a block of queries.
+BLOCK, QUERY_BLOCK, TASK_VECTORS = 4096, 4096, 1 << 20
+#: Bits of a query's components.
+QUERY_BITS = 4
+#: Standard errors of the bounds; about 1 in 70 estimates lies beyond them on the side that loses a vector.
+EPSILON = 2.2
 
 
 def usable(vector: str) -> Column:
@@ -34,8 +39,17 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of doubles, or of floats where the column has floats (a float is a double without loss)."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    flat = column.flatten()
+    kind = np.float32 if pa.types.is_float32(flat.type) else np.float64
+    return flat.to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
+
+
+def packed_signs(rest: np.ndarray) -> np.ndarray:
+    """The signs of each row as 64-bit words, padded with zeros."""
+    bits = np.packbits(rest > 0, axis=1, bitorder="little")
+    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
 
 
 def centroid(rows: DataFrame, dim: int) -> np.ndarray:
@@ -51,138 +65,162 @@ def centroid(rows: DataFrame, dim: int) -> np.ndarray:
     return np.array([got.get(i, 0.0) for i in range(dim)]) / max(1.0, got.get(dim, 0.0))
 
 
-def top(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Positions of each query's k best, ties to the smaller id."""
-    order = np.lexsort((ids, -score, query))
-    q = query[order]
-    first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
-    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-    return order[rank < k]
+def inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows with ``y``, summed in the order of the components."""
+    return np.cumsum(x * y, axis=1)[:, -1]
 
 
-def inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Inner products row by row, summed in the order of the components."""
-    total = np.zeros(len(x))
-    for d in range(x.shape[1]):
-        total += x[:, d] * y[:, d]
-    return total
+class Block:
+    """Vectors with their codes, as bytes in a row."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, scalars: np.ndarray):
+        self.ids, self.vectors = ids, vectors.astype(np.float64)
+        self.codes, self.shared_bits = np.ascontiguousarray(codes.T), np.bitwise_count(codes).sum(1).astype(np.float64)
+        length, fit = scalars
+        dim = vectors.shape[1]
+        #: what a unit of the signs' inner product and of a query's length are worth
+        self.unit = length / (fit * np.sqrt(dim))
+        self.error = length * np.sqrt(np.maximum(0, 1 - fit**2)) / (fit * np.sqrt(max(1, dim - 1)))
+        self.longest = float(np.sqrt((self.vectors**2).sum(1).max())) if len(ids) else 0.0
 
 
 class Best:
     """The best found for the queries of one block."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
-        self.query, self.found, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.floor = np.full(len(ids), -np.inf)
-
-    def take(self, ids: np.ndarray, signs: np.ndarray, length: np.ndarray, fit: np.ndarray, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray, slack: float) -> None:
-        exact = vectors.astype(np.float64)
-        for a in range(0, len(self.ids), 64):
-            q = self.vectors[a : a + 64].astype(np.float64)
-            turned = (q @ turn.T).astype(np.float32)
-            near = (signs @ turned.T).astype(np.float64) / fit[:, None]
-            bound = slack * np.sqrt(np.maximum(0, 1 - fit**2))[:, None] / fit[:, None] * np.linalg.norm(q, axis=1)[None, :]
-            base = (q @ centre)[None, :]
-            own = ids[:, None] == self.ids[None, a : a + 64]
-            low = np.where(own, -np.inf, base + length[:, None] * (near - bound))
-            floor = self.floor[a : a + 64]
-            if len(ids) > self.k:
-                floor = np.maximum(floor, np.partition(low, -self.k, axis=0)[-self.k])
-            i, j = np.nonzero((base + length[:, None] * (near + bound) >= floor[None, :]) & ~own)
-            for s in range(0, len(i), 1 << 16):
-                x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                score = inner(exact[x], q[y])
-                self.merge(a + y, ids[x], score)
-
-    def merge(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        query, ids, score = np.append(self.query, query), np.append(self.found, ids), np.append(self.score, score)
-        keep = top(query, ids, score, self.k)
-        self.query, self.found, self.score = query[keep], ids[keep], score[keep]
-        full = np.bincount(self.query, minlength=len(self.ids)) >= self.k
-        lowest = np.full(len(self.ids), np.inf)
-        np.minimum.at(lowest, self.query, self.score)
-        self.floor = np.where(full, lowest, -np.inf)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, centre: np.ndarray, turn: np.ndarray):
+        self.ids, self.vectors, self.k = ids, vectors.astype(np.float64), k
+        self.base, self.length = self.vectors @ centre, np.sqrt((self.vectors**2).sum(1))
+        turned = self.vectors @ turn.T
+        # components as low + step * whole numbers, these as bit planes
+        self.low = turned.min(1)
+        self.step = np.maximum((turned.max(1) - self.low) / ((1 << QUERY_BITS) - 1), 1e-300)
+        whole = np.clip(np.nan_to_num(np.rint((turned - self.low[:, None]) / self.step[:, None])), 0, (1 << QUERY_BITS) - 1).astype(np.int64)
+        self.total = turned.shape[1] * self.low + self.step * whole.sum(1)
+        self.planes = [packed_signs((whole >> b) & 1) for b in range(QUERY_BITS)]
+        self.found, self.score = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0)] * len(ids)
+
+    def bounds(self, block: Block, j: int, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates of the vectors' inner products with a query, and what they may be short of."""
+        dot = np.zeros(len(block.ids), np.int32)
+        for b, planes in enumerate(self.planes):
+            for word, plane in zip(block.codes, planes[j], strict=True):
+                dot += np.left_shift(np.bitwise_count(word & plane), b, dtype=np.int32)
+        estimate = block.unit * (2 * self.step[j] * dot + (2 * self.low[j] * block.shared_bits - self.total[j]))
+        return estimate + self.base[j], epsilon * self.length[j] * block.error
+
+    def likely(self, block: Block, j: int, epsilon: float) -> np.ndarray:
+        """Positions of the vectors whose upper bound reaches the k-th best known: so far, or of this block's best by estimate."""
+        if epsilon == np.inf:
+            return np.flatnonzero(block.ids != self.ids[j])
+        estimate, error = self.bounds(block, j, epsilon)
+        estimate[block.ids == self.ids[j]] = -np.inf
+        floor = self.score[j][-1] if len(self.score[j]) == self.k else -np.inf
+        if floor == -np.inf and len(estimate) > 2 * self.k:
+            best = np.argpartition(estimate, -2 * self.k)[-2 * self.k :]
+            best = best[block.ids[best] != self.ids[j]]
+            floor = np.partition(block.vectors[best] @ self.vectors[j], -self.k)[-self.k] if len(best) >= self.k else floor
+        # estimates that overflow are computed
+        return np.flatnonzero(~(estimate + error < floor) & (block.ids != self.ids[j]))
+
+    def take(self, block: Block, epsilon: float) -> None:
+        for j, score in enumerate(self.score):
+            at = self.likely(block, j, epsilon)
+            rough = block.vectors[at] @ self.vectors[j]
+            # sums in another order differ by rounding: what may be among the best is summed again
+            slack = 1e-10 * self.length[j] * block.longest
+            floor = score[-1] if len(score) == self.k else -np.inf
+            if len(at) > self.k:
+                floor = np.fmax(floor, np.partition(rough, -self.k)[-self.k])
+            at = at[~(rough < floor - slack)]
+            if len(at):
+                ids, score = np.append(self.found[j], block.ids[at]), np.append(score, inner(block.vectors[at], self.vectors[j]))
+                order = np.lexsort((ids, -score))[: self.k]
+                self.found[j], self.score[j] = ids[order], score[order]
 
     def rows(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"query_id": self.ids[self.query], "vec_id": self.found, "score": self.score})
+        query = np.repeat(self.ids, [len(f) for f in self.found])
+        return pa.RecordBatch.from_pydict({"query_id": query, "vec_id": np.concatenate([*self.found, np.zeros(0, np.int64)]), "score": np.concatenate([*self.score, np.zeros(0)])})
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest inner products of each query, its own row left out.
+def nearest(vectors: DataFrame, is_query: Column, *, k: int = 20, seed: int = 11, epsilon: float = EPSILON, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k largest inner products of each query, rows of its own id left out.
 
     Vectors that are null or zero, or hold null or non-finite components, and rows without an id
-    take no part, nor do vectors of another length than the commonest. Repeated rows count once.
-    Ties go to the smaller id. Queries are a fixed share of the rows and meet all vectors in
-    blocks: a task keeps one block of vectors and k rows for each query of a block. The only broadcast
-    are the rotation and the centroid. Nothing is approximate but the choice of what is computed exactly.
+    take no part. Vectors of one length are compared with each other only. Every row is a candidate, repeated
+    ones as often as they come; an id with several rows asks with the smallest of its vectors. Ties go to the
+    smaller id. ``epsilon`` standard errors of the estimate bound what is computed exactly: the scores are
+    always exact, what is found is nearly all (infinite: all). Queries are a fixed share of the rows and meet
+    all vectors in blocks: a task keeps one block of vectors, one of queries and k rows for each query. The
+    only broadcast are the rotation and the centroid.
     """
-    spark = vectors.sparkSession
-    rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q")).dropDuplicates(["id"])
-    shape = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("queries")).orderBy(F.desc("n"), "dim").first()
-    if shape is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, total, n_queries = shape["dim"], shape["n"], shape["queries"]
-    rows = rows.where(F.size("v") == dim)
+    rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q"))
+    shapes = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("queries")).where("queries > 0").orderBy("dim").collect()  # one row a length
+    found = None
+    for shape in shapes:
+        part = _nearest(rows.where(F.size("v") == shape["dim"]), shape["dim"], shape["n"], shape["queries"], k, seed, epsilon)
+        found = part if found is None else found.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
+
+
+def _nearest(rows: DataFrame, dim: int, total: int, n_queries: int, k: int, seed: int, epsilon: float) -> DataFrame:
+    spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((rotation(dim, seed), centroid(rows, dim)))
+    kind_of = np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64
     query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    salts = max(1, -(-total // TASK_VECTORS))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(-(-total // TASK_VECTORS), min(-(-partitions // query_blocks), -(-total // BLOCK)))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, centre = shared.value
+        salt = TaskContext.get().partitionId()
         for batch in batches:
             ids, x = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
             for s in range(0, len(ids), BLOCK):
-                yield block(1, ids[s : s + BLOCK], x[s : s + BLOCK])
-
-    def block(kind: int, ids: np.ndarray, x: np.ndarray, at: int = 0) -> pa.RecordBatch:
-        turn, centre = shared.value
-        rest = (x - centre) @ turn.T
-        length = np.linalg.norm(rest, axis=1)
-        fit = np.abs(rest).sum(1) / np.sqrt(dim) / np.where(length > 0, length, 1)
-        return pa.RecordBatch.from_pydict({
-            "kind": pa.array([kind], pa.int32()), "at": pa.array([at], pa.int32()), "ids": [ids.astype(np.int64).tobytes()], "v": [x.tobytes()],
-            "codes": [np.packbits(rest > 0, axis=1).tobytes()], "scalars": [np.stack([length, np.where(length > 0, fit, 1)]).tobytes()],
-        })
-
-    def query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                rest = (x[s : s + BLOCK] - centre) @ turn.T
+                length = np.linalg.norm(rest, axis=1)
+                fit = np.where(length > 0, np.abs(rest).sum(1) / np.sqrt(dim) / np.where(length > 0, length, 1), 1)
+                scalars = np.stack([length, np.where(fit > 0, fit, 1)])
+                salt = (salt + 1) % salts
+                yield row(1, salt, 0, ids[s : s + BLOCK], x[s : s + BLOCK], packed_signs(rest).tobytes(), scalars.tobytes())
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(2).to_numpy()
             ids, x = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
             for b in np.unique(at):
-                own = np.flatnonzero(at == b)
-                for s in range(0, len(own), QUERY_BLOCK):
-                    yield block(0, ids[own[s : s + QUERY_BLOCK]], x[own[s : s + QUERY_BLOCK]], int(b))
+                yield row(0, 0, int(b), ids[at == b], x[at == b], b"", b"")
+
+    def row(kind: int, salt: int, at: int, ids: np.ndarray, x: np.ndarray, codes: bytes, scalars: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            "kind": pa.array([kind], pa.int32()), "salt": pa.array([salt], pa.int32()), "at": pa.array([at], pa.int32()),
+            "ids": [np.ascontiguousarray(ids, np.int64).tobytes()], "v": [x.astype(kind_of).tobytes()], "codes": [codes], "scalars": [scalars],
+        })
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, centre = shared.value
-        slack, now, best = EPSILON / np.sqrt(max(1, dim - 1)), None, []
+        now, asked, best = None, [], None
         for batch in batches:
             for r in range(batch.num_rows):
-                at, kind = batch["task"][r].as_py(), batch["kind"][r].as_py()
-                if at != now:
-                    yield from (b.rows() for b in best)
-                    now, best = at, []
-                ids = np.frombuffer(batch["ids"][r].as_buffer(), np.int64)
-                x = np.frombuffer(batch["v"][r].as_buffer(), np.float32).reshape(-1, dim)
-                if kind == 0:
-                    best.append(Best(ids, x, k))
-                    continue
-                bits = np.unpackbits(np.frombuffer(batch["codes"][r].as_buffer(), np.uint8).reshape(len(ids), -1), axis=1)[:, :dim]
-                signs = (bits.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-                length, fit = np.frombuffer(batch["scalars"][r].as_buffer(), np.float64).reshape(2, -1)
-                for b in best:
-                    b.take(ids, signs, length, fit, x, centre, turn, slack)
-        yield from (b.rows() for b in best)
-
-    schema = "kind int, at int, ids binary, v binary, codes binary, scalars binary"
-    data = rows.select("id", "v").mapInArrow(blocks, schema)
-    data = data.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)))
-    data = data.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    dealt = rows.where("q").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")).select("id", "v", "at")
-    asked = dealt.repartition(query_blocks, "at").mapInArrow(query_rows, schema)
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+                get = lambda name, kind: np.frombuffer(batch[name][r].as_buffer(), kind)
+                if (task := batch["task"][r].as_py()) != now:
+                    if best is not None:
+                        yield best.rows()
+                    now, asked, best = task, [], None
+                ids, x = get("ids", np.int64), get("v", kind_of).reshape(-1, dim)
+                if batch["kind"][r].as_py() == 0:
+                    asked.append((ids, x))
+                elif asked:
+                    best = best or Best(*(np.concatenate([a[i] for a in asked]) for i in (0, 1)), k, centre, turn)
+                    best.take(Block(ids, x, get("codes", np.uint64).reshape(len(ids), -1), get("scalars", np.float64).reshape(2, -1)), epsilon)
+        if best is not None:
+            yield best.rows()
+
+    schema = "kind int, salt int, at int, ids binary, v binary, codes binary, scalars binary"
+    data = rows.select("id", "v").mapInArrow(blocks, schema).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    queries = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("at"))
+    asked = queries.mapInArrow(asking, schema).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = asked.unionByName(data).withColumn("task", F.col("at") * salts + F.col("salt"))
-    met = met.repartition(query_blocks * salts, "task").sortWithinPartitions("task", "kind")
+    met = met.repartitionById(query_blocks * salts, "task").sortWithinPartitions("task", "kind")
     found = met.select("task", "kind", "ids", "v", "codes", "scalars").mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

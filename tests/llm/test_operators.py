@@ -278,26 +278,45 @@ def test_op9_balance_and_moves(docs, empty):
 
 
 def test_op10_matches_brute_force(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.1")
     rows = table(spark, sf_dir, "embeddings").collect()
-    x = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in rows}
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
     got = {}
     for r in queries.op10_nearest_neighbours(spark, sf_dir).collect():
-        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    score = x @ x[ids % 20 == 0].T
     hits = 0
-    for q, found in got.items():
-        best = sorted((-float(x[v] @ x[q]), v) for v in x if v != q)[:20]
-        hits += len({v for _, v in best} & set(found.values()))
-    assert hits >= 0.9 * 20 * len(got) and set(got) == {v for v in x if v % 20 == 0}
+    for q, own in zip(ids[ids % 20 == 0], score.T, strict=True):
+        best = [v for v in ids[np.lexsort((ids, -own))] if v != q][:20]
+        assert [rank for rank, _, _ in sorted(got[q])] == list(range(1, 21))
+        assert all(math.isclose(s, own[ids == v][0], rel_tol=1e-12) for _, v, s in got[q])
+        hits += len(set(best) & {v for _, v, _ in got[q]})
+    assert hits >= 0.95 * 20 * len(got) and set(got) == set(ids[ids % 20 == 0])
+    exact = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, epsilon=math.inf).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in exact} == {(q, v) for q, own in zip(ids[ids % 20 == 0], score.T, strict=True) for v in [v for v in ids[np.lexsort((ids, -own))] if v != q][:20]}
 
 
 def test_op10_unusable_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [2.0, 1.0]), (6, [2.0, 1.0]), (7, [float("inf"), 0.0]), (None, [1.0, 1.0])]
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [2.0, 1.0]), (6, [2.0, 1.0]), (7, [float("inf"), 0.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in sorted(got)] == [(0, 1, 5, 2.0), (0, 2, 6, 2.0)]
     assert neighbours.nearest(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_op10_doubles_ties_repeats_and_names(spark):
+    close = [(i, [1.0 + i * 1e-12, 2.0], "x", "y", 1) for i in range(1, 60)]
+    rows = [(0, [1.0, 0.0], "x", "y", 1), (0, [1.0, 0.0], "x", "y", 1), *close, (59, close[-1][1], "x", "y", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, score string, id int").repartition(4)
+    got = neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [59, *range(59, 40, -1)] and got[0]["score"] == 1.0 + 59e-12
+    same = spark.createDataFrame([(i, [0.5, 0.5]) for i in range(9000, -1, -1)], "vec_id long, embedding array<double>").repartition(4)
+    got = neighbours.nearest(same, F.col("vec_id").isin(5, 8000)).collect()
+    assert {q: sorted(r["vec_id"] for r in got if r["query_id"] == q) for q in (5, 8000)} == {5: [i for i in range(21) if i != 5], 8000: list(range(20))}
+    huge = spark.createDataFrame([(1, [1e300, 1.0]), (2, [2.0, 1.0]), (3, [1e200, 5.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in neighbours.nearest(huge, F.col("vec_id") == 2).orderBy("rank").collect()] == [(1, 2e300), (3, 2e200)]
+
+
 def test_pipeline_stages(spark, sf_dir, docs):
     own = table(spark, sf_dir, "documents")
     kept = own
