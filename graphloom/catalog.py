@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,27 +9,11 @@ from graphloom.functions import terms, text
 from graphloom.operators import analytics, linking, patterns, reshape, schema, scoring
 from graphloom.operators.patterns import bgp, group, natural, number, optional, scan, typed
 from graphloom.plans import mapping as m
+from graphloom.registry import QUERIES, SQL, Query, register, table
 from graphloom.sources import files
 from graphloom.streaming import traces
 
-Query = Callable[[SparkSession, str], DataFrame]
 NS = "http://example.org/shop#"
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def register(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 class _Tables(dict):
@@ -98,11 +80,6 @@ def s9_snapshot(spark, d):
     return files.build_snapshot({"high": o.where("o_orderpriority like '1%'").drop("o_orderpriority"), "low": o.where("o_orderpriority like '5%'").drop("o_orderpriority")})
 
 
-@register()
-def s2_infer_types(spark, d):
-    return files.infer_types(table(spark, d, "customer").orderBy("c_custkey"))
-
-
 # mapping
 @register(f"SELECT {I}nation/' || n_nationkey AS s, '{NS}inRegion' AS p, {I}region/' || r_regionkey AS o FROM nation JOIN region ON n_regionkey = r_regionkey")
 def m15_reference(spark, d):
@@ -558,17 +535,6 @@ def n1_norm_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.norm_text(F.col("source"), nfc=True).alias("v"))
 
 
-@register("SELECT DISTINCT p_size::VARCHAR AS v FROM part")
-def n2_norm_number(spark, d):
-    return table(spark, d, "part").select(text.norm_number(F.concat(F.col("p_size").cast("string"), F.lit(".000"))).alias("v")).distinct()
-
-
-@register("SELECT 'n_name' AS col, 'none' AS kind FROM nation UNION SELECT 'n_nationkey', 'numeric' FROM nation")
-def n5_kinds(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_name"), F.col("n_nationkey").cast("string").alias("n_nationkey"))
-    return text.infer_kind(n.unpivot([], ["n_name", "n_nationkey"], "col", "value"))
-
-
 # more analytics: lines are the calls of their order's run
 
 def _run_calls(spark, d) -> DataFrame:
@@ -648,26 +614,6 @@ def a15_subtypes(spark, d):
     return analytics.subtypes(q).select("subtype", "n", F.round("mean", 4).alias("mean"))
 
 
-def _variants(spark, d) -> DataFrame:
-    """Runs whose odd keys ask a variant of the question of the even key before them."""
-    base = F.concat(F.lit("Q"), F.floor(F.col("run_id") / 2).cast("string"))
-    return _runs(spark, d).withColumn("question_id", F.when(F.col("run_id") % 2 == 1, F.concat(base, F.lit("_SYN1"))).otherwise(base))
-
-
-VARIANTS = "(SELECT o_orderkey AS k, 'Q' || (o_orderkey // 2) AS b, o_orderkey % 2 = 1 AS v, o_totalprice AS x, o_orderstatus AS m FROM orders)"
-
-
-@register(f"SELECT b || '_SYN1' AS question_id, b AS baseline_id FROM {VARIANTS} WHERE v AND b IN (SELECT b FROM {VARIANTS} WHERE NOT v)")
-def a28_baselines(spark, d):
-    return analytics.baseline_of(_variants(spark, d))
-
-
-@register(f"SELECT b || '_SYN1' AS question_id, a.m AS model, round(a.x - c.x, 4) AS delta FROM {VARIANTS} a JOIN {VARIANTS} c USING (b) WHERE a.v AND NOT c.v AND a.m = c.m")
-def a16_deltas(spark, d):
-    r = _variants(spark, d)
-    return analytics.deltas(r.withColumnRenamed("approach", "model"), analytics.baseline_of(r), "score").select("question_id", "model", F.round("delta", 4).alias("delta"))
-
-
 @register("SELECT l_returnflag AS error, count(*) AS n, count(DISTINCT l_orderkey) AS runs FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1 ORDER BY n DESC, error LIMIT 2")
 def a22_syntax_metrics(spark, d):
     return analytics.syntax_metrics(_run_calls(spark, d).withColumn("errors", F.col("calls.flag")), 2)
@@ -679,26 +625,6 @@ def a23_template_summary(spark, d):
     return analytics.template_summary(r, "score").select("template", F.round("mean", 4).alias("mean"), F.round("variance", 2).alias("variance"), "failures")
 
 
-def _judged(spark, d) -> DataFrame:
-    k = F.col("run_id")
-    return _runs(spark, d).select("run_id", "question_id", F.col("condition").alias("ambiguity"), (k % 5).alias("n_rows"), ((k % 10) / 10.0).alias("concept_recall"), ((k % 7) / 10.0 + 0.3).alias("measurement_recall"), ((k % 9) / 10.0).alias("instance_recall"), (k % 2 == 0).alias("aggregate_ok"))
-
-
-PROBLEMS = """(SELECT o_orderkey AS run_id, o_orderpriority AS ambiguity, unnest(list_filter([CASE WHEN o_orderkey % 5 = 0 THEN 'empty_result' END, CASE WHEN o_orderkey % 10 < 3 THEN 'concept_missing' WHEN o_orderkey % 10 < 7 THEN 'concept_partial' END,
- CASE WHEN o_orderkey % 7 < 5 THEN 'measurement' END, CASE WHEN o_orderkey % 9 < 7 THEN 'instance_' || o_orderpriority END, CASE WHEN o_orderkey % 2 = 1 THEN 'aggregation' END], lambda x: x IS NOT NULL)) AS problem FROM orders)"""
-
-
-@register(f"SELECT run_id, problem FROM {PROBLEMS}")
-def a24_problems(spark, d):
-    return analytics.detect_problems(_judged(spark, d)).select("run_id", "problem")
-
-
-@register(f"SELECT ambiguity, problem, round(count(DISTINCT run_id) / any_value(n), 6) AS p FROM {PROBLEMS} JOIN (SELECT o_orderpriority AS ambiguity, count(*) AS n FROM orders GROUP BY 1) USING (ambiguity) GROUP BY 1, 2")
-def a26_correlations(spark, d):
-    r = _judged(spark, d)
-    return analytics.correlations(analytics.detect_problems(r), r).select("ambiguity", "problem", F.round("p", 6).alias("p"))
-
-
 @register("SELECT CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0) THEN 'no_reading' WHEN o_orderkey % 4 = 0 THEN 'failed_run' WHEN o_orderstatus = 'P' THEN 'no_prediction' ELSE 'evaluated' END AS reason, count(*) AS n FROM orders GROUP BY 1")
 def a30_skips(spark, d):
     readings = table(spark, d, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("question_id"))
@@ -733,19 +659,6 @@ def t4_agent_times(spark, d):
     return t.select("agent", "n", *(F.round(c, 4).alias(c) for c in ("total", "low", "high")))
 
 
-@register("""SELECT run_id, agent, start_ts, end_ts, coalesce(why, false) AS success FROM (SELECT user_id AS run_id, event_type AS agent, event_id AS k, ts AS start_ts, lead(ts) OVER w AS end_ts, lead(event_id % 3 = 0) OVER w AS why FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)) WHERE k % 2 = 0""")
-def t5_delegations(spark, d):
-    k = F.col("event_id")
-    e = _events(spark, d).withColumn("agent", F.col("event_type")).withColumn("event_type", F.when(k % 2 == 0, "delegate").otherwise("delegate_end")).withColumn("reason", F.when(k % 3 == 0, "success").otherwise("timeout"))
-    return traces.delegations(e)
-
-
-@register("SELECT l_orderkey AS run_id, l_linestatus AS agent, 'search_' || l_returnflag AS tool, count(*) AS calls, sum(l_quantity) AS total_ms, round(avg((l_tax > 0.04)::INT), 6) AS success_rate, count(*) FILTER (l_extendedprice / 100 > 150) AS useful, 'search' AS category FROM lineitem GROUP BY 1, 2, 3")
-def t6_tool_usage(spark, d):
-    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linestatus").alias("agent"), F.concat(F.lit("search_"), "l_returnflag").alias("tool"), F.col("l_quantity").alias("duration_ms"), (F.col("l_tax") > 0.04).alias("success"), (F.col("l_extendedprice") / 100).alias("size"))
-    return traces.tool_usage_by_agent(c).withColumn("success_rate", F.round("success_rate", 6))
-
-
 @register("SELECT run_id, total, a AS A, r AS R, greatest(0, total - a - r)::BIGINT AS orchestrator FROM (SELECT l_orderkey AS run_id, 120::BIGINT AS total, coalesce(sum(l_quantity::BIGINT) FILTER (l_returnflag = 'A'), 0)::BIGINT AS a, coalesce(sum(l_quantity::BIGINT) FILTER (l_returnflag = 'R'), 0)::BIGINT AS r FROM lineitem GROUP BY 1)")
 def t7_run_totals(spark, d):
     c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("phase"), F.col("l_quantity").cast("long").alias("tokens"), F.lit(120).cast("long").alias("total"))
@@ -781,17 +694,6 @@ def l13_reachability(spark, d):
     return linking.reachability(_ranks(spark, d), 5)
 
 
-@register("SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 2 WHEN length(split_part(p_name, ' ', 2)) >= 5 THEN 1 ELSE 0 END AS score FROM part")
-def l14_phrase_score(spark, d):
-    other = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.upper("p_name"), F.lit("s"))).otherwise(F.concat(F.element_at(F.split("p_name", " "), 2), F.lit("s")))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), linking.phrase_score(F.col("p_name"), other).alias("score"))
-
-
-@register("SELECT col, count(*) AS n_values, sum(length(v))::BIGINT AS sum_length, (sum(length(v)) < 2000000 AND avg(length(v)) < 25) OR count(*) < 100 AS eligible FROM (SELECT DISTINCT 'c_name' AS col, c_name AS v FROM customer UNION SELECT 'c_mktsegment', c_mktsegment FROM customer) GROUP BY 1")
-def l16_eligible_columns(spark, d):
-    return linking.eligible_columns(table(spark, d, "customer"), []).select("col", "n_values", "sum_length", "eligible")
-
-
 @register("""SELECT DISTINCT p_partkey AS id, unnest([p_name] || list_transform(range(1, len(w)), lambda i: array_to_string(w[1:i], ' ')) || list_transform(range(1, len(w)), lambda i: array_to_string(w[i + 1:], ' '))) AS part FROM (SELECT p_partkey, p_name, string_split(p_name, ' ') AS w FROM part)""")
 def l18_keyword_parts(spark, d):
     return linking.keyword_parts(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("keyword")))
@@ -810,20 +712,6 @@ def l22_search_instances(spark, d):
 
 
 # more scoring
-@register("""WITH g AS (SELECT (o_custkey % 7)::INT AS pair, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) AS pos FROM orders) SELECT pair, coalesce(min(pos) FILTER (k % 11 = 10) - 1, count(*))::BIGINT AS prefix, count(*) AS n, count(*) FILTER (k % 11 = 10) = 0 AS perfect FROM g GROUP BY 1""")
-def e6_prefix(spark, d):
-    from pyspark.sql import Window
-
-    o = table(spark, d, "orders").select((F.col("o_custkey") % 7).cast("int").alias("pair"), F.col("o_orderkey").alias("k"), F.array(F.col("o_orderkey").cast("string")).alias("row"))
-    gt = o.withColumn("pos", F.row_number().over(Window.partitionBy("pair").orderBy("k")).cast("long"))
-    return scoring.score_prefix(gt, o.where("k % 11 < 10").select("pair", "row"))
-
-
-@register("""SELECT pair, 'status' AS gt_col, 'status' AS sys_col, count(*) AS overlap FROM (SELECT DISTINCT o_custkey % 7 AS pair, o_orderstatus || '|' || o_orderpriority AS v FROM orders WHERE o_orderkey % 2 = 0) JOIN (SELECT DISTINCT o_custkey % 7 AS pair, o_orderstatus || '|' || o_orderpriority AS v FROM orders WHERE o_orderkey % 3 > 0) USING (pair, v) GROUP BY 1""")
-def e9_column_overlap(spark, d):
-    return scoring.column_overlap(_cells(spark, d, "o_orderkey % 2 = 0"), _cells(spark, d, "o_orderkey % 3 > 0")).withColumn("pair", F.col("pair").cast("long"))
-
-
 @register("SELECT run_id, reading_id FROM (SELECT o_custkey AS run_id, o_orderkey AS reading_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3 DESC, o_orderkey % 5 DESC, o_orderkey % 7 DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
 def e17_best_reading(spark, d):
     k = F.col("o_orderkey")
@@ -868,29 +756,15 @@ def e33_agreement(spark, d):
     return scoring.agreement(_cands(spark, d)).select("question_id", F.round("agreement", 6).alias("agreement"), "n_groups", F.round("confidence", 6).alias("confidence"))
 
 
-# more functions
-@register("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'integer' WHEN o_orderkey % 4 = 1 THEN 'decimal' WHEN o_orderkey % 4 = 2 THEN 'temporal' ELSE 'string' END AS kind FROM orders")
-def n6_literal_kind(spark, d):
-    k = F.col("o_orderkey")
-    value = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, F.col("o_totalprice").cast("decimal(18,2)").cast("string")).when(k % 4 == 2, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.col("o_orderpriority"))
-    return table(spark, d, "orders").select(k.alias("k"), text.literal_kind(value).alias("kind"))
-
-
-@register("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'connection' ELSE 'other' END AS error FROM events")
-def n8_error_class(spark, d):
-    k = F.col("event_id")
-    message = F.concat("event_type", F.when(k % 3 == 0, " timed out after 15 s").when(k % 3 == 1, ": host refused").otherwise(": stopped"))
-    return table(spark, d, "events").select("event_id", text.error_class(message).alias("error"))
-
-
-@register("SELECT event_id, 'x = xsd:string .' AS v FROM events")
-def n14_mask_literals(spark, d):
-    return table(spark, d, "events").select("event_id", text.mask_literals(F.concat(F.lit('x = "'), "event_type", F.lit('"@en .'))).alias("v"))
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    from graphloom import catalog_rules  # noqa: F401
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    from graphloom import catalog_rules  # noqa: F401
+
+    return dict(SQL)

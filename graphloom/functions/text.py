@@ -20,7 +20,7 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 @pandas_udf(StringType())
 def _six_digits(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None or x != x else f"{x:.6g}")
+    return s.map(lambda x: None if x is None else f"{x:.6g}")
 
 
 def norm_text(col: Column, nfc: bool = False) -> Column:
@@ -35,49 +35,85 @@ def try_double(col: Column) -> Column:
     return col.try_cast("double")
 
 
+def stripped(col: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(col.cast("string"), r"^\s+|\s+$", "")
+
+
+#: Texts that are numbers: an optional sign, digits with at most one point, an exponent.
+DECIMAL = r"(?i)^[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?$"
+FLOAT = r"(?i)^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?|nan)$"
+
+
+def is_float(col: Column) -> Column:
+    return stripped(col).rlike(FLOAT)
+
+
 def norm_number(col: Column) -> Column:
-    """A number without trailing zeros and exponent; other values stay."""
-    number = col.try_cast("decimal(38,18)").cast("string")
-    plain = F.regexp_replace(F.regexp_replace(number, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.coalesce(F.when(plain == "-0", "0").otherwise(plain), col)
+    """Stripped; a number without superfluous zeros, plus sign and exponent, all else in lower case.
+
+    Plain numbers keep all their digits; those with an exponent must fit 20 digits before and 18 after the point.
+    """
+    text = stripped(col)
+    digits = F.when(F.contains(F.lower(text), F.lit("e")), text.try_cast("decimal(38,18)").cast("string")).otherwise(text)
+    # an exponent beyond that stays as it is
+    digits = F.coalesce(digits, text)
+    sign = F.regexp_extract(digits, r"^-", 0)
+    whole = F.regexp_replace(F.regexp_extract(digits, r"^[+-]?(\d*)", 1), "^0+(?=.)", "")
+    rest = F.regexp_replace(F.regexp_extract(digits, r"^[+-]?\d*\.(\d*)$", 1), "0+$", "")
+    plain = F.concat(sign, F.when(whole == "", "0").otherwise(whole), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)))
+    infinite = F.regexp_replace(F.lower(text), r"^\+?(-?)inf(?:inity)?$", "$1infinity")
+    return F.when(digits.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), plain).otherwise(infinite)
 
 
 def norm_tolerant(col: Column) -> Column:
-    """Blank is '', a number its absolute value with six digits, an IRI its local value; case folded."""
-    text = F.trim(F.coalesce(col.cast("string"), F.lit("")))
-    number = text.try_cast("double")
-    iri = text.rlike("^[a-z]+://")
-    return F.lower(F.when(text == "", "").when(number.isNotNull(), _six_digits(F.abs(number))).when(iri, local_value(text)).otherwise(text))
+    """Blank is '', a number its absolute value with six digits, a web IRI its decoded last segment; composed and in lower case."""
+    text = F.coalesce(stripped(col), F.lit(""))
+    text = F.when(text.rlike(r"[^\x00-\x7F]"), _nfc(text)).otherwise(text)
+    number = F.when(text.rlike(FLOAT), text.try_cast("double"))
+    return F.lower(F.when(text == "", "").when(number.isNotNull(), _six_digits(F.abs(number))).when(text.rlike("^https?://"), local_value(text)).otherwise(text))
 
 
 #: Values that carry no information (fixed values).
-TRIVIAL = ["", "null", "none", "nan", "n/a", "true", "false", "yes", "no"]
+TRIVIAL = ["0", "0.0", "0.00", "0.000", "0.0000", "0.00000", "0.000000", "", "null", "none", "n/a", "na", "nil", "true", "false", "yes", "no", "1", "unknown", "undefined", "other", "-", "--", "..."]
 
 
 def is_trivial(col: Column) -> Column:
-    """N4."""
-    text = F.lower(F.trim(col))
-    return F.coalesce(text.isin(TRIVIAL) | (text.try_cast("double") == 0), F.lit(False)) | col.isNull()
+    """A value of the list, null, or any number that is zero."""
+    text = F.lower(stripped(col))
+    zero = F.when(text.rlike(DECIMAL), text.try_cast("double") == 0)
+    return col.isNull() | F.coalesce(text.isin(TRIVIAL) | F.coalesce(zero, F.lit(False)), F.lit(False))
 
 
-#: Date and time formats that count as temporal (fixed values).
-FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "HH:mm:ss"]
+#: Forms of dates and times that count as temporal: date; date and time joined by T (Z may follow) or a blank; time; year; year and month (fixed values).
+_DAY, _TIME = r"(?!0000)\d{4}-(?:1[0-2]|0?[1-9])-(?:3[01]|[12]\d|0?[1-9])", r"(?:2[0-3]|[01]?\d):[0-5]?\d:[0-5]?\d"
+TEMPORAL = rf"^(?:{_DAY}(?:T{_TIME}Z?| {_TIME})?|{_TIME}|(?!0000)\d{{4}}|(?!0000)\d{{4}}-(?:1[0-2]|0?[1-9]))$"
+
+
+def is_temporal(col: Column) -> Column:
+    """A date or time of the fixed forms; the day must exist."""
+    day = F.regexp_extract(col, rf"^({_DAY})", 1)
+    return col.rlike(TEMPORAL) & ((day == "") | F.try_to_timestamp(day, F.lit("yyyy-M-d")).isNotNull())
 
 
 def infer_kind(cells: DataFrame, most: int = 100) -> DataFrame:
-    """(col, kind) by up to ``most`` distinct values a column: numeric, temporal or none; a bare year is numeric."""
+    """(col, kind) by up to ``most`` distinct values a column that aren't blank: numeric, temporal or none.
+
+    Any of a column's values may be those; the first by order are, so reruns agree. A bare year is numeric unless
+    dates of another form stand beside it. Columns without values are missing.
+    """
     from pyspark.sql import Window
 
-    ranked = cells.where("value is not null and trim(value) <> ''").select("col", "value").distinct()
+    ranked = cells.where(stripped(F.col("value")) != "").select("col", "value").distinct()
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("col").orderBy("value"))).where(F.col("r") <= most)
-    temporal = F.coalesce(*(F.try_to_timestamp("value", F.lit(f)) for f in FORMATS)).isNotNull()
-    flags = ranked.groupBy("col").agg(F.bool_and(try_double(F.col("value")).isNotNull()).alias("num"), F.bool_and(temporal).alias("temp"))
+    flags = ranked.groupBy("col").agg(F.bool_and(is_float(F.col("value"))).alias("num"), F.bool_and(is_temporal(F.col("value"))).alias("temp"))
     return flags.select("col", F.when(F.col("num"), "numeric").when(F.col("temp"), "temporal").otherwise("none").alias("kind"))
 
 
-def literal_kind(col: Column) -> Column:
-    """N6."""
-    return F.when(col.rlike(r"^[+-]?\d+$"), "integer").when(try_double(col).isNotNull(), "decimal").when(F.lower(col).isin("true", "false"), "boolean").when(col.rlike(r"^\d{4}-\d{2}-\d{2}"), "temporal").otherwise("string")
+def literal_kind(col: Column, datatype: Column) -> Column:
+    """Numeric by the datatype's name, temporal by the value's start (time or date), else string."""
+    numeric = F.coalesce(datatype, F.lit("")).rlike("integer|decimal|float|double")
+    return F.when(numeric, "numeric").when(col.rlike(r"^\d{2}:\d{2}:\d{2}|^\d{4}-\d{2}-\d{2}"), "temporal").otherwise("string")
 
 
 def query_features(log: DataFrame, col: str = "query") -> DataFrame:
@@ -88,62 +124,81 @@ def query_features(log: DataFrame, col: str = "query") -> DataFrame:
     return log.select("*", *flags, aggregates.alias("n_aggregates"))
 
 
-#: Message patterns of error classes, first match wins (fixed values).
-ERRORS = [("timeout", "time ?out|timed out"), ("syntax", "syntax|parse|unexpected token"), ("unknown_term", "unknown|undefined|not found|no such"), ("memory", "memory|heap"), ("connection", "connection|refused|unreachable"), ("type", "type|cast|conversion"), ("permission", "denied|forbidden|unauthori"), ("empty", "empty|no results?")]
+#: Error classes by what a message holds, first match wins (fixed values).
+ERRORS = [
+    ("TIMEOUT", "(?i)timeout|execution time exceeded"),
+    ("SQL_SERIALIZATION_ERROR", "SQLSerializationException"),
+    ("INTERNAL_ERROR", "NullPointerException"),
+    ("UNSUPPORTED_PROPERTY_PATH", "ArbitraryLengthPath|Unsupported arbitrary length path"),
+    ("UNION_MAPPING_BUG", "Multiple entries with same key: UNION"),
+    ("COLUMN_ID_ERROR", "does not appear in columnIDs"),
+    ("SYNTAX_ERROR", "(?i)syntax|parse"),
+]
+
+
+def _first_match(col: Column, rules: list[tuple[str, str]], default: str) -> Column:
+    out = F.when(F.lit(False), "")
+    for name, pattern in rules:
+        out = out.when(col.rlike(pattern), name)
+    return out.otherwise(default)
 
 
 def error_class(col: Column) -> Column:
-    """N8."""
-    out = F.when(col.isNull(), F.lit(None).cast("string"))
-    for name, pattern in ERRORS:
-        out = out.when(col.rlike(f"(?i){pattern}"), name)
-    return out.otherwise("other")
+    """The class of a message; null and unknown ones are UNKNOWN."""
+    return _first_match(col, ERRORS, "UNKNOWN")
+
+
+#: Levels of complexity by the clauses of a query's text (fixed values).
+LEVELS = [("VERY_HARD", "SERVICE"), ("HARD", "HAVING|NOT EXISTS|MINUS"), ("HARD", "FILTER *[(] *! *BOUND"), ("MEDIUM", "GROUP BY|COUNT|SUM|AVG|OPTIONAL")]
 
 
-def complexity(n_patterns: Column, n_features: Column) -> Column:
-    """Simple, moderate or complex."""
-    return F.when((n_patterns <= 2) & (n_features == 0), "simple").when((n_patterns <= 5) & (n_features <= 2), "moderate").otherwise("complex")
+def complexity(col: Column) -> Column:
+    """SIMPLE, MEDIUM, HARD or VERY_HARD by the words that a query's text holds, in any case; a null text is SIMPLE."""
+    return _first_match(F.upper(col), LEVELS, "SIMPLE")
 
 
 def ranked(col: Column) -> Column:
-    """Struct of the first ORDER BY variable, direction and limit; null unless all are there."""
-    order = r"(?is)ORDER\s+BY\s+(?:(ASC|DESC)\s*\(\s*)?\?(\w+)"
+    """Struct of the first ORDER BY name (with or without ?), direction and limit; null unless ORDER BY and LIMIT are there."""
+    order = r"(?i)ORDER\s+BY\s+(?:(DESC|ASC)\s*)?\(?\s*\??(\w+)"
     limit = F.regexp_extract(col, r"(?i)LIMIT\s+(\d+)", 1)
     var = F.regexp_extract(col, order, 2)
     direction = F.when(F.upper(F.regexp_extract(col, order, 1)) == "DESC", "desc").otherwise("asc")
     return F.when((var != "") & (limit != ""), F.struct(var.alias("variable"), direction.alias("direction"), limit.try_cast("int").alias("n")))
 
 
-def classify(col: Column, rules: list[tuple[str, str]], default: str) -> Column:
-    """The first class whose pattern the text has."""
-    out = F.when(F.lit(False), "")
-    for name, pattern in rules:
-        out = out.when(col.rlike(f"(?i){pattern}"), name)
-    return out.otherwise(default)
-
-
-#: Classes of ambiguity by a question's notes, and of tools by their name (fixed values).
-AMBIGUITY = [("misspelling", "misspel|typo"), ("underspecified", "underspec|vague|missing"), ("synonym", "synonym|renam"), ("lexical", "homonym|lexical|ambiguous term"), ("scope", "scope|granular")]
-TOOLS = [("search", "search|grep|find|lookup"), ("query", "query|sparql|sql|execute"), ("schema", "schema|class|property|path"), ("value", "value|instance|sample")]
+#: Classes of ambiguity by what a question's notes hold (fixed values), and what sets without such notes are.
+AMBIGUITY = [
+    ("case_variation", "case variation"), ("partial_match", "partial match"), ("synonym", "synonym"), ("temporal", "temporal"), ("fuzzy_typo", "fuzzy|typo"),
+    ("abbreviation", "abbreviation"), ("numeric_filter", "numeric filter"), ("multi_step", "multi-step"), ("semantic_variance", "semantic variance"),
+    ("role_ambiguity", "^(?=.*ambiguity)(?=.*(role|owns|responsible))"), ("activity_ambiguity", "^(?=.*ambiguity)(?=.*active)"), ("underspecified", "ambiguity|underspecified"),
+]
+#: Categories of tools by what their names hold (fixed values).
+TOOLS = [("retrieval", "search|grep|find|retrieve"), ("sparql", "sparql|query|execute"), ("validation", "validate|check|verify"), ("data_access", "sample|instance|data")]
 
 
-def ambiguity(col: Column) -> Column:
-    return classify(col, AMBIGUITY, "none")
+def ambiguity(notes: Column, query_set: Column) -> Column:
+    """Sets A and B are none and D cross_dataset; others go by their notes, then C is partial_match, E semantic_variance, the rest none."""
+    found = _first_match(F.regexp_replace(F.lower(F.coalesce(notes, F.lit(""))), r"\s", " "), AMBIGUITY, "")
+    rest = F.when(query_set == "C", "partial_match").when(query_set == "E", "semantic_variance").otherwise("none")
+    return F.when(query_set.isin("A", "B"), "none").when(query_set == "D", "cross_dataset").when(found != "", found).otherwise(rest)
 
 
 def tool_category(col: Column) -> Column:
-    return classify(col, TOOLS, "other")
+    """Retrieval, sparql, validation, data_access or other."""
+    return _first_match(F.lower(col), TOOLS, "other")
 
 
 def typo_hits(calls: DataFrame, notes: DataFrame) -> DataFrame:
-    """Pairs ``wrong->right`` in notes (question_id, note), found as whole words in call texts (run_id, question_id, text)."""
-    found = notes.select("question_id", F.explode(F.regexp_extract_all("note", F.lit(r"(\w+)\s*->\s*\w+"), F.lit(1))).alias("typo")).distinct()
-    return calls.join(found, "question_id").select("run_id", "question_id", "typo", F.expr("lower(text) rlike concat('\\\\b', lower(typo), '\\\\b')").alias("hit"))
+    """Pairs ``right -> wrong`` in notes (question_id, note); (run_id, question_id, typo, hit) of each call text and misspelling, found as whole words."""
+    pair = r"[A-Za-z][A-Za-z '\-]*?\s*->\s*([A-Za-z][A-Za-z '\-]*)"
+    found = notes.select("question_id", F.explode(F.regexp_extract_all("note", F.lit(pair), F.lit(1))).alias("typo"))
+    found = found.select("question_id", F.lower(stripped(F.col("typo"))).alias("typo")).distinct()
+    return calls.join(found, "question_id").select("run_id", "question_id", "typo", F.expr("coalesce(lower(text) rlike concat('\\\\b', typo, '\\\\b'), false)").alias("hit"))
 
 
 def mask_literals(col: Column) -> Column:
-    """Quoted literals (with datatype or language) become xsd:string."""
-    return F.regexp_replace(col, r'"(?:[^"\\]|\\.)*"(?:\^\^\S+|@[\w-]+)?', "xsd:string")
+    """Quoted literals (with datatype or language), and bare numbers before a ; , or . become xsd:string."""
+    return F.regexp_replace(col, r'"(?:[^"\\]|\\.)*"(?:@[a-z\-]+|\^\^\S+)?|(?<=\s)-?\d+(?:\.\d+)?(?=\s*[;,.])', "xsd:string")
 
 
 def expand_camel(col: Column) -> Column:

@@ -101,10 +101,10 @@ def subtypes(questions: DataFrame, cut: int = 50) -> DataFrame:
     return questions.groupBy(kind.alias("subtype")).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"))
 
 
-def baseline_of(questions: DataFrame, suffix: str = r"_(SYN|UND|TYPO)\d*$") -> DataFrame:
-    """(question_id, baseline_id) of variants whose baseline exists."""
-    pair = questions.select("question_id", F.regexp_replace("question_id", suffix, "").alias("baseline_id")).where("question_id <> baseline_id")
-    return pair.join(questions.select(F.col("question_id").alias("baseline_id")).distinct(), "baseline_id", "left_semi").select("question_id", "baseline_id")
+def baseline_of(questions: DataFrame) -> DataFrame:
+    """(question_id, baseline_id) of variants: SYN01, TYPO01 and LARGE01 belong to BASE01."""
+    number = F.regexp_extract("question_id", r"^(?:SYN|TYPO|LARGE)(.*)$", 1)
+    return questions.where(F.col("question_id").rlike("^(SYN|TYPO|LARGE)")).select("question_id", F.concat(F.lit("BASE"), number).alias("baseline_id")).distinct()
 
 
 def deltas(runs: DataFrame, pairs: DataFrame, score: str) -> DataFrame:
@@ -134,21 +134,33 @@ def template_summary(runs: DataFrame, score: str) -> DataFrame:
     return runs.groupBy("template").agg(F.avg(score).alias("mean"), F.var_samp(score).alias("variance"), F.count_if(~F.col("success")).alias("failures"))
 
 
-#: Thresholds of the problem rules (fixed values).
+#: Thresholds of the problem rules: very low and low recall, partial concepts and success (fixed values).
 LOW, MIDDLE, HIGH = 0.3, 0.7, 0.8
+#: What low recall is put down to, by ambiguity (fixed values).
+CAUSES = {
+    "case_variation": "instance_case_mismatch", "synonym": "instance_synonym_not_resolved", "temporal": "instance_temporal_not_resolved", "fuzzy_typo": "instance_fuzzy_not_resolved",
+    "cross_dataset": "cross_missing_query", "multi_step": "cross_missing_query",
+}
 
 
 def detect_problems(runs: DataFrame) -> DataFrame:
-    """One row a problem of a run: n_rows, concept_recall, measurement_recall, instance_recall, aggregate_ok, ambiguity."""
+    """(run_id, question_id, ambiguity, problem, severity), a row a problem of a run.
+
+    Runs have n_rows, schema_recall, n_matched concepts, measurements and missing (arrays of concepts), best_recall, ambiguity.
+    """
     c = F.col
+    problem = lambda name, severity: F.struct(name.alias("problem"), F.lit(severity).alias("severity"))
+    short = (F.size("measurements") > 0) & (c("n_matched") < F.size("measurements")) & F.arrays_overlap("measurements", "missing")
+    cause = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in CAUSES.items() for x in kv)), F.coalesce("ambiguity", F.lit("none"))), F.lit("low_recall"))
+    low = (c("best_recall") < MIDDLE) & (c("n_rows") != 0)
     rules = [
-        F.when(c("n_rows") == 0, "empty_result"),
-        F.when(c("concept_recall") < LOW, "concept_missing").when(c("concept_recall") < MIDDLE, "concept_partial"),
-        F.when(c("measurement_recall") < HIGH, "measurement"),
-        F.when(c("instance_recall") < MIDDLE, F.concat(F.lit("instance_"), F.coalesce("ambiguity", F.lit("none")))),
-        F.when(~c("aggregate_ok"), "aggregation"),
+        F.when(c("n_rows") == 0, problem(F.lit("empty_over_constrained"), "critical")),
+        F.when(c("schema_recall") == 0, problem(F.lit("concept_missing"), "critical")).when(c("schema_recall") < HIGH, problem(F.lit("concept_partial"), "major")),
+        F.when(short, problem(F.lit("measurement_missing"), "major")),
+        F.when(low & (c("best_recall") < LOW), problem(cause, "critical")).when(low, problem(cause, "major")),
+        F.when(short, problem(F.lit("agg_missing_group_by"), "major")),
     ]
-    return runs.select("run_id", "question_id", "ambiguity", F.explode(F.array_compact(F.array(*rules))).alias("problem"))
+    return runs.select("run_id", "question_id", "ambiguity", F.explode(F.array_compact(F.array(*rules))).alias("p")).select("run_id", "question_id", "ambiguity", "p.problem", "p.severity")
 
 
 def category_stats(runs: DataFrame, by: list[str], f1: str = "f1") -> DataFrame:

@@ -136,13 +136,22 @@ def reachability(ranks: DataFrame, k: int) -> DataFrame:
     return ranks.groupBy("phrase").agg(F.bool_and((F.col("type_rank") <= k) & (F.col("rank") <= 3 * k)).alias("reachable"), F.max("rank").alias("worst_rank"))
 
 
-def phrase_score(a: Column, b: Column) -> Column:
-    """2 if equal but for a plural s, 1 if one holds the other (six letters) or its stem (five), else 0."""
-    x, y = F.lower(F.regexp_replace(a, "[ _]", "")), F.lower(F.regexp_replace(b, "[ _]", ""))
-    sx, sy = F.regexp_replace(x, "s$", ""), F.regexp_replace(y, "s$", "")
-    held = (F.contains(x, y) & (F.length(y) >= 6)) | (F.contains(y, x) & (F.length(x) >= 6))
-    stem = (F.contains(x, sy) & (F.length(sy) >= 5)) | (F.contains(y, sx) & (F.length(sx) >= 5))
-    return F.when(sx == sy, 2).when(held | stem, 1).otherwise(0)
+def _forms(x: Column) -> Column:
+    """A normalised phrase and what its singular may be."""
+    n = F.length(x)
+    cut = lambda k: F.substring(x, F.lit(1), n - k)
+    return F.array_compact(F.array(x, F.when(x.endswith("ies") & (n > 5), F.concat(cut(3), F.lit("y"))), F.when(x.endswith("es") & (n > 4), cut(2)), F.when(x.endswith("s") & (n > 3), cut(1))))
+
+
+def phrase_score(phrase: Column, name: Column) -> Column:
+    """How well a phrase names an element: 2 if they agree but for a plural, 1 if the name (six letters) stands in the phrase or the phrase's stem (five) in the name, else 0."""
+    x, y = (F.regexp_replace(F.lower(c), "[^a-z0-9]", "") for c in (phrase, name))
+    n = F.length(x)
+    stem = x
+    for end in ("s", "es", "ed", "ing"):
+        stem = F.when(x.endswith(end) & (n > len(end) + 3), F.substring(x, F.lit(1), n - len(end))).otherwise(stem)
+    held = (F.length(y) >= 6) & F.contains(x, y)
+    return F.when(F.arrays_overlap(_forms(x), _forms(y)), 2).when(held | ((F.length(stem) >= 5) & F.contains(y, stem)), 1).otherwise(0)
 
 
 @pandas_udf(DoubleType())
@@ -160,18 +169,31 @@ def mention_sim(questions: DataFrame, literals: DataFrame) -> DataFrame:
     return best.select("question_id", "literal", "b.sim", "b.window", (F.substring("b.window", 1, 3) == F.substring(F.lower("literal"), 1, 3)).alias("same_prefix"))
 
 
-def eligible_columns(df: DataFrame, keys: list[str], blocked: str = r"(?i)(_id| id|url|email|web|time|phone|date|address)", most: int = 100, total: int = 2_000_000, mean: float = 25.0) -> DataFrame:
-    """Text columns worth an index, by name and by lengths and number of distinct values."""
-    texts = [c for c, t in df.dtypes if t == "string" and c not in keys]
-    cells = df.select(*texts).unpivot([], texts, "col", "value").where("value is not null").distinct() if texts else None
-    if cells is None:
+#: Parts of column names that are not worth an index (fixed values); names that end with Id aren't either.
+BLOCKED = ["_id", " id", "url", "email", "web", "time", "phone", "date", "address"]
+
+
+def eligible_columns(df: DataFrame, keys: list[str], most: int = 100, total: int = 2_000_000, mean: float = 25.0, total_names: int = 5_000_000) -> DataFrame:
+    """Text columns and whether they are worth an index: by name, and by lengths and number of distinct values.
+
+    A column is if its distinct values are together below ``total_names`` characters and its name has "name" in it, or below
+    ``total`` and on average below ``mean``, or fewer than ``most``. Keys are left out.
+    """
+    texts = [c for c, t in df.dtypes if t == "string" and c.lower() not in {k.lower() for k in keys}]
+    if not texts:
         return df.sparkSession.createDataFrame([], "col string, n_values long, sum_length long, mean_length double, eligible boolean")
+    cells = df.select(*texts).unpivot([], texts, "col", "value").where("value is not null").distinct()
     stats = cells.groupBy("col").agg(F.count(F.lit(1)).alias("n_values"), F.sum(F.length("value")).alias("sum_length"), F.avg(F.length("value")).alias("mean_length"))
-    fits = ~F.col("col").rlike(blocked) & (((F.col("sum_length") < total) & (F.col("mean_length") < mean)) | (F.col("n_values") < most))
+    name = F.lower("col")
+    blocked = F.col("col").endswith("Id")
+    for part in BLOCKED:
+        blocked = blocked | F.contains(name, F.lit(part))
+    named = F.contains(name, F.lit("name")) & (F.col("sum_length") < total_names)
+    fits = ~blocked & (named | ((F.col("sum_length") < total) & (F.col("mean_length") < mean)) | (F.col("n_values") < most))
     return stats.withColumn("eligible", fits)
 
 
-def lsh_values(values: DataFrame, keywords: DataFrame, n: int = 10, hashes: int = 100, least: float = 0.2) -> DataFrame:
+def lsh_values(values: DataFrame, keywords: DataFrame, n: int = 10, hashes: int = 100, least: float = 0.01) -> DataFrame:
     """For each keyword the n values (value) of largest Jaccard on 3-grams of characters, by MinHash candidates."""
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(F.lower(c), i, F.lit(3)))
     tf = HashingTF(inputCol="grams", outputCol="features", binary=True, numFeatures=1 << 18)

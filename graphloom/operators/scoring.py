@@ -84,11 +84,15 @@ def score_topn(gt: DataFrame, sys: DataFrame, descending: bool = True) -> DataFr
 
 
 def score_prefix(gt: DataFrame, sys: DataFrame) -> DataFrame:
-    """Gt (pair, pos, row) in order: how many of its first rows are found without a gap, and whether the sets are equal."""
+    """Gt (pair, pos, row) in order from 1: how many of its first rows are found without a gap, and whether they are all that was found (not if none are)."""
     seen = gt.join(sys.select("pair", "row", F.lit(1).alias("s")).distinct(), ["pair", "row"], "left")
-    first = seen.groupBy("pair").agg(F.min(F.when(F.col("s").isNull(), F.col("pos"))).alias("gap"), F.count(F.lit(1)).alias("n"), F.count("s").alias("found"), F.count_distinct("row").alias("own"))
+    first = seen.groupBy("pair").agg(F.min(F.when(F.col("s").isNull(), F.col("pos"))).alias("gap"), F.count(F.lit(1)).alias("n"))
+    first = first.withColumn("prefix", F.coalesce(F.col("gap") - 1, F.col("n")))
+    # those beyond a gap are found, but not in the prefix
+    own = seen.join(first.select("pair", "prefix"), "pair").where("pos <= prefix").groupBy("pair").agg(F.count_distinct("row").alias("own"))
     size = sys.groupBy("pair").agg(F.count_distinct("row").alias("m"))
-    return first.join(size, "pair", "left").na.fill(0, ["m"]).select("pair", F.coalesce(F.col("gap") - 1, F.col("n")).alias("prefix"), "n", ((F.col("found") == F.col("n")) & (F.col("m") == F.col("own"))).alias("perfect"))
+    t = first.join(own, "pair", "left").join(size, "pair", "left").na.fill(0, ["own", "m"])
+    return t.select("pair", "prefix", "n", ((F.col("prefix") > 0) & (F.col("m") == F.col("own"))).alias("perfect"))
 
 
 def column_values(cells: DataFrame) -> DataFrame:
@@ -103,13 +107,24 @@ def active_levels(gt: DataFrame, sys: DataFrame) -> DataFrame:
     return hits.where("level <> 'acceptable'").unionByName(hits.where("level = 'acceptable'").join(preferred, "pair", "left_semi"))
 
 
-def column_overlap(gt: DataFrame, sys: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
-    """Shared non-trivial values of each (gt column, system column); ``blocked`` pairs are left out."""
-    from graphloom.functions.text import is_trivial
+def column_overlap(gt: DataFrame, sys: DataFrame, gt_properties: DataFrame | None = None, sys_properties: DataFrame | None = None) -> DataFrame:
+    """Shared non-trivial values of each (gt column, system column).
+
+    If what is shared is numeric or temporal, columns whose properties (pair, col, properties array) are known
+    on both sides must have one in common.
+    """
+    from graphloom.functions.text import infer_kind, is_trivial
 
     use = lambda df, c: df.where(~is_trivial(F.col("value"))).select("pair", F.col("col").alias(c), "value").distinct()
-    out = use(gt, "gt_col").join(use(sys, "sys_col"), ["pair", "value"]).groupBy("pair", "gt_col", "sys_col").agg(F.count(F.lit(1)).alias("overlap"))
-    return out.join(blocked, ["pair", "gt_col", "sys_col"], "left_anti") if blocked is not None else out
+    shared = use(gt, "gt_col").join(use(sys, "sys_col"), ["pair", "value"])
+    out = shared.groupBy("pair", "gt_col", "sys_col").agg(F.count(F.lit(1)).alias("overlap"))
+    if gt_properties is None or sys_properties is None:
+        return out
+    keys = ["pair", "gt_col", "sys_col"]
+    kinds = infer_kind(shared.select(F.struct(*keys).alias("col"), "value")).where("kind <> 'none'").select("col.*")
+    known = lambda df, c: df.where(F.size("properties") > 0).select("pair", F.col("col").alias(c), F.col("properties").alias(f"{c}_p"))
+    blocked = kinds.join(known(gt_properties, "gt_col"), ["pair", "gt_col"]).join(known(sys_properties, "sys_col"), ["pair", "sys_col"]).where(~F.arrays_overlap("gt_col_p", "sys_col_p"))
+    return out.join(blocked.select(*keys), keys, "left_anti")
 
 
 def pair_columns(overlap: DataFrame) -> DataFrame:
@@ -191,14 +206,30 @@ def build_gt(cells: DataFrame) -> DataFrame:
 
 
 def signatures(patterns: DataFrame, projections: DataFrame) -> DataFrame:
-    """Projections (query_id, variable, agg): types, in and out predicates of each projected variable."""
+    """A signature of each projected variable, from its query's patterns (query_id, s, p, o; variables start with ?).
+
+    projections (query_id, variable, agg, inner array of the variables in the aggregate, nested kind of aggregate or null)
+    -> types, out and in predicates, the inner variables' predicates in either place, and the subjects' own
+    types (type:), out (out:) and in predicates (in:) where the variable is an object.
+    """
     from graphloom.functions.terms import RDF_TYPE
 
-    p = patterns.select("query_id", "s", "p", "o")
-    uses = p.select("query_id", F.col("s").alias("variable"), F.when(F.col("p") == RDF_TYPE, F.col("o")).alias("type"), F.when(F.col("p") != RDF_TYPE, F.col("p")).alias("out"), F.lit(None).cast("string").alias("inn"))
-    uses = uses.unionByName(p.select("query_id", F.col("o").alias("variable"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("out"), F.col("p").alias("inn")))
-    sets = [F.array_sort(F.collect_set(c)).alias(n) for c, n in (("type", "types"), ("out", "out_predicates"), ("inn", "in_predicates"))]
-    return projections.join(uses, ["query_id", "variable"], "left").groupBy("query_id", "variable", "agg").agg(*sets)
+    p = patterns.select("query_id", "s", "p", "o").where(~F.col("p").startswith("?"))
+    typed, keys = F.col("p") == RDF_TYPE, ["query_id", "variable"]
+    none = F.lit(None).cast("string")
+    as_s = p.select("query_id", F.col("s").alias("variable"), F.when(typed & ~F.col("o").startswith("?"), F.col("o")).alias("type"), F.when(~typed, F.col("p")).alias("out"), none.alias("inn"))
+    as_o = p.select("query_id", F.col("o").alias("variable"), none.alias("type"), none.alias("out"), F.when(~typed, F.col("p")).alias("inn"))
+    uses = as_s.unionByName(as_o).where(F.col("variable").startswith("?"))
+    gathered = lambda *c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array(*c))))))
+    own = uses.groupBy(*keys).agg(gathered("type").alias("types"), gathered("out").alias("out_predicates"), gathered("inn").alias("in_predicates"))
+    inner = projections.select(*keys, F.explode("inner").alias("v"), "nested").join(uses.withColumnRenamed("variable", "v"), ["query_id", "v"])
+    inner = inner.groupBy(*keys).agg(gathered("out", "inn", F.when(F.col("nested").isNotNull(), F.concat(F.lit("_nested_"), "nested"))).alias("inner_predicates"))
+    subject = p.where(F.col("s").startswith("?") & F.col("o").startswith("?")).select("query_id", F.col("o").alias("variable"), F.col("s").alias("v")).distinct().join(as_s.withColumnRenamed("variable", "v").unionByName(as_o.withColumnRenamed("variable", "v")).withColumnRenamed("out", "outs"), ["query_id", "v"])
+    tagged = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{n}:"), c)) for c, n in (("type", "type"), ("outs", "out"), ("inn", "in"))]
+    context = subject.groupBy(*keys).agg(gathered(*tagged).alias("subject_context"))
+    t = projections.select(*keys, "agg").join(own, keys, "left").join(inner, keys, "left").join(context, keys, "left")
+    sets = ["types", "out_predicates", "in_predicates", "inner_predicates", "subject_context"]
+    return t.select(*keys, "agg", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in sets))
 
 
 def jaccard(a: str, b: str) -> Column:
@@ -208,10 +239,28 @@ def jaccard(a: str, b: str) -> Column:
 
 
 def signature_sim(pairs: DataFrame) -> DataFrame:
-    """Columns a_* and b_* of two signatures: best of in, out and type Jaccard; aggregates must agree (SUM and COUNT do)."""
-    same = F.col("a_agg").eqNullSafe(F.col("b_agg")) | (F.col("a_agg").isin("SUM", "COUNT") & F.col("b_agg").isin("SUM", "COUNT"))
-    best = F.greatest(jaccard("a_in_predicates", "b_in_predicates") * 0.85, jaccard("a_out_predicates", "b_out_predicates"), jaccard("a_types", "b_types"))
-    return pairs.withColumn("sim", F.when(F.coalesce(same, F.lit(False)), best).otherwise(F.lit(0.0)))
+    """Columns a_* and b_* of two signatures of E20: sim from 0 to 1.
+
+    Of two aggregates of one kind (SUM and COUNT count as one) the inner predicates' Jaccard; an aggregate is never like
+    a plain column. Else the best of in, out and, if both have types, type Jaccard. That of in predicates is scaled
+    by 0.7 to 1 with the Jaccard of the subjects' contexts, by 0.85 if only one side has a context.
+    """
+    a, b = F.col("a_agg"), F.col("b_agg")
+    same = (a == b) | (a.isin("SUM", "COUNT") & b.isin("SUM", "COUNT"))
+    context = F.when((F.size("a_subject_context") > 0) & (F.size("b_subject_context") > 0), 0.7 + 0.3 * jaccard("a_subject_context", "b_subject_context"))
+    context = context.when((F.size("a_subject_context") > 0) | (F.size("b_subject_context") > 0), 0.85).otherwise(1.0)
+    # without types on one side, their Jaccard is 0
+    plain = F.greatest(jaccard("a_in_predicates", "b_in_predicates") * context, jaccard("a_out_predicates", "b_out_predicates"), jaccard("a_types", "b_types"))
+    either = F.when(a.isNull() & b.isNull(), plain).when(F.coalesce(same, F.lit(False)), jaccard("a_inner_predicates", "b_inner_predicates"))
+    return pairs.withColumn("sim", either.otherwise(F.lit(0.0)))
+
+
+def match_signatures(gt: DataFrame, sys: DataFrame, least: float = 0.3) -> DataFrame:
+    """Signatures (pair, variable, ...) paired greedily one to one by likeness of at least ``least``; empty ones take no part."""
+    sets = ["types", "out_predicates", "in_predicates", "inner_predicates", "subject_context"]
+    full = lambda df, c: df.where(F.col("agg").isNotNull() | (F.size("types") + F.size("out_predicates") + F.size("in_predicates") > 0)).select("pair", *(F.col(x).alias(f"{c}_{x}") for x in ("variable", "agg", *sets)))
+    both = signature_sim(full(gt, "a").join(full(sys, "b"), "pair")).where(F.col("sim") >= least)
+    return pair_columns(both.select("pair", F.col("a_variable").alias("gt_col"), F.col("b_variable").alias("sys_col"), F.col("sim").alias("overlap"))).withColumnRenamed("overlap", "sim")
 
 
 def retrieval_truth(patterns: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from graphloom.functions.text import is_float
+
 
 def read_csv_loose(spark: SparkSession, path: str) -> DataFrame:
     """Comma or, if the header has none, semicolon; clean column names; blank cells are null; short rows are padded."""
@@ -20,15 +22,26 @@ def read_csv_loose(spark: SparkSession, path: str) -> DataFrame:
 
 
 def infer_types(df: DataFrame, sample: int = 1000, most: int = 100) -> DataFrame:
-    """(col, type, max_len) from up to ``most`` non-blank values of a sample: INT, DECIMAL(15,6), VARCHAR(n) or TEXT."""
-    cells = df.limit(sample).select(*(F.col(c).cast("string").alias(c) for c in df.columns)).unpivot([], df.columns, "col", "value").where("trim(value) <> ''")
-    from pyspark.sql import Window
-
-    few = cells.withColumn("r", F.row_number().over(Window.partitionBy("col").orderBy("value"))).where(F.col("r") <= most)
-    whole, number = F.col("value").rlike(r"^\s*[+-]?\d+\s*$"), F.col("value").try_cast("double").isNotNull()
-    t = few.groupBy("col").agg(F.bool_and(whole).alias("i"), F.bool_and(number).alias("d"), F.max(F.length("value")).alias("max_len"))
-    kind = F.when(F.col("i"), "INT").when(F.col("d"), "DECIMAL(15,6)").when(F.col("max_len") <= 255, F.concat(F.lit("VARCHAR("), F.col("max_len").cast("string"), F.lit(")"))).otherwise("TEXT")
-    return t.select("col", kind.alias("type"), "max_len")
+    """(col, type, max_len) by each column's first values that aren't blank, in row order.
+
+    INT or DECIMAL(15,6) if its first ``most`` are; else VARCHAR of twice the longest of the first ``sample`` (255 at
+    most), TEXT beyond 255 characters and for columns without values.
+    """
+    columns = spark_names(df)
+    cells = df.select(F.monotonically_increasing_id().alias("_row"), *(F.col(f"`{c}`").cast("string").alias(n) for c, n in columns.items())).unpivot(["_row"], list(columns.values()), "col", "value")
+    first = cells.where(F.trim(F.regexp_replace("value", r"\s", " ")) != "").withColumn("r", F.row_number().over(Window.partitionBy("col").orderBy("_row"))).where(F.col("r") <= sample)
+    whole, number = F.col("value").rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), is_float(F.col("value"))
+    early = F.col("r") <= most
+    t = first.groupBy("col").agg(F.bool_and(whole | ~early).alias("i"), F.bool_and(number | ~early).alias("d"), F.max(F.length("value")).alias("max_len"))
+    names = df.sparkSession.createDataFrame([(n, c) for c, n in columns.items()], "col string, name string")  # one row a column
+    varchar = F.concat(F.lit("VARCHAR("), F.least(2 * F.col("max_len"), F.lit(255)).cast("string"), F.lit(")"))
+    kind = F.when(F.col("i"), "INT").when(F.col("d"), "DECIMAL(15,6)").when(F.col("max_len") <= 255, varchar).otherwise("TEXT")
+    return names.join(t, "col", "left").select(F.col("name").alias("col"), kind.alias("type"), F.coalesce("max_len", F.lit(0)).alias("max_len"))
+
+
+def spark_names(df: DataFrame) -> dict[str, str]:
+    """A plain name for each column."""
+    return {c: f"c{i}" for i, c in enumerate(df.columns)}
 
 
 def sample_tables(tables: dict[str, DataFrame], n: int = 100) -> dict[str, DataFrame]:

@@ -82,17 +82,55 @@ def agent_times(intervals: DataFrame) -> DataFrame:
 
 
 def delegations(events: DataFrame) -> DataFrame:
-    """T5: each delegation to an agent with its end and whether the reason names success."""
+    """T5: each delegation (from_agent to agent, with a reason) at its end: how long it took, and whether the end's reason names success.
+
+    A second start to the same agent replaces an open one; an end without a start is nothing.
+    """
     w = Window.partitionBy("run_id", "agent").orderBy("ts", "event_id")
-    t = events.where(F.col("event_type").isin("delegate", "delegate_end")).withColumn("end_ts", F.lead("ts").over(w)).withColumn("why", F.lead("reason").over(w))
-    return t.where("event_type = 'delegate'").select("run_id", "agent", F.col("ts").alias("start_ts"), "end_ts", F.coalesce(F.col("why").rlike("(?i)success|complete"), F.lit(False)).alias("success"))
+    t = events.where(F.col("event_type").isin("delegate", "delegate_end"))
+    t = t.select("*", *(F.lag(c).over(w).alias(f"start_{c}") for c in ("event_type", "ts", "from_agent", "reason")))
+    span = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp"))) / 1000
+    ended = t.where("event_type = 'delegate_end' and start_event_type = 'delegate'")
+    return ended.select("run_id", F.col("start_from_agent").alias("from_agent"), F.col("agent").alias("to_agent"), F.col("start_reason").alias("reason"), span.alias("duration_ms"), F.coalesce(F.contains(F.lower("reason"), F.lit("success")), F.lit(False)).alias("success"))
+
+
+def delegations_stream(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """T5 on a stream: the open delegation to an agent is the state; it is dropped a day after its start."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        open_ = state.get if state.exists else None
+        out = []
+        for row in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
+            if row.event_type == "delegate":
+                open_ = (row.from_agent, row.reason, row.ts.timestamp() * 1000)
+            elif open_ is not None:
+                out.append((key[0], open_[0], key[1], open_[1], row.ts.timestamp() * 1000 - open_[2], "success" in (row.reason or "").lower()))
+                open_ = None
+        if open_ is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(open_)
+            state.setTimeoutTimestamp(max(int(open_[2]) + 86_400_000, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "from_agent", "to_agent", "reason", "duration_ms", "success"])
+
+    own = events.where(F.col("event_type").isin("delegate", "delegate_end")).withWatermark("ts", lateness)
+    kind = events.schema["run_id"].dataType.simpleString()
+    return own.groupBy("run_id", "agent").applyInPandasWithState(step, f"run_id {kind}, from_agent string, to_agent string, reason string, duration_ms double, success boolean", "from_agent string, reason string, start_ms double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tool_usage_by_agent(calls: DataFrame) -> DataFrame:
-    """Calls (run_id, agent, tool, duration_ms, success, size): counts, times, success and useful shares."""
+    """Calls (run_id, agent, tool, duration_ms, success, results, useful): counts, times, success rate, results, useful ones and the tool's category; on a stream in update mode."""
     from graphloom.functions.text import tool_category
 
-    t = calls.groupBy("run_id", "agent", "tool").agg(F.count(F.lit(1)).alias("calls"), F.sum("duration_ms").alias("total_ms"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.count_if(F.col("size") > 150).alias("useful"))
+    d, n = F.col("duration_ms"), F.count(F.lit(1))
+    ok = F.count_if(F.coalesce("success", F.lit(False)))
+    times = [F.sum(d).alias("total_ms"), F.avg(d).alias("mean_ms"), F.min(d).alias("low_ms"), F.max(d).alias("high_ms")]
+    t = calls.groupBy("run_id", "agent", "tool").agg(n.alias("calls"), *times, ok.alias("ok"), (n - ok).alias("errors"), (ok / n).alias("success_rate"), F.sum("results").alias("results"), F.avg("results").alias("mean_results"), F.count_if(F.coalesce("useful", F.lit(False))).alias("useful"))
     return t.withColumn("category", tool_category(F.col("tool")))
 
 

@@ -74,6 +74,8 @@ def test_prefix_and_topn(spark):
     sys = spark.createDataFrame([(1, ["a"]), (1, ["c"])], "pair int, row array<string>")
     assert scoring.score_prefix(gt, sys).first()[:4] == (1, 1, 3, False)
     assert scoring.score_prefix(gt, gt.select("pair", "row")).first()["perfect"]
+    assert scoring.score_prefix(gt, gt.where("pos < 3").select("pair", "row")).first()[:4] == (1, 2, 3, True)
+    assert scoring.score_prefix(gt, gt.where("pos > 1").select("pair", "row")).first()[:4] == (1, 0, 3, False)
 
 
 def test_vote_and_agreement(spark):
@@ -92,8 +94,40 @@ def test_texts(spark):
     q = spark.createDataFrame([("SELECT ?x { ?x a ?y } ORDER BY DESC(?n) LIMIT 5",)], "query string")
     assert q.select(text.ranked(F.col("query")).alias("r")).first()["r"] == ("n", "desc", 5)
     assert text.query_features(q).first()["limit"] and text.query_features(q).first()["ordered"]
-    assert spark.range(1).select(text.error_class(F.lit("Read timed out"))).first()[0] == "timeout"
-
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(text.error_class(F.lit("Read Timeout"))) == "TIMEOUT" and one(text.error_class(F.lit(None).cast("string"))) == "UNKNOWN"
+    assert [one(text.norm_number(F.lit(x))) for x in (" ABC ", "0.00", "-0.0", "1E3", "+007", ".5", "5.", "1e-3", "-Inf", "")] == ["abc", "0", "-0", "1000", "7", "0.5", "5", "0.001", "-infinity", ""]
+    assert one(text.mask_literals(F.lit('a 5 ; b 2.5 , c "x"@en , d "1"^^xsd:int .'))) == "a xsd:string ; b xsd:string , c xsd:string , d xsd:string ."
+
+
+def test_kinds_of_columns(spark):
+    """Known answers: plain numbers, exponents, dates, times, years with months, mixed columns."""
+    columns = {
+        "a": ["10", "20", "3.14"], "b": ["-5", "0", "1e10"], "c": ["2020-01-15", "2021-06-30"], "d": ["2020-01-15t10:30:00".upper()], "e": ["00:04:51", "12:30:45"], "f": ["2020", "2021"], "g": ["hello", "world"], "h": ["10", "hello"], "i": ["2020-01-15", "hello"],
+        "j": ["", "  ", "10"], "k": ["2020-01", "2020"], "l": ["2020-02-30"], "m": ["2020-01-15T10:30:00Z"], "n": ["15/01/2020"], "o": [" ", None],
+    }
+    cells = spark.createDataFrame([(c, v) for c, vs in columns.items() for v in vs], "col string, value string")
+    assert dict(map(tuple, text.infer_kind(cells).collect())) == dict(zip("abcdefghijklmn", ["numeric", "numeric", "temporal", "temporal", "temporal", "numeric", "none", "none", "none", "numeric", "temporal", "none", "temporal", "none"], strict=True))
+
+
+def test_signatures(spark):
+    """Known answers: like columns 1, other properties 0, SUM for COUNT by inner predicates, contexts break ties."""
+    kind = terms.RDF_TYPE
+    patterns = [
+        ("1", "?d", kind, "Deposit"), ("1", "?d", "name", "?x"), ("1", "?d", "size", "?n"), ("1", "?c", kind, "Company"), ("1", "?c", "name", "?y"),
+        ("2", "?e", kind, "Deposit"), ("2", "?e", "name", "?x"), ("2", "?e", "size", "?n"), ("2", "?e", "owner", "?c"),
+    ]
+    projections = [("1", "d", None, [], None), ("1", "x", None, [], None), ("1", "y", None, [], None), ("1", "t", "SUM", ["n"], None), ("2", "e", None, [], None), ("2", "x", None, [], None), ("2", "u", "COUNT", ["n"], None), ("2", "w", "AVG", ["n"], "COUNT")]
+    projections = [(q, f"?{v}", a, [f"?{i}" for i in inner], n) for q, v, a, inner, n in projections]
+    got = scoring.signatures(spark.createDataFrame(patterns, "query_id string, s string, p string, o string"), spark.createDataFrame(projections, "query_id string, variable string, agg string, inner array<string>, nested string")).cache()
+    by = {(r["query_id"], r["variable"]): r for r in got.collect()}
+    assert by["1", "?d"]["types"] == ["Deposit"] and by["1", "?d"]["out_predicates"] == ["name", "size"] and by["1", "?x"]["in_predicates"] == ["name"]
+    assert by["1", "?x"]["subject_context"] == ["out:name", "out:size", "type:Deposit"] and by["2", "?w"]["inner_predicates"] == ["_nested_COUNT", "size"]
+    side = lambda q: got.where(F.col("query_id") == q).withColumn("pair", F.lit(1))
+    found = {(r["gt_col"], r["sys_col"]): round(r["sim"], 4) for r in scoring.match_signatures(side("1"), side("2")).collect()}
+    assert found == {("?x", "?x"): round(0.7 + 0.3 * 3 / 4, 4), ("?d", "?e"): 1.0, ("?t", "?u"): 1.0}
+    aggregated = scoring.signature_sim(side("1").select(*(F.col(c).alias(f"a_{c}") for c in got.columns)).crossJoin(side("2").select(*(F.col(c).alias(f"b_{c}") for c in got.columns))).where("a_agg = 'SUM' and b_agg = 'AVG' or a_variable = '?x' and b_agg is not null"))
+    assert {r["sim"] for r in aggregated.collect()} == {0.0}
 
 def test_closure_and_components(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "child string, parent string")
@@ -131,7 +165,7 @@ def test_lsh_takes_all_values(spark, sf_dir):
     grams = {n: {n.lower()[i : i + 3] for i in range(max(1, len(n) - 2))} for n in names}
     got = catalog.queries()["l17_lsh_values"](spark, sf_dir).collect()
     assert {r["keyword"] for r in got} == names
-    assert all(abs(r["jaccard"] - len(grams[r["keyword"]] & grams[r["value"]]) / len(grams[r["keyword"]] | grams[r["value"]])) < 0.05 and r["jaccard"] >= 0.2 for r in got)
+    assert all(abs(r["jaccard"] - len(grams[r["keyword"]] & grams[r["value"]]) / len(grams[r["keyword"]] | grams[r["value"]])) < 0.05 and r["jaccard"] >= 0.01 for r in got)
 
 
 def test_whole_queries_take_more_with_size(spark, sf_dir):
@@ -152,15 +186,15 @@ def test_vector_ties_go_to_the_smaller_item(spark):
 def test_linking(spark):
     parts = linking.keyword_parts(spark.createDataFrame([(1, "a b=c")], "id int, keyword string"))
     assert {r["part"] for r in parts.collect()} == {"a b=c", "a", "b=c", "c"}
-    pairs = spark.createDataFrame([("orders", "order"), ("orderline", "orders"), ("ab", "cd")], "a string, b string")
-    assert [r[0] for r in pairs.select(linking.phrase_score(F.col("a"), F.col("b"))).collect()] == [2, 1, 0]
+    pairs = spark.createDataFrame([("cities", "city"), ("total drill depth greater than", "totalDrillDepth"), ("operated", "activeDepositOperator"), ("order", "orderline"), ("ab", "cd"), ("pass", "pas")], "a string, b string")
+    assert [r[0] for r in pairs.select(linking.phrase_score(F.col("a"), F.col("b"))).collect()] == [2, 1, 1, 1, 0, 2]
     q = spark.createDataFrame([(1, "Which ports are in Rotterdam today")], "question_id int, question string")
     best = linking.mention_sim(q, spark.createDataFrame([(1, "Roterdam")], "question_id int, literal string")).first()
     assert best["window"] == "rotterdam" and best["same_prefix"] is False or best["sim"] > 0.9
 
 
 def test_analytics(spark):
-    r = spark.createDataFrame([("q_SYN1", "m", 1.0), ("q", "m", 0.25)], "question_id string, model string, f1 double")
+    r = spark.createDataFrame([("SYN01", "m", 1.0), ("BASE01", "m", 0.25), ("UND01", "m", 0.5)], "question_id string, model string, f1 double")
     assert analytics.deltas(r, analytics.baseline_of(r), "f1").first()["delta"] == 0.75
     s = spark.createDataFrame([("a", "q1", 1.0)], "c string, question_id string, f1 double")
     assert analytics.cell_stats(s, ["c"], "f1").first()["se"] == 0.0
@@ -178,7 +212,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a b;c-d\n1; \n2;x\n")
     df = files.read_csv_loose(spark, str(tmp_path / "a.csv"))
     assert df.columns == ["a_b", "c_d"] and rows(df.select("c_d").where("c_d is null")) == [(None,)]
-    assert dict(r[:2] for r in files.infer_types(df).collect()) == {"a_b": "INT", "c_d": "VARCHAR(1)"}
+    assert dict(r[:2] for r in files.infer_types(df).collect()) == {"a_b": "INT", "c_d": "VARCHAR(2)"}
+    late = spark.createDataFrame([(str(i) if i < 150 else "zeta", None) for i in range(151)], "v string, w string").coalesce(1)
+    assert sorted(map(tuple, files.infer_types(late).collect())) == [("v", "INT", 4), ("w", "TEXT", 0)]
     runs = tmp_path / "runs"
     runs.mkdir()
     (runs / "1.json").write_text(json.dumps({"run_id": "r", "question_id": "q"}))
@@ -210,5 +246,11 @@ def test_streams(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert q.exception() is None
+    hand = [(1, "r", "2024-01-01 00:00:00", "delegate", "x", "m", "why"), (2, "r", "2024-01-01 00:00:02", "delegate", "x", "n", "again"), (3, "r", "2024-01-01 00:00:05", "delegate_end", "x", None, "SUCCESS"), (4, "r", "2024-01-01 00:00:06", "delegate_end", "x", None, "success"), (5, "r", "2024-01-01 00:00:07", "delegate", "y", "m", None)]
+    handed = spark.createDataFrame(hand, "event_id long, run_id string, ts string, event_type string, agent string, from_agent string, reason string").withColumn("ts", F.to_timestamp("ts"))
+    handed.write.parquet(str(tmp_path / "hand"))
+    q = traces.delegations_stream(spark.readStream.schema(handed.schema).parquet(str(tmp_path / "hand"))).writeStream.format("memory").queryName("handed").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert rows(spark.table("handed")) == rows(traces.delegations(handed)) == [("r", "n", "x", "again", 3000.0, True)]
     got = {r["phase"]: r["duration_ms"] for r in spark.table("phases").collect()}
     assert got == {"plan": 5000.0, "act": 4000.0}
