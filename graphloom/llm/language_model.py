@@ -7,9 +7,9 @@ over all classes and sent whole to each class's part, so the bigram level covers
 occurrences. A part counts its training trigrams, writes its trie to memory-mapped files
 and answers all texts' trigrams from it.
 
-Every word is a word of its own. Frequent words have ids that are broadcast; the others
-travel as hashes beside each block and get ids within a part. Their counts are joined at
-the end: a probability is a + b * share(w), and the parts answer a and b for a rare w.
+Every word is a word of its own. Frequent words have ids by rank that are broadcast; the others
+travel as hashes beside each block and get ids within a part. A probability is a + b * share(w):
+for a rare w the parts send a and b on to where its count is, and the sums go back to the texts' block.
 
 Levels of a part: contexts v; their successors w with the bigram's log10
 probability; their left words u with the weight of backing off; and under each (u, v) its
@@ -25,6 +25,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +34,20 @@ from graphloom.llm.common import crc_bucket, cut, small
 from graphloom.llm.words import mix, text_slices, word_hashes
 
 #: Words with broadcast ids below RARE; all others are hashes from RARE on, and ids from RARE on within a block or part.
-TOP_WORDS = 1 << 18
+TOP_WORDS = 1 << 19
 RARE = 1 << 20
 END, OTHER, BEGIN = RARE - 3, RARE - 2, RARE - 1
 #: Bits of an id in the keys of blocks and parts, and ids of rare words that a part may have.
 ID_BITS = 21
+ID_MASK = np.uint64((1 << ID_BITS) - 1)
 RARE_IDS = (1 << ID_BITS) - RARE
 #: Codes are log10 probabilities in steps of 1/4096.
 STEP = 4096
 DISCOUNT = 0.75
-#: Tokens gathered before rows are sent, and tokens that a part has on average.
-BLOCK_TOKENS, PART_TOKENS = 1 << 20, 1 << 21
+#: Tokens gathered before rows are sent, tokens that a part has on average, and fewer for the sake of parallel tasks.
+BLOCK_TOKENS, PART_TOKENS, LEAST_TOKENS = 1 << 20, 1 << 20, 1 << 17
+#: Spark partitions that parts are dealt to at most; a task takes its parts one after the other.
+PARTITIONS = 1 << 14
 #: Compressed blocks that a part's task keeps in memory.
 KEPT_BYTES = 48 << 20
 
@@ -113,12 +118,16 @@ class EliasFano:
         top = np.uint64(max(0, len(self.high) * 64 - self.n - 1))
         start, end = self.before(np.minimum(high, top)), self.before(np.minimum(high, top) + np.uint64(1))
         end = np.minimum(end, self.n)
-        begin, stop = start.copy(), end.copy()
-        while (open_ := begin < stop).any():
-            middle = (begin + stop) // 2
-            less = open_ & (self.lows(np.minimum(middle, max(0, self.n - 1))) < low)
-            begin = np.where(less, middle + 1, begin)
-            stop = np.where(open_ & ~less, middle, stop)
+        begin, open_ = start.copy(), np.flatnonzero(start < end)
+        first, stop, want = start[open_], end[open_], low[open_]
+        while len(open_):
+            middle = (first + stop) >> 1
+            less = self.lows(middle) < want
+            first, stop = np.where(less, middle + 1, first), np.where(less, stop, middle)
+            done = first >= stop
+            begin[open_[done]] = first[done]
+            rest = ~done
+            open_, first, stop, want = open_[rest], first[rest], stop[rest], want[rest]
         inside = (begin < end) & (high <= top)
         hit = inside & (self.lows(np.minimum(begin, max(0, self.n - 1))) == low)
         return begin, hit
@@ -130,34 +139,43 @@ def code(p: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """One part's model: ``keys`` are u, v, w packed as v << 2 * bits | u << bits | w, ascending, with counts.
+    """One part's model: ``keys`` are u, v, w packed as v << 2 * bits | u << bits | w, with counts.
 
-    ``whole`` has all bigrams v << bits | w, ascending, with counts, of the v whose trigrams are in several
-    parts; ``others`` how many successors of a v (v << bits | OTHER) one bigram in it stands for, none of them
-    ever asked for. Words beyond ``share`` have the share 0 here, so that their probabilities lack the share's term.
+    ``pairs`` has bigrams v << bits | w, ascending, with counts over all parts, of the v whose trigrams are in
+    several parts, and ``contexts`` those v, ascending, with the counts of their tokens and successors. Words beyond
+    ``share`` have the share 0 here, so that their probabilities lack the share's term.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, share: np.ndarray, folder: Path, whole: tuple[np.ndarray, np.ndarray] | None = None, bits: int = 20, others: tuple[np.ndarray, np.ndarray] | None = None):
+    #: Ids are by rank; multiplied by this they lie evenly, as Elias-Fano levels and their searches like it.
+    SPREAD = 0x9E3779B1
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, share: np.ndarray, folder: Path, pairs: tuple[np.ndarray, np.ndarray] | None = None, contexts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, bits: int = 20):
         self.bits, self.low = (BITS, LOW) = np.uint64(bits), np.uint64((1 << bits) - 1)
         self.share_codes = code(share).astype(np.int64)
+        keys = (keys & ~((np.uint64(1) << (BITS + BITS)) - np.uint64(1))) | (self.spread((keys >> BITS) & LOW) << BITS) | self.spread(keys & LOW)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
         bigram = ((keys >> (BITS + BITS)) << BITS) | (keys & LOW)
         two, at = np.unique(bigram, return_inverse=True)
         c2 = np.bincount(at, counts, len(two))
-        if whole is not None and len(whole[0]):
-            own = ~np.isin(two >> BITS, np.unique(whole[0] >> BITS))
-            two, c2 = np.concatenate((two[own], whole[0])), np.concatenate((c2[own], whole[1]))
+        if contexts is not None and len(contexts[0]):
+            known = (pairs[0] & ~LOW) | self.spread(pairs[0] & LOW)
+            own = ~np.isin(two >> BITS, contexts[0])
+            two, c2 = np.concatenate((two[own], known)), np.concatenate((c2[own], pairs[1]))
             order = np.argsort(two)
             two, c2 = two[order], c2[order]
             at = np.searchsorted(two, bigram)
         one, ctx2 = np.unique(two >> BITS, return_inverse=True)
         c1, n1 = np.bincount(ctx2, c2, len(one)), np.bincount(ctx2, minlength=len(one))
         kinds = n1.copy()
-        if others is not None:
-            kinds[np.searchsorted(one, others[0] >> BITS)] += others[1] - 1
+        if contexts is not None and len(contexts[0]):
+            place = np.minimum(np.searchsorted(contexts[0], one), len(contexts[0]) - 1)
+            several = contexts[0][place] == one
+            c1, kinds = np.where(several, contexts[1][place], c1), np.where(several, contexts[2][place], kinds)
         node, under = np.unique(keys >> BITS, return_inverse=True)
         cn, nn = np.bincount(under, counts, len(node)), np.bincount(under, minlength=len(node))
         ctx_n = np.searchsorted(one, node >> BITS)
-        last = (two & LOW).astype(np.int64)
+        last = self.gathered(two & LOW).astype(np.int64)
         p2 = (np.maximum(c2 - DISCOUNT, 0) + DISCOUNT * kinds[ctx2] * np.where(last < len(share), share[np.minimum(last, len(share) - 1)], 0)) / c1[ctx2]
         p3 = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * nn[under] * p2[at]) / cn[under]
         pointer = np.concatenate(([0], np.cumsum(n1))).astype(np.uint64)
@@ -173,6 +191,13 @@ class Trie:
             np.save(folder / f"{name}.code.npy", code(p))
             self.codes[name] = np.load(folder / f"{name}.code.npy", mmap_mode="r")
 
+    def spread(self, ids: np.ndarray) -> np.ndarray:
+        return (ids * np.uint64(self.SPREAD)) & self.low
+
+    def gathered(self, ids: np.ndarray) -> np.ndarray:
+        """The inverse of ``spread``."""
+        return (ids * np.uint64(pow(self.SPREAD, -1, 1 << int(self.bits)))) & self.low
+
     def value(self, name: str, i: np.ndarray, known: np.ndarray) -> np.ndarray:
         """The codes at ``i``, 0 where not ``known``."""
         c = self.codes[name]
@@ -185,24 +210,27 @@ class Trie:
     def terms(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes, whether the pair (v, w) is known, and the codes of backing off to w's share.
 
-        For a w beyond the shares, the code of a known pair lacks w's share times the backing off; that of another is the latter alone.
+        For a w beyond the shares, the code of a known pair lacks w's share times the backing off; that of another is the
+        latter alone. Keys with one v, or one v and u, are best beside each other: a run is looked up once.
         """
         BITS, LOW = self.bits, self.low
-        v, u, w = keys >> (BITS + BITS), (keys >> BITS) & LOW, keys & LOW
         level = self.levels
-        r1, has1 = level["one"].find(v)
-        at = np.where(has1, r1, 0).astype(np.uint64) << BITS
-        r2, has2 = level["two"].find(at | w)
-        has2 &= has1
-        rn, has_n = level["node"].find(at | u)
+        runs, of_run = starts_of(keys >> BITS)
+        ctx, of_ctx = starts_of(keys[runs] >> (BITS + BITS))
+        r1, has1 = level["one"].find(keys[runs[ctx]] >> (BITS + BITS))
+        r1, has1 = np.where(has1, r1, 0)[of_ctx], has1[of_ctx]
+        rn, has_n = level["node"].find((r1.astype(np.uint64) << BITS) | self.spread((keys[runs] >> BITS) & LOW))
         has_n &= has1
+        off, node, first = self.value("one", r1, has1), self.value("node", rn, has_n), self.pointer(r1)
+        r1, has1, rn, has_n, off, node, first = (x[of_run] for x in (r1, has1, rn, has_n, off, node, first))
+        w = keys & LOW
+        r2, has2 = level["two"].find((r1.astype(np.uint64) << BITS) | self.spread(w))
+        has2 &= has1
         # w as a position among v's successors
-        first = self.pointer(np.where(has1, r1, 0))
         place = np.where(has2, r2 - first, 0).astype(np.uint64)
         r3, has3 = level["three"].find(np.where(has_n, rn, 0).astype(np.uint64) * np.uint64(self.width) + place)
         has3 &= has2 & has_n
         last, most = w.astype(np.int64), len(self.share_codes)
-        off, node = self.value("one", r1, has1), self.value("node", rn, has_n)
         lower = np.where(has2, self.value("two", r2, has2), off + np.where(last < most, self.share_codes[np.minimum(last, most - 1)], 0))
         return np.where(has3, self.value("three", r3, has3), node + lower), has2, node + off
 
@@ -222,20 +250,64 @@ class Trie:
         return ((high << np.uint64(ef.bits)) | ef.lows(r)).astype(np.int64)
 
 
-def packed(keys: np.ndarray) -> bytes:
-    """Ascending keys as differences, byte by byte (the upper bytes are mostly 0)."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+def starts_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and each value's run."""
+    fresh = np.append(True, x[1:] != x[:-1])[: len(x)]
+    return np.flatnonzero(fresh), np.cumsum(fresh) - 1
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as planes of bytes (of small numbers the upper ones are 0), compressed."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(x) for x in arrays], "<u4").tobytes(), *planes]))
+
+
+def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    data = zstandard.decompress(data)
+    out, at = [], 4 * len(kinds)
+    for n, kind in zip(np.frombuffer(data, "<u4", len(kinds)), kinds, strict=True):
+        size = int(n) * np.dtype(kind).itemsize
+        rows = np.frombuffer(data, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(rows.T).view(kind).ravel())
+        at += size
+    return out
+
+
+def gaps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def columns_of(keys: np.ndarray, places: int) -> list[np.ndarray]:
+    """The ids of ascending keys, each as the difference to the one before under the same ids."""
+    out, fresh = [], np.zeros(len(keys), bool)
+    fresh[:1] = True
+    for shift in range((places - 1) * ID_BITS, -1, -ID_BITS):
+        x = ((keys >> np.uint64(shift)) & ID_MASK).astype(np.int64)
+        step = np.where(fresh, x, gaps(x))
+        out.append(step.astype("<u4"))
+        fresh = fresh | (gaps(x) != 0)
+    return out
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    rows = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(rows.T).view(np.uint64).ravel(), dtype=np.uint64)
+def keys_of(columns: list[np.ndarray]) -> np.ndarray:
+    keys, fresh = np.zeros(len(columns[0]), np.uint64), np.zeros(len(columns[0]), bool)
+    fresh[:1] = True
+    for step in columns:
+        total = np.cumsum(step, dtype=np.int64)
+        start = np.flatnonzero(fresh)
+        x = total - np.repeat((total - step)[start], np.diff(np.append(start, len(step))))
+        keys = (keys << np.uint64(ID_BITS)) | x.astype(np.uint64)
+        fresh = fresh | (gaps(x) != 0)
+    return keys
 
 
 def localized(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens with ids from RARE on in place of hashes, and the hashes, ascending."""
-    own = np.unique(tokens[tokens >= RARE])
-    return np.where(tokens >= RARE, np.searchsorted(own, tokens).astype(np.uint64) + np.uint64(RARE), tokens), own
+    rare = tokens >= RARE
+    own, at = np.unique(tokens[rare], return_inverse=True)
+    out = tokens.copy()
+    out[rare] = at.astype(np.uint64) + np.uint64(RARE)
+    return out, own
 
 
 def renamed(keys: np.ndarray, ids: np.ndarray, places: int) -> np.ndarray:
@@ -244,7 +316,7 @@ def renamed(keys: np.ndarray, ids: np.ndarray, places: int) -> np.ndarray:
         return keys
     out = np.zeros(len(keys), np.uint64)
     for shift in range(0, places * ID_BITS, ID_BITS):
-        x = (keys >> np.uint64(shift)) & np.uint64((1 << ID_BITS) - 1)
+        x = (keys >> np.uint64(shift)) & ID_MASK
         rare = x >= RARE
         x[rare] = ids[(x[rare] - np.uint64(RARE)).astype(np.int64)]
         out |= x << np.uint64(shift)
@@ -253,11 +325,12 @@ def renamed(keys: np.ndarray, ids: np.ndarray, places: int) -> np.ndarray:
 
 def tightened(keys: np.ndarray, own: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending keys with only the hashes that they use; they stay ascending."""
-    used = np.zeros(len(own), bool)
-    for shift in range(0, places * ID_BITS, ID_BITS):
-        x = (keys >> np.uint64(shift)) & np.uint64((1 << ID_BITS) - 1)
-        used[(x[x >= RARE] - np.uint64(RARE)).astype(np.int64)] = True
-    ids = (np.cumsum(used) - 1 + RARE).astype(np.uint64)
+    rare = np.concatenate([x[x >= RARE] for x in ((keys >> np.uint64(shift)) & ID_MASK for shift in range(0, places * ID_BITS, ID_BITS))])
+    used = np.unique((rare - np.uint64(RARE)).astype(np.int64))
+    if not len(used):
+        return keys, own[:0]
+    ids = np.zeros(int(used[-1]) + 1, np.uint64)
+    ids[used] = np.arange(len(used), dtype=np.uint64) + np.uint64(RARE)
     return renamed(keys, ids, places), own[used]
 
 
@@ -267,23 +340,24 @@ class RareWords:
     def __init__(self):
         self.hashes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
-    def known(self, own: np.ndarray) -> np.ndarray:
-        """Ids of ascending distinct hashes, OTHER for unknown ones."""
-        if not len(self.hashes):
-            return np.full(len(own), OTHER, np.uint64)
-        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == own, self.ids[at], np.uint64(OTHER))
-
     def of(self, own: np.ndarray) -> np.ndarray:
         """Ids of ascending distinct hashes; unknown ones are added."""
-        at, fresh = np.searchsorted(self.hashes, own), self.known(own) == OTHER
+        at = np.searchsorted(self.hashes, own)
+        fresh = self.hashes[np.minimum(at, len(self.hashes) - 1)] != own if len(self.hashes) else np.ones(len(own), bool)
         if fresh.any():
             n = len(self.hashes) + int(fresh.sum())
             if n > RARE_IDS:
                 raise ValueError(f"more than {RARE_IDS} rare words in one part: lower part_tokens")
             self.ids = np.insert(self.ids, at[fresh], np.arange(len(self.hashes), n).astype(np.uint64) + np.uint64(RARE))
             self.hashes = np.insert(self.hashes, at[fresh], own[fresh])
-        return self.ids[np.searchsorted(self.hashes, own)]
+            at = np.searchsorted(self.hashes, own)
+        return self.ids[at]
+
+    def words(self) -> np.ndarray:
+        """The hashes by id."""
+        out = np.zeros(len(self.ids), np.uint64)
+        out[(self.ids - np.uint64(RARE)).astype(np.int64)] = self.hashes
+        return out
 
 
 def hashes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,34 +366,39 @@ def hashes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return row, np.maximum(h, np.uint64(RARE))
 
 
-def block_of(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, ...]:
-    """keys, times, text of each occurrence, whether a text is learnt from, and the texts' names."""
-    get = lambda name, kind: np.frombuffer(batch.column(name)[r].as_buffer(), kind)
-    times = get("times", "<u4").astype(np.int64)
-    texts = get("texts", np.uint8)
-    texts = texts.view("<u2" if len(texts) == 2 * int(times.sum()) else "<u4").astype(np.int64)
-    return unpacked(batch.column("keys")[r].as_py()), times, texts, get("train", bool), get("names", np.int64)
-
-
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, with their counts."""
     keys, counts = np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in parts)]), np.concatenate([np.zeros(0, np.int64), *(x[1] for x in parts)])
-    own, at = np.unique(keys, return_inverse=True)
-    return own, np.bincount(at, counts, len(own)).astype(np.int64)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    start, _ = starts_of(keys)
+    return keys[start], np.add.reduceat(counts, start) if len(start) else counts
+
+
+def by_number(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number with its positions, which keep their order."""
+    small = len(numbers) and int(numbers.max()) < 1 << 16
+    order = np.argsort(numbers.astype(np.uint16) if small else numbers, kind="stable")
+    own = numbers[order]
+    start, _ = starts_of(own)
+    for a, b in zip(start, np.append(start, len(own))[1:], strict=True):
+        yield int(own[a]), order[a:b]
 
 
 def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int = PART_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows whose crc32(id as text) mod 10 is not 0 (null id: held out) and scores
-    all. Null and empty texts are the end token alone. Repeated rows stay; they count each.
-    Without training rows every count is 0. Broadcast: at most ``top_words`` words and
-    their counts, as an encoding; the scores do not depend on it. Rarer words' counts are joined by
-    a shuffle. Words are 64-bit hashes.
+    all. Null and empty texts are the end token alone. Repeated rows stay; they count each. Other
+    columns are ignored. Without training rows every count is 0; an empty table gives no rows. Broadcast: at most
+    ``top_words`` words with their counts and numbers of successors, as an encoding; the scores do not depend on it. Rarer
+    words' counts are met in a shuffle. Words are 64-bit hashes. A repeated task must find its rows in the same
+    order, as rows read from files are.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("held_out", crc_bucket(F.col("id"), 10) == 0).withColumn("key", F.xxhash64("id", "text"))
+    rows = rows.withColumn("held_out", crc_bucket(F.col("id"), 10) == 0)
+    id_kind = rows.schema["id"].dataType.simpleString()
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[np.ndarray] = []
@@ -348,287 +427,337 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
     is_top = F.col("n") >= (1 << least)
     table = counts.where(is_top).toArrow()  # at most top_words rows
     words, freq = table["word"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    rank = np.lexsort((words, -freq))
+    words, freq = words[rank], freq[rank]
     order = np.argsort(words)
-    words, freq = words[order], freq[order]
     norm = total + 0.1 * (types + 1)
     # a rare word is in up to three trigrams: a quarter of a part's ids on average
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_tokens), -(-12 * int(n_words - freq.sum()) // RARE_IDS))
-    shared = spark.sparkContext.broadcast((words, freq))
+    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // LEAST_TOKENS)), -(-total // part_tokens), -(-12 * int(n_words - freq.sum()) // RARE_IDS), 1)
+    tasks = min(parts, PARTITIONS)
+    shared = spark.sparkContext.broadcast((words[order], order.astype(np.uint32), freq))
 
     def shares() -> np.ndarray:
         """The unigram share of every id."""
         p = np.zeros(RARE)
-        p[: len(shared.value[1])] = (shared.value[1] + 0.1) / norm
+        p[: len(shared.value[2])] = (shared.value[2] + 0.1) / norm
         p[END] = ((n_docs + 0.1) if n_docs else 0.1) / norm
         return p
 
     def ids_of(h: np.ndarray) -> np.ndarray:
         """Ids of frequent words, the hashes of others."""
-        known = shared.value[0]
+        known, ids, _ = shared.value
         if not len(known):
             return h
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        return np.where(known[at] == h, at.astype(np.uint64), h)
+        return np.where(known[at] == h, ids[at].astype(np.uint64), h)
 
     def classes_of() -> np.ndarray:
         """The number of classes that each id's left words are dealt by; the last is for all rare words."""
         freq_all = np.zeros(RARE + 1, np.int64)
-        freq_all[: len(shared.value[1])] = shared.value[1]
-        return np.maximum(1, -(-2 * parts * freq_all // max(1, total))).astype(np.uint64)
+        freq_all[: len(shared.value[2])] = shared.value[2]
+        return np.maximum(1, -(-2 * parts * freq_all // max(1, total))).astype(np.uint32)
 
     def part_of(v: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        return (mix(v * np.uint64(4099) + kind) % np.uint64(parts)).astype(np.int64)
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of every text: tokens, frequent ones, the base score without rare words, and the first token's code or rare word.
+        return (mix(v * np.uint64(4099) + kind) % np.uint64(parts)).astype(np.uint32)
 
-        Rows with a part instead hold counts of the training pairs (v, w) of words v with several classes.
-        """
-        share, split = shares(), classes_of() > 1
-        log_share, codes = np.log10(np.maximum(share, 1e-300)), code(share).astype(np.int64)
-        gathered: list[tuple[np.ndarray, np.ndarray]] = []
-        most = 4 * BLOCK_TOKENS
+    class Flow:
+        """Texts as one flow of tokens, each text closed by END: gathered over batches, taken in blocks."""
 
-        words_seen = RareWords()
+        def __init__(self):
+            self.held, self.size, self.block = [], 0, TaskContext.get().partitionId() << 32
 
-        def pairs() -> Iterator[pa.RecordBatch]:
-            nonlocal words_seen
-            own, times = summed(gathered)
-            gathered.clear()
-            # ids by ascending hash
-            rare, ids = words_seen.hashes, np.zeros(len(words_seen.ids), np.uint64)
-            ids[(words_seen.ids - np.uint64(RARE)).astype(np.int64)] = np.arange(len(ids), dtype=np.uint64) + np.uint64(RARE)
-            words_seen = RareWords()
-            own = renamed(own, ids, 2)
-            v, w = own >> np.uint64(ID_BITS), own & np.uint64((1 << ID_BITS) - 1)
-            far = w >= RARE
-            w[far] = rare[(w[far] - np.uint64(RARE)).astype(np.int64)]
-            part = (mix(v * np.uint64(4099) + mix(w)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((own, part))
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(edges)):
-                at = order[edges[p] : edges[p + 1]]
-                k, used = tightened(own[at], rare, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.nulls(1, x) for x in kinds), pa.array([int(p)], pa.int64()), *(pa.array([x], pa.binary()) for x in (packed(k), times[at].astype("<u4").tobytes(), used.tobytes()))],
-                    [*names, "part", "keys", "times", "rare"],
-                )
-
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-        names = ["key", "n_tokens", "n_top", "base_top", "first_code", "first_word"]
-        for batch in batches:
+        def add(self, batch: pa.RecordBatch) -> Iterator[tuple]:
             train = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for first, data, offsets in text_slices(batch.column(1)):
                 n = len(offsets) - 1
                 row, h = hashes_of(data, offsets)
-                t = ids_of(h)
-                count = np.bincount(row, minlength=n)
-                top = t < RARE
-                base = np.bincount(row[top], log_share[t[top].astype(np.int64)], n) + log_share[END]
-                start = np.full(n, END, np.uint64)
-                fresh = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
-                start[row[fresh]] = t[fresh]
-                after = np.append(t[1:], np.uint64(END))[: len(t)]
-                after[np.append(row[1:] != row[:-1], True)[: len(row)]] = END
-                taken = np.flatnonzero(split[np.minimum(t, np.uint64(RARE)).astype(np.int64)] & train[first + row])
-                for some in np.split(taken, np.arange(RARE_IDS // 2, len(taken), RARE_IDS // 2)):
-                    if len(words_seen.hashes) > RARE_IDS // 2:
-                        yield from pairs()
-                    w, own = localized(after[some])
-                    gathered.append(summed([(renamed((t[some] << np.uint64(ID_BITS)) | w, words_seen.of(own), 2), np.ones(len(some), np.int64))]))
-                    if sum(len(x[0]) for x in gathered) >= most:
-                        gathered[:] = [summed(gathered)]
-                        if len(gathered[0][0]) >= most // 2:
-                            yield from pairs()
-                rare = start >= RARE
-                start_code = np.where(rare, 0, codes[np.minimum(start, np.uint64(END)).astype(np.int64)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array(count + 1), pa.array(np.bincount(row[top], minlength=n) + int(n_docs > 0)), pa.array(base), pa.array(start_code), pa.array(start.view(np.int64), mask=~rare), pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.binary())] * 3],
-                    [*names, "part", "keys", "times", "rare"],
-                )
-        yield from pairs()
-
-    def whole_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds up the pairs and sends those of each v to the parts of all its classes, as blocks without texts."""
-        gathered, most, words_seen = [], 4 * BLOCK_TOKENS, RareWords()
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ids = words_seen.of(np.frombuffer(batch.column("rare")[r].as_buffer(), np.uint64))
-                gathered.append((renamed(unpacked(batch.column("keys")[r].as_py()), ids, 2), np.frombuffer(batch.column("times")[r].as_buffer(), "<u4").astype(np.int64)))
-            if sum(len(x[0]) for x in gathered) > most:
-                gathered = [summed(gathered)]
-                most = max(most, 2 * len(gathered[0][0]))
-        if not gathered:
-            return
-        keys, times = summed(gathered)
-        # ids by ascending hash
-        rare, ids = words_seen.hashes, np.zeros(len(words_seen.ids), np.uint64)
-        ids[(words_seen.ids - np.uint64(RARE)).astype(np.int64)] = np.arange(len(ids), dtype=np.uint64) + np.uint64(RARE)
-        keys, times = summed([(renamed(keys, ids, 2), times)])
-        classes, own = classes_of(), np.unique(keys >> np.uint64(ID_BITS))
-        n = classes[own.astype(np.int64)].astype(np.int64)
-        owner = np.repeat(np.arange(len(own)), n)
-        kind = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        sent = np.unique(part_of(own[owner], kind.astype(np.uint64)) * len(own) + owner)
-        first = np.append(np.searchsorted(keys >> np.uint64(ID_BITS), own), len(keys))
-        edges = np.flatnonzero(np.append(True, np.diff(sent // len(own)) > 0))
-        for group in np.split(sent, edges[1:]):
-            at = np.concatenate([np.arange(first[i], first[i + 1]) for i in group % len(own)])
-            k, used = tightened(keys[at], rare, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(group[0]) // len(own)], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.binary()) for x in (packed(k), times[at].astype("<u8").tobytes())), pa.nulls(1, pa.binary()), pa.array([used.tobytes()], pa.binary())],
-                ["part", "block", "names", "train", "keys", "times", "texts", "rare"],
-            )
-
-    def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of trigrams by part: keys ascending, how often each, and in which text of the block."""
-        classes = classes_of()
-        held: list[tuple] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            tokens, begins, names, train = (np.concatenate([x[i] for x in held]) for i in (0, 1, 3, 4))
-            text = np.concatenate([x[2] + sum(len(y[3]) for y in held[:i]) for i, x in enumerate(held)])
-            held.clear()
-            # a long text makes several blocks
-            for start in range(0, len(tokens), RARE_IDS - 2):
-                yield from block(tokens, begins, text, names, train, start, start + RARE_IDS - 2)
-
-        def block(tokens: np.ndarray, begins: np.ndarray, text: np.ndarray, names: np.ndarray, train: np.ndarray, start: int, stop: int) -> Iterator[pa.RecordBatch]:
-            """The trigrams that end from ``start`` to ``stop``; the two tokens before them count as well."""
+                ends = np.cumsum(np.bincount(row, minlength=n) + 1)
+                tokens = np.full(int(ends[-1]), END, np.uint64)
+                tokens[np.arange(len(row)) + row] = ids_of(h)
+                self.held.append((tokens, np.diff(ends, prepend=0), batch.column(0).slice(first, n), train[first : first + n]))
+                self.size += len(tokens)
+                if self.size >= BLOCK_TOKENS:
+                    yield self.take()
+
+        def take(self) -> tuple:
+            """The block's number, tokens, lengths of its texts, their ids, whether they are learnt from."""
+            out = self.block, *(np.concatenate([x[i] for x in self.held]) for i in (0, 1)), pa.concat_arrays([x[2] for x in self.held]), np.concatenate([x[3] for x in self.held])
+            self.held, self.size, self.block = [], 0, self.block + 1
+            return out
+
+        def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            for batch in batches:
+                yield from self.add(batch)
+            if self.held:
+                yield self.take()
+
+    def trigrams_of(tokens: np.ndarray, lengths: np.ndarray, classes: np.ndarray) -> Iterator[tuple]:
+        """Pieces of (v, u, w as ids, rare words' hashes, part, position in tokens): what ends within a piece. A long text makes several."""
+        begins = np.zeros(len(tokens), bool)
+        begins[np.cumsum(lengths) - lengths] = True
+        for start in range(0, len(tokens), RARE_IDS - 2):
             low = max(0, start - 2)
-            tokens, begins, text = tokens[low:stop], begins[low:stop], text[low:stop]
-            own, rare = localized(tokens)
-            at = np.arange(start - low, len(tokens))
-            at = at[~begins[at]]
-            second = begins[at - 1]
-            left = lambda x: np.where(second, np.uint64(BEGIN), x[at - 2])
-            v, u = tokens[at - 1], left(tokens)
+            piece, begin = tokens[low : start + RARE_IDS - 2], begins[low : start + RARE_IDS - 2]
+            own, rare = localized(piece)
+            at = np.arange(start - low, len(piece))
+            at = at[~begin[at]]
+            second = begin[at - 1]
+            left = lambda x: np.where(second, np.uint64(BEGIN), x[at - 2])  # noqa: E731, B023
+            v, u = piece[at - 1], left(piece)
             part = part_of(v, mix(u) % classes[np.minimum(v, np.uint64(RARE)).astype(np.int64)])
-            keys = (own[at - 1] << np.uint64(2 * ID_BITS)) | (left(own) << np.uint64(ID_BITS)) | own[at]
-            text = text[at]
-            name = pa.array(names[text[:1]] ^ len(keys), pa.int64())  # any value that the block's rows share
-            order = np.lexsort((keys, part))
-            keys, text, part = keys[order], text[order], part[order]
-            edges = np.searchsorted(part, np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(edges)):
-                k, t = keys[edges[p] : edges[p + 1]], text[edges[p] : edges[p + 1]]
-                used, local = np.unique(t, return_inverse=True)
-                k, times = np.unique(k, return_counts=True)
-                k, words_used = tightened(k, rare, 3)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(p)], pa.int64()), name, *(pa.array([x], pa.binary()) for x in (names[used].tobytes(), train[used].tobytes(), packed(k), times.astype("<u4").tobytes(), local.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), words_used.tobytes()))],
-                    ["part", "block", "names", "train", "keys", "times", "texts", "rare"],
-                )
+            yield own[at - 1], left(own), own[at], rare, part, at + low
 
+    def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of words with several classes: the pairs (v, w), how often they are learnt, and which parts ask for them."""
+        classes = classes_of()
+        for _, tokens, lengths, _, train in Flow().blocks(batches):
+            learnt = np.repeat(train, lengths)
+            for v, _, w, rare, part, at in trigrams_of(tokens, lengths, classes):
+                keep = np.flatnonzero(classes[np.minimum(v, np.uint64(RARE)).astype(np.int64)] > 1)
+                asking, part = np.unique(part[keep], return_inverse=True)
+                key = (((v[keep] << np.uint64(ID_BITS)) | w[keep]) << np.uint64(ID_BITS)) | part.astype(np.uint64)
+                key, times = summed([(key, learnt[at[keep]].astype(np.int64))])
+                pair, part = key >> np.uint64(ID_BITS), asking[(key & ID_MASK).astype(np.int64)]
+                word = pair & ID_MASK
+                far = word >= RARE
+                word[far] = mix(rare[(word[far] - np.uint64(RARE)).astype(np.int64)])
+                to = (mix((pair >> np.uint64(ID_BITS)) * np.uint64(4099) + word) % np.uint64(tasks)).astype(np.uint32)
+                for task, own in by_number(to):
+                    k, used = tightened(pair[own], rare, 2)
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([task], pa.int32()), "data": [pack(*columns_of(k, 2), part[own].astype("<u4"), times[own].astype("<u4"))], "rare": [pack(gaps(used))]})
+
+    def pair_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds up the pairs and sends to each part what it asks for; rows without a part have numbers of successors."""
+        held, words_seen = [], RareWords()
         for batch in batches:
-            names, train = batch.column(0).to_numpy(), ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for first, data, offsets in text_slices(batch.column(1)):
-                n = len(offsets) - 1
-                row, h = hashes_of(data, offsets)
-                # every text's tokens and its end
-                ends = np.cumsum(np.bincount(row, minlength=n) + 1)
-                tokens, owner = np.full(int(ends[-1]), END, np.uint64), np.repeat(np.arange(n), np.diff(ends, prepend=0))
-                tokens[np.arange(len(row)) + row] = ids_of(h)
-                begins = np.zeros(len(tokens), bool)
-                begins[np.concatenate(([0], ends[:-1]))] = True
-                held.append((tokens, begins, owner, names[first : first + n], train[first : first + n]))
-                size += int((~begins).sum())
-                if size >= BLOCK_TOKENS:
-                    yield from flush()
-                    size = 0
-        if held and size:
-            yield from flush()
+            for data, rare in zip(batch.column("data").to_pylist(), batch.column("rare").to_pylist(), strict=True):
+                *columns, part, times = unpack(data, "<u4", "<u4", "<u4", "<u4")
+                held.append((renamed(keys_of(columns), words_seen.of(np.cumsum(unpack(rare, "<u8")[0], dtype=np.uint64)), 2), part, times.astype(np.int64)))
+        if not held:
+            return
+        # ids by ascending hash
+        ids = np.argsort(np.argsort(words_seen.words())).astype(np.uint64) + np.uint64(RARE)
+        rare = words_seen.hashes
+        key, part, times = (np.concatenate([x[i] for x in held]) for i in range(3))
+        held.clear()
+        key = renamed(key, ids, 2)
+        order = np.lexsort((part, key))
+        key, part, times = key[order], part[order], times[order]
+        start, of = starts_of(key)
+        total_of = np.add.reduceat(times, start)
+        # pairs that are only asked for go along, so that each part has all contexts that it meets
+        once = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+        v, n = np.unique(key[start][total_of > 0] >> np.uint64(ID_BITS), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"part": pa.nulls(1, pa.int32()), "data": [pack(v.astype("<u4"), n.astype("<u4"))], "rare": pa.nulls(1, pa.binary())})
+        key, part, times = key[once], part[once], total_of[of][once]
+        for target, own in by_number(part):
+            k, used = tightened(key[own], rare, 2)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([target], pa.int32()), "data": [pack(*columns_of(k, 2), times[own].astype("<u8"))], "rare": [pack(gaps(used))]})
+
+    def successors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                v, n = unpack(data, "<u4", "<u4")
+                yield pa.RecordBatch.from_pydict({"v": v.astype(np.int64), "n": n.astype(np.int64)})
+
+    pair_kind = "part int, data binary, rare binary"
+    pairs = rows.mapInArrow(pair_counts, pair_kind).repartitionById(tasks, F.col("part")).mapInArrow(pair_totals, pair_kind)
+    pairs = cut(pairs)
+    kinds = pairs.where("part IS NULL").select("data").mapInArrow(successors, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).toArrow()  # at most top_words rows
+    order = np.argsort(kinds["v"].to_numpy())
+    split_v, split_n = kinds["v"].to_numpy()[order].astype(np.uint64), kinds["n"].to_numpy()[order]
+    contexts = spark.sparkContext.broadcast((split_v, freq[split_v.astype(np.int64)], split_n))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of trigrams by part: keys ascending, how often each, and in which text of the block; and a row of the texts' own figures."""
+        classes, share = classes_of(), shares()
+        log_share, codes = np.log10(np.maximum(share, 1e-300)), code(share).astype(np.int64)
+        for block, tokens, lengths, ids, train in Flow().blocks(batches):
+            n, owner = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
+            top = tokens < RARE
+            base = np.bincount(owner[top], log_share[tokens[top].astype(np.int64)], n)
+            first = tokens[np.cumsum(lengths) - lengths]
+            rare_first = first >= RARE
+            first_code = np.where(rare_first, 0, codes[np.minimum(first, np.uint64(END)).astype(np.int64)])
+            head = pack(~train, lengths.astype("<i8"), (np.bincount(owner[top], minlength=n) - (n_docs == 0)).astype("<i8"), base, first_code.astype("<i8"), np.where(rare_first, first, np.uint64(0)))
+            yield row(block % parts, block, head=head, ids=ids)
+            learnt = np.packbits(train).tobytes()
+            for v, u, w, rare, part, at in trigrams_of(tokens, lengths, classes):
+                keys, text = (v << np.uint64(2 * ID_BITS)) | (u << np.uint64(ID_BITS)) | w, owner[at]
+                for p, own in by_number(part):
+                    own = own[np.argsort(keys[own])]
+                    k, t = keys[own], text[own].astype("<u4")
+                    start, _ = starts_of(k)
+                    k, used = tightened(k[start], rare, 3)
+                    times = np.diff(np.append(start, len(t))).astype("<u4")
+                    yield row(p, block, pack(*columns_of(k, 3), times, t, np.frombuffer(learnt, np.uint8)), pack(gaps(used)))
+
+    def row(part: int, block: int, data: bytes | None = None, rare: bytes | None = None, head: bytes | None = None, ids: pa.Array | None = None) -> pa.RecordBatch:
+        lists = pa.nulls(1, list_kind) if ids is None else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(list_kind)
+        columns = [pa.array([part], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (data, rare, head)), lists]
+        return pa.RecordBatch.from_arrays(columns, ["part", "block", "data", "rare", "head", "ids"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts a part's training trigrams, then scores all of its blocks, read again from memory or, beyond KEPT_BYTES, a local file."""
-        with tempfile.TemporaryDirectory() as name, tempfile.SpooledTemporaryFile(KEPT_BYTES) as blocks:
-            folder, writer, gathered, most, whole, words_seen = Path(name), None, [], 4 * BLOCK_TOKENS, [], RareWords()
-            for batch in batches:
-                pairs = batch.filter(batch.column("texts").is_null())
-                whole.extend(pairs.select(["keys", "times", "rare"]).to_pylist())
-                batch = batch.filter(batch.column("texts").is_valid())
-                if not batch.num_rows:
-                    continue
-                if writer is None:
-                    writer = pa.ipc.new_stream(blocks, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4"))
-                writer.write_batch(batch)
-                for r in range(batch.num_rows):
-                    k, times, texts, train, _ = block_of(batch, r)
-                    k = renamed(k, words_seen.of(np.frombuffer(batch.column("rare")[r].as_buffer(), np.uint64)), 3)
-                    seen = np.add.reduceat(train[texts].astype(np.int64), np.cumsum(times) - times)
-                    gathered.append((k[seen > 0], seen[seen > 0]))
-                if sum(len(x[0]) for x in gathered) > most:
-                    gathered = [summed(gathered)]
-                    most = max(most, 2 * len(gathered[0][0]))
-            if writer is None:
-                return
-            writer.close()
-            pairs, others = [], []
-            for x in whole:
-                # words that no text of this part has only count
-                k = renamed(unpacked(x["keys"]), words_seen.known(np.frombuffer(x["rare"], np.uint64)), 2)
-                pairs.append(summed([(k, np.frombuffer(x["times"], "<u8").astype(np.int64))]))
-                k = k[(k & np.uint64((1 << ID_BITS) - 1)) == OTHER]
-                others.append((k, np.ones(len(k), np.int64)))
-            whole.clear()
-            trie = Trie(*summed(gathered), shares(), folder, summed(pairs), ID_BITS, summed(others))
-            gathered.clear()
+        """Takes one part after the other: gathers its rows, compressed as they are, in memory or, beyond KEPT_BYTES, in a local file."""
+        now, part = None, None
+        for batch in batches:
+            numbers = batch.column("part").to_numpy()
+            start, _ = starts_of(numbers)
+            for a, b in zip(start, np.append(start, len(numbers))[1:], strict=True):
+                if numbers[a] != now:
+                    if part is not None:
+                        yield from part.answers()
+                    now, part = numbers[a], Part()
+                yield from part.add(batch.slice(a, b - a))
+        if part is not None:
+            yield from part.answers()
+
+    class Part:
+        """One part's rows: counts their training trigrams, then scores them."""
+
+        def __init__(self):
+            self.spool, self.writer = tempfile.SpooledTemporaryFile(KEPT_BYTES), None
+            self.gathered, self.most, self.pairs, self.words = [], 4 * BLOCK_TOKENS, [], RareWords()
+            #: of each rare word met as the last of a trigram: block, text, word and its terms
+            self.rare: list[tuple[np.ndarray, ...]] = []
+
+        def keys(self, data: bytes, rare: bytes, *kinds: str) -> list[np.ndarray]:
+            *columns, _ = got = unpack(data, *kinds)
+            places = 3 if len(kinds) > 3 else 2
+            own = self.words.of(np.cumsum(unpack(rare, "<u8")[0], dtype=np.uint64))
+            return [renamed(keys_of(columns[:places]), own, places), *got[places:]]
+
+        def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for r in range(batch.num_rows):
+                block, data, rare, head = (batch.column(c)[r].as_py() for c in ("block", "data", "rare", "head"))
+                if head is not None:
+                    first = unpack(head, "?", "<i8", "<i8", "<f8", "<i8", "<u8")[-1]
+                    at = np.flatnonzero(first)
+                    self.rare.append((np.full(len(at), block), at, first[at], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)))
+                    yield told(block, head=batch.column("head").slice(r, 1), ids=batch.column("ids").slice(r, 1).cast(list_kind))
+                elif block is None:
+                    self.pairs.append((data, rare))
+                else:
+                    if self.writer is None:
+                        kept = batch.select(["block", "data", "rare"])
+                        self.writer = pa.ipc.new_stream(self.spool, kept.schema)
+                    self.writer.write_batch(batch.select(["block", "data", "rare"]).slice(r, 1))
+                    k, times, text, learnt = self.keys(data, rare, "<u4", "<u4", "<u4", "<u4", "<u4", "u1")
+                    times = times.astype(np.int64)
+                    seen = np.add.reduceat(np.unpackbits(learnt)[text].astype(np.int64), np.cumsum(times) - times)
+                    self.gathered.append((k[seen > 0], seen[seen > 0]))
+                    if sum(len(x[0]) for x in self.gathered) > self.most:
+                        self.gathered = [summed(self.gathered)]
+                        self.most = max(self.most, 2 * len(self.gathered[0][0]))
+
+        def answers(self) -> Iterator[pa.RecordBatch]:
+            if self.writer is not None:
+                self.writer.close()
+                with tempfile.TemporaryDirectory() as name:
+                    yield from self.scores(Path(name))
+            self.spool.close()
+            block, text, word, a, b = (np.concatenate([x[i] for x in self.rare]) if self.rare else np.zeros(0, np.int64) for i in range(5))
+            for dest, own in by_number((mix(word.astype(np.uint64)) % np.uint64(tasks)).astype(np.uint32)):
+                own = own[np.argsort(word[own], kind="stable")]
+                names, at = np.unique(block[own], return_inverse=True)
+                data = pack(gaps(word[own].astype(np.uint64)), at.astype("<u4"), text[own].astype("<u4"), a[own].astype("<u4"), b[own].astype("<u4"), names.astype("<i8"))
+                yield told(None, pa.array([data], pa.binary()), dest=dest)
+
+        def scores(self, folder: Path) -> Iterator[pa.RecordBatch]:
+            pairs = []
+            for data, rare in self.pairs:
+                k, times = self.keys(data, rare, "<u4", "<u4", "<u8")
+                pairs.append((k, times.astype(np.int64)))
+            self.pairs.clear()
+            trie = Trie(*summed(self.gathered), shares(), folder, summed(pairs), contexts.value, ID_BITS)
+            self.gathered.clear()
             pairs.clear()
-            blocks.seek(0)
-            for batch in pa.ipc.open_stream(blocks):
-                for r in range(batch.num_rows):
-                    k, times, texts, _, names = block_of(batch, r)
-                    own = np.frombuffer(batch.column("rare")[r].as_buffer(), np.uint64)
-                    codes, seen, off = trie.terms(renamed(k, words_seen.of(own), 3))
-                    last = (k & np.uint64((1 << ID_BITS) - 1)).astype(np.int64)
-                    rare = last >= RARE
-                    cost = np.bincount(texts, np.repeat(np.where(rare, 0, codes), times).astype(np.float64), len(names))
-                    # of each rare word: its text, itself, and a, b of its probability a + b * share
-                    often = times[rare]
-                    a, b = np.where(seen[rare], 10.0 ** (-codes[rare] / STEP), 0), 10.0 ** (-off[rare] / STEP)
-                    terms = (names[texts[np.repeat(rare, times)]], np.repeat(own[last[rare] - RARE], often), *(np.repeat(x.astype("<f4"), often) for x in (a, b)))
-                    yield pa.RecordBatch.from_arrays([batch.column("block").slice(r, 1), *(pa.array([x.tobytes()], pa.binary()) for x in (names, cost.astype(np.int64), *terms))], ["block", "names", "codes", "keys", "words", "a", "b"])
-
-    def added(answers: pa.Table) -> pa.Table:
-        """The parts' sums of one block's texts, added up, and its rare words."""
-        get = lambda c, kind: np.frombuffer(b"".join(answers[c].to_pylist()), kind)
-        own, at = np.unique(get("names", np.int64), return_inverse=True)
-        total_code = np.bincount(at, get("codes", np.int64).astype(np.float64), len(own)).astype(np.int64)
-        keys = get("keys", np.int64)
-        n, m = len(own), len(keys)
-        return pa.table(
-            {
-                "key": np.concatenate((own, keys)), "code": np.concatenate((total_code, np.zeros(m, np.int64))),
-                "word": pa.array(np.concatenate((own, get("words", np.int64))), mask=np.arange(n + m) < n),
-                "a": np.concatenate((np.zeros(n, np.float32), get("a", "<f4"))), "b": np.concatenate((np.zeros(n, np.float32), get("b", "<f4"))),
-            }
-        )
-
-    totals_kind = "key long, n_tokens long, n_top long, base_top double, first_code long, first_word long, part long, keys binary, times binary, rare binary"
-    both = cut(rows.select("key", "text", "held_out").mapInArrow(totals, totals_kind))
-    texts = both.where("part IS NULL").drop("part", "keys", "times", "rare")
-    dealt_kind = "part long, block long, names binary, train binary, keys binary, times binary, texts binary, rare binary"
-    pairs = both.where("part IS NOT NULL").select("part", "keys", "times", "rare")
-    pairs = pairs.repartitionById(parts, F.col("part").cast("int")).mapInArrow(whole_pairs, dealt_kind)
-    dealt = rows.select("key", "text", "held_out").mapInArrow(trigrams, dealt_kind).unionByName(pairs)
-    answers = dealt.repartitionById(parts, F.col("part").cast("int")).mapInArrow(answer, "block long, names binary, codes binary, keys binary, words binary, a binary, b binary")
-    answers = answers.groupBy("block").applyInArrow(added, "key long, code long, word long, a float, b float")
-    starts = texts.where("first_word IS NOT NULL").select("key", F.lit(0).cast("long").alias("code"), F.col("first_word").alias("word"), F.lit(0.0).cast("float").alias("a"), F.lit(1.0).cast("float").alias("b"))
-    # a text's own row meets no word: it goes by its key
-    rare = counts.where(~is_top).select(F.col("word").alias("at"), "n")
-    codes = answers.unionByName(starts).withColumn("at", F.coalesce("word", "key")).join(rare, "at", "left")
-    n, is_rare = F.coalesce("n", F.lit(0)) + F.lit(0.1), F.col("word").isNotNull()
-    codes = codes.groupBy("key").agg(
-        F.sum("code").alias("code"), F.count(F.when(is_rare, F.col("n"))).alias("known"), F.count("word").alias("n_rare"),
-        F.sum(F.when(is_rare, F.log10(n))).alias("logs"), F.sum(F.when(is_rare, F.log10(F.col("a") + F.col("b") * n / F.lit(float(norm))))).alias("rare_score"),
-    )
-    # equal rows have one key: their sums are shared out
-    each = texts.groupBy("key").agg(*(F.first(x).alias(x) for x in ("n_tokens", "n_top", "base_top", "first_code")), F.count(F.lit(1)).alias("equal"))
-    done = each.join(codes, "key", "left")
-    of = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("equal")
-    base = F.col("base_top") + of("logs") - of("n_rare") * F.lit(float(np.log10(norm)))
-    score = -(F.col("first_code") + of("code")) / F.lit(STEP) + of("rare_score")
-    done = done.select("key", "n_tokens", (F.col("n_top") + of("known")).cast("long").alias("n_known"), base.alias("base_score"), score.alias("score"))
-    out = rows.select("key", F.col("id").alias(id_col), "held_out").join(done, "key")
-    return out.select(id_col, "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+            by_id = self.words.words()
+            self.spool.seek(0)
+            for batch in pa.ipc.open_stream(self.spool):
+                block, data, rare = (batch.column(c)[0].as_py() for c in ("block", "data", "rare"))
+                k, times, text, _ = self.keys(data, rare, "<u4", "<u4", "<u4", "<u4", "<u4", "u1")
+                codes, seen, off = trie.terms(k)
+                last = (k & ID_MASK).astype(np.int64)
+                far = last >= RARE
+                cost = np.bincount(text, np.repeat(np.where(far, 0, codes), times))
+                own = np.flatnonzero(cost)
+                yield told(block, pa.array([pack(gaps(own).astype("<u4"), cost[own].astype("<i8"))], pa.binary()))
+                often = times[far]
+                spots = np.repeat(far, times)
+                word = np.repeat(by_id[last[far] - RARE], often)
+                self.rare.append((np.full(len(word), block), text[spots].astype(np.int64), word, np.repeat(np.where(seen[far], codes[far] + 1, 0), often), np.repeat(off[far], often)))
+
+    def told(block: int | None, data: pa.Array | None = None, head: pa.Array | None = None, ids: pa.Array | None = None, dest: int | None = None) -> pa.RecordBatch:
+        if dest is None:
+            dest = int(mix(np.array([block], np.uint64))[0] % np.uint64(tasks))
+        empty = pa.nulls(1, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([dest], pa.int32()), pa.array([1], pa.int32()), pa.array([block], pa.int64()), empty if data is None else data, empty if head is None else head, pa.nulls(1, list_kind) if ids is None else ids], ["dest", "kind", "block", "data", "head", "ids"])
+
+    def known_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rare words and counts, as they are met."""
+        for batch in batches:
+            word, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for dest, own in by_number((mix(word) % np.uint64(tasks)).astype(np.uint32)):
+                own = own[np.argsort(word[own])]
+                yield pa.RecordBatch.from_pydict({"dest": pa.array([dest], pa.int32()), "kind": pa.array([0], pa.int32()), "block": pa.nulls(1, pa.int64()), "data": [pack(gaps(word[own]), n[own].astype("<u4"))], "head": pa.nulls(1, pa.binary()), "ids": pa.nulls(1, list_kind)})
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rare words meet their counts; a block's sums go back to it, other rows pass."""
+        known, word, count = [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        nothing = pa.nulls(1, pa.binary())
+        for batch in batches:
+            for r in range(batch.num_rows):
+                data = batch.column("data")[r].as_py()
+                if batch.column("kind")[r].as_py() == 0:
+                    known.append(unpack(data, "<u8", "<u4"))
+                    continue
+                if batch.column("block")[r].is_valid:
+                    yield pa.RecordBatch.from_arrays([batch.column("block").slice(r, 1), batch.column("data").slice(r, 1), nothing, batch.column("head").slice(r, 1), batch.column("ids").slice(r, 1).cast(list_kind)], ["block", "data", "rare", "head", "ids"])
+                    continue
+                if known:
+                    word, count = np.concatenate([word, *(np.cumsum(x[0], dtype=np.uint64) for x in known)]), np.concatenate([count, *(x[1].astype(np.int64) for x in known)])
+                    order = np.argsort(word)
+                    word, count = word[order], count[order]
+                    known = []
+                asked, at, text, a, b, names = unpack(data, "<u8", "<u4", "<u4", "<u4", "<u4", "<i8")
+                asked = np.cumsum(asked, dtype=np.uint64)
+                n = np.zeros(len(asked), np.int64)
+                if len(word):
+                    place = np.minimum(np.searchsorted(word, asked), len(word) - 1)
+                    n = np.where(word[place] == asked, count[place], 0)
+                share = (n + 0.1) / norm
+                score = np.log10(np.where(a > 0, 10.0 ** (-(a.astype(np.float64) - 1) / STEP), 0) + 10.0 ** (-b.astype(np.float64) / STEP) * share)
+                for i, own in by_number(at):
+                    texts, spot = np.unique(text[own], return_inverse=True)
+                    total_of = lambda x: np.bincount(spot, x[own], len(texts))  # noqa: E731, B023
+                    sums = pack(texts.astype("<u4"), total_of(n > 0).astype("<i8"), total_of(np.log10(share)), total_of(score))
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i]], pa.int64()), nothing, pa.array([sums], pa.binary()), nothing, pa.nulls(1, list_kind)], ["block", "data", "rare", "head", "ids"])
+
+    def added(told: pa.Table) -> pa.Table:
+        """A block's texts: their own figures and all parts' sums."""
+        heads, ids = (told.filter(told["head"].is_valid()).column(c).combine_chunks() for c in ("head", "ids"))
+        held_out, n_tokens, n_known, base, cost, _ = unpack(heads[0].as_py(), "?", "<i8", "<i8", "<f8", "<i8", "<u8")
+        n_known, base, cost, score = n_known.copy(), base.copy(), cost.copy(), np.zeros(len(cost))
+        for data, rare in zip(told["data"].to_pylist(), told["rare"].to_pylist(), strict=True):
+            if data is not None:
+                text, x = unpack(data, "<u4", "<i8")
+                cost[np.cumsum(text)] += x
+            if rare is not None:
+                text, n, logs, x = unpack(rare, "<u4", "<i8", "<f8", "<f8")
+                n_known[text] += n
+                base[text] += logs
+                score[text] += x
+        return pa.table({"id": ids.flatten(), "held_out": held_out, "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score - cost / STEP})
+
+    list_kind = pa.list_(pa.field("element", rows.select("id").limit(0).toArrow().schema.field("id").type))
+    dealt_kind = f"part int, block long, data binary, rare binary, head binary, ids array<{id_kind}>"
+    answer_kind = f"dest int, kind int, block long, data binary, head binary, ids array<{id_kind}>"
+    sent = pairs.where("part IS NOT NULL").select("part", F.lit(None).cast("long").alias("block"), "data", "rare", F.lit(None).cast("binary").alias("head"), F.lit(None).cast(f"array<{id_kind}>").alias("ids"))
+    dealt = rows.mapInArrow(blocks, dealt_kind).unionByName(sent)
+    # a task has its parts one after the other
+    dealt = dealt.repartitionById(tasks, (F.col("part") % tasks).cast("int")).sortWithinPartitions("part")
+    answers = dealt.mapInArrow(answer, answer_kind).unionByName(counts.where(~is_top).select("word", "n").mapInArrow(known_counts, answer_kind))
+    answers = answers.repartitionById(tasks, F.col("dest")).sortWithinPartitions("kind").mapInArrow(look_up, f"block long, data binary, rare binary, head binary, ids array<{id_kind}>")
+    done = answers.groupBy("block").applyInArrow(added, f"id {id_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return done.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
