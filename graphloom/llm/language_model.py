@@ -48,10 +48,34 @@ DISCOUNT = 0.75
 BLOCK_TOKENS, PART_TOKENS, LEAST_TOKENS = 1 << 20, 1 << 20, 1 << 17
 #: Spark partitions that parts are dealt to at most; a task takes its parts one after the other.
 PARTITIONS = 1 << 14
+#: Rare words that meet their counts in one task.
+PLACE_WORDS = 1 << 17
+#: Trigrams looked up at once.
+ASKED = 1 << 16
 #: Compressed blocks that a part's task keeps in memory.
 KEPT_BYTES = 48 << 20
 
 
+#: The place of the k-th one (column k - 1) of each byte.
+PLACES = np.array([[*(i for i in range(8) if byte >> i & 1), *[0] * 8][:8] for byte in range(256)], np.int8)
+
+
+def place_of_one(bits: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """The place of the want-th one (from 1) of each 64-bit word: its half, quarter and byte, then a table."""
+    place = np.zeros(len(bits), np.uint64)
+    for half in (32, 16, 8):
+        count = np.bitwise_count((bits >> place) & np.uint64((1 << half) - 1))
+        skip = count < want
+        want = want - np.where(skip, count, 0)
+        place += np.where(skip, np.uint64(half), np.uint64(0))
+    byte = ((bits >> place) & np.uint64(255)).astype(np.int64)
+    return place.astype(np.int64) + PLACES[byte, np.minimum(want, 8) - 1]
+
+
+def mapped(path: Path) -> np.ndarray:
+    return np.load(path, mmap_mode="r").view(np.ndarray)
+
+
 class EliasFano:
     """A monotone sequence: low bits packed, high bits in unary, with a count of ones a word."""
 
@@ -83,7 +107,7 @@ class EliasFano:
         parts = []
         for part in ("low", "high", "ones"):
             np.save(folder / f"{name}.{part}.npy", getattr(self, part))
-            parts.append(np.load(folder / f"{name}.{part}.npy", mmap_mode="r"))
+            parts.append(mapped(folder / f"{name}.{part}.npy"))
         return EliasFano(*parts, self.bits, self.n)
 
     def lows(self, i: np.ndarray) -> np.ndarray:
@@ -98,39 +122,34 @@ class EliasFano:
         """How many elements have high parts below ``high``: the ones before the high-th zero."""
         zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
         k = np.minimum(high.astype(np.int64), int(zeros[-1]))
-        # the word that holds the k-th zero (k >= 1), then its place by halving
+        # the word that holds the k-th zero (k >= 1), then its place in it
         word = np.maximum(np.searchsorted(zeros, k, side="left") - 1, 0)
-        want = k - zeros[word]
-        bits = ~self.high[np.minimum(word, len(self.high) - 1)]
-        place = np.zeros(len(k), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            part = (bits >> place.astype(np.uint64)) & np.uint64((1 << half) - 1)
-            count = np.bitwise_count(part).astype(np.int64)
-            skip = count < want
-            want = np.where(skip, want - count, want)
-            place += np.where(skip, half, 0)
+        place = place_of_one(~self.high[np.minimum(word, len(self.high) - 1)], np.maximum(k - zeros[word], 1))
         return np.where(k > 0, word * 64 + place + 1 - k, 0)
 
+    def value(self, i: np.ndarray) -> np.ndarray:
+        """The i-th element: the place of the i-th one, and its low bits."""
+        word = np.searchsorted(self.ones, i, side="right") - 1
+        place = place_of_one(self.high[word], i - self.ones[word].astype(np.int64) + 1)
+        return (((word * 64 + place - i).astype(np.uint64) << np.uint64(self.bits)) | self.lows(i)).astype(np.int64)
+
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Position of the first element >= x, and whether it is x."""
-        high = x >> np.uint64(self.bits)
-        low = x & np.uint64((1 << self.bits) - 1)
+        """Position of the first element >= x, and whether it is x: the successors that share its high part are walked."""
         top = np.uint64(max(0, len(self.high) * 64 - self.n - 1))
-        start, end = self.before(np.minimum(high, top)), self.before(np.minimum(high, top) + np.uint64(1))
-        end = np.minimum(end, self.n)
-        begin, open_ = start.copy(), np.flatnonzero(start < end)
-        first, stop, want = start[open_], end[open_], low[open_]
+        high = np.minimum(x >> np.uint64(self.bits), top)
+        low = x & np.uint64((1 << self.bits) - 1)
+        begin = self.before(high)
+        hit, open_ = np.zeros(len(x), bool), np.arange(len(x))
+        at, shift, want = begin, high.astype(np.int64), low
         while len(open_):
-            middle = (first + stop) >> 1
-            less = self.lows(middle) < want
-            first, stop = np.where(less, middle + 1, first), np.where(less, stop, middle)
-            done = first >= stop
-            begin[open_[done]] = first[done]
-            rest = ~done
-            open_, first, stop, want = open_[rest], first[rest], stop[rest], want[rest]
-        inside = (begin < end) & (high <= top)
-        hit = inside & (self.lows(np.minimum(begin, max(0, self.n - 1))) == low)
-        return begin, hit
+            bit = at + shift
+            inside = (self.high[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+            value = self.lows(np.minimum(at, max(0, self.n - 1)))
+            less = inside & (value < want)
+            hit[open_] = inside & (value == want)
+            begin[open_] = at
+            open_, at, shift, want = open_[less], at[less] + 1, shift[less], want[less]
+        return begin, hit & (x >> np.uint64(self.bits) <= top)
 
 
 def code(p: np.ndarray) -> np.ndarray:
@@ -178,18 +197,24 @@ class Trie:
         last = self.gathered(two & LOW).astype(np.int64)
         p2 = (np.maximum(c2 - DISCOUNT, 0) + DISCOUNT * kinds[ctx2] * np.where(last < len(share), share[np.minimum(last, len(share) - 1)], 0)) / c1[ctx2]
         p3 = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * nn[under] * p2[at]) / cn[under]
-        pointer = np.concatenate(([0], np.cumsum(n1))).astype(np.uint64)
-        self.width = int(n1.max()) if len(n1) else 1
-        position = (at - pointer[:-1].astype(np.int64)[ctx2[at]]).astype(np.uint64)
+        # each context's successors lie evenly between its pointers: as many in a unit of any level's high parts
+        sums = {"two": n1, "node": np.bincount(ctx_n, minlength=len(one)), "three": nn}
+        pointer = {k: np.concatenate(([0], np.cumsum(v))).astype(np.uint64) for k, v in sums.items()}
+        self.width = np.uint64(max(1, int(n1.max(initial=1))))
+        position = at.astype(np.uint64) - pointer["two"][ctx2[at]]
         levels = {
-            "one": one, "two": (ctx2.astype(np.uint64) << BITS) | (two & LOW), "pointer": pointer,
-            "node": (ctx_n.astype(np.uint64) << BITS) | (node & LOW), "three": under.astype(np.uint64) * np.uint64(self.width) + position,
+            "one": one, "two": self.placed(pointer["two"][ctx2], two & LOW, n1[ctx2]), "node": self.placed(pointer["node"][ctx_n], node & LOW, sums["node"][ctx_n]),
+            "three": pointer["three"][under] * self.width + position * nn[under].astype(np.uint64), **{f"{k}s": v for k, v in pointer.items()},
         }
         self.levels = {k: EliasFano.build(v).save(folder, k) for k, v in levels.items()}
         self.codes = {}
         for name, p in (("one", DISCOUNT * kinds / np.maximum(c1, 1)), ("two", p2), ("node", DISCOUNT * nn / np.maximum(cn, 1)), ("three", p3)):
             np.save(folder / f"{name}.code.npy", code(p))
-            self.codes[name] = np.load(folder / f"{name}.code.npy", mmap_mode="r")
+            self.codes[name] = mapped(folder / f"{name}.code.npy")
+
+    def placed(self, first: np.ndarray, id_: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A successor's number: as far between its context's first pointer and the next as its id is among all ids."""
+        return (first.astype(np.uint64) << self.bits) + id_ * n.astype(np.uint64)
 
     def spread(self, ids: np.ndarray) -> np.ndarray:
         return (ids * np.uint64(self.SPREAD)) & self.low
@@ -215,39 +240,39 @@ class Trie:
         """
         BITS, LOW = self.bits, self.low
         level = self.levels
+        w = keys & LOW
+        last, most = w.astype(np.int64), len(self.share_codes)
+        share = np.where(last < most, self.share_codes[np.minimum(last, most - 1)], 0)
+        if not level["one"].n:
+            return share, np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
         runs, of_run = starts_of(keys >> BITS)
         ctx, of_ctx = starts_of(keys[runs] >> (BITS + BITS))
         r1, has1 = level["one"].find(keys[runs[ctx]] >> (BITS + BITS))
-        r1, has1 = np.where(has1, r1, 0)[of_ctx], has1[of_ctx]
-        rn, has_n = level["node"].find((r1.astype(np.uint64) << BITS) | self.spread((keys[runs] >> BITS) & LOW))
-        has_n &= has1
-        off, node, first = self.value("one", r1, has1), self.value("node", rn, has_n), self.pointer(r1)
-        r1, has1, rn, has_n, off, node, first = (x[of_run] for x in (r1, has1, rn, has_n, off, node, first))
-        w = keys & LOW
-        r2, has2 = level["two"].find((r1.astype(np.uint64) << BITS) | self.spread(w))
+        r1 = np.where(has1, r1, 0)
+        first, n1, off = *self.range("twos", r1), self.value("one", r1, has1)
+        node_first, n_nodes = self.range("nodes", r1)
+        first, n1, off, has1, node_first, n_nodes = (x[of_ctx] for x in (first, n1, off, has1, node_first, n_nodes))
+        rn, has_n = level["node"].find(self.placed(node_first, self.spread((keys[runs] >> BITS) & LOW), n_nodes))
+        has_n &= has1 & (n_nodes > 0)
+        rn = np.where(has_n, rn, 0)
+        third, n3, node = *self.range("threes", rn), self.value("node", rn, has_n)
+        first, n1, off, has1, third, n3, has_n, node = (x[of_run] for x in (first, n1, off, has1, third, n3, has_n, node))
+        r2, has2 = level["two"].find(self.placed(first, self.spread(w), n1))
         has2 &= has1
-        # w as a position among v's successors
+        # w as a position among v's successors, and that among those of u, v
         place = np.where(has2, r2 - first, 0).astype(np.uint64)
-        r3, has3 = level["three"].find(np.where(has_n, rn, 0).astype(np.uint64) * np.uint64(self.width) + place)
+        r3, has3 = level["three"].find(third.astype(np.uint64) * self.width + place * n3.astype(np.uint64))
         has3 &= has2 & has_n
-        last, most = w.astype(np.int64), len(self.share_codes)
-        lower = np.where(has2, self.value("two", r2, has2), off + np.where(last < most, self.share_codes[np.minimum(last, most - 1)], 0))
+        lower = np.where(has2, self.value("two", r2, has2), off + share)
         return np.where(has3, self.value("three", r3, has3), node + lower), has2, node + off
 
-    def pointer(self, r: np.ndarray) -> np.ndarray:
-        """The pointer at ``r``: the r-th one of the unary part, then its low bits."""
-        ef = self.levels["pointer"]
-        word = np.searchsorted(ef.ones, r, side="right") - 1
-        want = r - ef.ones[word].astype(np.int64) + 1
-        bits, place = ef.high[word], np.zeros(len(r), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            part = (bits >> place.astype(np.uint64)) & np.uint64((1 << half) - 1)
-            count = np.bitwise_count(part).astype(np.int64)
-            skip = count < want
-            want = np.where(skip, want - count, want)
-            place += np.where(skip, half, 0)
-        high = (word * 64 + place - r).astype(np.uint64)
-        return ((high << np.uint64(ef.bits)) | ef.lows(r)).astype(np.int64)
+    def range(self, name: str, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The r-th pointer, and how far it is to the next."""
+        level = self.levels[name]
+        if level.n < 2:
+            return np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
+        first = level.value(r)
+        return first, level.value(r + 1) - first
 
 
 def starts_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -434,6 +459,7 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
     # a rare word is in up to three trigrams: a quarter of a part's ids on average
     parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // LEAST_TOKENS)), -(-total // part_tokens), -(-12 * int(n_words - freq.sum()) // RARE_IDS), 1)
     tasks = min(parts, PARTITIONS)
+    places = min(max(1, -(-int(n_types - len(words)) // PLACE_WORDS), min(parts, 2)), PARTITIONS)
     shared = spark.sparkContext.broadcast((words[order], order.astype(np.uint32), freq))
 
     def shares() -> np.ndarray:
@@ -645,7 +671,7 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
                     k, times, text, learnt = self.keys(data, rare, "<u4", "<u4", "<u4", "<u4", "<u4", "u1")
                     times = times.astype(np.int64)
                     seen = np.add.reduceat(np.unpackbits(learnt)[text].astype(np.int64), np.cumsum(times) - times)
-                    self.gathered.append((k[seen > 0], seen[seen > 0]))
+                    self.gathered.append((k, seen))
                     if sum(len(x[0]) for x in self.gathered) > self.most:
                         self.gathered = [summed(self.gathered)]
                         self.most = max(self.most, 2 * len(self.gathered[0][0]))
@@ -657,7 +683,7 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
                     yield from self.scores(Path(name))
             self.spool.close()
             block, text, word, a, b = (np.concatenate([x[i] for x in self.rare]) if self.rare else np.zeros(0, np.int64) for i in range(5))
-            for dest, own in by_number((mix(word.astype(np.uint64)) % np.uint64(tasks)).astype(np.uint32)):
+            for dest, own in by_number((mix(word.astype(np.uint64)) % np.uint64(places)).astype(np.uint32)):
                 own = own[np.argsort(word[own], kind="stable")]
                 names, at = np.unique(block[own], return_inverse=True)
                 data = pack(gaps(word[own].astype(np.uint64)), at.astype("<u4"), text[own].astype("<u4"), a[own].astype("<u4"), b[own].astype("<u4"), names.astype("<i8"))
@@ -669,15 +695,24 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
                 k, times = self.keys(data, rare, "<u4", "<u4", "<u8")
                 pairs.append((k, times.astype(np.int64)))
             self.pairs.clear()
-            trie = Trie(*summed(self.gathered), shares(), folder, summed(pairs), contexts.value, ID_BITS)
+            keys, counts = summed(self.gathered)
             self.gathered.clear()
+            learnt = counts > 0
+            trie = Trie(keys[learnt], counts[learnt], shares(), folder, summed(pairs), contexts.value, ID_BITS)
+            del counts, learnt
+            # each distinct trigram is looked up once
+            codes_of, seen_of, off_of = np.zeros(len(keys), np.int32), np.zeros(len(keys), bool), np.zeros(len(keys), np.int32)
+            for at in range(0, len(keys), ASKED):
+                some = slice(at, at + ASKED)
+                codes_of[some], seen_of[some], off_of[some] = trie.terms(keys[some])
             pairs.clear()
             by_id = self.words.words()
             self.spool.seek(0)
             for batch in pa.ipc.open_stream(self.spool):
                 block, data, rare = (batch.column(c)[0].as_py() for c in ("block", "data", "rare"))
                 k, times, text, _ = self.keys(data, rare, "<u4", "<u4", "<u4", "<u4", "<u4", "u1")
-                codes, seen, off = trie.terms(k)
+                at = np.searchsorted(keys, k)
+                codes, seen, off = codes_of[at].astype(np.int64), seen_of[at], off_of[at].astype(np.int64)
                 last = (k & ID_MASK).astype(np.int64)
                 far = last >= RARE
                 cost = np.bincount(text, np.repeat(np.where(far, 0, codes), times))
@@ -690,7 +725,7 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
 
     def told(block: int | None, data: pa.Array | None = None, head: pa.Array | None = None, ids: pa.Array | None = None, dest: int | None = None) -> pa.RecordBatch:
         if dest is None:
-            dest = int(mix(np.array([block], np.uint64))[0] % np.uint64(tasks))
+            dest = int(mix(np.array([block], np.uint64))[0] % np.uint64(places))
         empty = pa.nulls(1, pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([dest], pa.int32()), pa.array([1], pa.int32()), pa.array([block], pa.int64()), empty if data is None else data, empty if head is None else head, pa.nulls(1, list_kind) if ids is None else ids], ["dest", "kind", "block", "data", "head", "ids"])
 
@@ -698,14 +733,28 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
         """Rare words and counts, as they are met."""
         for batch in batches:
             word, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for dest, own in by_number((mix(word) % np.uint64(tasks)).astype(np.uint32)):
+            for dest, own in by_number((mix(word) % np.uint64(places)).astype(np.uint32)):
                 own = own[np.argsort(word[own])]
                 yield pa.RecordBatch.from_pydict({"dest": pa.array([dest], pa.int32()), "kind": pa.array([0], pa.int32()), "block": pa.nulls(1, pa.int64()), "data": [pack(gaps(word[own]), n[own].astype("<u4"))], "head": pa.nulls(1, pa.binary()), "ids": pa.nulls(1, list_kind)})
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rare words meet their counts; a block's sums go back to it, other rows pass."""
         known, word, count = [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        met: list[tuple[np.ndarray, ...]] = []
         nothing = pa.nulls(1, pa.binary())
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            block, text, n, a, b = (np.concatenate([x[i] for x in met]) for i in range(5))
+            met.clear()
+            share = (n + 0.1) / norm
+            score = np.log10(np.where(a > 0, 10.0 ** (-(a.astype(np.float64) - 1) / STEP), 0) + 10.0 ** (-b.astype(np.float64) / STEP) * share)
+            names, at = np.unique(block, return_inverse=True)
+            for i, own in by_number(at):
+                texts, spot = np.unique(text[own], return_inverse=True)
+                total_of = lambda x: np.bincount(spot, x[own], len(texts))  # noqa: E731, B023
+                data = pack(texts.astype("<u4"), total_of(n > 0).astype("<i8"), total_of(np.log10(share)), total_of(score))
+                yield pa.RecordBatch.from_arrays([pa.array([names[i]], pa.int64()), nothing, pa.array([data], pa.binary()), nothing, pa.nulls(1, list_kind)], ["block", "data", "rare", "head", "ids"])
+
         for batch in batches:
             for r in range(batch.num_rows):
                 data = batch.column("data")[r].as_py()
@@ -726,13 +775,11 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
                 if len(word):
                     place = np.minimum(np.searchsorted(word, asked), len(word) - 1)
                     n = np.where(word[place] == asked, count[place], 0)
-                share = (n + 0.1) / norm
-                score = np.log10(np.where(a > 0, 10.0 ** (-(a.astype(np.float64) - 1) / STEP), 0) + 10.0 ** (-b.astype(np.float64) / STEP) * share)
-                for i, own in by_number(at):
-                    texts, spot = np.unique(text[own], return_inverse=True)
-                    total_of = lambda x: np.bincount(spot, x[own], len(texts))  # noqa: E731, B023
-                    sums = pack(texts.astype("<u4"), total_of(n > 0).astype("<i8"), total_of(np.log10(share)), total_of(score))
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i]], pa.int64()), nothing, pa.array([sums], pa.binary()), nothing, pa.nulls(1, list_kind)], ["block", "data", "rare", "head", "ids"])
+                met.append((names[at], text, n, a, b))
+                if sum(len(x[0]) for x in met) >= BLOCK_TOKENS:
+                    yield from sums()
+        if met:
+            yield from sums()
 
     def added(told: pa.Table) -> pa.Table:
         """A block's texts: their own figures and all parts' sums."""
@@ -758,6 +805,6 @@ def score_texts(docs: DataFrame, *, top_words: int = TOP_WORDS, part_tokens: int
     # a task has its parts one after the other
     dealt = dealt.repartitionById(tasks, (F.col("part") % tasks).cast("int")).sortWithinPartitions("part")
     answers = dealt.mapInArrow(answer, answer_kind).unionByName(counts.where(~is_top).select("word", "n").mapInArrow(known_counts, answer_kind))
-    answers = answers.repartitionById(tasks, F.col("dest")).sortWithinPartitions("kind").mapInArrow(look_up, f"block long, data binary, rare binary, head binary, ids array<{id_kind}>")
+    answers = answers.repartitionById(places, F.col("dest")).sortWithinPartitions("kind").mapInArrow(look_up, f"block long, data binary, rare binary, head binary, ids array<{id_kind}>")
     done = answers.groupBy("block").applyInArrow(added, f"id {id_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
