@@ -172,7 +172,7 @@ def maybe_shared(sets: DataFrame, shared: DataFrame) -> DataFrame:
             at = (token.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
             keep = np.flatnonzero((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             row, pos = row[keep], pos[keep]
-            place = (batch.column(1).to_numpy()[row] << 24) | pos
+            place = (batch.column(1).to_numpy()[row] << 32) | pos
             yield pa.RecordBatch.from_arrays([pa.array(token[keep]), batch.column(0).take(pa.array(row)), pa.array(place)], ["token", "id", "place"])
 
     return sets.mapInArrow(spread, "token long, id long, place long")
@@ -208,10 +208,10 @@ def join_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     shared = cut(sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
     tokens = maybe_shared(sets.select("id", "n", "prefix"), shared)
     # how many tokens before it a text shares with any other: those that none has can't be common
-    before = Window.partitionBy("id", n := F.shiftright("place", 24)).orderBy("place")
+    before = Window.partitionBy("id", n := F.shiftright("place", 32)).orderBy("place")
     ranked = cut(tokens.join(shared, "token").withColumn("rank", F.row_number().over(before) - 1))
     # of a pair, the smaller set has its shared token among fewer: it is at most as large as the other
-    ranked = ranked.select("token", "id", n.alias("n"), F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).alias("pos"), "rank")
+    ranked = ranked.select("token", "id", n.alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "rank")
     fewer = F.col("n") - F.floor((F.col("n") * (2 * percent) + 99 + percent) / (100 + percent)) + 1
     ranked = ranked.withColumn("first", F.col("pos") < fewer)
     # tokens that the same texts share make one bucket: near copies share most of their prefixes
@@ -230,24 +230,25 @@ def join_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
         active = buckets.withColumn("label", F.col("id"))
         if labels is not None:
             active = buckets.join(small(labels), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        apart = active.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k"), F.count_if("first").alias("few"))
-        apart = cut(apart.where("lo < hi").select("token", "k", "few"))
+        columns = ("id", "n", "pos", "rank", "first", "label")
+        # the pivot is the class with most copies at first, then any; all members meet it alone
+        worth = F.least("copies", F.lit(1 << 22)) if turn == 0 else F.lit(0).cast("long")
+        order = F.shiftleft(worth, 40) + F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 40))
+        pivot = (F.max_by(c, order).alias(f"o_{c}") for c in columns)
+        apart = active.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k"), F.count_if("first").alias("few"), *pivot)
+        apart = cut(apart.where("lo < hi"))
         n, pairs = apart.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k").cast("double") * F.col("few")), F.lit(0.0))).first()
         if not n:
             break
-        active = cut(active.join(small(apart.select("token")), "token"))
         last = turn == ROUNDS or turn and pairs <= PAIRS_PER_ROW * n or pairs > SHRINK * before
         before = pairs
-        columns = ("id", "n", "pos", "rank", "first", "label")
         if last:
+            active = cut(active.join(small(apart.select("token")), "token"))
             other = active.select("token", *(F.col(c).alias(f"o_{c}") for c in columns))
             met = active.where("first").join(other, "token").where(f"label <> o_label and (n < o_n or n = o_n and id < o_id) and {_possible(percent)}")
         else:
-            # the pivot is the class with most copies at first, then any; all members meet it alone
-            worth = F.least("copies", F.lit(1 << 22)) if turn == 0 else F.lit(0).cast("long")
-            order = F.shiftleft(worth, 40) + F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 40))
-            pivot = active.groupBy("token").agg(*(F.max_by(c, order).alias(f"o_{c}") for c in columns))
-            met = active.join(pivot, "token").where(f"label <> o_label and (n <= o_n and first or n >= o_n and o_first) and {_possible(percent)}")
+            pivots = small(apart.select("token", *(f"o_{c}" for c in columns)))
+            met = active.join(pivots, "token").where(f"label <> o_label and (n <= o_n and first or n >= o_n and o_first) and {_possible(percent)}")
         met = met.withColumnRenamed("o_id", "b")
         cand = candidates(met, sets, percent)
         links = verify(rows, cand, shingle, percent)
