@@ -149,6 +149,6 @@ def fingerprints(docs: DataFrame, *, k: int = K, shingle: int = SHINGLE, parts:
         })
 
     dealt = rows.select(F.explode(deals("k")).alias("deal"), F.col("id").cast("long").alias("id"), "text", "k")
-    placed = dealt.repartition(parts, F.shiftright("deal", 1)).sortWithinPartitions(F.shiftright("deal", 1), "deal", "k", "text")
+    placed = dealt.repartitionById(parts, F.shiftright("deal", 1)).sortWithinPartitions(F.shiftright("deal", 1), "deal", "k", "text")
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct_shingles double, edited_containment double"
     return placed.select("deal", "id", "text").mapInArrow(walk, schema).withColumnRenamed("id", id_col)
