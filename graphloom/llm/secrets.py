@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, small
+from graphloom.llm.common import cut, free, small
 
 
 @dataclass(frozen=True)
@@ -122,14 +122,38 @@ def trigram_query(pattern: str) -> Query:
     return walk(parser.parse(pattern))
 
 
+#: Letters from frequent to rare in plain text; all else is rarer.
+LETTERS = "etaoinshrdlucmfwypvbgkjqxz"
+
+
+def gates_of(alternatives: list[set[str]]) -> list[str]:
+    """Few trigrams of which each alternative has one: those of most alternatives first, then the rarest."""
+    rarity = lambda t: sum(LETTERS.index(c) if c in LETTERS else len(LETTERS) for c in t)
+    left, gates = [a for a in alternatives if a], []
+    while left:
+        best = max(sorted(set().union(*left)), key=lambda t: (sum(t in a for a in left), rarity(t)))
+        gates.append(best)
+        left = [a for a in left if best not in a]
+    return gates
+
+
 def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(_row, _mask): bit i is set where the index doesn't rule out rule i. Rules that scan fully are left out."""
     clauses = [(i, k, t, len(c)) for i, r in enumerate(rules) for k, c in enumerate(sorted(map(sorted, trigram_query(r.pattern)))) for t in c if frozenset() not in trigram_query(r.pattern)]
     if not clauses:
         return rows.sparkSession.createDataFrame([], "_row long, _mask long")
     wanted = rows.sparkSession.createDataFrame(clauses, "rule int, clause int, trigram string, terms int")
-    present = F.array_compact(F.array(*(F.when(F.contains("_lower", F.lit(t)), F.lit(t)) for t in sorted({c[2] for c in clauses}))))
-    postings = rows.select("_row", F.lower("_text").alias("_lower")).select("_row", F.explode(present).alias("trigram"))
+    own: dict[tuple[int, int], set[str]] = {}
+    for rule, clause, t, _ in clauses:
+        own.setdefault((rule, clause), set()).add(t)
+    gates = gates_of(list(own.values()))
+    # an alternative without its gate is lost, so its other trigrams are only looked for behind it
+    behind = {t: [g for g in gates if any(g in c and t in c for c in own.values())] for c in own.values() for t in c if t not in gates}
+    looked = rows.select("_row", F.lower("_text").alias("_lower")).select("_row", "_lower", *(F.contains("_lower", F.lit(g)).alias(f"_gate{i}") for i, g in enumerate(gates)))
+    open_ = lambda t: reduce(Column.__or__, (F.col(f"_gate{gates.index(g)}") for g in behind[t]))
+    found = [F.when(F.col(f"_gate{i}"), F.lit(g)) for i, g in enumerate(gates)] + [F.when(open_(t) & F.contains("_lower", F.lit(t)), F.lit(t)) for t in sorted(behind)]
+    passed = looked.where(reduce(Column.__or__, (F.col(f"_gate{i}") for i in range(len(gates)))))
+    postings = passed.select("_row", F.explode(F.array_compact(F.array(*found))).alias("trigram"))
     met = (
         postings.join(F.broadcast(wanted), "trigram")  # the clauses depend on the rules alone
         .groupBy("_row", "rule", "clause", "terms")
@@ -158,27 +182,29 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
 
 
-def find_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """``docs`` with ``spans``: array of (start, order, kind, end), by start, then by the rules' order.
 
     Offsets count code points, ``end`` is exclusive. Null and empty texts have no spans. Rows
     are keyed by a hash of id and text, so null ids and repeated rows keep their own rows. A
-    column ``spans`` of ``docs`` is replaced. Candidates are broadcast if they are few, else joined
-    by a shuffle.
+    column of ``docs`` with the name of ``spans_col`` is replaced, all others stay. Candidates are broadcast if they are
+    few, else joined by a shuffle.
     """
-    keyed = docs.drop("spans", "_row", "_mask", "_text").withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_row", F.xxhash64(F.col(id_col), F.col("_text")))
-    mask = small(cut(candidates(keyed.select("_row", "_text"), rules)))
-    scanned = keyed.join(mask, "_row", "left")
+    kept = [c for c in docs.columns if c.lower() != spans_col.lower()]
+    text, row, mask_col = (free(docs.columns, c) for c in ("_text", "_row", "_mask"))
+    keyed = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(row, F.xxhash64(F.col(id_col), F.col(text)))
+    mask = small(cut(candidates(keyed.select(F.col(row).alias("_row"), F.col(text).alias("_text")), rules))).toDF(row, mask_col)
+    scanned = keyed.join(mask, row, "left")
     none = F.array().cast(SPANS)
     found = []
     for i, rule in enumerate(rules):
-        spans = rule_spans(F.col("_text"), rule, i)
+        spans = rule_spans(F.col(text), rule, i)
         if frozenset() in trigram_query(rule.pattern):
-            found.append(F.when(F.regexp_like(F.col("_text"), F.lit(rule.pattern)), spans).otherwise(none))
+            found.append(F.when(F.regexp_like(F.col(text), F.lit(rule.pattern)), spans).otherwise(none))
         else:
-            hit = F.coalesce(F.col("_mask"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0
+            hit = F.coalesce(F.col(mask_col), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0
             found.append(F.when(hit, spans).otherwise(none))
-    return scanned.withColumn("spans", F.array_sort(F.concat(*found))).drop("_row", "_mask", "_text")
+    return scanned.select(*(F.col(f"`{c}`") for c in kept), F.array_sort(F.concat(*found)).alias(spans_col))
 
 
 def joined(spans: Column) -> Column:
@@ -200,6 +226,7 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]", rules: tuple[Rule, ...] =
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     end = F.lit((1 << 31) - 1)
-    rebuilt = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, end)))
-    scanned = find_secrets(docs, rules=rules, id_col=id_col, text_col=text_col)
-    return scanned.withColumn(text_col, F.when(F.size("spans") > 0, rebuilt).otherwise(text)).select(*docs.columns)
+    spans = free(docs.columns, "spans")
+    rebuilt = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, end)))
+    scanned = find_secrets(docs, rules=rules, id_col=id_col, text_col=text_col, spans_col=spans)
+    return scanned.withColumn(text_col, F.when(F.size(spans) > 0, rebuilt).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
