@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, cut, ordered_rank, small
+from graphloom.llm.common import WORD, cut, free, ordered_rank, small
+
+#: What ``repetition`` adds.
+ADDED = ("size", "source_size", "target", "copies")
 
 
 def source_targets(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, source_col: str = "source", size_col: str = "size") -> DataFrame:
@@ -33,24 +36,27 @@ def source_targets(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def repetition(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def repetition(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", added: tuple[str, ...] = ADDED) -> DataFrame:
     """``docs`` with size, source_size, target and copies: floor(rate) plus one by a seeded coin.
 
     The coin depends on the seed, the id and the text, so reruns and other partitionings agree;
     equal rows get equal copies. A null text has size 0; a null source is a source of its own.
-    Columns of ``docs`` named like the added ones are replaced.
+    Columns of ``docs`` named like ``added`` are replaced, all others stay.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", size)
-    targets = source_targets(sized.select(source_col, "size"), weights=weights, share=share, most=most, source_col=source_col)
-    keyed = small(targets.withColumnRenamed("source", "_source"))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    size, source_size, target, copied = added
+    sized = docs.drop(*added).withColumn(size, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
+    targets = source_targets(sized.select(F.col(source_col).alias("source"), F.col(size).alias("size")), weights=weights, share=share, most=most)
+    source = free([*docs.columns, *added], "_source")
+    keyed = small(targets).select(F.col("source").alias(source), F.col("source_size").alias(source_size), F.col("target").alias(target))
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0))
     coin = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     copies = (F.floor(rate) + (coin < rate - F.floor(rate)).cast("int")).cast("long")
-    return sized.join(keyed, F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("copies", copies)
+    return sized.join(keyed, F.col(source_col).eqNullSafe(F.col(source)), "left").drop(source).withColumn(copied, copies)
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """Every document as often as it is to be repeated, with the columns of ``docs``."""
-    repeated = repetition(docs, **settings).where("copies > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    added = tuple(free(docs.columns, c) for c in ADDED)
+    repeated = repetition(docs, **settings, added=added).where(F.col(added[-1]) > 0)
+    copy = free(repeated.columns, "_copy")
+    return repeated.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(added[-1])))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -241,6 +241,30 @@ def test_op7_targets(spark, sf_dir, docs, empty):
     assert sorted(queries.op7_mixing(spark, sf_dir).collect()) == sorted(queries.op7_mixing(spark, sf_dir).collect())
     assert mixing.repetition(docs).count() == len(ROWS) and mixing.mix(empty).count() == 0
     assert mixing.mix(docs).columns == docs.columns
+    # a source's words are a sum of independent coins: within five standard deviations of the target
+    taken, spread = Counter(), Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        rate = r["target"] / r["source_size"] if r["source_size"] else 0.0
+        spread[r["source"]] += r["size"] ** 2 * (rate % 1) * (1 - rate % 1)
+    assert all(abs(taken[s] - target[s]) <= 5 * math.sqrt(spread[s]) + 1e-6 for s in taken)
+
+
+def test_op7_keeps_columns_of_clashing_names(docs, spark):
+    wide = docs.select("*", *(F.lit(c).alias(c) for c in ("source_size", "target", "copies", "_source", "_copy")))
+    got = mixing.mix(wide)
+    assert got.columns == wide.columns
+    kept = {(r["doc_id"], r["size"]) for r in wide.collect()}
+    for r in got.collect():
+        assert (r["doc_id"], r["size"]) in kept and [r[c] for c in wide.columns[-5:]] == wide.columns[-5:]
+
+
+def test_op3_keeps_columns_of_clashing_names(docs):
+    wide = docs.select("*", *(F.lit(c).alias(c) for c in ("spans", "_spans", "_row", "_mask", "_text")))
+    clean = secrets.redact(wide)
+    assert clean.columns == wide.columns and all([r[c] for c in wide.columns[-5:]] == wide.columns[-5:] for r in clean.collect())
+    found = secrets.find_secrets(wide).where("doc_id = 10").first()
+    assert len(found["spans"]) == 3 and found["_row"] == "_row"
 
 
 def test_op8_packs_all(spark, sf_dir, docs, empty):
@@ -256,6 +280,8 @@ def test_op8_packs_all(spark, sf_dir, docs, empty):
         for r in got:
             by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
         assert all([o for o, _ in sorted(s)] == list(np.cumsum([0, *(n for _, n in sorted(s))])[:-1]) and sum(n for _, n in s) <= 2048 for s in by.values())
+        lower = -(-sum(n for s in by.values() for _, n in s) // 2048)
+        assert lower <= len(by) <= 1.01 * lower + 1
     assert packing.pack(empty, str(P.path("word_bpe_49k.json"))).count() == 0
 
 
@@ -269,10 +295,15 @@ def test_op8_plan_is_tight():
     assert sum(n for _, n in plan) <= 1.01 * (counts * np.arange(2049)).sum() / 2048 + 1
 
 
-def test_op9_balance_and_moves(docs, empty):
+def test_op9_balance_and_moves(spark, sf_dir, docs, empty):
     a, b = sharding.fill_table([f"s{i}" for i in range(10)], 10_007), sharding.fill_table([f"s{i}" for i in range(9)], 10_007)
     assert np.bincount(a).max() - np.bincount(a).min() <= 1
     assert ((a != b) & (a != 9)).mean() < 0.1
+    rows = queries.op9_sharding(spark, sf_dir).collect()
+    slots, names = sharding.fill_table([f"shard-{i:02d}" for i in range(16)]), [f"shard-{i:02d}" for i in range(16)]
+    where = {r["doc_id"]: r["shard"] for r in rows}
+    hashed = {r["doc_id"]: r["slot"] for r in table(spark, sf_dir, "documents").select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(len(slots))).alias("slot")).collect()}
+    assert where.keys() == hashed.keys() and {d: names[slots[at]] for d, at in hashed.items()} == where
     got = sharding.place(docs, ["x", "y"], slots=101)
     assert got.count() == len(ROWS) and got.where("shard is null").count() == 0 and sharding.place(empty, ["x"], slots=7).count() == 0
 
@@ -318,11 +349,68 @@ def test_op10_doubles_ties_repeats_and_names(spark):
 
 
 def test_pipeline_stages(spark, sf_dir, docs):
+    """Each stage on what the ones before it kept, against a plain version."""
     own = table(spark, sf_dir, "documents")
-    kept = own
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        kept = stage(spark, kept, sf_dir).cache()
-        assert kept.columns == own.columns and kept.count() > 0, name
+    good, one, clean, mixed, packed = (f for _, f in corpus_pipeline.STAGES)
+    rows = lambda df: {r["doc_id"]: r for r in df.collect()}
+    kept = good(spark, own, sf_dir).cache()
+    # the classifier keeps the rows that it scores 0.5 or more, as they are
+    weights, threshold = quality.fit(own, quality.training_labels(table(spark, sf_dir, "labels")))
+    accepted = {r["doc_id"] for r in quality.score(own, weights, threshold).where("predicted = 1").collect()}
+    assert rows(kept) == {d: r for d, r in rows(own).items() if d in accepted} and kept.columns == own.columns
+    # of each group of texts that link by five words and 0.8, the smallest id
+    sets = {d: shingles(r["text"], 5) for d, r in rows(kept).items()}
+    top = {d: d for d in sets}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = sorted((root(a), root(b)))
+                top[y] = x
+    single = one(spark, kept, sf_dir).cache()
+    assert rows(single) == {d: r for d, r in rows(kept).items() if root(d) == d}
+    # each secret of the rules replaced, overlapping ones together
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in secrets.find_secrets(single).collect()}
+    plain = {}
+    for d, r in rows(single).items():
+        out, at = "", 0
+        for start, end in spans[d]:
+            if start >= at:
+                out += (r["text"] or "")[at:start] + "[SECRET]"
+            at = max(at, end)
+        plain[d] = out + (r["text"] or "")[at:]
+    cleaned = clean(spark, single, sf_dir).cache()
+    assert {d: (r["text"], r["n_chars"]) for d, r in rows(cleaned).items()} == {d: (t, len(t)) for d, t in plain.items()}
+    # as often as the rates say
+    often = {r["doc_id"]: r["copies"] for r in mixing.repetition(cleaned).collect()}
+    repeated = mixed(spark, cleaned, sf_dir).cache()
+    assert Counter(r["doc_id"] for r in repeated.collect()) == Counter({d: n for d, n in often.items() if n})
+    # all tokens, once each
+    t = Tokenizer.from_file(str(P.path("word_bpe_49k.json")))
+    want = Counter()
+    for d, n in often.items():
+        want[d] += n * (len(t.encode(plain[d], add_special_tokens=False).ids) + 1)
+    got = Counter()
+    for r in packed(spark, repeated, sf_dir).collect():
+        got[r["doc_id"]] += r["length"]
+    assert got == Counter({d: n for d, n in want.items() if n})
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
-    for _, stage in corpus_pipeline.STAGES[1:]:
-        assert stage(spark, docs.drop("size"), sf_dir).count() > 0
+
+
+def test_pipeline_stages_on_awkward_rows(spark, sf_dir, docs, empty):
+    wide = docs.withColumn("_row", F.lit("r")).withColumn("predicted", F.lit("p")).withColumn("target", F.lit("t")).withColumn("spans", F.lit("s"))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, wide, sf_dir)
+        assert got.count() > 0, name
+        if name != "best_fit_packing":
+            assert got.columns == wide.columns and {(r["_row"], r["predicted"], r["target"], r["spans"]) for r in got.collect()} == {("r", "p", "t", "s")}, name
+        assert stage(spark, empty, sf_dir).count() == 0, name
+    single = [r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, wide, sf_dir).collect()]
+    assert sorted(d or 0 for d in single) == [0, 1, 4, 5, 6, 7, 8, 10]
