@@ -123,12 +123,28 @@ def summary(runs: DataFrame, measures: list[str], sets: list[list[str]], spread:
     return (t.groupingSets(sets, *keys) if keys else t.groupBy()).agg(*aggs)
 
 
+def _syntax_errors(runs: DataFrame) -> DataFrame:
+    """Runs with their class: uncorrected (error_type syntax_error and an initial error), corrected or other, and the errors that count."""
+    uncorrected = F.coalesce((F.col("error_type") == "syntax_error") & (F.col("initial_error") != ""), F.lit(False))
+    corrected = ~uncorrected & F.coalesce("corrected", F.lit(False))
+    none = F.array().cast("array<string>")
+    found = F.when(uncorrected, F.array("initial_error")).when(corrected, F.coalesce("errors", none)).otherwise(none)
+    return runs.select("run_id", uncorrected.alias("uncorrected"), corrected.alias("corrected"), found.alias("found"), F.when(corrected & (F.col("iterations") > 0), F.col("iterations")).alias("used"))
+
+
 def syntax_metrics(runs: DataFrame, n: int = 10) -> DataFrame:
-    """The commonest errors (array column errors) with how many runs have them."""
-    e = runs.select("run_id", F.explode("errors").alias("error"))
+    """The ``n`` commonest errors with how many runs have them; of runs (run_id, error_type, initial_error, corrected, errors, iterations)."""
+    e = _syntax_errors(runs).select("run_id", F.explode("found").alias("error"))
     return e.groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("run_id").alias("runs")).orderBy(F.desc("n"), "error").limit(n)
 
 
+def syntax_summary(runs: DataFrame) -> DataFrame:
+    """One row: corrected runs, their percentage, all errors, uncorrected runs, mean iterations of corrected runs; rounded to 1."""
+    t = _syntax_errors(runs)
+    rate = F.coalesce(F.round(100 * F.count_if("corrected") / F.count(F.lit(1)), 1), F.lit(0.0))
+    return t.agg(F.count_if("corrected").alias("corrections"), rate.alias("correction_rate"), F.coalesce(F.sum(F.size("found")), F.lit(0)).alias("errors"), F.count_if("uncorrected").alias("uncorrected"), F.coalesce(F.round(F.avg("used"), 1), F.lit(0.0)).alias("mean_iterations"))
+
+
 def template_summary(runs: DataFrame, score: str) -> DataFrame:
     """Mean, sample variance and failures by template."""
     return runs.groupBy("template").agg(F.avg(score).alias("mean"), F.var_samp(score).alias("variance"), F.count_if(~F.col("success")).alias("failures"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from graphloom.sizes import small
+
 #: Floats of query vectors that are sent to all tasks at once.
 QUERY_FLOATS = 4_000_000
 
@@ -224,7 +226,7 @@ def filter_entities(cands: DataFrame) -> DataFrame:
 def match_columns_by_name(cols: DataFrame, keywords: DataFrame, least: float = 0.9) -> DataFrame:
     """(col) and (keyword) whose names agree but for blanks, underscores and a final s, or are nearly equal. The keywords are few."""
     plain = lambda c: F.regexp_replace(F.lower(F.regexp_replace(c, "[ _]", "")), "s+$", "")
-    both = cols.join(F.broadcast(keywords), F.substring(plain("col"), 1, 1) == F.substring(plain("keyword"), 1, 1))
+    both = cols.join(small(keywords), F.substring(plain("col"), 1, 1) == F.substring(plain("keyword"), 1, 1))
     return both.withColumn("ratio", ratio(plain("col"), plain("keyword"))).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "col")
 
 
@@ -236,6 +238,6 @@ def describe(near: DataFrame) -> DataFrame:
 
 def search_instances(g: DataFrame, terms: DataFrame) -> DataFrame:
     """Literals of ``g`` (with dataset) that contain a term (term) of at least three letters; the terms are few."""
-    few = F.broadcast(terms.where(F.length("term") >= 3).distinct())
+    few = small(terms.where(F.length("term") >= 3).distinct())
     met = g.where("o_kind = 'literal'").join(few, F.contains(F.lower("o"), F.lower("term")))
     return met.groupBy("dataset", "term").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("example"))

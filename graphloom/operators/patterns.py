@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.terms import RDF_TYPE, namespace
+from graphloom.sizes import small
 
 
 def is_var(term: str) -> bool:
@@ -159,7 +160,7 @@ def federate(query: Callable[[DataFrame], DataFrame], graphs: dict[str, DataFram
 
 def datasets_for(terms: DataFrame, registry: DataFrame) -> DataFrame:
     """(dataset, prefix) whose namespace a term (column term) has."""
-    owned = terms.select("term", namespace(F.col("term")).alias("prefix")).join(F.broadcast(registry), "prefix")
+    owned = terms.select("term", namespace(F.col("term")).alias("prefix")).join(small(registry), "prefix")
     return owned.groupBy("dataset").agg(F.count_distinct("term").alias("n_terms"))
 
 

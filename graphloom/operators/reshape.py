@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.sizes import cut
+
 Tables = dict[str, DataFrame]
 
 
@@ -22,7 +24,9 @@ class ForeignKey:
 def split_by_keys(tables: Tables, fks: list[ForeignKey], order: dict[str, str]) -> tuple[Tables, Tables]:
     """H1: two halves that keep keys together: root tables by their order column's lower half (at least one row), children with their parents.
 
-    ``tables`` is in topological order. A root's border is its order column's exact value at n // 2, so nothing is ranked in one task; order columns are unique.
+    ``tables`` is in topological order. A root's border is its order column's exact value at n // 2, found in the one range that
+    holds it, so nothing is ranked in one task; order columns are unique. Children of parents without rows in the first half
+    go to the first half, as do tables whose order column has only nulls.
     """
     first: Tables = {}
     for name, df in tables.items():
@@ -31,16 +35,40 @@ def split_by_keys(tables: Tables, fks: list[ForeignKey], order: dict[str, str])
             half = df
             for k in parents:
                 keys = first[k.parent].select(F.col(k.parent_col).alias(k.child_col)).distinct()
-                half = half.join(keys, k.child_col, "left_semi")
+                if not keys.isEmpty():
+                    half = half.join(keys, k.child_col, "left_semi")
             first[name] = half
         else:
-            n = max(1, df.count() // 2)
-            border = df.select(order[name]).orderBy(order[name]).offset(n - 1).limit(1).first()
-            first[name] = df.where(F.col(order[name]) <= border[0]) if border else df
+            border = nth(df, order[name], max(1, df.count() // 2))
+            first[name] = df if border is None else df.where(F.col(order[name]) <= border)
     second = {n: df.join(first[n].select(order[n]), order[n], "left_anti") for n, df in tables.items()}
     return first, second
 
 
+def ranges(df: DataFrame, col: str) -> DataFrame:
+    """``df`` written in order of a column, with _range and the place _at in it: partitions are ranges of the column."""
+    placed = df.repartitionByRange(col).sortWithinPartitions(col).withColumn("_id", F.monotonically_increasing_id())
+    return cut(placed.select(*df.columns, F.shiftright("_id", 33).alias("_range"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+
+
+def nth(df: DataFrame, col: str, n: int):
+    """The n-th smallest value (from 1) of a column: ranges are counted, one row of one range is read."""
+    placed = ranges(df.where(F.col(col).isNotNull()).select(col), col)
+    for r in sorted(placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row a range
+        if n <= r["n"]:
+            return placed.where((F.col("_range") == r["_range"]) & (F.col("_at") == n - 1)).first()[0]
+        n -= r["n"]
+    return None
+
+
+def numbered(df: DataFrame, col: str, name: str = "nr") -> DataFrame:
+    """``df`` with each row's place (from 1) by a unique column; only the counts of ranges are gathered."""
+    placed = ranges(df, col)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_range").select(*df.columns, (F.col("_before") + F.col("_at") + 1).alias(name))  # a row a range
+
+
 def rename_table(df: DataFrame, colmap: dict[str, str]) -> DataFrame:
     """H2, H3: the rows under other column names."""
     return df.withColumnsRenamed(colmap)
@@ -66,8 +94,9 @@ def profile_columns(name: str, df: DataFrame, keys: tuple[str, ...] = (), n: int
     """H6: per column its type, key flag, readable name, number of distinct values and the first n of them."""
     kinds = dict(df.dtypes)
     cells = df.select(*(F.col(c).cast("string").alias(c) for c in df.columns)).unpivot([], df.columns, "col", "value").where("value is not null").distinct()
-    ranked = cells.withColumn("r", F.row_number().over(Window.partitionBy("col").orderBy("value")))
-    t = ranked.groupBy("col").agg(F.count(F.lit(1)).alias("n_distinct"), F.array_sort(F.collect_list(F.when(F.col("r") <= n, F.col("value")))).alias("samples"))
+    # the first n of each task go to the window, not all values
+    first = cells.withColumn("r", F.row_number().over(Window.partitionBy("col").orderBy("value"))).where(F.col("r") <= n)
+    t = cells.groupBy("col").agg(F.count(F.lit(1)).alias("n_distinct")).join(first.groupBy("col").agg(F.array_sort(F.collect_list("value")).alias("samples")), "col")
     kind = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))[F.col("col")]
     return t.select(F.lit(name).alias("tbl"), "col", kind.alias("type"), F.col("col").isin(list(keys)).alias("is_key"), F.replace("col", F.lit("_"), F.lit(" ")).alias("readable"), "n_distinct", "samples")
 
@@ -75,14 +104,14 @@ def profile_columns(name: str, df: DataFrame, keys: tuple[str, ...] = (), n: int
 def entities(g: DataFrame, cls: str, props: dict[str, str]) -> DataFrame:
     """H7: one row an instance of a class, a column a property (smallest value), with an integer key by IRI order.
 
-    The key is the IRI's rank; it needs one ordered pass over the class's instances.
+    The key is the IRI's rank, made from ranges of IRIs.
     """
     from graphloom.functions.terms import RDF_TYPE
 
     own = g.where((F.col("p") == RDF_TYPE) & (F.col("o") == cls)).select("s").distinct()
     facts = g.where(F.col("p").isin(list(props))).join(own, "s", "left_semi")
     wide = facts.groupBy("s").pivot("p", list(props)).agg(F.min("o")).withColumnsRenamed(props)
-    return own.join(wide, "s", "left").withColumn("nr", F.dense_rank().over(Window.orderBy("s")))
+    return numbered(own.join(wide, "s", "left"), "s")
 
 
 def link_table(g: DataFrame, prop: str) -> DataFrame:

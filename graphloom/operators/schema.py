@@ -6,24 +6,18 @@ Loops checkpoint each round and stop when nothing new is found.
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.terms import RDF_TYPE, XSD, local_name, namespace
+from graphloom.sizes import cut
 
 #: Namespaces of the language itself.
 BUILT_IN = ("http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def extract_schema(g: DataFrame) -> DataFrame:
     """G1: (class, property, range, is_object) of every typed subject; untyped literals are strings."""
     types = g.where(F.col("p") == RDF_TYPE).where(~F.array_contains(F.array(*map(F.lit, BUILT_IN)), namespace(F.col("o")))).select("s", F.col("o").alias("class")).distinct()
@@ -35,15 +29,15 @@ def extract_schema(g: DataFrame) -> DataFrame:
     return types.join(literals.unionByName(objects).distinct(), "s").select("class", "property", "range", "is_object").distinct()
 
 
-def closure(edges: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(child, ancestor, depth), shortest depth; cycles end."""
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(child, ancestor, depth), shortest depth, until nothing new is found or to ``max_depth``; cycles end."""
     step = edges.select("child", "parent").where("child <> parent").distinct()
     found = front = cut(step.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
-    for depth in range(2, max_depth + 1):
+    depth = 1
+    while not front.isEmpty() and (max_depth is None or depth < max_depth):
+        depth += 1
         up = front.join(step.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
         front = cut(up.where("child <> ancestor").distinct().join(found, ["child", "ancestor"], "left_anti"))
-        if front.isEmpty():
-            break
         found = cut(found.unionByName(front))
     return found
 
@@ -111,6 +105,20 @@ def shortest_paths(graph: DataFrame, pairs: DataFrame, max_hops: int = 6) -> Dat
     return pairs.join(found.withColumnRenamed("at", "b"), ["a", "b"])
 
 
+def path_through(graph: DataFrame, classes: list[str], max_hops: int = 6) -> DataFrame:
+    """Paths between neighbours of a list of classes; if none is connected, that of the first connected pair of any two."""
+    spark, n = graph.sparkSession, len(classes)
+    pairs = [(i * n + j, classes[i], classes[j]) for i in range(n) for j in range(i + 1, n)]
+    if not pairs:
+        return spark.createDataFrame([], "a string, b string, hops int, path array<string>")
+    asked = spark.createDataFrame([(*p, p[0] % n == p[0] // n + 1) for p in pairs], "turn int, a string, b string, neighbours boolean")
+    found = cut(shortest_paths(graph, asked, max_hops))
+    near = found.where("neighbours")
+    if near.isEmpty():
+        near = found.orderBy("turn").limit(1)
+    return near.select("a", "b", "hops", "path")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) by the smallest label that reaches a node along (a, b)."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
@@ -144,33 +152,45 @@ def infer_types(patterns: DataFrame, schema: DataFrame) -> DataFrame:
 
 
 def validate(patterns: DataFrame, schema: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """(p, s, o, issue, severity): unknown terms, and properties whose subject's or object's type doesn't fit."""
-    known = schema.select(F.col("property").alias("p")).distinct()
+    """(s, p, o, issue, severity) of patterns.
+
+    Errors: unknown properties and classes; a property that no class of a typed subject has, or inherits. Warnings: the same
+    seen from the property's domains; an object whose types, a literal or a resource don't fit the property's range.
+    """
     facts = patterns.where(F.col("p") != RDF_TYPE)
-    unknown_p = facts.join(known, "p", "left_anti").withColumn("issue", F.lit("unknown property")).withColumn("severity", F.lit("error"))
+    typed = patterns.where(F.col("p") == RDF_TYPE)
+    known = schema.select(F.col("property").alias("p")).distinct()
     classes = schema.select(F.col("class").alias("o")).union(ancestors.select("ancestor")).distinct()
-    unknown_c = patterns.where(F.col("p") == RDF_TYPE).join(classes, "o", "left_anti").withColumn("issue", F.lit("unknown class")).withColumn("severity", F.lit("error"))
-    types = patterns.where(F.col("p") == RDF_TYPE).select(F.col("s").alias("v"), F.col("o").alias("t"))
-    family = ancestors.select(F.col("child").alias("t"), F.col("ancestor").alias("fit")).union(ancestors.select("ancestor", "child")).union(types.select("t", "t")).distinct()
-    fits = types.join(family, "t").select("v", "fit").distinct()
-    parts = [unknown_p, unknown_c]
-    for end, role, issue, severity in (("s", "class", "domain mismatch", "warning"), ("o", "range", "range mismatch", "warning")):
-        uses = facts.join(types.select(F.col("v").alias(end)).distinct(), end)
-        rows = schema if end == "s" else schema.where("is_object")
-        good = uses.join(rows.select(F.col("property").alias("p"), F.col(role).alias("fit")).distinct(), "p").join(fits.withColumnRenamed("v", end), [end, "fit"]).select("s", "p", "o").distinct()
-        checked = uses.join(rows.select(F.col("property").alias("p")).distinct(), "p", "left_semi")
-        parts.append(checked.join(good, ["s", "p", "o"], "left_anti").withColumn("issue", F.lit(issue)).withColumn("severity", F.lit(severity)))
-    out = parts[0].select("s", "p", "o", "issue", "severity")
-    for x in parts[1:]:
-        out = out.unionByName(x.select("s", "p", "o", "issue", "severity"))
-    return out
+    types = typed.select(F.col("s").alias("v"), F.col("o").alias("t")).distinct()
+    # a type is itself and all that is above it
+    fits = types.select("v", F.col("t").alias("fit")).union(types.join(ancestors.select(F.col("child").alias("t"), "ancestor"), "t").select("v", "ancestor")).distinct()
+    uses = facts.where(F.col("s").startswith("?")).join(types.select(F.col("v").alias("s")).distinct(), "s", "left_semi")
+    having = uses.join(schema.select(F.col("property").alias("p"), F.col("class").alias("fit")).distinct(), "p").join(fits.withColumnRenamed("v", "s"), ["s", "fit"]).select("s", "p", "o").distinct()
+    without = uses.join(having, ["s", "p", "o"], "left_anti")
+    ranged = facts.join(schema.select(F.col("property").alias("p"), "range", "is_object").distinct(), "p")
+    resource = F.col("o").startswith("http")
+    literal = ranged.where(~F.col("o").startswith("?") & ~resource)
+    of_type = ranged.where(F.col("o").startswith("?")).join(types.select(F.col("v").alias("o")).distinct(), "o", "left_semi")
+    good = literal.where("not is_object").select("s", "p", "o").union(of_type.where("is_object").join(fits.select(F.col("v").alias("o"), F.col("fit").alias("range")), ["o", "range"], "left_semi").select("s", "p", "o")).distinct()
+    unfit = literal.unionByName(of_type).select("s", "p", "o").distinct().join(good, ["s", "p", "o"], "left_anti")
+    parts = [
+        (facts.join(known, "p", "left_anti"), "unknown property", "error"),
+        (typed.where(~F.col("o").startswith("?")).join(classes, "o", "left_anti"), "unknown class", "error"),
+        (without, "class property mismatch", "error"),
+        (without.join(known, "p", "left_semi"), "domain mismatch", "warning"),
+        (unfit, "range mismatch", "warning"),
+    ]
+    return reduce(DataFrame.unionByName, (df.select("s", "p", "o", F.lit(issue).alias("issue"), F.lit(severity).alias("severity")) for df, issue, severity in parts))
 
 
 def suggest(terms: DataFrame, known: DataFrame, most: int = 5, n: int = 3) -> DataFrame:
     """For each unknown term the n nearest known local names within an edit distance."""
     a = terms.select("term", F.lower(local_name(F.col("term"))).alias("x"))
-    b = F.broadcast(known.select(F.col("term").alias("suggestion"), F.lower(local_name(F.col("term"))).alias("y")))
-    near = a.join(b, F.levenshtein("x", "y", most) >= 0).withColumn("distance", F.levenshtein("x", "y"))
+    b = known.select(F.col("term").alias("suggestion"), F.lower(local_name(F.col("term"))).alias("y"))
+    # names within the distance differ by at most so many letters in length: blocks of lengths meet
+    width = most + 1
+    a = a.withColumn("block", F.explode(F.sequence(F.floor((F.length("x") - most) / width), F.floor((F.length("x") + most) / width))))
+    near = a.join(b.withColumn("block", F.floor(F.length("y") / width)), "block").where(F.levenshtein("x", "y", most) >= 0).withColumn("distance", F.levenshtein("x", "y"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy("distance", "suggestion")))
     return ranked.where(F.col("rank") <= n).select("term", "suggestion", "distance", "rank")
 
@@ -198,6 +218,16 @@ def class_card(schema: DataFrame, edges: DataFrame, cls: str) -> DataFrame:
     return props.join(F.broadcast(parents)).join(F.broadcast(children))
 
 
+def list_classes(schema: DataFrame) -> DataFrame:
+    """All classes with their numbers of properties and of links to others."""
+    return schema.groupBy("class").agg(F.count_distinct("property").alias("n_properties"), F.count_distinct(F.when(F.col("is_object"), F.struct("property", "range"))).alias("n_links"))
+
+
+def model_rows(schema: DataFrame, cls: str) -> DataFrame:
+    """One class's model as rows."""
+    return schema.where(F.col("class") == cls).select("class", "property", "range", "is_object").distinct()
+
+
 def filter_schema(schema: DataFrame, keep: DataFrame, instances: DataFrame, n: int = 3) -> DataFrame:
     """Rows of kept (class, property) with up to n sample values of ``instances`` (class, property, value)."""
     ranked = instances.distinct().withColumn("r", F.row_number().over(Window.partitionBy("class", "property").orderBy("value"))).where(F.col("r") <= n)

@@ -199,6 +199,12 @@ def evaluate(gt_cells: DataFrame, sys_cells: DataFrame, columns: DataFrame) -> D
     return best_reading(t.select("pair.run_id", "pair.reading_id", "schema_recall", "schema_precision", "data_f1"))
 
 
+def level_values(cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """The distinct values of each reading's levels; columns (question_id, reading_id, col, level)."""
+    met = cells.where("value is not null").join(columns.select("question_id", "reading_id", "col", "level").distinct(), ["question_id", "reading_id", "col"])
+    return met.groupBy("question_id", "reading_id", "level").agg(F.count_distinct("value").alias("n_values"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
 def build_gt(cells: DataFrame) -> DataFrame:
     """Per reading the number of rows, columns with nulls, and whether it is the question's default (first with rows)."""
     t = cells.groupBy("question_id", "reading_id").agg(F.count_distinct("row_id").alias("n_rows"), F.array_sort(F.collect_set(F.when(F.col("value").isNull(), F.col("col")))).alias("null_columns"))
@@ -271,13 +277,70 @@ def retrieval_truth(patterns: DataFrame) -> DataFrame:
     return terms.groupBy("question_id", "term", "kind").agg(F.max("necessity").alias("necessity"))  # 'required' > 'acceptable'
 
 
-def schema_truth(patterns: DataFrame, schema: DataFrame) -> DataFrame:
-    """(question_id, class, property, range) that patterns (question_id, s, p, o) run over; untyped subjects take any class of the schema."""
+def schema_paths(patterns: DataFrame, schema: DataFrame) -> DataFrame:
+    """Patterns (q, s, p, o, necessity) as distinct paths (q, class, property, necessity); class null: open.
+
+    A subject's classes are those it is given, else the range of a property that it is an object of, if that is a class
+    of the schema (the smallest range of a property); a constant subject is its own class. A path is required if any
+    use of its property is.
+    """
     from graphloom.functions.terms import RDF_TYPE
 
-    types = patterns.where(F.col("p") == RDF_TYPE).select("question_id", "s", F.col("o").alias("t"))
-    uses = patterns.where(F.col("p") != RDF_TYPE).join(types, ["question_id", "s"], "left").join(schema.withColumnRenamed("property", "p"), "p")
-    return uses.where("t is null or t = class").select("question_id", "class", F.col("p").alias("property"), "range").distinct()
+    types = patterns.where(F.col("p") == RDF_TYPE).select("q", "s", F.col("o").alias("t")).distinct()
+    classes = schema.select(F.col("class").alias("t")).distinct()
+    ranges = schema.groupBy(F.col("property").alias("p")).agg(F.min("range").alias("t")).join(classes, "t", "left_semi")
+    reached = patterns.where(F.col("o").startswith("?")).join(ranges, "p").select("q", F.col("o").alias("s"), "t").distinct().join(types.select("q", "s").distinct(), ["q", "s"], "left_anti")
+    uses = patterns.where(F.col("p") != RDF_TYPE)
+    necessity = uses.groupBy("q", "p").agg(F.max("necessity").alias("necessity"))  # 'required' > 'acceptable'
+    variables = uses.where(F.col("s").startswith("?")).join(types.unionByName(reached), ["q", "s"], "left").select("q", F.col("t").alias("class"), "p")
+    constants = uses.where(~F.col("s").startswith("?")).select("q", F.col("s").alias("class"), "p")
+    return variables.unionByName(constants).distinct().join(necessity, ["q", "p"]).select("q", "class", F.col("p").alias("property"), "necessity")
+
+
+def schema_truth(patterns: DataFrame, schema: DataFrame) -> DataFrame:
+    """(q, class, property, range, necessity), the schema's rows that the closed paths run over."""
+    return schema_paths(patterns, schema).join(schema.select("class", "property", "range").distinct(), ["class", "property"]).select("q", "class", "property", "range", "necessity")
+
+
+def score_paths(paths: DataFrame, retrieved: DataFrame, schema: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """Paths of E24 that are retrieved (q, class, property): (q, coherence, matched, expected).
+
+    A path counts if its own class's edge is there, or an open one if any class's is; else it counts once for each
+    subclass that has the property, if any of those is there. Acceptable paths only count where matched.
+    """
+    edges = retrieved.select("q", "class", "property").distinct()
+    direct = paths.join(edges.withColumn("here", F.lit(True)), ["q", "class", "property"], "left")
+    anywhere = edges.select("q", "property", F.lit(True).alias("anywhere")).distinct()
+    subs = ancestors.select(F.col("ancestor").alias("class"), F.col("child").alias("sub")).join(schema.select(F.col("class").alias("sub"), "property").distinct(), "sub").distinct()
+    below = paths.join(subs, ["class", "property"]).join(edges.withColumnRenamed("class", "sub").withColumn("hit", F.lit(1)), ["q", "sub", "property"], "left")
+    below = below.groupBy("q", "class", "property").agg(F.count("hit").alias("k"), F.count(F.lit(1)).alias("n"))
+    t = direct.join(anywhere, ["q", "property"], "left").join(below, ["q", "class", "property"], "left").na.fill(0, ["k", "n"])
+    one = F.coalesce(F.when(F.col("class").isNull(), F.col("anywhere")).otherwise(F.col("here")), F.lit(False))
+    t = t.withColumn("m", F.when(one, 1).otherwise(F.col("k"))).withColumn("e", F.when(one | (F.col("k") == 0), 1).otherwise(F.col("n")))
+    need = F.sum(F.when(F.col("necessity") == "required", F.col("e")).otherwise(F.col("m")))
+    return t.groupBy("q").agg(F.sum("m").alias("matched"), need.alias("expected")).select("q", F.when(F.col("expected") > 0, F.col("matched") / F.col("expected")).otherwise(F.lit(0.0)).alias("coherence"), "matched", "expected")
+
+
+def score_retrieval(patterns: DataFrame, retrieved: DataFrame, schema: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """Patterns (q, reading, s, p, o, necessity) and retrieved (q, class, property, range): one row a question.
+
+    The reading of best triple recall, then coherence; precision is that over the union of all readings. ``strict_f1``: the best
+    reading's F1 with precision over all retrieved triples.
+    """
+    key = F.struct("q", "reading")
+    asked = patterns.select(key.alias("q"), "s", "p", "o", "necessity")
+    readings = asked.select("q").distinct()
+    own = readings.join(retrieved.withColumnRenamed("q", "_q"), F.col("q.q") == F.col("_q")).drop("_q")
+    truth = schema_truth(asked, schema)
+    triples = score_triples(truth, own, ancestors)
+    coherent = score_paths(schema_paths(asked, schema), own, schema, ancestors)
+    union_truth = truth.groupBy(F.col("q.q").alias("q"), "class", "property", "range").agg(F.max("necessity").alias("necessity"))
+    union_p = score_triples(union_truth, retrieved, ancestors).select("q", F.col("precision").alias("union_precision"))
+    t = triples.join(coherent.select("q", "coherence"), "q", "left").na.fill(0.0, ["coherence"]).select("q.q", "q.reading", "recall", "coherence", "strict_f1").join(union_p, "q")
+    best = Window.partitionBy("q").orderBy(F.desc("recall"), F.desc("coherence"), "reading")
+    t = t.withColumn("strict", F.max("strict_f1").over(Window.partitionBy("q"))).withColumn("r", F.row_number().over(best)).where("r = 1")
+    p, r = F.col("union_precision"), F.col("recall")
+    return t.select("q", "reading", p.alias("precision"), "recall", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)).alias("f1"), "coherence", F.col("strict").alias("strict_f1"))
 
 
 def score_triples(truth: DataFrame, retrieved: DataFrame, ancestors: DataFrame) -> DataFrame:
@@ -293,7 +356,8 @@ def score_triples(truth: DataFrame, retrieved: DataFrame, ancestors: DataFrame)
     strict = F.when(F.col("n_all") > 0, F.least(F.col("good") / F.col("n_all"), F.lit(1.0))).otherwise(F.lit(0.0))
     p = F.when(F.col("n") > 0, F.least(F.col("good") / F.col("n"), F.lit(1.0))).otherwise(F.lit(0.0))
     r = F.col("found") / F.col("need")
-    return t.select("q", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)).alias("f1"), strict.alias("strict_precision"))
+    f1 = lambda p: F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+    return t.select("q", p.alias("precision"), r.alias("recall"), f1(p).alias("f1"), strict.alias("strict_precision"), f1(strict).alias("strict_f1"))
 
 
 def triple_terms(triples: DataFrame) -> DataFrame:
@@ -370,16 +434,41 @@ def rescore_tolerant(gt: DataFrame, sys: DataFrame, questions: DataFrame) -> Dat
     return questions.select("pair").distinct().join(score_tuples(rows(gt), rows(sys)).select("pair", "f1"), "pair", "left").na.fill(0.0)
 
 
-def compare_snapshots(fns: dict[str, Callable[[dict[str, DataFrame]], DataFrame]], a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:
-    """Each query on two snapshots: are its rows the same?"""
-    tag = lambda name, df: df.select(F.lit(name).alias("pair"), F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("row"))
-    one = reduce(DataFrame.unionByName, (tag(n, f(a)) for n, f in fns.items()))
-    two = reduce(DataFrame.unionByName, (tag(n, f(b)) for n, f in fns.items()))
-    names = one.sparkSession.createDataFrame([(n,) for n in fns], "pair string")
-    return same_result(one, two, names)
+def compare_snapshots(spark, fns: dict[str, Callable[[dict[str, DataFrame]], DataFrame]], a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:
+    """Each query on two snapshots: (pair, tp, fp, fn, precision, recall, f1, failed); one that can't be run on the second is failed, with scores of 0."""
+    tag = lambda name, df: df.select(F.lit(name).alias("pair"), F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns)).alias("row"))
+    empty = spark.createDataFrame([], "pair string, row array<string>")
+    one = reduce(DataFrame.unionByName, (tag(n, f(a)) for n, f in fns.items()), empty)
+    two, failed = empty, []
+    for name, f in fns.items():
+        try:
+            rows = tag(name, f(b))
+            rows.isEmpty()  # fails here if its tables or columns are missing
+            two = two.unionByName(rows)
+        except Exception:  # whatever a query raises marks it
+            failed.append(name)
+    names = spark.createDataFrame([(n, n in failed) for n in fns], "pair string, failed boolean")
+    return names.join(score_tuples(one, two), "pair", "left").na.fill(0, ["tp", "fp", "fn"]).na.fill(0.0, ["precision", "recall", "f1"])
+
 
+def check_readings(spark, fns: dict[str, Callable[[], DataFrame]], datasets: dict[str, str] | None = None, samples: int = 3) -> DataFrame:
+    """Each reading's dataset, number of rows, the first ``samples`` rows as texts, and yes (rows), partial (none) or failed.
 
-def check_readings(fns: dict[str, Callable[[], DataFrame]]) -> DataFrame:
-    """Number of rows of each reading, and yes or partial."""
-    parts = [f().agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("reading"), "n_rows") for n, f in fns.items()]
-    return reduce(DataFrame.unionByName, parts).withColumn("status", F.when(F.col("n_rows") > 0, "yes").otherwise("partial"))
+    A reading that can't be run is a row with its error; each is run on its own for that.
+    """
+    out = []
+    for name, f in fns.items():
+        try:
+            df = f()
+            row = F.to_json(F.struct(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns)))
+            n = df.count()
+            seen = sorted(r[0] for r in df.select(row).orderBy(row).limit(samples).collect())
+            out.append(((datasets or {}).get(name), name, n, "yes" if n else "partial", seen, None))
+        except Exception as e:  # whatever a reading raises is its result
+            out.append(((datasets or {}).get(name), name, None, "failed", [], str(e)[:200]))
+    return spark.createDataFrame(out, "dataset string, reading string, n_rows long, status string, samples array<string>, error string")
+
+
+def readings_report(checked: DataFrame) -> DataFrame:
+    """By dataset how many readings have rows, none, or failed."""
+    return checked.groupBy("dataset").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("yes", "partial", "failed")))

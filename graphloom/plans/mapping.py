@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.terms import RDF_TYPE, XSD, from_template, template_columns
+from graphloom.sizes import small
 
 Tables = dict[str, DataFrame]
 TRIPLE = ("s", "p", "o", "o_kind", "o_datatype", "o_lang")
@@ -106,7 +107,7 @@ def materialize(mapping: list[TriplesMap], tables: Tables) -> DataFrame:
 def entail_types(graph: DataFrame, closure: DataFrame) -> DataFrame:
     """Adds the types that follow from ``closure`` (child, ancestor)."""
     types = graph.where(F.col("p") == RDF_TYPE)
-    more = types.join(F.broadcast(closure.select(F.col("child").alias("o"), "ancestor")), "o").withColumn("o", F.col("ancestor")).select(*graph.columns)
+    more = types.join(small(closure.select(F.col("child").alias("o"), "ancestor")), "o").withColumn("o", F.col("ancestor")).select(*graph.columns)
     return graph.unionByName(more).distinct()
 
 
@@ -135,7 +136,7 @@ def rename_terms(graph: DataFrame, renames: DataFrame, namespaces: dict[str, str
     """S, p and o renamed by exact term (old, new), else by namespace."""
     out = graph
     for c in ("s", "p", "o"):
-        swap = F.broadcast(renames.select(F.col("old").alias(c), F.col("new").alias("_new")))
+        swap = small(renames.select(F.col("old").alias(c), F.col("new").alias("_new")))
         by_ns = F.col(c)
         for old, new in namespaces.items():
             by_ns = F.when(F.col(c).startswith(old), F.concat(F.lit(new), F.substr(F.col(c), F.lit(len(old) + 1)))).otherwise(by_ns)

@@ -49,11 +49,11 @@ def sample_tables(tables: dict[str, DataFrame], n: int = 100) -> dict[str, DataF
     return {k: df.select(*(F.col(c).cast("string").alias(c) for c in df.columns)).limit(n) for k, df in tables.items()}
 
 
-def read_runs(spark: SparkSession, path: str, schema: StructType | str, required: tuple[str, ...] = ("run_id", "question_id")) -> tuple[DataFrame, DataFrame]:
-    """One JSON document a file; (complete runs, rejects counted by reason)."""
+def read_runs(spark: SparkSession, path: str, schema: StructType | str, required: tuple[str, ...] = ("run_id", "question_id"), multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """One JSON document a file (or a line, without ``multi_line``); (complete runs, rejects counted by reason)."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    df = spark.read.schema(StructType(schema.fields).add("_corrupt", "string")).option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=True)
+    df = spark.read.schema(StructType(schema.fields).add("_corrupt", "string")).option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=multi_line)
     missing = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in required))
     reason = F.when(F.col("_corrupt").isNotNull(), "unreadable").when(missing, "incomplete")
     tagged = df.withColumn("reason", reason)
