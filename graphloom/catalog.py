@@ -259,7 +259,7 @@ def shop_schema(spark, d) -> DataFrame:
     return schema.cut(schema.extract_schema(graph(spark, d, SHOP)))
 
 
-@register()
+@register(f"""SELECT p AS property, string_agg(DISTINCT c, ',' ORDER BY c) AS domains, string_agg(DISTINCT r, ',' ORDER BY r) AS ranges, bool_or(o) AS is_object FROM (SELECT '{NS}Region' AS c, '{NS}name' AS p, '{terms.XSD}string' AS r, false AS o FROM region UNION SELECT '{NS}Nation' AS c, '{NS}name' AS p, '{terms.XSD}string' AS r, false AS o FROM nation UNION SELECT '{NS}Nation' AS c, '{NS}inRegion' AS p, '{NS}Region' AS r, true AS o FROM nation UNION SELECT '{NS}Customer' AS c, '{NS}name' AS p, '{terms.XSD}string' AS r, false AS o FROM customer UNION SELECT '{NS}Customer' AS c, '{NS}segment' AS p, '{terms.XSD}string' AS r, false AS o FROM customer UNION SELECT '{NS}Customer' AS c, '{NS}inNation' AS p, '{NS}Nation' AS r, true AS o FROM customer UNION SELECT '{NS}Supplier' AS c, '{NS}name' AS p, '{terms.XSD}string' AS r, false AS o FROM supplier UNION SELECT '{NS}Supplier' AS c, '{NS}inNation' AS p, '{NS}Nation' AS r, true AS o FROM supplier UNION SELECT '{NS}Supplier' AS c, '{NS}label' AS p, '{terms.XSD}string' AS r, false AS o FROM supplier UNION SELECT '{NS}Part' AS c, '{NS}name' AS p, '{terms.XSD}string' AS r, false AS o FROM part UNION SELECT '{NS}Part' AS c, '{NS}size' AS p, '{terms.XSD}integer' AS r, false AS o FROM part UNION SELECT '{NS}Part' AS c, '{NS}brand' AS p, '{terms.XSD}string' AS r, false AS o FROM part UNION SELECT '{NS}Part' AS c, '{NS}status' AS p, '{terms.XSD}string' AS r, false AS o FROM part UNION SELECT '{NS}Order' AS c, '{NS}by' AS p, '{NS}Customer' AS r, true AS o FROM orders UNION SELECT '{NS}Order' AS c, '{NS}priority' AS p, '{terms.XSD}string' AS r, false AS o FROM orders) GROUP BY 1""")
 def g4_views(spark, d):
     return schema.schema_views(shop_schema(spark, d)).select("property", F.array_join("domains", ",").alias("domains"), F.array_join("ranges", ",").alias("ranges"), "is_object")
 
@@ -491,9 +491,10 @@ def t12_event_rates(spark, d):
     return traces.event_rates(_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-@register()
+@register("""WITH g AS (SELECT user_id, ts, sum(CASE WHEN ts < p + INTERVAL 30 minutes THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events))
+SELECT user_id AS run_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY user_id, s""")
 def t12_event_sessions(spark, d):
-    return traces.session_rates(_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")))
+    return traces.session_rates(_events(spark, d)).select("run_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
 # reshaping
@@ -515,7 +516,8 @@ def h1_split(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@register()
+@register("""WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) <= (SELECT greatest(1, count(*) // 2) FROM customer) AS f FROM customer), o AS (SELECT o_orderkey, o_custkey, coalesce(f, false) AS f FROM orders LEFT JOIN c ON o_custkey = c_custkey)
+ SELECT CASE WHEN o.f THEN 'first' ELSE 'second' END AS half, 'orders->customer' AS fk, count(*) AS n_joined FROM o JOIN c ON o_custkey = c_custkey GROUP BY 1 UNION ALL SELECT CASE WHEN f THEN 'first' ELSE 'second' END, 'lineitem->orders', count(*) FROM lineitem JOIN o ON l_orderkey = o_orderkey GROUP BY 1""")
 def h5_join_integrity(spark, d):
     return reshape.check_joins(_halves(spark, d), FKS)
 

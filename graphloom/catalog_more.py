@@ -322,6 +322,25 @@ def g18_filtered(spark, d):
     return schema.filter_schema(s, keep, values).select("class", "property", "range", F.array_join("samples", ",").alias("samples"))
 
 
+@register(f"SELECT DISTINCT '{NS}' || replace(p_type, ' ', '_') AS class, '{NS}' || x.p AS property, '{terms.XSD}' || x.r AS \"range\", false AS is_object FROM part, (VALUES ('size', 'integer'), ('brand', 'string')) x(p, r)")
+def g1_schema_of_part_types(spark, d):
+    typed = m.TriplesMap(lambda t: t["part"].select("p_partkey", "p_size", "p_brand", F.regexp_replace("p_type", " ", "_").alias("cls")), iri("part", "p_partkey"), (), (m.obj_tpl(terms.RDF_TYPE, NS + "{cls}"), m.obj_col(NS + "size", "p_size", "integer"), m.obj_col(NS + "brand", "p_brand")))
+    return schema.extract_schema(graph(spark, d, [typed]))
+
+
+@register("""WITH k AS (SELECT DISTINCT c_mktsegment || n_name AS t FROM customer JOIN nation ON c_nationkey = n_nationkey), u AS (SELECT DISTINCT substr(t, 2) AS t FROM k UNION SELECT replace(t, 'A', 'AX') FROM k)
+SELECT u.t AS term, k.t AS suggestion, levenshtein(lower(u.t), lower(k.t))::INT AS distance, row_number() OVER (PARTITION BY u.t ORDER BY levenshtein(lower(u.t), lower(k.t)), k.t)::INT AS rank FROM u JOIN k ON levenshtein(lower(u.t), lower(k.t)) <= 2 QUALIFY rank <= 2""")
+def g14_suggested_names(spark, d):
+    known = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat("c_mktsegment", "n_name").alias("term")).distinct()
+    unknown = known.select(F.substring("term", 2, 1000).alias("term")).union(known.select(F.replace("term", F.lit("A"), F.lit("AX")))).distinct()
+    return schema.suggest(unknown, known, 2, 2)
+
+
+@register(f"SELECT class, CASE WHEN bool_or(is_object) AND bool_or(NOT is_object) THEN 'both' WHEN bool_or(is_object) THEN 'only_object' ELSE 'only_datatype' END AS kind FROM {SCHEMA} WHERE property < 'size2' GROUP BY 1")
+def g15_kinds_of_parts(spark, d):
+    return schema.property_kind(_part_schema(spark, d).where("property < 'size2'"))
+
+
 @register("SELECT DISTINCT p_type AS element_id FROM part WHERE contains(lower(p_type), lower((SELECT min(split_part(p_type, ' ', 1)) FROM part)))")
 def l1_grep_types(spark, d):
     p = table(spark, d, "part")
@@ -488,6 +507,49 @@ def e39_readings(spark, d):
     return scoring.check_readings(spark, fns, {"all": "shop", "none": "shop", "wrong": "other"}).select("dataset", "reading", "n_rows", "status")
 
 
+@register("""WITH o AS (SELECT o_custkey % 50 AS run, o_orderkey AS k, 'c' || o_custkey AS a, CASE WHEN o_orderkey % 6 > 0 THEN o_orderpriority ELSE '' END AS b FROM orders), p AS (SELECT run, k, a, b, unnest([1, 2]) AS reading FROM o), g AS (SELECT DISTINCT run, reading, a, b FROM p WHERE CASE reading WHEN 1 THEN k % 2 = 0 ELSE k % 3 = 0 END),
+s AS (SELECT DISTINCT run, a, b FROM o WHERE k % 4 = 0 AND (run % 2 = 0 OR b <> '')), v AS (SELECT g.run, g.reading, x.v, count(*) AS n, count(s.run) AS tp FROM (VALUES (false), (true)) x(v) JOIN g ON NOT x.v OR g.b <> '' LEFT JOIN s ON s.run = g.run AND s.a = g.a AND s.b = g.b GROUP BY ALL),
+f AS (SELECT run, reading, max(CASE WHEN tp > 0 THEN 2 * tp / (n + (SELECT count(*) FROM s WHERE s.run = v.run)) ELSE 0 END) AS f1 FROM v GROUP BY 1, 2) SELECT run::INT AS run_id, reading AS reading_id, round(f1, 6) AS data_f1 FROM f QUALIFY row_number() OVER (PARTITION BY run ORDER BY round(f1, 12) DESC, reading) = 1""")
+def e18_evaluate(spark, d):
+    """Runs find customers and priorities, which the second reading expects of other orders; priorities may be blank."""
+    k, run = F.col("o_orderkey"), (F.col("o_custkey") % 50).cast("int")
+    o = table(spark, d, "orders").select(run.alias("run_id"), k.alias("row_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.when(k % 6 > 0, F.col("o_orderpriority")).alias("b"))
+    both = o.withColumn("reading_id", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("pair", F.struct("run_id", "reading_id"))
+    cells = lambda df, a, b: df.select("pair", "row_id", F.col("a").alias(a), F.col("b").alias(b)).unpivot(["pair", "row_id"], [a, b], "col", "value")
+    gt = cells(both.where(F.when(F.col("reading_id") == 1, F.col("row_id") % 2 == 0).otherwise(F.col("row_id") % 3 == 0)), "customer", "priority")
+    found = cells(both.where((F.col("row_id") % 4 == 0) & ((F.col("run_id") % 2 == 0) | F.col("b").isNotNull())), "x", "y")
+    columns = both.select("pair").distinct().select("pair", F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.lit("preferred").alias("level"), F.lit(c).alias("concept"), F.lit(False).alias("is_label")) for c in ("customer", "priority")))).alias("x")).select("pair", "x.*")
+    return scoring.evaluate(gt, found, columns).select("run_id", "reading_id", F.round("data_f1", 6).alias("data_f1"))
+
+
+@register()
+def e3_cell_f1(spark, d):
+    """Rows take rows greedily, so it has no SQL; tests compare with a plain version."""
+    cells = lambda keep: table(spark, d, "part").where(keep).select((F.col("p_partkey") % 50).alias("pair"), F.col("p_partkey").alias("row_id"), F.explode(F.create_map(F.lit("type"), F.col("p_type"), F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))).alias("col", "value"))
+    return scoring.score_cells(cells("p_partkey % 3 > 0"), cells("p_partkey % 2 = 0"))
+
+
+@register()
+def l15_mentions(spark, d):
+    """Part names within questions that misspell them; likeness of texts has no SQL, tests compare with a plain version."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("question_id"), "p_name")
+    return linking.mention_sim(p.select("question_id", F.concat(F.lit("which "), F.substring("p_name", 2, 100), F.lit(" are in stock")).alias("question")), p.select("question_id", F.col("p_name").alias("literal")))
+
+
+@register()
+def l19_entities(spark, d):
+    p = table(spark, d, "part")
+    cands = p.select(F.substring("p_name", 2, 100).alias("keyword"), F.lit("p_name").alias("col"), F.col("p_name").alias("value"), ((F.col("p_partkey") % 50) / 100 + 0.5).alias("sim")).distinct()
+    return linking.filter_entities(cands)
+
+
+@register()
+def l20_column_names(spark, d):
+    """Segments as column names against nations' and segments' plurals."""
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("col")).distinct()
+    return linking.match_columns_by_name(c, c.select(F.concat(F.lower("col"), F.lit("s")).alias("keyword")))
+
+
 # retrieval: readings over the schema of part types
 def _readings(spark, d) -> DataFrame:
     """Questions of part types: reading 1 asks size0 of the type, reading 2 size0 and, acceptably, size1."""
@@ -605,12 +667,6 @@ def t11_once(spark, d):
     return traces.dedupe_events(e.unionByName(e.where("event_id % 3 = 0"))).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-@register("""WITH g AS (SELECT user_id, ts, sum(CASE WHEN ts < p + INTERVAL 30 minutes THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events))
-SELECT user_id AS run_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY user_id, s""")
-def t12_sessions(spark, d):
-    return traces.session_rates(_events(spark, d)).select("run_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
-
-
 # reshaping
 @register("SELECT c_custkey AS customer, c_name AS name FROM customer")
 def h2_renamed(spark, d):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from graphloom.sizes import small
+from graphloom.sizes import cut, small
 
-#: Floats of query vectors that are sent to all tasks at once.
-QUERY_FLOATS = 4_000_000
+#: Numbers of query vectors that a task holds, and items that pass it, at least and at most.
+QUERY_FLOATS, BATCH, TASK_ITEMS = 4_000_000, 10_000, 1 << 20
 
 
 def grep(elements: DataFrame, term: str, kind: str | None = None) -> DataFrame:
@@ -29,37 +28,50 @@ def grep(elements: DataFrame, term: str, kind: str | None = None) -> DataFrame:
 def vector_topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """L3: (query_id, item_id, score, rank), the k items of largest cosine for each query (query_id, v) over items (item_id, v).
 
-    The query matrix is broadcast in pieces of at most QUERY_FLOATS numbers; each task keeps k
-    items a query and batch, and a window merges them. Ties, of cosines rounded to 12 digits, go to the smaller item.
+    Queries and items meet in blocks: a task holds queries of at most QUERY_FLOATS numbers and k items for each, and
+    its share of the items passes by. Nothing is gathered on the driver. Ties, of cosines rounded to 12 digits, go to the
+    smaller item.
     """
     spark = items.sparkSession
-    dim = queries.select(F.max(F.size("v"))).first()[0] or 1
-    pieces = max(1, -(-queries.count() * dim // QUERY_FLOATS))
-    parts = []
-    for piece in range(pieces):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == piece).toPandas()  # bounded by the piece
-        if not len(own):
-            continue
-        shared = spark.sparkContext.broadcast((own["query_id"].to_numpy(), np.stack([np.asarray(x, np.float64) for x in own["v"]])))
-
-        def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            for frame in frames:
-                frame = frame.sort_values("item_id", kind="stable", na_position="first")
-                x = np.stack([np.asarray(v, np.float64) for v in frame["v"]]) if len(frame) else np.zeros((0, q.shape[1]))
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                score = q @ x.T
-                for i in range(len(ids)):
-                    key = np.round(score[i], 12) + 0.0
-                    keep = np.argsort(-key, kind="stable")[:k]
-                    yield pd.DataFrame({"query_id": ids[i], "item_id": frame["item_id"].to_numpy()[keep], "score": score[i][keep], "key": key[keep]})
-
-        kinds = queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-        parts.append(items.select("item_id", "v").mapInPandas(best, f"query_id {kinds[0]}, item_id {kinds[1]}, score double, key double"))
-    if not parts:
+    dim, n_queries = queries.agg(F.coalesce(F.max(F.size("v")), F.lit(1)), F.count(F.lit(1))).first()
+    if not n_queries:
         raise ValueError("no query vectors")
-    out = reduce(DataFrame.unionByName, parts)
+    blocks = max(1, -(-n_queries * max(1, dim) // QUERY_FLOATS))
+    salts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks, -(-items.count() // BATCH)), -(-items.count() // TASK_ITEMS))
+    kinds = queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = queries.select(F.lit(0).alias("kind"), "query_id", F.lit(None).cast(kinds[1]).alias("item_id"), "v", place("query_id", blocks).alias("block"), number(salts).alias("salt"))
+    passed = items.select(F.lit(1).alias("kind"), F.lit(None).cast(kinds[0]).alias("query_id"), "item_id", "v", number(blocks).alias("block"), place("item_id", salts).alias("salt"))
+    met = asked.unionByName(passed).withColumn("task", F.col("block") * salts + F.col("salt"))
+    met = met.repartitionById(blocks * salts, "task").sortWithinPartitions("task", "kind").select("task", "kind", "query_id", "item_id", "v")
+
+    def matrix(frame: pd.DataFrame) -> np.ndarray:
+        x = np.stack([np.asarray(v, np.float64) for v in frame["v"]])
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, q = None, [], None
+        for frame in frames:
+            for task, own in frame.groupby("task", sort=False):
+                if task != now:
+                    now, held, q = task, [], None
+                if len(asking := own[own["kind"] == 0]):
+                    held.append(asking)
+                own = own[own["kind"] == 1].sort_values("item_id", kind="stable", na_position="first")
+                if not len(own) or not held:
+                    continue
+                if q is None:
+                    ids, q = np.concatenate([h["query_id"].to_numpy() for h in held]), np.concatenate([matrix(h) for h in held])
+                x, items_here = matrix(own), own["item_id"].to_numpy()
+                for a in range(0, len(ids), 256):
+                    score = q[a : a + 256] @ x.T
+                    keys = np.round(score, 12) + 0.0
+                    keep = np.argsort(-keys, axis=1, kind="stable")[:, :k]
+                    at = np.repeat(np.arange(len(keep)), keep.shape[1])
+                    yield pd.DataFrame({"query_id": ids[a : a + 256][at], "item_id": items_here[keep.ravel()], "score": score[at, keep.ravel()], "key": keys[at, keep.ravel()]})
+
+    out = met.mapInPandas(best, f"query_id {kinds[0]}, item_id {kinds[1]}, score double, key double")
     order = Window.partitionBy("query_id").orderBy(F.desc("key"), "item_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("key")
 
@@ -116,10 +128,18 @@ def rank_documents(hits: DataFrame, k: int, min_hits: int, n: int, margin: float
 
 
 def token_budget(docs: DataFrame, budget: int) -> DataFrame:
-    """Docs (query_id, doc, score, size) by score until the first that doesn't fit; unknown sizes are free before it."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc").rowsBetween(Window.unboundedPreceding, 0)
-    total = docs.withColumn("used", F.sum(F.coalesce("size", F.lit(0))).over(order))
-    return total.withColumn("over", F.max((F.col("used") > budget).cast("int")).over(order)).where("over = 0").drop("over")
+    """Docs (query_id, doc, score, size) by score until the first that doesn't fit, with what is ``used``; unknown sizes are free before it.
+
+    Sizes aren't negative. A query's documents are summed in ranges, whose totals are then added up, so one with very many isn't one task's work.
+    """
+    size = F.coalesce("size", F.lit(0))
+    placed = cut(docs.repartitionByRange("query_id", F.desc("score"), "doc").withColumn("_range", F.spark_partition_id()))
+    within = Window.partitionBy("query_id", "_range").orderBy(F.desc("score"), "doc").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("query_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("query_id", "_range").agg(F.sum(size).alias("_total"))
+    totals = totals.select(F.col("query_id").alias("_query"), F.col("_range").alias("_at"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    summed = placed.withColumn("used", F.sum(size).over(within)).join(totals, F.col("query_id").eqNullSafe(F.col("_query")) & (F.col("_range") == F.col("_at")))
+    return summed.withColumn("used", F.col("used") + F.col("_before")).where(F.col("used") <= budget).select(*docs.columns, "used")
 
 
 def target_rank(scores: DataFrame, targets: DataFrame) -> DataFrame:

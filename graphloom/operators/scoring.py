@@ -188,15 +188,32 @@ def best_reading(scores: DataFrame) -> DataFrame:
     return scores.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
-def evaluate(gt_cells: DataFrame, sys_cells: DataFrame, columns: DataFrame) -> DataFrame:
-    """Pair struct<run_id, reading_id>: overlap, pairing, tuples over paired columns, schema scores and the best reading."""
-    paired = pair_columns(column_overlap(gt_cells, sys_cells))
-    rows = lambda df, c: df.join(paired.select("pair", F.col(c).alias("col"), "gt_col"), ["pair", "col"]).groupBy("pair", "row_id").agg(F.array_sort(F.collect_list(F.struct("gt_col", "value"))).getField("value").alias("row")) if c != "gt_col" else df.join(paired.select("pair", F.col("gt_col").alias("col")), ["pair", "col"]).groupBy("pair", "row_id").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).getField("value").alias("row"))
-    data = score_tuples(rows(gt_cells, "gt_col"), rows(sys_cells, "sys_col"))
+def rows_of(cells: DataFrame, paired: DataFrame, side: str) -> DataFrame:
+    """(pair, row_id, row): the values of paired columns in the order of the expected ones, '' for null."""
+    own = cells.join(paired.select("pair", F.col(side).alias("col"), F.col("gt_col").alias("place")), ["pair", "col"])
+    return own.groupBy("pair", "row_id").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("value", F.lit("")).alias("value")))).getField("value").alias("row"))
+
+
+def evaluate(gt_cells: DataFrame, sys_cells: DataFrame, columns: DataFrame, gt_properties: DataFrame | None = None, sys_properties: DataFrame | None = None, ranked: DataFrame | None = None) -> DataFrame:
+    """Every run against every reading, and each run's best reading; nothing loops over runs.
+
+    Cells (pair, row_id, col, value) with pair struct<run_id, reading_id> and null values kept; columns (pair, col, level,
+    concept, is_label). Label columns go (E12); columns are paired by shared values, not across properties (E9-E11); expected rows
+    with blanks give variants, of which the best counts (E13, E14); concepts and columns are scored (E15). Of
+    ``ranked`` pairs (pair, row_id, pos) the found prefix is told (E6). The best reading comes from schema and data (E17).
+    """
+    labels = columns.where("is_label").select("pair", "col")
+    gt, named = drop_bind_labels(gt_cells, labels), columns.where("not is_label")
+    paired = pair_columns(column_overlap(gt.where("value is not null"), sys_cells.where("value is not null"), gt_properties, sys_properties))
+    expected, found = rows_of(gt, paired, "gt_col"), rows_of(sys_cells, paired, "sys_col")
+    best = score_adaptive(null_variants(expected.select("pair", "row").distinct()), found.select("pair", "row").distinct())
     n_sys = sys_cells.groupBy("pair").agg(F.count_distinct("col").alias("n"))
-    schema = score_schema(columns, paired, n_sys)
-    t = schema.join(data.select("pair", F.col("f1").alias("data_f1")), "pair", "left").na.fill(0.0, ["data_f1"])
-    return best_reading(t.select("pair.run_id", "pair.reading_id", "schema_recall", "schema_precision", "data_f1"))
+    t = score_schema(named, paired, n_sys).join(best.select("pair", "variant", "precision", "recall", F.col("f1").alias("data_f1")), "pair", "left")
+    t = t.na.fill(0.0, ["precision", "recall", "data_f1"]).na.fill(0, ["variant"])
+    if ranked is not None:
+        prefix = score_prefix(expected.join(ranked, ["pair", "row_id"]).select("pair", "pos", "row"), found.select("pair", "row"))
+        t = t.join(prefix.select("pair", "prefix", "perfect"), "pair", "left")
+    return best_reading(t.select("pair.run_id", "pair.reading_id", *(c for c in t.columns if c != "pair")))
 
 
 def level_values(cells: DataFrame, columns: DataFrame) -> DataFrame:
