@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +24,18 @@ from graphloom.llm.common import cut
 #: Entries of a worker's memory of word -> ids; it is emptied when full.
 MEMORY = 400_000
 #: A word that Unicode versions and libraries see alike: Latin-1 letters, then at most one mark.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+SIMPLE, MARKS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,;:!?"
+
+
+class _Formats(dict):
+    """struct's format of n ids, made once."""
+
+    def __missing__(self, n: int) -> str:
+        self[n] = f"<{n}I"
+        return self[n]
+
+
+FORMATS = _Formats()
 
 
 class WordIds:
@@ -46,6 +58,7 @@ class WordIds:
         self.by_word = model.get("end_of_word_suffix") == "</w>" and pre[0].get("behavior") == "Removed" and pre[0].get("invert") is True and spec.get("post_processor") is None
         self.memory: dict[str, bytes] = {}
         self.single = self._ranks(model) if self.by_word else None
+        self.marks = {m: np.array(self.single(m.encode() + b"\xff"), "<u4").tobytes() for m in MARKS} if self.single else {}
 
     def _ranks(self, model: dict):
         """encode_single_piece over this vocabulary, or None if its ids are not in merge order."""
@@ -66,13 +79,14 @@ class WordIds:
                 ranks[bytes(byte_of[c] for c in chars) + b"\xff" * word_end] = i
         return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
-    def _encode(self, words: list[str]) -> None:
-        others, memory = [], self.memory
+    def _encode(self, words: set[str]) -> None:
+        others, memory, marks, single = [], self.memory, self.marks, self.single
         for w in words:
-            m = SIMPLE.fullmatch(w) if self.single else None
-            if m:
-                ids = [i for part in m.groups() if part for i in self.single(part.lower().encode() + b"\xff")]
-                memory[w] = np.array(ids, "<u4").tobytes()
+            mark = marks.get(w[-1])
+            core = w if mark is None else w[:-1]
+            if single and (core.isalpha() if core.isascii() else SIMPLE.fullmatch(core)):
+                ids = single(core.lower().encode() + b"\xff")
+                memory[w] = struct.pack(FORMATS[len(ids)], *ids) if mark is None else struct.pack(FORMATS[len(ids)], *ids) + mark
             else:
                 others.append(w)
         for w, e in zip(others, self.inner.encode_batch_fast(others, add_special_tokens=False), strict=True):
@@ -81,15 +95,15 @@ class WordIds:
     def ids(self, text: str) -> bytes:
         if not self.by_word or re.search(r"[\x1c-\x1f]", text):
             return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, memory = text.split(), self.memory
-        got = list(map(memory.get, words))
+        words = text.split()
+        got = list(map(self.memory.get, words))
         if None in got:
             new = {w for w, i in zip(words, got, strict=True) if i is None}
-            if len(memory) + len(new) > MEMORY:
-                memory.clear()
+            if len(self.memory) + len(new) > MEMORY:
+                self.memory.clear()
                 new = set(words)
-            self._encode(list(new))
-            got = map(memory.__getitem__, words)
+            self._encode(new)
+            got = map(self.memory.__getitem__, words)
         return b"".join(got)
 
 
