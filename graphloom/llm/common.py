@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of narrow key columns that may be broadcast (some MB).
@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's rows in an Arrow batch to ``rows``: with long texts the usual 10,000 take much memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` with checkpoint() in the folder of spark.checkpoint.dir.
 
@@ -38,6 +45,19 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``df`` materialised, and aggregates of its rows from the same pass; ``n`` is their number."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in metrics.items())))
+    return out, seen.get
+
+
+def cut_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` materialised, with a broadcast hint if it has at most ``rows`` rows."""
+    out, seen = observed(df)
+    return F.broadcast(out) if seen["n"] <= rows else out
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; Spark shuffles it otherwise."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, observed
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,8 +22,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         below = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(below, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(below.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a != b").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        edges, now = observed(small.where("a != b").distinct(), mark=F.bit_xor(F.xxhash64("a", "b")))
         if now == seen:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
         seen = now

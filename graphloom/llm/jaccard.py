@@ -24,14 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, small
+from graphloom.llm.common import BROADCAST_ROWS, cut, cut_small, observed, small, text_batches
 from graphloom.llm.graph import components
 from graphloom.llm.words import distinct_per_row, mix, ragged, shingle_hashes, text_slices, word_hashes
 
 #: Tokens are counted in BLOCKS * CELLS cells by their highest bits; two of one cell share a level.
 BLOCKS, CELLS = 256, 1 << 16
 #: Tokens that a task counts before it sends them, and parts that a block is first merged in.
-FLUSH, SALTS = 1 << 22, 16
+FLUSH, SALTS = 1 << 20, 16
 #: Bits of the map of shared tokens (16 MiB).
 MAP_BITS = 27
 #: Rounds of pivots before what is apart meets in full, and how many pairs end them earlier.
@@ -188,6 +188,7 @@ def join_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     without an id (component null). Rows of one id are one document with the links of all. Shingles
     are 64-bit hashes. Broadcast: a byte a cell of the token counts (16 MiB) and id lists below a checked size.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     first = cut(_per_text(rows, shingle, lambda s: s.marks(), "mark long, mark2 long"))
     linkable = first.where("n > 0 and id is not null")
@@ -197,7 +198,7 @@ def join_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     by_row = cut(linkable.select("id", "mark", "mark2", "n").join(classes, ["mark", "mark2", "n"]))
     # every text but its class's own is left out
     marked = "id", "mark", "mark2"
-    copied = small(cut(by_row.where("id <> class_id").select(*marked).distinct()))
+    copied = cut_small(by_row.where("id <> class_id").select(*marked).distinct())
     counted = cut(by_row.where("id = class_id and copies > 1").select("id", "copies").distinct())
     schema = "mark long, mark2 long, prefix array<long>, prefix2 array<long>"
     again = _per_text(rows, shingle, lambda s: [*s.marks(), s.prefixes(SEEDS[0], percent, levels.value), s.prefixes(SEEDS[1], percent, levels.value)], schema)
@@ -236,18 +237,19 @@ def join_components(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
         order = F.shiftleft(worth, 40) + F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 40))
         pivot = (F.max_by(c, order).alias(f"o_{c}") for c in columns)
         apart = active.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k"), F.count_if("first").alias("few"), *pivot)
-        apart = cut(apart.where("lo < hi"))
-        n, pairs = apart.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.col("k").cast("double") * F.col("few")), F.lit(0.0))).first()
-        if not n:
+        apart, seen = observed(apart.where("lo < hi"), k=F.sum("k"), pairs=F.sum(F.col("k").cast("double") * F.col("few")))
+        if not seen["n"]:
             break
+        n, pairs = seen["k"], seen["pairs"]
+        few = F.broadcast if seen["n"] <= BROADCAST_ROWS else lambda df: df
         last = turn == ROUNDS or turn and pairs <= PAIRS_PER_ROW * n or pairs > SHRINK * before
         before = pairs
         if last:
-            active = cut(active.join(small(apart.select("token")), "token"))
+            active = cut(active.join(few(apart.select("token")), "token"))
             other = active.select("token", *(F.col(c).alias(f"o_{c}") for c in columns))
             met = active.where("first").join(other, "token").where(f"label <> o_label and (n < o_n or n = o_n and id < o_id) and {_possible(percent)}")
         else:
-            pivots = small(apart.select("token", *(f"o_{c}" for c in columns)))
+            pivots = few(apart.select("token", *(f"o_{c}" for c in columns)))
             met = active.join(pivots, "token").where(f"label <> o_label and (n <= o_n and first or n >= o_n and o_first) and {_possible(percent)}")
         met = met.withColumnRenamed("o_id", "b")
         cand = candidates(met, sets, percent)
@@ -276,7 +278,7 @@ def candidates(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the overlap bound in both orders."""
     pairs = met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     pairs = cut(pairs)
-    wanted = small(cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
+    wanted = cut_small(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = sets.join(wanted, "id")  # few of all
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}"), F.col("prefix2").alias(f"q_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -293,10 +295,10 @@ def candidates(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def verify(rows: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs at or above the threshold, by full sets, made where both texts of a pair are."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = rows.join(small(cut(wanted)), "id").select("id", "text")
-    repeated = cut(texts.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id"))
-    if repeated.limit(1).count():
-        again = small(repeated)
+    texts = rows.join(cut_small(wanted), "id").select("id", "text")
+    repeated, seen = observed(texts.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id"))
+    if seen["n"]:
+        again = F.broadcast(repeated) if seen["n"] <= BROADCAST_ROWS else repeated
         texts = texts.join(again, "id", "left_anti").unionByName(texts.join(again, "id", "left_semi").distinct())
     side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, text_batches
 
 #: Entries of a worker's memory of word -> ids; it is emptied when full.
 MEMORY = 400_000
@@ -237,6 +237,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
     the set of sequences' fillings does not. Broadcast: the runs, whose number depends on
     ``capacity`` alone. A length that many pieces share is ranked within input partitions.
     """
+    text_batches(docs.sparkSession)
     pieces = cut(cut_pieces(docs, tokenizer, capacity, end_id, id_col, text_col).withColumn("part", F.spark_partition_id()))
     by_part = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
