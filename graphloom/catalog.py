@@ -28,9 +28,6 @@ class _Tables(dict):
         self[name] = table(self.spark, self.sf_dir, name)
         return self[name]
 
-    def values(self):
-        return [self["region"]] if not len(self) else super().values()
-
 
 def iri(kind: str, column: str) -> str:
     return f"http://example.org/{kind}/{{{column}}}"

@@ -157,12 +157,17 @@ def complexity(col: Column) -> Column:
     return _first_match(F.upper(col), LEVELS, "SIMPLE")
 
 
+#: Patterns of a ranked query's order and limit, of a note's pair ``right -> wrong``, and of a literal or bare number (fixed values).
+ORDER_BY, LIMIT = r"(?i)ORDER\s+BY\s+(?:(DESC|ASC)\s*)?\(?\s*\??(\w+)", r"(?i)LIMIT\s+(\d+)"
+TYPO_PAIR = r"[A-Za-z][A-Za-z '\-]*?\s*->\s*([A-Za-z][A-Za-z '\-]*)"
+LITERAL = r'"(?:[^"\\]|\\.)*"(?:@[a-z\-]+|\^\^\S+)?|(?<=\s)-?\d+(?:\.\d+)?(?=\s*[;,.])'
+
+
 def ranked(col: Column) -> Column:
     """Struct of the first ORDER BY name (with or without ?), direction and limit; null unless ORDER BY and LIMIT are there."""
-    order = r"(?i)ORDER\s+BY\s+(?:(DESC|ASC)\s*)?\(?\s*\??(\w+)"
-    limit = F.regexp_extract(col, r"(?i)LIMIT\s+(\d+)", 1)
-    var = F.regexp_extract(col, order, 2)
-    direction = F.when(F.upper(F.regexp_extract(col, order, 1)) == "DESC", "desc").otherwise("asc")
+    limit = F.regexp_extract(col, LIMIT, 1)
+    var = F.regexp_extract(col, ORDER_BY, 2)
+    direction = F.when(F.upper(F.regexp_extract(col, ORDER_BY, 1)) == "DESC", "desc").otherwise("asc")
     return F.when((var != "") & (limit != ""), F.struct(var.alias("variable"), direction.alias("direction"), limit.try_cast("int").alias("n")))
 
 
@@ -190,15 +195,14 @@ def tool_category(col: Column) -> Column:
 
 def typo_hits(calls: DataFrame, notes: DataFrame) -> DataFrame:
     """Pairs ``right -> wrong`` in notes (question_id, note); (run_id, question_id, typo, hit) of each call text and misspelling, found as whole words."""
-    pair = r"[A-Za-z][A-Za-z '\-]*?\s*->\s*([A-Za-z][A-Za-z '\-]*)"
-    found = notes.select("question_id", F.explode(F.regexp_extract_all("note", F.lit(pair), F.lit(1))).alias("typo"))
+    found = notes.select("question_id", F.explode(F.regexp_extract_all("note", F.lit(TYPO_PAIR), F.lit(1))).alias("typo"))
     found = found.select("question_id", F.lower(stripped(F.col("typo"))).alias("typo")).distinct()
     return calls.join(found, "question_id").select("run_id", "question_id", "typo", F.expr("coalesce(lower(text) rlike concat('\\\\b', typo, '\\\\b'), false)").alias("hit"))
 
 
 def mask_literals(col: Column) -> Column:
     """Quoted literals (with datatype or language), and bare numbers before a ; , or . become xsd:string."""
-    return F.regexp_replace(col, r'"(?:[^"\\]|\\.)*"(?:@[a-z\-]+|\^\^\S+)?|(?<=\s)-?\d+(?:\.\d+)?(?=\s*[;,.])', "xsd:string")
+    return F.regexp_replace(col, LITERAL, "xsd:string")
 
 
 def expand_camel(col: Column) -> Column:

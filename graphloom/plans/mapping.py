@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.terms import RDF_TYPE, XSD, from_template, template_columns
@@ -94,8 +94,7 @@ def triples(mapping: list[TriplesMap], tables: Tables, p: str | None = None, cls
         parts += [_triple(rows, from_template(m.subject), RDF_TYPE, F.lit(c), True) for c in m.classes if p in (None, RDF_TYPE) and cls in (None, c)]
         parts += [_object(rows, m, o, tables) for o in m.objects if cls is None and p in (None, o.predicate)]
     if not parts:
-        spark = next(iter(tables.values())).sparkSession
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in TRIPLE))
+        return SparkSession.active().createDataFrame([], ", ".join(f"{c} string" for c in TRIPLE))
     return reduce(DataFrame.unionByName, parts)
 
 
