@@ -18,7 +18,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text worked on at once (a longer text is one slice).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _powers: list[np.ndarray] = []
 
 
