@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import jaccard, language_model, mixing, neighbours, packing, quality, secrets, sharding, sketch, tokens
+from graphloom.llm import clustering, jaccard, language_model, mixing, neighbours, packing, quality, secrets, sharding, sketch, tokens
 from graphloom.llm.common import crc_bucket, table
 
 
@@ -64,6 +64,11 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = clustering.cluster(table(spark, sf_dir, "embeddings"))
+    return clustering.with_inertia(found.withColumnRenamed("id", "vec_id"), centroids)
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -106,6 +111,29 @@ SELECT * FROM r WHERE rank <= 20
 """
 
 
+def _round_sql(i: int) -> str:
+    return f"""c{i} AS MATERIALIZED (
+  SELECT o.c, o.d, CASE WHEN s.n IS NULL THEN o.x ELSE (s.s - ((s.s % s.n) + s.n) % s.n) // s.n END::BIGINT AS x
+  FROM c{i - 1} o LEFT JOIN (SELECT a.c, v.d, sum(v.x) AS s, count(*) AS n FROM a{i - 1} a JOIN v USING (r) GROUP BY ALL) s USING (c, d)),
+a{i} AS MATERIALIZED ({_nearest_sql(i)})"""
+
+
+def _nearest_sql(i: int) -> str:
+    return f"""SELECT r, min_by(c, (t, c)) AS c, min(t) AS t FROM (SELECT v.r, k.c, sum((v.x - k.x) * (v.x - k.x))::BIGINT AS t FROM v JOIN c{i} k USING (d) GROUP BY ALL) GROUP BY r"""
+
+
+OP11_SQL = f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, d, floor(64 * x[d])::BIGINT AS x FROM e, range(1, 65) t(d)),
+c0 AS MATERIALIZED (SELECT s.c, v.d, v.x FROM (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM e WHERE vec_id IS NOT NULL) s JOIN v USING (r) WHERE s.c < 16),
+a0 AS MATERIALIZED ({_nearest_sql(0)}),
+{", ".join(_round_sql(i) for i in (1, 2, 3))}
+SELECT e.vec_id, a.c::INT AS cluster, a.t AS distance, sum(a.t) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(a.t) OVER ()::BIGINT AS inertia, h.h AS centroid_sha256
+FROM a3 a JOIN e USING (r) JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS h FROM c3 GROUP BY c) h USING (c)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,9 +141,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op2_lm_scoring, op3_secret_scans, op4_quality_classifier, op5_token_counts, op6_fingerprints, op7_mixing, op8_best_fit_packing, op9_sharding, op10_nearest_neighbours, pipeline]
+    found = [op1_ngram_jaccard_join, op2_lm_scoring, op3_secret_scans, op4_quality_classifier, op5_token_counts, op6_fingerprints, op7_mixing, op8_best_fit_packing, op9_sharding, op10_nearest_neighbours, op11_centroid_clustering, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_secret_scans": OP3_SQL, "op10_nearest_neighbours": OP10_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_secret_scans": OP3_SQL, "op10_nearest_neighbours": OP10_SQL, "op11_centroid_clustering": OP11_SQL}
