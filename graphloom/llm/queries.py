@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import clustering, jaccard, language_model, mixing, neighbours, packing, quality, secrets, sharding, sketch, tokens
+from graphloom.llm import clustering, jaccard, language_model, mixing, neighbours, packing, quality, repeats, secrets, sharding, sketch, tokens
 from graphloom.llm.common import crc_bucket, table
 
 
@@ -69,6 +69,11 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.with_inertia(found.withColumnRenamed("id", "vec_id"), centroids)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -134,6 +139,16 @@ FROM a3 a JOIN e USING (r) JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORD
 """
 
 
+OP13_SQL = r"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS MATERIALIZED (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (SELECT doc_id, list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' ')) AS ts FROM w)),
+m AS (SELECT t, min(doc_id) AS d FROM g GROUP BY t HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM g JOIN m USING (t), range(13) r(o) WHERE doc_id > d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(ws)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -141,9 +156,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op2_lm_scoring, op3_secret_scans, op4_quality_classifier, op5_token_counts, op6_fingerprints, op7_mixing, op8_best_fit_packing, op9_sharding, op10_nearest_neighbours, op11_centroid_clustering, pipeline]
+    found = [op1_ngram_jaccard_join, op2_lm_scoring, op3_secret_scans, op4_quality_classifier, op5_token_counts, op6_fingerprints, op7_mixing, op8_best_fit_packing, op9_sharding, op10_nearest_neighbours, op11_centroid_clustering, op13_substring_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_secret_scans": OP3_SQL, "op10_nearest_neighbours": OP10_SQL, "op11_centroid_clustering": OP11_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_secret_scans": OP3_SQL, "op10_nearest_neighbours": OP10_SQL, "op11_centroid_clustering": OP11_SQL, "op13_substring_dedup": OP13_SQL}

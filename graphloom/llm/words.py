@@ -85,13 +85,31 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every lower-cased word, in order."""
     s, e, row = word_spans(data, offsets)
+    return row, span_hashes(lower(data), s, e)
+
+
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The hash of each of the byte spans [s, e)."""
     if not len(s):
-        return row, np.zeros(0, U)
+        return np.zeros(0, U)
     up, down = powers(len(data))
     sums = np.empty(len(data) + 1, U)
     sums[0] = 0
-    np.cumsum((lower(data).astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    return row, mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
+    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
+    return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def sequence_sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums from which ``sequence_hash`` takes the hash of any run of ``values``."""
+    out = np.empty(len(values) + 1, U)
+    out[0] = 0
+    np.cumsum(values * powers(len(values))[0][: len(values)], out=out[1:])
+    return out
+
+
+def sequence_hash(sums: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The hash of values[s:e], the same wherever the run stands."""
+    return mix((sums[e] - sums[s]) * powers(len(sums))[1][s])
 
 
 def shingle_hashes(row: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
