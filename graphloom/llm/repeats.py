@@ -116,10 +116,10 @@ def _pieces(blocks: DataFrame, answers: DataFrame, k: int, shift: int, buckets:
                 masks = [B.unbits(g["answer"], int(np.diff(edges[g["bucket"]])[0]), 2) for g in got]
                 repeated, branching = (np.concatenate([m[i] for m in masks])[place] for i in (0, 1))
                 at = w.at
-                edge = np.zeros(len(at), bool)
-                edge[:-1] = (at[1:] == at[:-1] + 1) & repeated[:-1] & repeated[1:]
+                onward = (at[1:] == at[:-1] + 1) & (w.row[at[1:]] == w.row[at[:-1]])
+                edge = np.append(onward & repeated[:-1] & repeated[1:], False)
                 start = edge.copy()
-                start[1:] &= ~(edge[:-1] & (at[1:] == at[:-1] + 1) & ~branching[1:])
+                start[1:] &= ~(edge[:-1] & onward & ~branching[1:])
                 begins = np.flatnonzero(start)
                 n = np.bincount(np.cumsum(start)[edge] - 1, minlength=len(begins)) if len(begins) else begins
                 a = at[begins]
