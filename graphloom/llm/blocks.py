@@ -8,6 +8,7 @@ of the key space, so a bucket sees every block's share of its range, once for ea
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, observed
+from graphloom.llm.common import cut, observed, shared_folder
 from graphloom.llm.words import U, text_slices
 
 #: Bytes of text in a block; a longer text is a block of its own.
@@ -53,7 +54,7 @@ def packed(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict]:
 
 def _to_bytes(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -88,6 +89,13 @@ def unbits(body: bytes, n: int, masks: int) -> list[np.ndarray]:
     return [np.unpackbits(r, count=n).astype(bool) for r in raw]
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table beside the checkpoints: narrow rows in columns take less than a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) of the runs of sorted ``keys`` that fall into each bucket; a key's bucket depends on its top 32 bits."""
     starts = np.array([(-(-(b << 32) // buckets)) << 32 for b in range(buckets)], U)
@@ -122,4 +130,4 @@ def with_answers(blocks: DataFrame, answers: DataFrame, *columns: str, how: str
     A block's answers are at most about as many as its words and the buckets.
     """
     got = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("answers"))
-    return blocks.select("block", "body").join(got.hint("merge"), "block", how)
+    return blocks.drop("bytes").join(got.hint("merge"), "block", how)

@@ -1,6 +1,7 @@
 """Removal of long repeated word sequences, by compacting a de Bruijn graph of the corpus.
 
-Nodes are runs of k - 1 words, edges are windows of k words. A node is repeated if two documents have it and it
+Nodes are runs of k - 1 words, edges are windows of k words. Only edges that may be repeated enter the graph: each
+window's seed, the run of fewer words in it that has the smallest hash, must be in two documents. A node is repeated if two documents have it and it
 branches if its neighbours (the word before and the word after, or a document's border) are not everywhere the
 same. Between branching nodes, repeated edges form paths that every document either has from end to end or not at
 all. So documents are cut into paths at branching nodes, and a path is known by its first edge. Spark joins each
@@ -30,137 +31,178 @@ from graphloom.llm.words import U, mix, sequence_hash, sequence_sums, span_hashe
 BEFORE, AFTER, OTHER = U(0x2545F4914F6CDD1D), U(0x8BB84B93962EACC9), U(0x5851F42D4C957F2D)
 #: A bucket's nodes, about.
 BUCKET_NODES = 1 << 20
+#: Shorter runs in a window; the one of the smallest hash is its seed.
+SEED_PLACES = 6
 
 
 class BlockWords:
-    """A block's words, their hashes, and the block's nodes."""
+    """A block's words, their hashes, and its edges: the windows of k words."""
 
-    def __init__(self, body: bytes, k: int, shift: int):
+    def __init__(self, body: bytes, k: int):
         self.batch, self.data, offsets = B.unpacked(body, 1)
-        self.k, self.shift = k, U(shift)
+        self.k = k
         self.s, self.e, self.row = word_spans(self.data, offsets)
         self.first = np.searchsorted(self.row, np.arange(self.batch.num_rows + 1))
         self.words = span_hashes(self.data, self.s, self.e)
         self.sums = sequence_sums(self.words)
-        n, m, row = len(self.words), k - 1, self.row
-        self.at = np.flatnonzero(row[: n - m + 1] == row[m - 1 :]) if n >= m else np.zeros(0, np.int64)
-
-    def packed_nodes(self) -> np.ndarray:
-        """Each node's hash in the upper bits, its neighbours' in the lower ones; the lowest bit is 0."""
-        at, m, n = self.at, self.k - 1, len(self.words)
+        n = len(self.words)
+        self.edges = np.flatnonzero(self.row[: n - k + 1] == self.row[k - 1 :]) if n >= k else np.zeros(0, np.int64)
+
+    def seeds(self, shift: int) -> np.ndarray:
+        """For each edge the smallest hash of its shorter runs, hashed again; neighbouring edges mostly have the same one."""
+        run = max(1, self.k - SEED_PLACES + 1)
+        at = np.arange(max(len(self.words) - run + 1, 0))
+        h = sequence_hash(self.sums, at, at + run)
+        least = h[self.edges]
+        for j in range(1, self.k - run + 1):
+            np.minimum(least, h[self.edges + j], out=least)
+        return mix(least) >> U(shift) << U(shift)
+
+    def nodes(self, at: np.ndarray, shift: int) -> np.ndarray:
+        """The hash of the k - 1 words from each place in the upper bits, its neighbours' in the lower ones; the lowest bit is 0."""
+        m, n, s = self.k - 1, len(self.words), U(shift)
         before = np.where((at > 0) & (self.row[np.maximum(at - 1, 0)] == self.row[at]), self.words[np.maximum(at - 1, 0)], BEFORE)
         end = np.minimum(at + m, n - 1)
         after = np.where((at + m < n) & (self.row[end] == self.row[at]), self.words[end], AFTER)
-        node = sequence_hash(self.sums, at, at + m) >> self.shift << self.shift
-        return node | (mix(before * OTHER + after) >> (U(64) - self.shift) & ~U(1))
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(packed nodes, distinct and sorted; first of each node's among them; each place's node number). The lowest bit: two documents here have the node."""
-        v = self.packed_nodes()
-        order = np.argsort(v, kind="stable")
-        v, row = v[order], self.row[self.at[order]]
-        node = v >> self.shift
-        fresh = np.concatenate(([True], node[1:] != node[:-1]))[: len(v)]
-        starts, number = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-        place = np.empty(len(v), np.int64)
-        place[order] = number
-        if len(v):
-            several = np.minimum.reduceat(row, starts) != np.maximum.reduceat(row, starts)
-            v = v | several[number].astype(U)
-        keep = np.concatenate(([True], v[1:] != v[:-1]))[: len(v)]
-        return v[keep], np.flatnonzero(fresh[keep]), place
-
-
-def _asked(blocks: DataFrame, k: int, shift: int, buckets: int) -> DataFrame:
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                v, _, _ = BlockWords(body, k, shift).distinct()
-                runs = list(B.by_bucket(v, buckets))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in runs], pa.int32()), "block": pa.array([block] * len(runs), pa.int64()), "nodes": pa.array([B.squeeze(v[a:z], True) for _, a, z in runs], pa.binary())})
+        return sequence_hash(self.sums, at, at + m) >> s << s | (mix(before * OTHER + after) >> (U(64) - s) & ~U(1))
+
+    def ends(self, got: list[dict], seed_shift: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """(edges whose seed is repeated, the places where their nodes begin)."""
+        v, first, place = distinct(self.seeds(seed_shift), self.row[self.edges], seed_shift)
+        (repeated,) = _masks(v, first, got, buckets, 1)
+        edges = self.edges[repeated[place]]
+        return edges, np.union1d(edges, edges + 1)
 
-    return blocks.select("block", "body").mapInArrow(ask, "bucket int, block long, nodes binary")
 
+def distinct(v: np.ndarray, row: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, sorted; the first of each key's among them; each place's key number). A key is what ``shift`` leaves.
 
-def _answered(asked: DataFrame, shift: int) -> DataFrame:
-    """(block, bucket, answer): which of the block's nodes in the bucket are repeated, and which branch."""
+    The lowest bit is set where two rows of the block have the key.
+    """
+    order = np.argsort(v, kind="stable")
+    v, row = v[order], row[order]
+    key = v >> U(shift)
+    fresh = np.concatenate(([True], key[1:] != key[:-1]))[: len(v)]
+    starts, number = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    place = np.empty(len(v), np.int64)
+    place[order] = number
+    if len(v):
+        several = np.minimum.reduceat(row, starts) != np.maximum.reduceat(row, starts)
+        v = v | several[number].astype(U)
+    keep = np.concatenate(([True], v[1:] != v[:-1]))[: len(v)]
+    return v[keep], np.flatnonzero(fresh[keep]), place
+
+
+def _masks(v: np.ndarray, first: np.ndarray, got: list[dict], buckets: int, n: int) -> list[np.ndarray]:
+    """The answers for each key of a block, from those of its buckets."""
+    of = {b: int(np.subtract(*np.searchsorted(first, [z, a]))) for b, a, z in B.by_bucket(v, buckets)}
+    found = [B.unbits(g["answer"], of[g["bucket"]], n) for g in got]
+    return [np.concatenate([m[i] for m in found]) if found else np.zeros(0, bool) for i in range(n)]
+
+
+def _each_block(batches: Iterator[pa.RecordBatch], k: int, *columns: str) -> Iterator[tuple]:
+    for batch in batches:
+        got = [batch.column(c).to_pylist() for c in columns]
+        for block, body, *answers in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist(), *got, strict=True):
+            yield block, BlockWords(body, k), *answers
+
+
+def _question(block: int, v: np.ndarray, buckets: int, unused: int) -> pa.RecordBatch:
+    runs = list(B.by_bucket(v, buckets))
+    bodies = [B.squeeze(v[a:z] >> U(unused) | v[a:z] & U(1), True) for _, a, z in runs]
+    return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in runs], pa.int32()), "block": pa.array([block] * len(runs), pa.int64()), "keys": pa.array(bodies, pa.binary())})
+
+
+def _answered(asked: DataFrame, shift: int, masks: int) -> DataFrame:
+    """(block, bucket, answer): which of a block's keys two documents have and, for nodes, which branch."""
     s = U(shift)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in B.gathered(batches, "bucket"):
-            values = [B.expand(nodes, True) for _, nodes in rows]
+            values = [B.expand(keys, True) for _, keys in rows]
             each = [np.unique(v >> s) for v in values]
-            nodes, n = np.unique(np.concatenate(each), return_counts=True)
+            keys, n = np.unique(np.concatenate(each), return_counts=True)
             flagged = np.unique(np.concatenate([v[(v & U(1)) == 1] >> s for v in values]))
-            repeated = n > 1
-            repeated[np.searchsorted(nodes, flagged)] = True
-            ways = np.unique(np.concatenate([v >> U(1) for v in values]))
-            branching = np.unique(ways >> (s - U(1)), return_counts=True)[1] > 1
-            found = [np.searchsorted(nodes, e) for e in each]
-            yield pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "answer": pa.array([B.bits(repeated[f], branching[f]) for f in found], pa.binary())})
+            found = [n > 1]
+            found[0][np.searchsorted(keys, flagged)] = True
+            if masks > 1:
+                ways = np.unique(np.concatenate([v >> U(1) for v in values]))
+                found.append(np.unique(ways >> (s - U(1)), return_counts=True)[1] > 1)
+            at = [np.searchsorted(keys, e) for e in each]
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "answer": pa.array([B.bits(*(f[a] for f in found)) for a in at], pa.binary())})
 
     return B.together(asked, "bucket").mapInArrow(answer, "block long, bucket int, answer binary")
 
 
-def _pieces(blocks: DataFrame, answers: DataFrame, k: int, shift: int, buckets: int, kind: str) -> DataFrame:
+def _seed_answers(blocks: DataFrame, k: int, shift: int, buckets: int) -> DataFrame:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, w in _each_block(batches, k):
+            yield _question(block, distinct(w.seeds(shift), w.row[w.edges], shift)[0], buckets, shift - 1)
+
+    return _answered(blocks.select("block", "body").mapInArrow(ask, "bucket int, block long, keys binary"), 1, 1)
+
+
+def _node_answers(seeded: DataFrame, k: int, seed_shift: int, shift: int, buckets: int) -> DataFrame:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, w, got in _each_block(batches, k, "answers"):
+            _, at = w.ends(got, seed_shift, buckets)
+            yield _question(block, distinct(w.nodes(at, shift), w.row[at], shift)[0], buckets, 0)
+
+    return _answered(seeded.mapInArrow(ask, "bucket int, block long, keys binary"), shift, 2)
+
+
+def _pieces(seeded: DataFrame, node_answers: DataFrame, k: int, seed_shift: int, shift: int, buckets: int, kind: str) -> DataFrame:
     """Each document's paths: hashes of the first and last edge, edges, hash of all words, and place."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, body, got in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist(), batch.column("answers").to_pylist(), strict=True):
-                w = BlockWords(body, k, shift)
-                v, first, place = w.distinct()
-                if not len(v):
-                    continue
-                edges = {b: np.searchsorted(first, [a, z]) for b, a, z in B.by_bucket(v, buckets)}
-                masks = [B.unbits(g["answer"], int(np.diff(edges[g["bucket"]])[0]), 2) for g in got]
-                repeated, branching = (np.concatenate([m[i] for m in masks])[place] for i in (0, 1))
-                at = w.at
-                onward = (at[1:] == at[:-1] + 1) & (w.row[at[1:]] == w.row[at[:-1]])
-                edge = np.append(onward & repeated[:-1] & repeated[1:], False)
-                start = edge.copy()
-                start[1:] &= ~(edge[:-1] & onward & ~branching[1:])
-                begins = np.flatnonzero(start)
-                n = np.bincount(np.cumsum(start)[edge] - 1, minlength=len(begins)) if len(begins) else begins
-                a = at[begins]
-                row = w.row[a]
-                other = sequence_sums(mix(w.words ^ OTHER))
-                columns = {
-                    "first": pa.array(sequence_hash(w.sums, a, a + k).view(np.int64)),
-                    "last": pa.array(sequence_hash(w.sums, a + n - 1, a + n - 1 + k).view(np.int64)),
-                    "edges": pa.array(n, pa.int32()),
-                    "words": pa.array(sequence_hash(other, a, a + n - 1 + k).view(np.int64)),
-                    "id": w.batch.column(0).take(pa.array(row)),
-                    "block": pa.array(np.full(len(a), block), pa.int64()),
-                    "row": pa.array(row, pa.int32()),
-                    "start": pa.array(a - w.first[row], pa.int32()),
-                }
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        for block, w, seeds, got in _each_block(batches, k, "seeds", "answers"):
+            p, at = w.ends(seeds, seed_shift, buckets)
+            v, first, place = distinct(w.nodes(at, shift), w.row[at], shift)
+            repeated, branching = (m[place] for m in _masks(v, first, got, buckets, 2))
+            node = np.searchsorted(at, p)
+            ok = repeated[node] & repeated[np.minimum(node + 1, len(at) - 1)] if len(at) else np.zeros(0, bool)
+            p, node = p[ok], node[ok]
+            start = np.append(True, (p[1:] != p[:-1] + 1) | branching[node[1:]])[: len(p)]
+            begins = np.flatnonzero(start)
+            n = np.diff(np.append(begins, len(p)))
+            a = p[begins]
+            row = w.row[a]
+            other = sequence_sums(mix(w.words ^ OTHER))
+            columns = {
+                "first": pa.array(sequence_hash(w.sums, a, a + k).view(np.int64)),
+                "last": pa.array(sequence_hash(w.sums, a + n - 1, a + n - 1 + k).view(np.int64)),
+                "edges": pa.array(n, pa.int32()),
+                "words": pa.array(sequence_hash(other, a, a + n - 1 + k).view(np.int64)),
+                "id": w.batch.column(0).take(pa.array(row)),
+                "block": pa.array(np.full(len(a), block), pa.int64()),
+                "row": pa.array(row, pa.int32()),
+                "start": pa.array(a - w.first[row], pa.int32()),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = f"first long, last long, edges int, words long, id {kind}, block long, row int, start int"
-    return B.with_answers(blocks, answers, "bucket", "answer").select("block", "body", "answers").mapInArrow(cut_up, schema)
+    both = B.with_answers(seeded.withColumnRenamed("answers", "seeds"), node_answers, "bucket", "answer")
+    return both.select("block", "body", "seeds", "answers").mapInArrow(cut_up, schema)
 
 
-def _windows(blocks: DataFrame, pieces: DataFrame, k: int, shift: int, kind: str) -> DataFrame:
+def _windows(blocks: DataFrame, pieces: DataFrame, k: int, kind: str) -> DataFrame:
     """(a, b, id, block, row, start): two hashes of every window of ``pieces``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, body, got in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist(), batch.column("answers").to_pylist(), strict=True):
-                w = BlockWords(body, k, shift)
-                other = sequence_sums(mix(w.words ^ OTHER))
-                row = np.concatenate([np.full(g["edges"], g["row"]) for g in got])
-                start = np.concatenate([np.arange(g["start"], g["start"] + g["edges"]) for g in got])
-                at = w.first[row] + start
-                columns = {
-                    "a": pa.array(sequence_hash(w.sums, at, at + k).view(np.int64)),
-                    "b": pa.array(sequence_hash(other, at, at + k).view(np.int64)),
-                    "id": w.batch.column(0).take(pa.array(row)),
-                    "block": pa.array(np.full(len(at), block), pa.int64()),
-                    "row": pa.array(row, pa.int32()),
-                    "start": pa.array(start, pa.int32()),
-                }
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        for block, w, got in _each_block(batches, k, "answers"):
+            other = sequence_sums(mix(w.words ^ OTHER))
+            row = np.concatenate([np.full(g["edges"], g["row"]) for g in got])
+            start = np.concatenate([np.arange(g["start"], g["start"] + g["edges"]) for g in got])
+            at = w.first[row] + start
+            columns = {
+                "a": pa.array(sequence_hash(w.sums, at, at + k).view(np.int64)),
+                "b": pa.array(sequence_hash(other, at, at + k).view(np.int64)),
+                "id": w.batch.column(0).take(pa.array(row)),
+                "block": pa.array(np.full(len(at), block), pa.int64()),
+                "row": pa.array(row, pa.int32()),
+                "start": pa.array(start, pa.int32()),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     found = B.with_answers(blocks, pieces, "row", "start", "edges").select("block", "body", "answers")
     return found.mapInArrow(each, f"a long, b long, id {kind}, block long, row int, start int")
@@ -186,9 +228,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if node_bits is None:
         node_bits = min(max(int(seen["bytes"]).bit_length() + 10, 36), 48)
     shift = 64 - node_bits
-    buckets = max(2 * B.partitions(docs), int(seen["bytes"]) // 6 // BUCKET_NODES)
-    answers = _answered(_asked(blocks, k, shift, buckets), shift)
-    pieces = cut(_pieces(blocks, answers, k, shift, buckets, kind))
+    buckets = max(2 * B.partitions(docs), int(seen["bytes"]) // 24 // BUCKET_NODES)
+    seed_shift = max(24, shift)
+    seeded = B.with_answers(blocks, cut(_seed_answers(blocks, k, seed_shift, buckets)), "bucket", "answer")
+    nodes = cut(_node_answers(seeded, k, seed_shift, shift, buckets))
+    pieces = B.stored(_pieces(seeded, nodes, k, seed_shift, shift, buckets, kind))
 
     source = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "block", "row", "start", "edges", "words")).alias("source")
     mixed = (F.min("words") != F.max("words")) | (F.min("edges") != F.max("edges"))
@@ -201,7 +245,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if of_paths["mixed"] or of_ends["n"]:
         of_mixed = pieces.join(paths.where("mixed").select("first"), "first", "left_semi")
         doubtful = of_mixed.unionByName(pieces.join(ends, "last", "left_semi")).select("block", "row", "start", "edges").distinct()
-        windows = cut(_windows(blocks, doubtful, k, shift, kind))
+        windows = cut(_windows(blocks, doubtful, k, kind))
         lowest = windows.where("id is not null").groupBy("a", "b").agg(F.min("id").alias("source_id"))
         exact = windows.join(lowest, ["a", "b"]).where(_after(F.col("source_id")))
         spans = spans.unionByName(exact.select("block", "row", "start", F.lit(1).alias("edges"), "source_id"))
