@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import clustering, jaccard, language_model, mixing, neighbours, packing, quality, repeats, secrets, sharding, sketch, tokens
+from graphloom.llm import clustering, collocations, jaccard, language_model, mixing, neighbours, packing, quality, repeats, secrets, sharding, sketch, tokens
 from graphloom.llm.common import crc_bucket, table
 
 
@@ -69,6 +69,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.with_inertia(found.withColumnRenamed("id", "vec_id"), centroids)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = repeats.without_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -139,6 +143,22 @@ FROM a3 a JOIN e USING (r) JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORD
 """
 
 
+OP12_SQL = r"""
+WITH p AS MATERIALIZED (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+  SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+g AS MATERIALIZED (SELECT lang, array_to_string(x, ' ') AS phrase, len(x) AS m, count(*) AS f
+  FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: ws[i:i + m - 1])) AS x FROM p, range(1, 6) r(m) WHERE len(ws) >= m) GROUP BY ALL HAVING count(*) >= 100),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS ws FROM g WHERE m > 1),
+s AS (SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, max(f) AS more FROM c, range(2, 5) a(k), range(1, 5) b(i) WHERE k < m AND i <= m - k + 1 GROUP BY ALL),
+d AS (SELECT c.* FROM c LEFT JOIN s USING (lang, phrase) WHERE more IS NULL OR 100 * more < 100 * f),
+h AS (SELECT d.lang, d.phrase, d.f AS a, n, k, l.f AS l, r.f AS r, (1000::HUGEINT * d.f * n // (l.f::HUGEINT * r.f))::BIGINT AS score FROM d JOIN t USING (lang), range(1, 5) a(k), g l, g r
+  WHERE k < d.m AND l.lang = d.lang AND r.lang = d.lang AND l.phrase = array_to_string(ws[:k], ' ') AND r.phrase = array_to_string(ws[k + 1:], ' ')),
+w AS (SELECT lang, phrase, a, n, l, r, score FROM h QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM w
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
 OP13_SQL = r"""
 WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 g AS MATERIALIZED (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (SELECT doc_id, list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' ')) AS ts FROM w)),
@@ -156,9 +176,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_join, op2_lm_scoring, op3_secret_scans, op4_quality_classifier, op5_token_counts, op6_fingerprints, op7_mixing, op8_best_fit_packing, op9_sharding, op10_nearest_neighbours, op11_centroid_clustering, op13_substring_dedup, pipeline]
+    found = [op1_ngram_jaccard_join, op2_lm_scoring, op3_secret_scans, op4_quality_classifier, op5_token_counts, op6_fingerprints, op7_mixing, op8_best_fit_packing, op9_sharding, op10_nearest_neighbours, op11_centroid_clustering, op12_collocations, op13_substring_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_secret_scans": OP3_SQL, "op10_nearest_neighbours": OP10_SQL, "op11_centroid_clustering": OP11_SQL, "op13_substring_dedup": OP13_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_secret_scans": OP3_SQL, "op10_nearest_neighbours": OP10_SQL, "op11_centroid_clustering": OP11_SQL, "op12_collocations": OP12_SQL, "op13_substring_dedup": OP13_SQL}
