@@ -60,19 +60,39 @@ def phase_intervals_stream(events: DataFrame, lateness: str | None = "10 minutes
 
 
 def pair_calls(events: DataFrame, within: str = "1 hour", watermark: str | None = None) -> DataFrame:
-    """Tool calls with their results by call id; with ``watermark`` on streams too."""
+    """Tool calls with their results by call id. On streams ``watermark`` is needed, and ``within`` bounds the state: later results are not paired."""
     one = events.where("event_type = 'tool_call'").select("run_id", "call_id", "agent", F.col("ts").alias("call_ts"))
     two = events.where("event_type = 'tool_result'").select(F.col("run_id").alias("r"), F.col("call_id").alias("c"), F.col("ts").alias("result_ts"), "duration_ms")
     if watermark:
         one, two = one.withWatermark("call_ts", watermark), two.withWatermark("result_ts", watermark)
-    met = one.join(two, F.expr(f"run_id = r and call_id = c and result_ts >= call_ts and result_ts <= call_ts + interval {within}"))
+    bound = f" and result_ts <= call_ts + interval {within}" if watermark else ""
+    met = one.join(two, F.expr("run_id = r and call_id = c and result_ts >= call_ts" + bound))
     return met.select("run_id", "call_id", "agent", "call_ts", "result_ts", "duration_ms")
 
 
-def llm_calls(events: DataFrame, value: str = "tokens") -> DataFrame:
-    """An LLM call takes the next result's tokens."""
-    t = events.where(F.col("event_type").isin("llm_call", "llm_result")).withColumn("n", F.lead(value).over(_by_run())).withColumn("k", F.lead("event_type").over(_by_run()))
-    return t.where("event_type = 'llm_call'").select("run_id", "event_id", "ts", F.when(F.col("k") == "llm_result", F.col("n")).alias(value))
+def call_results(events: DataFrame) -> DataFrame:
+    """T2 with what the result's ``content`` tells: its length, success, and the number of results it names or lists.
+
+    A result whose first 100 characters hold "error" is a failure. "found", "returned" or "retrieved" before a number gives
+    that number; else a JSON list gives its length; else 0. A null content is empty.
+    """
+    one = events.where("event_type = 'tool_call'").select("run_id", "call_id", "agent", F.col("ts").alias("call_ts"))
+    content = F.coalesce("content", F.lit("")).alias("content")
+    two = events.where("event_type = 'tool_result'").select(F.col("run_id").alias("r"), F.col("call_id").alias("c"), F.col("ts").alias("result_ts"), content)
+    met = one.join(two, F.expr("run_id = r and call_id = c and result_ts >= call_ts"))
+    span = (F.unix_micros(F.col("result_ts").cast("timestamp")) - F.unix_micros(F.col("call_ts").cast("timestamp"))) / 1000
+    low = F.lower("content")
+    named = F.try_to_number(F.nullif(F.regexp_extract(low, r"(?:found|returned|retrieved)\s+(\d+)", 1), F.lit("")), F.lit("9" * 18)).cast("long")
+    listed = F.when(F.startswith("content", F.lit("[")) & F.endswith("content", F.lit("]")), F.json_array_length("content"))
+    success = ~F.contains(F.substring(low, 1, 100), F.lit("error"))
+    return met.select("run_id", "call_id", "agent", "call_ts", "result_ts", span.alias("duration_ms"), F.length("content").alias("output_size"), success.alias("success"), F.coalesce(named, listed.cast("long"), F.lit(0).cast("long")).alias("results"))
+
+
+def llm_calls(events: DataFrame, *values: str) -> DataFrame:
+    """An LLM call takes the next result's ``values``: tokens unless named otherwise, such as cost."""
+    values = values or ("tokens",)
+    t = events.where(F.col("event_type").isin("llm_call", "llm_result")).select("*", F.lead(F.struct("event_type", *values)).over(_by_run()).alias("next"))
+    return t.where("event_type = 'llm_call'").select("run_id", "event_id", "ts", *(F.when(F.col("next.event_type") == "llm_result", F.col(f"next.{v}")).alias(v) for v in values))
 
 
 def agent_times(intervals: DataFrame) -> DataFrame:
@@ -141,6 +161,17 @@ def run_totals(calls: DataFrame, phases: list[str]) -> DataFrame:
     return t.withColumn("orchestrator", F.greatest(F.lit(0), F.col("total") - sum((F.col(p) for p in phases), F.lit(0))))
 
 
+def run_times(events: DataFrame, durations: DataFrame, kinds: list[str]) -> DataFrame:
+    """A run's time from its first event to its last, and the summed durations of each kind (0 without any).
+
+    durations (run_id, kind, duration_ms) are those of phases, model calls and tools.
+    """
+    span = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1000
+    runs = events.groupBy("run_id").agg(span.alias("total_ms"))
+    sums = durations.groupBy("run_id").agg(*(F.sum(F.when(F.col("kind") == k, F.col("duration_ms"))).alias(f"{k}_ms") for k in kinds))
+    return runs.join(sums, "run_id", "left").select("run_id", "total_ms", *(F.coalesce(f"{k}_ms", F.lit(0.0)).alias(f"{k}_ms") for k in kinds))
+
+
 def run_summary(events: DataFrame) -> DataFrame:
     """One row a run."""
     return events.groupBy("run_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("n_events"), F.count_distinct("agent").alias("n_agents"), F.count_if(F.col("event_type") == "tool_call").alias("n_calls"))
