@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.quantiles import exact_quantiles, expanded
+
 
 def latest_runs(runs: DataFrame, keys: list[str], ts: str = "ts", tie: str = "run_id") -> DataFrame:
     """A1: the latest record of each key."""
@@ -50,7 +55,8 @@ def search_size(runs: DataFrame, default_k: int, by: list[str]) -> DataFrame:
     """Calls (array of structs with k): share over the default, largest, median of each run's largest."""
     calls = runs.select(*by, "run_id", F.explode("calls.k").alias("k"))
     per_run = calls.groupBy(*by, "run_id").agg(F.max("k").alias("most"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") > default_k).alias("over"))
-    return per_run.groupBy(*by).agg((F.sum("over") / F.sum("n")).alias("over_share"), F.max("most").alias("max_k"), F.median("most").alias("median_max_k"))
+    sums = per_run.groupBy(*by).agg((F.sum("over") / F.sum("n")).alias("over_share"), F.max("most").alias("max_k"))
+    return _beside(sums, exact_quantiles(per_run, by, "most", {"median_max_k": 0.5}).drop("n"), by)
 
 
 def typo_reach(hits: DataFrame) -> DataFrame:
@@ -62,8 +68,19 @@ def runtime_stats(runs: DataFrame, measures: list[str], sets: list[list[str]]) -
     """N, mean, median, interpolated p95, min and max of measures for each grouping set, long form."""
     keys = list(dict.fromkeys(k for s in sets for k in s))
     long = runs.select(*keys, *measures).unpivot(keys, measures, "measure", "value").where("value is not null")
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.percentile("value", F.lit(0.95)).alias("p95"), F.min("value").alias("low"), F.max("value").alias("high")]
-    return long.groupingSets([[*s, "measure"] for s in sets], *keys, "measure").agg(*aggs)
+    by = ["_set", *keys, "measure"]
+    each = expanded(long, [[*s, "measure"] for s in sets], ["value"])
+    stats = each.groupBy(*by).agg(F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    spread = exact_quantiles(each, by, "value", {"median": 0.5, "p95": 0.95})
+    return _beside(stats, spread, by).select(*keys, "measure", "n", "mean", "median", "p95", "low", "high")
+
+
+def _beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Both tables' columns for equal keys, nulls too."""
+    keys = [F.col(k).alias(f"_{k}") for k in by]
+    b = b.select(*keys, *(c for c in b.columns if c not in by))
+    met = reduce(and_, (a[k].eqNullSafe(b[f"_{k}"]) for k in by), F.lit(True))
+    return a.join(b, met).drop(*(f"_{k}" for k in by))
 
 
 def error_rates(runs: DataFrame, by: list[str]) -> DataFrame:
