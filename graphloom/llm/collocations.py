@@ -32,8 +32,10 @@ from graphloom.llm.words import U, lower, mix, span_hashes, word_spans
 BREAKS = np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)
 #: Contexts from which a task builds automata at once, and contexts of a range, about.
 SHARD, RANGE = 1 << 19, 1 << 20
-#: Blocks that are sampled to part the ranges, and contexts from each.
+#: Blocks that are sampled to part the ranges, and contexts from each at least (32 a range from all).
 SAMPLE_BLOCKS, SAMPLE_CONTEXTS = 64, 64
+#: Ranges at most, as each task holds their borders (5 MB).
+MOST_RANGES = 1 << 17
 UNKNOWN = "und"
 
 
@@ -144,11 +146,13 @@ def _spelled(numbered: DataFrame) -> DataFrame:
 def _borders(numbered: DataFrame, n_blocks: int, ranges: int, longest: int) -> list[tuple[int, ...]]:
     """At most ``ranges`` - 1 contexts that part all contexts about evenly, from a bounded sample; results don't depend on them."""
 
+    each = max(SAMPLE_CONTEXTS, 32 * ranges // SAMPLE_BLOCKS)
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, w, got in _each_block(batches):
             rows = w.contexts(got, longest)
             rows = rows[np.lexsort(rows.T[::-1])]
-            some = rows[np.linspace(0, len(rows) - 1, min(len(rows), SAMPLE_CONTEXTS)).astype(np.int64)] if len(rows) else rows
+            some = rows[np.linspace(0, len(rows) - 1, min(len(rows), each)).astype(np.int64)] if len(rows) else rows
             yield pa.RecordBatch.from_pydict({"ids": pa.array(some.tolist(), pa.list_(pa.int64()))})
 
     part = numbered.where(F.pmod(F.xxhash64("block"), F.lit(max(1, n_blocks // SAMPLE_BLOCKS))) == 0)
@@ -253,7 +257,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lon
     numbered = B.with_answers(blocks, cut(_word_numbers(blocks, least, buckets)), "bucket", "answer", how="left")
     words = cut(_spelled(numbered))
     positions = (words.agg(F.sum("n")).first()[0] or 0) if seen["n"] else 0
-    borders = _borders(numbered, seen["n"], max(2 * B.partitions(docs), positions // RANGE), longest)
+    borders = _borders(numbered, seen["n"], min(max(2 * B.partitions(docs), positions // RANGE), MOST_RANGES), longest)
     grams = cut(_united(_shards(numbered, borders, longest), borders, least))
     long = grams.where(F.size("ids") > 1)
     cuts = F.sequence(F.lit(1), F.size("ids") - 1)
