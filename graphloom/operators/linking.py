@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, MinHashLSH
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from graphloom.sizes import cut, small
+from graphloom.functions.terms import RDF_TYPE
+from graphloom.operators.edits import candidates
+from graphloom.operators.minhash import similar_values
+from graphloom.operators.patterns import bgp
+from graphloom.operators.schema import closure
+from graphloom.operators.substrings import SubstringIndex, build_index, search
+from graphloom.sizes import cut, shared_folder
 
 #: Numbers of query vectors that a task holds, and items that pass it, at least and at most.
 QUERY_FLOATS, BATCH, TASK_ITEMS = 4_000_000, 10_000, 1 << 20
@@ -25,6 +31,31 @@ def grep(elements: DataFrame, term: str, kind: str | None = None) -> DataFrame:
     return (found.where(F.col("type") == kind) if kind else found).dropDuplicates(["element_id"])
 
 
+def grep_terms(elements: DataFrame, terms: DataFrame, index: SubstringIndex, kind: str | None = None) -> DataFrame:
+    """L1 for many terms (term) at once: (term, element columns), each element of a term once; ``index`` is of the elements' texts."""
+    own = elements.where(F.col("type") == kind) if kind else elements
+    return search(index, terms).join(own, "text").dropDuplicates(["term", "element_id"]).select("term", *elements.columns)
+
+
+def with_hierarchy(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """L1: found classes (element_id) with parent_classes, ancestor_chain (nearest first, then by name), child_classes and hierarchy_depth.
+
+    edges are (child, parent); the depth is the number of ancestors. A class without edges has empty lists.
+    """
+    up = closure(edges)
+    own = found.select("element_id").distinct()
+    none = F.array().cast("array<string>")
+    names = lambda c: F.sort_array(F.collect_set(c))
+    parents = own.join(edges, F.col("element_id") == F.col("child")).groupBy("element_id").agg(names("parent").alias("parent_classes"))
+    children = own.join(edges, F.col("element_id") == F.col("parent")).groupBy("element_id").agg(names("child").alias("child_classes"))
+    chain = F.transform(F.sort_array(F.collect_set(F.struct("depth", "ancestor"))), lambda x: x["ancestor"])
+    above = own.join(up, F.col("element_id") == F.col("child")).groupBy("element_id").agg(chain.alias("ancestor_chain"))
+    out = found
+    for t, c in ((parents, "parent_classes"), (above, "ancestor_chain"), (children, "child_classes")):
+        out = out.join(t, "element_id", "left").withColumn(c, F.coalesce(c, none))
+    return out.withColumn("hierarchy_depth", F.size("ancestor_chain"))
+
+
 def vector_topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """L3: (query_id, item_id, score, rank), the k items of largest cosine for each query (query_id, v) over items (item_id, v).
 
@@ -85,15 +116,23 @@ def vector_topk_typed(queries: DataFrame, items: DataFrame, types: DataFrame, ki
 
 def property_values(g: DataFrame, cls: str, prop: str, n: int) -> DataFrame:
     """The first n distinct values of a class's property."""
-    from graphloom.operators.patterns import bgp
-    from graphloom.functions.terms import RDF_TYPE
+    return _values(g, cls, prop).distinct().orderBy("value").limit(n)
 
-    return bgp(g, [("?x", RDF_TYPE, cls), ("?x", prop, "?value")]).select("value").distinct().orderBy("value").limit(n)
+
+def _values(g: DataFrame, cls: str, prop: str) -> DataFrame:
+    return bgp(g, [("?x", RDF_TYPE, cls), ("?x", prop, "?value")]).select("value")
 
 
 def grep_values(g: DataFrame, cls: str, prop: str, pattern: str, n: int = 500) -> DataFrame:
-    """L6."""
-    return property_values(g, cls, prop, n).where(F.col("value").rlike(f"(?i){pattern}"))
+    """The first n of a class's distinct values of a property that match the pattern, in any case."""
+    return _values(g, cls, prop).where(F.col("value").rlike(f"(?i){pattern}")).distinct().orderBy("value").limit(n)
+
+
+def grep_values_terms(g: DataFrame, cls: str, prop: str, terms: DataFrame, index: SubstringIndex, n: int = 500) -> DataFrame:
+    """L6 for many literal terms (term): (term, value), the first n values of each; ``index`` is of the graph's literals."""
+    met = search(index, terms).withColumnRenamed("text", "value").join(_values(g, cls, prop).distinct(), "value")
+    order = Window.partitionBy("term").orderBy("value")
+    return met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).select("term", "value")
 
 
 def search_values(values: DataFrame, query: DataFrame, k: int = 50, most: int = 500) -> DataFrame:
@@ -186,7 +225,14 @@ def mention_sim(questions: DataFrame, literals: DataFrame) -> DataFrame:
     words = F.split(F.lower(F.trim("question")), r"\s+")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))))
     windows = questions.select("question_id", F.explode(F.array_distinct(spans)).alias("window"))
-    scored = windows.join(literals, "question_id").withColumn("sim", ratio("window", F.lower("literal")))
+    met = windows.join(literals, "question_id").withColumn("_low", F.lower("literal"))
+    # the letters shared bound the ratio; a window that can't reach what the most promising one has is not compared
+    bound = 2 * _letters_shared("window", "_low") / F.greatest(F.lit(1), F.length("window") + F.length("_low"))
+    met = cut(met.withColumn("_bound", bound))
+    first = met.groupBy("question_id", "literal", "_low").agg(F.max_by("window", F.struct("_bound", "window")).alias("window"))
+    first = first.withColumn("_least", ratio("window", "_low")).select("question_id", "literal", "_least")
+    own = met.join(first.withColumnRenamed("literal", "_literal"), (met["question_id"] == first["question_id"]) & met["literal"].eqNullSafe(F.col("_literal"))).drop(first["question_id"])
+    scored = own.where(F.col("_bound") >= F.col("_least") - 1e-9).withColumn("sim", ratio("window", "_low"))
     best = scored.groupBy("question_id", "literal").agg(F.max(F.struct("sim", "window")).alias("b"))
     return best.select("question_id", "literal", "b.sim", "b.window", (F.substring("b.window", 1, 3) == F.substring(F.lower("literal"), 1, 3)).alias("same_prefix"))
 
@@ -215,16 +261,9 @@ def eligible_columns(df: DataFrame, keys: list[str], most: int = 100, total: int
     return stats.withColumn("eligible", fits)
 
 
-def lsh_values(values: DataFrame, keywords: DataFrame, n: int = 10, hashes: int = 100, least: float = 0.01) -> DataFrame:
-    """For each keyword the n values (value) of largest Jaccard on 3-grams of characters, by MinHash candidates."""
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(F.lower(c), i, F.lit(3)))
-    tf = HashingTF(inputCol="grams", outputCol="features", binary=True, numFeatures=1 << 18)
-    left = tf.transform(values.where("length(value) > 0").distinct().withColumn("grams", grams(F.col("value"))))
-    right = tf.transform(keywords.where("length(keyword) > 0").distinct().withColumn("grams", grams(F.col("keyword"))))
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=hashes, seed=42).fit(left)
-    near = model.approxSimilarityJoin(left, right, 1 - least, "distance").select("datasetA.value", "datasetB.keyword", (1 - F.col("distance")).alias("jaccard"))
-    order = Window.partitionBy("keyword").orderBy(F.desc("jaccard"), "value")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+def lsh_values(values: DataFrame, keywords: DataFrame, n: int = 10, hashes: int = 100, rows: int = 1) -> DataFrame:
+    """For each keyword the n values of largest Jaccard on 3-grams of characters, met by MinHash bands and estimated from signatures."""
+    return similar_values(values, keywords, n, hashes, rows)
 
 
 def keyword_parts(df: DataFrame) -> DataFrame:
@@ -243,11 +282,32 @@ def filter_entities(cands: DataFrame) -> DataFrame:
     return near.where("ratio >= 0.9 * r and sim >= 0.9 * s").drop("r", "s")
 
 
-def match_columns_by_name(cols: DataFrame, keywords: DataFrame, least: float = 0.9) -> DataFrame:
-    """(col) and (keyword) whose names agree but for blanks, underscores and a final s, or are nearly equal. The keywords are few."""
+def _letters_shared(a: str, b: str) -> Column:
+    """How many letters the texts share, in any order: at least as many as a matcher of blocks finds."""
+    count = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), x, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(F.col(a), "")), F.lit(0), lambda n, x: n + F.when(x == "", 0).otherwise(F.least(count(a, x), count(b, x))))
+
+
+def match_columns_by_name(cols: DataFrame, keywords: DataFrame, least: float = 0.9, sims: DataFrame | None = None) -> DataFrame:
+    """Columns (col) and (keyword) whose names agree but for blanks, underscores and final s, or have a ratio of ``least``.
+
+    With ``sims`` (col, sim), the columns' likeness to the question, rows are ordered by it, then by ratio. A ratio r of names
+    of lengths m and n leaves at most (1 - r) * (m + n) letters unmatched, which bounds both their edits and n by m: pairs meet
+    by segments for so many edits, and by letters that they share, before Python sees them.
+    """
     plain = lambda c: F.regexp_replace(F.lower(F.regexp_replace(c, "[ _]", "")), "s+$", "")
-    both = cols.join(small(keywords), F.substring(plain("col"), 1, 1) == F.substring(plain("keyword"), 1, 1))
-    return both.withColumn("ratio", ratio(plain("col"), plain("keyword"))).where(F.col("ratio") >= least).orderBy(F.desc("ratio"), "col")
+    a = cols.withColumn("_x", plain("col"))
+    b = keywords.withColumn("_y", plain("keyword"))
+    # 2 * min(m, n) >= least * (m + n), so m + n <= 2 / least * n and n <= (2 - least) / least * m; a little more for rounding
+    edits = lambda n: F.floor(n * ((1 - least) * 2 / least + 1e-9))
+    longest = lambda n: F.floor(n * ((2 - least) / least + 1e-9))
+    met = candidates(a, b, "_x", "_y", edits, longest)
+    total = F.length("_x") + F.length("_y")
+    near = met.where((2 * _letters_shared("_x", "_y") >= total * (least - 1e-9)))
+    found = near.withColumn("ratio", ratio("_x", "_y")).where(F.col("ratio") >= least).drop("_x", "_y")
+    if sims is None:
+        return found.orderBy(F.desc("ratio"), "col")
+    return found.join(sims, "col", "left").orderBy(F.desc_nulls_last("sim"), F.desc("ratio"), "col")
 
 
 def describe(near: DataFrame) -> DataFrame:
@@ -256,8 +316,12 @@ def describe(near: DataFrame) -> DataFrame:
     return near.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
-def search_instances(g: DataFrame, terms: DataFrame) -> DataFrame:
-    """Literals of ``g`` (with dataset) that contain a term (term) of at least three letters; the terms are few."""
-    few = small(terms.where(F.length("term") >= 3).distinct())
-    met = g.where("o_kind = 'literal'").join(few, F.contains(F.lower("o"), F.lower("term")))
+def search_instances(g: DataFrame, terms: DataFrame, index: SubstringIndex | None = None) -> DataFrame:
+    """For each dataset and term (term) of at least three letters how many literals of ``g`` contain it, and the first subject.
+
+    ``index`` is of the graph's literals; without one it is built in the shared folder.
+    """
+    own = g.where("o_kind = 'literal'")
+    index = index or build_index(own, f"{shared_folder(g.sparkSession)}/literals-{uuid.uuid4().hex}", "o")
+    met = search(index, terms.where(F.length("term") >= 3)).join(own, F.col("text") == F.col("o"))
     return met.groupBy("dataset", "term").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("example"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.terms import RDF_TYPE, XSD, local_name, namespace
+from graphloom.operators import edits
 from graphloom.sizes import cut
 
 #: Namespaces of the language itself.
@@ -187,10 +188,7 @@ def suggest(terms: DataFrame, known: DataFrame, most: int = 5, n: int = 3) -> Da
     """For each unknown term the n nearest known local names within an edit distance."""
     a = terms.select("term", F.lower(local_name(F.col("term"))).alias("x"))
     b = known.select(F.col("term").alias("suggestion"), F.lower(local_name(F.col("term"))).alias("y"))
-    # names within the distance differ by at most so many letters in length: blocks of lengths meet
-    width = most + 1
-    a = a.withColumn("block", F.explode(F.sequence(F.floor((F.length("x") - most) / width), F.floor((F.length("x") + most) / width))))
-    near = a.join(b.withColumn("block", F.floor(F.length("y") / width)), "block").where(F.levenshtein("x", "y", most) >= 0).withColumn("distance", F.levenshtein("x", "y"))
+    near = edits.within(a, b, "x", "y", most)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy("distance", "suggestion")))
     return ranked.where(F.col("rank") <= n).select("term", "suggestion", "distance", "rank")
 
