@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,15 +51,43 @@ def typed(g: DataFrame, var: str, cls: str) -> DataFrame:
     return scan(g, var, RDF_TYPE, cls)
 
 
-def optional(left: DataFrame, right: DataFrame, nullable: tuple[str, ...] = ()) -> DataFrame:
-    """Left join. Variables in ``nullable`` may be unbound on the left; unbound fits anything."""
+def _masks(df: DataFrame, loose: list[str]) -> list[tuple[frozenset[str], DataFrame]]:
+    """The rows that leave each set of ``loose`` variables unbound."""
+    out = []
+    for n in range(len(loose) + 1):
+        for unbound in combinations(loose, n):
+            tests = [F.col(v).isNull() if v in unbound else F.col(v).isNotNull() for v in loose]
+            out.append((frozenset(unbound), df.where(reduce(Column.__and__, tests)) if tests else df))
+    return out
+
+
+def optional(left: DataFrame, right: DataFrame, nullable: tuple[str, ...] = (), nullable_right: tuple[str, ...] = ()) -> DataFrame:
+    """Left join. Variables in ``nullable`` may be unbound on the left, in ``nullable_right`` on the right; unbound fits anything.
+
+    Rows are parted by the variables that they leave unbound, and each pair of parts is an equi-join on what both bind.
+    Only where no shared variable is bound on both sides does every row fit every row.
+    """
     on = shared(left, right)
-    if not set(on) & set(nullable):
+    ln, rn = [v for v in on if v in nullable], [v for v in on if v in nullable_right]
+    if not ln and not rn:
         return left.join(right, on, "left")
-    r = right.select(*(F.col(c).alias(f"_{c}" if c in on else c) for c in right.columns))
-    condition = reduce(Column.__and__, ((F.col(c) == F.col(f"_{c}")) | (F.col(c).isNull() if c in nullable else F.lit(False)) for c in on))
-    out = left.join(r, condition, "left")
-    return out.select(*(F.coalesce(c, f"_{c}").alias(c) if c in on else F.col(c) for c in left.columns), *(c for c in right.columns if c not in on))
+    own = [c for c in right.columns if c not in on]
+    rights = [(free, part.select(*(F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns))) for free, part in _masks(right, rn)]
+    parts = []
+    for unbound, rows in _masks(left, ln):
+        alone = rows
+        for free, others in rights:
+            keys = [v for v in on if v not in unbound and v not in free]
+            equal = reduce(Column.__and__, (F.col(v) == F.col(f"_{v}") for v in keys)) if keys else None
+            met = rows.join(others, equal) if keys else rows.crossJoin(others)
+            parts.append(met.select(*(F.coalesce(c, f"_{c}").alias(c) if c in on else F.col(c) for c in left.columns), *own))
+            if keys:
+                alone = alone.join(others, equal, "left_anti")
+            elif not others.isEmpty():
+                alone = alone.where(F.lit(False))
+        kinds = {f.name: f.dataType for f in right.schema}
+        parts.append(alone.select(*left.columns, *(F.lit(None).cast(kinds[c]).alias(c) for c in own)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -66,10 +95,20 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def minus(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Without rows that have a compatible right row; nothing goes if no variable is shared."""
+def minus(a: DataFrame, b: DataFrame, nullable: tuple[str, ...] = (), nullable_right: tuple[str, ...] = ()) -> DataFrame:
+    """Without rows that have a compatible right row with which they bind a variable in common.
+
+    Variables in ``nullable`` may be unbound on the left, in ``nullable_right`` on the right. Nothing goes if no variable is shared.
+    """
     on = shared(a, b)
-    return a.join(b, on, "left_anti") if on else a
+    ln, rn = [v for v in on if v in nullable], [v for v in on if v in nullable_right]
+    parts = []
+    for unbound, rows in _masks(a, ln):
+        for free, others in _masks(b, rn):
+            keys = [v for v in on if v not in unbound and v not in free]
+            rows = rows.join(others, keys, "left_anti") if keys else rows
+        parts.append(rows.select(*a.columns))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def where_num(df: DataFrame, col: str, op: str, x: float) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,9 @@ class Term:
 class Solutions:
     """Rows with the key columns of their variables."""
 
+    #: Whether another branch of the same map may give the same bindings.
+    several = False
+
     def __init__(self, df: DataFrame, terms: dict[str, Term]):
         self.df, self.terms = df, terms
 
@@ -99,11 +103,11 @@ class MappedGraph:
         self.mapping, self.tables, self.used = mapping, tables, 0
 
     def solve(self, patterns: list[tuple[str, str, str]]) -> Solutions:
-        """All patterns, star by star; each star joins those that it shares a variable with."""
+        """All patterns, star by star; each star joins those that it shares a variable with. What no map answers has no rows."""
         stars: dict[str, list[tuple[str, str, str]]] = {}
         for p in patterns:
             stars.setdefault(p[0], []).append(p)
-        found = self._pruned([[x for m in self.mapping if (x := self._from(m, star)) is not None] for star in stars.values()])
+        found = self._pruned([[x for m in self.mapping for x in self._from(m, star)] or [self._none(star)] for star in stars.values()])
         parts = [self._merged(x) for x in found]
         done = parts.pop(0)
         while parts:
@@ -123,10 +127,9 @@ class MappedGraph:
 
     def _merged(self, found: list[Solutions]) -> Solutions:
         """One projection if one map answers a star; else the union, with variables of one template still as keys."""
-        if not found:
-            raise ValueError("a pattern that no map answers")
         if len(found) == 1:
             return found[0]
+        several = any(x.several for x in found)
         terms, columns = {}, [[] for _ in found]
         for v in found[0].terms:
             own = [x.terms[v] for x in found]
@@ -136,13 +139,30 @@ class MappedGraph:
                 to += [F.col(c).alias(n) for c, n in zip(t.columns, names, strict=True)] if same else [t.text().alias(names[0])]
             turn = iter(names)
             terms[v] = Term(re.sub(r"\{\w+\}", lambda _: f"{{{next(turn)}}}", own[0].template), own[0].iri) if same else Term(f"{{{names[0]}}}", False)  # noqa: B023
-        return Solutions(reduce(DataFrame.unionByName, (x.df.select(*c) for x, c in zip(found, columns, strict=True))), terms)
+        rows = reduce(DataFrame.unionByName, (x.df.select(*c) for x, c in zip(found, columns, strict=True)))
+        return Solutions(rows.distinct() if several else rows, terms)
+
+    def _none(self, patterns: list[tuple[str, str, str]]) -> Solutions:
+        names = {v[1:]: self._name() for s, _, o in patterns for v in (s, o) if is_var(v)}
+        empty = self.mapping[0].rows(self.tables).where(F.lit(False)).select(*(F.lit("").alias(n) for n in names.values()))
+        return Solutions(empty, {v: Term(f"{{{n}}}", False) for v, n in names.items()})
 
     def _name(self) -> str:
         self.used += 1
         return f"k{self.used}"
 
-    def _from(self, m: TriplesMap, patterns: list[tuple[str, str, str]]) -> Solutions | None:
+    def _from(self, m: TriplesMap, patterns: list[tuple[str, str, str]]) -> list[Solutions]:
+        """What a map answers: one branch for each choice of a class or object for every pattern.
+
+        A map may have several for one pattern. Branches may then give the same bindings, which are one solution.
+        """
+        ways = [[*([c for c in m.classes if is_var(o) or c == o] if p == RDF_TYPE else []), *(x for x in m.objects if x.predicate == p)] for _, p, o in patterns]
+        found = [self._branch(m, patterns, way) for way in product(*ways)]
+        for x in found:
+            x.several = len(found) > 1
+        return found
+
+    def _branch(self, m: TriplesMap, patterns: list[tuple[str, str, str]], way: tuple[str | Obj, ...]) -> Solutions:
         rows = m.rows(self.tables)
         columns: dict[str, str] = {}  # new name -> the map's
         terms: dict[str, Term] = {}
@@ -169,16 +189,12 @@ class MappedGraph:
                 terms[term[1:]] = Term(renamed(template), iri)
 
         take(patterns[0][0], m.subject, True)
-        for _, p, o in patterns:
-            if p == RDF_TYPE and (o in m.classes or (is_var(o) and len(m.classes) == 1)):
-                if is_var(o):
-                    take(o, m.classes[0], True)
-                continue
-            objects = [x for x in m.objects if x.predicate == p]
-            if len(objects) != 1:
-                return None
-            template, iri, rows = self._object(m, objects[0], rows)
-            take(o, template, iri)
+        for (_, _, o), has in zip(patterns, way, strict=True):
+            if not isinstance(has, str):
+                template, iri, rows = self._object(m, has, rows)
+                take(o, template, iri)
+            elif is_var(o):
+                take(o, has, True)
         kept = rows.where(reduce(Column.__and__, conditions)) if conditions else rows
         return Solutions(kept.select(*(F.col(c).alias(n) for n, c in columns.items())), terms)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
 
@@ -72,13 +73,31 @@ def to_cells(df: DataFrame, result_id: str, row_id: str) -> DataFrame:
     return texts.unpivot(["result_id", "row_id"], cols, "col", "value").where("value is not null")
 
 
-def write_triples(df: DataFrame, path: str) -> None:
-    """Parquet partitioned by predicate, which prunes every pattern scan."""
-    df.repartition("p").write.mode("overwrite").partitionBy("p").parquet(path)
+def write_triples(df: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """A table of triples under ``path``, partitioned by predicate, bucketed and sorted by subject; returns it.
+
+    A predicate's triples are dealt over ``buckets`` files by subject (as many as Spark's shuffle partitions, unless given),
+    so that a frequent one is no single file. Patterns of predicates prune to their folders, and joins of patterns on their
+    subject read equal buckets together, without a shuffle. The session's catalog knows the table by a name made from the path.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = _table_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    own = df.select("s", "o", "o_kind", "o_datatype", "o_lang", "p")
+    own.repartition(n, "s").sortWithinPartitions("p", "s").write.mode("overwrite").option("path", path).partitionBy("p").bucketBy(n, "s").sortBy("s").saveAsTable(name)
+    return read_triples(spark, path)
+
+
+def _table_name(path: str) -> str:
+    return f"triples_{hashlib.sha256(path.encode()).hexdigest()[:16]}"
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("s", "p", "o", "o_kind", "o_datatype", "o_lang")
+    """The table that ``write_triples`` wrote: with its buckets if this session's catalog knows it, else as files."""
+    name = _table_name(path)
+    df = spark.table(name) if spark.catalog.tableExists(name) else spark.read.parquet(path)
+    return df.select("s", "p", "o", "o_kind", "o_datatype", "o_lang")
 
 
 def write_eval(df: DataFrame, path: str) -> None:
