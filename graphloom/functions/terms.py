@@ -16,17 +16,25 @@ def template_columns(template: str) -> list[str]:
 
 
 def from_template(template: str, encode: bool = True) -> Column:
-    """Text with ``{column}`` parts; a null part gives null. IRIs are percent-encoded."""
+    """Text with ``{column}`` parts; a null part gives null. In IRIs all but letters, digits and - . _ ~ is percent-encoded."""
     parts = []
     for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
         if i % 2:
             value = F.col(piece).cast("string")
-            parts.append(F.replace(F.url_encode(value), F.lit("+"), F.lit("%20")) if encode else value)
+            parts.append(_encoded(value) if encode else value)
         elif piece:
             parts.append(F.lit(piece))
     return F.concat(*parts)
 
 
+def _encoded(value: Column) -> Column:
+    """Spark encodes as forms do: a blank is a plus there, a tilde is encoded and an asterisk isn't."""
+    out = F.url_encode(value)
+    for form, iri in (("+", "%20"), ("%7E", "~"), ("*", "%2A")):
+        out = F.replace(out, F.lit(form), F.lit(iri))
+    return out
+
+
 def local_value(col: Column) -> Column:
     """The last path segment, percent-decoded (a plus sign stays one)."""
     last = F.element_at(F.split(col, "/"), -1)

@@ -24,8 +24,8 @@ def _six_digits(s: pd.Series) -> pd.Series:
 
 
 def norm_text(col: Column, nfc: bool = False) -> Column:
-    """Strip and lower; with ``nfc`` composed first (Python only where a value isn't ASCII)."""
-    text = F.trim(col.cast("string"))
+    """White space off both ends, composed with ``nfc`` (Python only where a value isn't ASCII), lower case."""
+    text = stripped(col)
     if nfc:
         text = F.when(text.rlike(r"[^\x00-\x7F]"), _nfc(text)).otherwise(text)
     return F.lower(text)
@@ -36,8 +36,8 @@ def try_double(col: Column) -> Column:
 
 
 def stripped(col: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(col.cast("string"), r"^\s+|\s+$", "")
+    """Without white space at both ends, that of Unicode and the four separators from 0x1C too."""
+    return F.regexp_replace(col.cast("string"), r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 #: Texts that are numbers: an optional sign, digits with at most one point, an exponent.

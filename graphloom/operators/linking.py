@@ -61,14 +61,17 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
     Queries and items meet in blocks: a task holds queries of at most QUERY_FLOATS numbers and k items for each, and
     its share of the items passes by. Nothing is gathered on the driver. Ties, of cosines rounded to 12 digits, go to the
-    smaller item.
+    smaller item. Vectors that are null, hold a null or have another length than the longest query take no part; without
+    queries there are no rows.
     """
     spark = items.sparkSession
-    dim, n_queries = queries.agg(F.coalesce(F.max(F.size("v")), F.lit(1)), F.count(F.lit(1))).first()
-    if not n_queries:
-        raise ValueError("no query vectors")
+    whole = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull()), F.lit(False))
+    queries = queries.where(whole)
+    dim = queries.agg(F.coalesce(F.max(F.size("v")), F.lit(1))).first()[0]
+    queries, items = queries.where(F.size("v") == dim), items.where(whole & (F.size("v") == dim))
+    n_queries, n_items = max(1, queries.count()), items.count()
     blocks = max(1, -(-n_queries * max(1, dim) // QUERY_FLOATS))
-    salts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks, -(-items.count() // BATCH)), -(-items.count() // TASK_ITEMS))
+    salts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks, -(-n_items // BATCH)), -(-n_items // TASK_ITEMS), 1)
     kinds = queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")

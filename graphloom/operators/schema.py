@@ -44,11 +44,16 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 
 
 def lift_schema(schema: DataFrame, edges: DataFrame) -> DataFrame:
-    """For classes without own rows, the properties of their subclasses; a range goes up to a direct parent that at least two present subclasses share."""
+    """For classes without own rows, the properties of their subclasses; a range goes up to a direct parent with at least two present subclasses, at any depth.
+
+    Of several such parents the range takes the smallest name.
+    """
     present = schema.select("class").distinct()
-    lifted = edges.join(present.withColumnRenamed("class", "child"), "child").groupBy("parent").agg(F.count_distinct("child").alias("n")).where("n >= 2").select("parent")
+    above = closure(edges)
+    below = above.select(F.col("ancestor").alias("parent"), "child").where("parent <> child").join(present.withColumnRenamed("class", "child"), "child")
+    lifted = below.groupBy("parent").agg(F.count_distinct("child").alias("n")).where("n >= 2").select("parent")
     parent_of = edges.join(lifted, "parent").groupBy(F.col("child").alias("range")).agg(F.min("parent").alias("up"))
-    up = closure(edges).select(F.col("child").alias("class"), "ancestor").join(schema, "class").join(parent_of, "range", "left")
+    up = above.select(F.col("child").alias("class"), "ancestor").join(schema, "class").join(parent_of, "range", "left")
     up = up.select(F.col("ancestor").alias("class"), "property", F.coalesce("up", "range").alias("range"), "is_object").distinct()
     return up.join(present, "class", "left_anti")
 

@@ -72,15 +72,21 @@ def score_tuples(gt: DataFrame, sys: DataFrame) -> DataFrame:
 
 
 def score_topn(gt: DataFrame, sys: DataFrame, descending: bool = True) -> DataFrame:
-    """E5: rows (pair, row, score): those beyond the boundary score count exactly; any row at it fills a tied slot."""
+    """E5: rows (pair, row, score): those beyond the boundary score count exactly; any row at it fills a tied slot.
+
+    Expected rows without a score are ignored; found ones without are wrong. Of pairs in which no expected row has a score, rows
+    are compared exactly.
+    """
     g = gt.where("score is not null").select("pair", "row", "score").distinct()
     edge = g.groupBy("pair").agg((F.min if descending else F.max)("score").alias("edge"))
+    plain = score_tuples(gt.join(edge, "pair", "left_anti"), sys.join(gt.select("pair").distinct(), "pair", "left_semi").join(edge, "pair", "left_anti"))
     g = g.join(edge, "pair").withColumn("tied", F.col("score") == F.col("edge"))
     slots = g.groupBy("pair").agg(F.count_if("tied").alias("slots"), F.count_if(~F.col("tied")).alias("strict"))
     s = sys.select("pair", "row", "score").distinct().join(edge, "pair").join(g.where(~F.col("tied")).select("pair", "row", F.lit(True).alias("hit")), ["pair", "row"], "left")
     counts = s.groupBy("pair").agg(F.count_if(F.coalesce("hit", F.lit(False))).alias("hits"), F.count_if((F.col("score") == F.col("edge")) & F.col("hit").isNull()).alias("at_edge"), F.count(F.lit(1)).alias("n"))
     t = slots.join(counts, "pair", "left").na.fill(0).withColumn("tp", F.col("hits") + F.least("at_edge", "slots"))
-    return t.select("pair", "tp", *_prf(F.col("tp"), F.col("n"), F.col("slots") + F.col("strict")))
+    tied = t.select("pair", "tp", *_prf(F.col("tp"), F.col("n"), F.col("slots") + F.col("strict")))
+    return tied.unionByName(plain.select(*tied.columns))
 
 
 def score_prefix(gt: DataFrame, sys: DataFrame) -> DataFrame:
@@ -163,14 +169,26 @@ def null_variants(rows: DataFrame) -> DataFrame:
     return marked.join(variants, "pair").where("mask & variant = 0").select("pair", "variant", "row")
 
 
-def score_adaptive(gt_variants: DataFrame, sys: DataFrame) -> DataFrame:
-    """The best variant of each pair by F1, recall, precision."""
+def score_adaptive(gt_variants: DataFrame, sys: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """The best variant of each pair by F1, recall, precision.
+
+    Pairs in ``order`` (pair, place, descending) are ranked by the number at the 1-based ``place`` of their rows, so that ties at the
+    boundary are tolerated (E5).
+    """
     key = F.struct("pair", "variant")
     g = gt_variants.select(key.alias("pair"), "row")
     s = gt_variants.select("pair", "variant").distinct().join(sys, "pair").select(key.alias("pair"), "row")
-    scored = score_tuples(g, s).select("pair.pair", "pair.variant", "precision", "recall", "f1")
-    order = Window.partitionBy("pair").orderBy(F.desc("f1"), F.desc("recall"), F.desc("precision"), "variant")
-    return scored.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    named = ["pair.pair", "pair.variant", "precision", "recall", "f1"]
+    if order is None:
+        scored = score_tuples(g, s).select(*named)
+    else:
+        own = order.select(F.col("pair").alias("_pair"), "place", "descending")
+        number = F.element_at("row", F.col("place")).try_cast("double")
+        ranked = lambda df: df.join(own, F.col("pair.pair") == F.col("_pair")).select("pair", "row", F.when(F.col("descending"), number).otherwise(-number).alias("score"))
+        others = lambda df: df.join(own, F.col("pair.pair") == F.col("_pair"), "left_anti")
+        scored = score_tuples(others(g), others(s)).select(*named).unionByName(score_topn(ranked(g), ranked(s)).select(*named))
+    best = Window.partitionBy("pair").orderBy(F.desc("f1"), F.desc("recall"), F.desc("precision"), "variant")
+    return scored.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 
 
 def score_schema(columns: DataFrame, paired: DataFrame, n_sys: DataFrame) -> DataFrame:
@@ -194,19 +212,29 @@ def rows_of(cells: DataFrame, paired: DataFrame, side: str) -> DataFrame:
     return own.groupBy("pair", "row_id").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("value", F.lit("")).alias("value")))).getField("value").alias("row"))
 
 
-def evaluate(gt_cells: DataFrame, sys_cells: DataFrame, columns: DataFrame, gt_properties: DataFrame | None = None, sys_properties: DataFrame | None = None, ranked: DataFrame | None = None) -> DataFrame:
+def evaluate(gt_cells: DataFrame, sys_cells: DataFrame, columns: DataFrame, gt_properties: DataFrame | None = None, sys_properties: DataFrame | None = None, ranked: DataFrame | None = None, order: DataFrame | None = None) -> DataFrame:
     """Every run against every reading, and each run's best reading; nothing loops over runs.
 
     Cells (pair, row_id, col, value) with pair struct<run_id, reading_id> and null values kept; columns (pair, col, level,
     concept, is_label). Label columns go (E12); columns are paired by shared values, not across properties (E9-E11); expected rows
     with blanks give variants, of which the best counts (E13, E14); concepts and columns are scored (E15). Of
-    ``ranked`` pairs (pair, row_id, pos) the found prefix is told (E6). The best reading comes from schema and data (E17).
+    ``ranked`` pairs (pair, row_id, pos) the found prefix is told (E6). Pairs in ``order`` (pair, col, descending) tolerate ties at
+    the boundary of that expected column, if it is paired (E5). A run that has no value of a preferred column finds nothing of
+    the reading, whatever acceptable ones it has (E8). The best reading comes from schema and data (E17).
     """
     labels = columns.where("is_label").select("pair", "col")
     gt, named = drop_bind_labels(gt_cells, labels), columns.where("not is_label")
-    paired = pair_columns(column_overlap(gt.where("value is not null"), sys_cells.where("value is not null"), gt_properties, sys_properties))
+    levels = gt.where("value is not null").join(named.select("pair", "col", "level"), ["pair", "col"]).select("pair", "level", "value")
+    valid = active_levels(levels, sys_cells.where("value is not null")).where("level = 'preferred'").select("pair").distinct()
+    met = column_overlap(gt.where("value is not null"), sys_cells.where("value is not null"), gt_properties, sys_properties)
+    paired = pair_columns(met.join(valid, "pair", "left_semi"))
     expected, found = rows_of(gt, paired, "gt_col"), rows_of(sys_cells, paired, "sys_col")
-    best = score_adaptive(null_variants(expected.select("pair", "row").distinct()), found.select("pair", "row").distinct())
+    if order is not None:
+        places = paired.withColumn("place", F.row_number().over(Window.partitionBy("pair").orderBy("gt_col"))).select("pair", F.col("gt_col").alias("col"), "place")
+        order = order.join(places, ["pair", "col"]).select("pair", "place", "descending")
+    # a found row of blanks only is no row
+    found = found.where(F.exists("row", lambda v: v != ""))
+    best = score_adaptive(null_variants(expected.select("pair", "row").distinct()), found.select("pair", "row").distinct(), order)
     n_sys = sys_cells.groupBy("pair").agg(F.count_distinct("col").alias("n"))
     t = score_schema(named, paired, n_sys).join(best.select("pair", "variant", "precision", "recall", F.col("f1").alias("data_f1")), "pair", "left")
     t = t.na.fill(0.0, ["precision", "recall", "data_f1"]).na.fill(0, ["variant"])

@@ -139,3 +139,13 @@ def test_banded_minhash_recall(spark):
     assert {(r.keyword, r.value) for r in found if r["rank"] == 1} == {(r.keyword, r.value) for r in exact.collect() if r["rank"] == 1}
     for est in (minhash.similar_values(values, keys), minhash.similar_values(values, keys, rows=2)):
         assert all(abs(r.jaccard - best[r.keyword, r.value]) < 0.25 for r in est.collect() if (r.keyword, r.value) in best)
+
+
+def test_vectors_that_take_no_part(spark):
+    q = [(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, []), (5, [1.0])]
+    items = [(10, [2.0, 0.0]), (11, None), (12, [1.0, None]), (13, [1.0]), (14, [0.0, 1.0]), (15, [])]
+    queries = spark.createDataFrame(q, "query_id int, v array<double>")
+    base = spark.createDataFrame(items, "item_id int, v array<double>")
+    assert rows(linking.vector_topk(queries, base, 3).select("query_id", "item_id", "rank")) == [(1, 10, 1), (1, 14, 2)]
+    assert linking.vector_topk(queries.where("query_id = 2"), base, 3).count() == 0
+    assert linking.vector_topk(queries, base.where("item_id = 11"), 3).count() == 0
