@@ -268,12 +268,10 @@ def g9_shortest_path(spark, d):
     return schema.shortest_paths(g, pairs).select("a", "b", "hops", F.array_join("path", ">").alias("path"))
 
 
-@register("""WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 40),
- e AS (SELECT c AS a, 1000000 + s AS b FROM l UNION SELECT 1000000 + s, c FROM l), r AS (SELECT DISTINCT a, a AS x FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.x = e.a)
- SELECT a::BIGINT AS node, min(x)::BIGINT AS component FROM r GROUP BY a""")
+@register("SELECT o_custkey::BIGINT AS node, o_custkey::BIGINT AS component FROM orders GROUP BY 1 UNION ALL SELECT 1000000000 + o_orderkey, o_custkey FROM orders")
 def g10_components(spark, d):
-    l = table(spark, d, "orders").where("o_custkey < 40").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return schema.components(l.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1_000_000).alias("b")).distinct())
+    """All customers with their orders, each a component by the customer."""
+    return schema.components(table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("a"), (F.col("o_orderkey") + 1_000_000_000).alias("b")))
 
 
 @register()
@@ -309,17 +307,17 @@ def l1_grep(spark, d):
 
 
 @register("""SELECT query_id, item_id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS item_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, e.vec_id)::INT AS rank
- FROM embeddings q JOIN embeddings e ON q.vec_id < 5) WHERE rank <= 10""")
+ FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0) WHERE rank <= 10""")
 def l3_vector_topk(spark, d):
-    e = table(spark, d, "embeddings")
-    return linking.vector_topk(e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")), 10).select("query_id", "item_id", "rank")
+    queries, items, _ = _vectors(spark, d)
+    return linking.vector_topk(queries, items, 10).select("query_id", "item_id", "rank")
 
 
 @register("""SELECT query_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS t FROM (SELECT q.vec_id AS query_id, e.vec_id AS item_id, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank
- FROM embeddings q JOIN embeddings e ON q.vec_id < 5) WHERE rank <= 30 AND label = 1) WHERE t <= 10""")
+ FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0) WHERE rank <= 30 AND label = 1) WHERE t <= 10""")
 def l4_typed_topk(spark, d):
-    e = table(spark, d, "embeddings")
-    near = linking.vector_topk_typed(e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")), e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("type")), 1, 10)
+    queries, items, types = _vectors(spark, d)
+    near = linking.vector_topk_typed(queries, items, types, 1, 10)
     return near.select("query_id", "item_id")
 
 
@@ -761,12 +759,12 @@ def e33_agreement(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from graphloom import catalog_more, catalog_rules, catalog_traces  # noqa: F401
+    from graphloom import catalog_joins, catalog_more, catalog_partial, catalog_rules, catalog_traces  # noqa: F401
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from graphloom import catalog_more, catalog_rules, catalog_traces  # noqa: F401
+    from graphloom import catalog_joins, catalog_more, catalog_partial, catalog_rules, catalog_traces  # noqa: F401
 
     return dict(SQL)

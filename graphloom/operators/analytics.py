@@ -140,6 +140,27 @@ def summary(runs: DataFrame, measures: list[str], sets: list[list[str]], spread:
     return (t.groupingSets(sets, *keys) if keys else t.groupBy()).agg(*aggs)
 
 
+def retrieval_summary(runs: DataFrame, measures: list[str]) -> DataFrame:
+    """N, mean and population deviation of each measure over all runs, by approach, by query set and by dataset.
+
+    runs (approach, query_set, dataset, ...); "_LARGE" is taken out of a dataset's name. Missing values are left out.
+    """
+    t = runs.withColumn("dataset", F.replace("dataset", F.lit("_LARGE"), F.lit("")))
+    return summary(t, measures, [[], ["approach"], ["query_set"], ["dataset"]], "pop")
+
+
+def batch_stats(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Replicate runs (f1, accuracy, time_ms, tokens, success, unanswerable) of each question, approach and model.
+
+    Means and population deviations (0 for a single value or none, as are the means), the rates of success and of answers that
+    the run called impossible.
+    """
+    zero = F.lit(0.0)
+    each = [f(m) for m in ("f1", "accuracy", "time_ms", "tokens") for f in (lambda c: F.coalesce(F.avg(c), zero).alias(f"mean_{c}"), lambda c: F.coalesce(F.stddev_pop(c), zero).alias(f"std_{c}"))]
+    rate = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(f"{c}_rate")
+    return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *each, rate("success"), rate("unanswerable"))
+
+
 def _syntax_errors(runs: DataFrame) -> DataFrame:
     """Runs with their class: uncorrected (error_type syntax_error and an initial error), corrected or other, and the errors that count."""
     uncorrected = F.coalesce((F.col("error_type") == "syntax_error") & (F.col("initial_error") != ""), F.lit(False))

@@ -125,6 +125,16 @@ def coalesce_updates(log: DataFrame, columns: list[str]) -> DataFrame:
     return last.groupBy("key").pivot("col", columns).agg(F.first("value"))
 
 
+def fit_width(rows: DataFrame, columns: list[tuple[str, str]], values: str = "values") -> DataFrame:
+    """H9: rows (values array of strings) as ``columns`` [(name, type)]: longer rows are cut, shorter ones end in nulls; then filled.
+
+    A value that its type can't hold is as a null.
+    """
+    cells = [F.try_element_at(values, F.lit(i + 1)) for i in range(len(columns))]
+    blank = lambda c: F.when(~F.upper(F.trim(c)).isin("NULL", "NONE", "NAN"), c)
+    return fill_null_like(rows.select(*(blank(c).try_cast(t).alias(n) for c, (n, t) in zip(cells, columns, strict=True))))
+
+
 def fill_null_like(df: DataFrame) -> DataFrame:
     """H9: nulls and texts like NULL become '' or 0, by type."""
     out = []

@@ -81,10 +81,10 @@ def class_properties(schema: DataFrame, ancestors: DataFrame) -> DataFrame:
 
 
 def elements(schema: DataFrame) -> DataFrame:
-    """Cards of classes and properties with their links."""
+    """Cards of classes and properties with their links; a class is referenced in the models of the classes that have it as a range."""
     sets = lambda c: F.array_sort(F.collect_set(c))
     props = schema.groupBy(F.col("property").alias("element")).agg(sets("class").alias("defined_in"), sets(F.when(F.col("is_object"), F.col("range"))).alias("connects_to"))
-    out = schema.where("is_object").groupBy(F.col("range").alias("element")).agg(sets("class").alias("connected_from"))
+    out = schema.where("is_object").groupBy(F.col("range").alias("element")).agg(sets("class").alias("connected_from"), sets("class").alias("referenced_in"))
     classes = schema.groupBy(F.col("class").alias("element")).agg(sets("property").alias("properties"), sets(F.when(F.col("is_object"), F.col("range"))).alias("connects_to"))
     return classes.join(out, "element", "full").withColumn("type", F.lit("class")).unionByName(props.withColumn("type", F.lit("property")), allowMissingColumns=True)
 
@@ -213,6 +213,19 @@ def pattern_facts(patterns: DataFrame) -> DataFrame:
     return rest.join(variables, "query_id")
 
 
+def variable_positions(patterns: DataFrame) -> DataFrame:
+    """(query_id, variable, positions, classes): where each variable stands, and the classes it is constrained to.
+
+    patterns (query_id, pattern_id, s, p, o); a position is its pattern's number and subject, predicate or object, in order.
+    """
+    places = F.array(*(F.struct(F.col(c).alias("variable"), F.lit(i).alias("i"), F.lit(n).alias("place")) for i, (c, n) in enumerate((("s", "subject"), ("p", "predicate"), ("o", "object")))))
+    each = patterns.select("query_id", "pattern_id", F.explode(places).alias("x"), "p", "o").where(F.col("x.variable").startswith("?"))
+    cls = F.when((F.col("p") == RDF_TYPE) & (F.col("x.place") == "subject") & ~F.col("o").startswith("?"), F.col("o"))
+    ordered = F.array_sort(F.collect_list(F.struct("pattern_id", "x.i", "x.place")))
+    names = F.transform(ordered, lambda x: F.concat(F.lit("pattern_"), x["pattern_id"].cast("string"), F.lit("_"), x["place"]))
+    return each.groupBy("query_id", F.col("x.variable").alias("variable")).agg(names.alias("positions"), F.array_sort(F.collect_set(cls)).alias("classes"))
+
+
 def class_card(schema: DataFrame, edges: DataFrame, cls: str) -> DataFrame:
     """One class with its properties, parents and children."""
     props = schema.where(F.col("class") == cls).groupBy("class").agg(F.array_sort(F.collect_set(F.struct("property", "range"))).alias("properties"))

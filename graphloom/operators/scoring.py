@@ -192,7 +192,7 @@ def score_adaptive(gt_variants: DataFrame, sys: DataFrame, order: DataFrame | No
 
 
 def score_schema(columns: DataFrame, paired: DataFrame, n_sys: DataFrame) -> DataFrame:
-    """Columns (pair, col, level, concept), paired (pair, gt_col), n_sys (pair, n): recall over preferred concepts, precision over system columns."""
+    """Columns (pair, col, level, concept), paired (pair, gt_col), n_sys (pair, n): recall over preferred concepts, precision over system columns."""
     hit = columns.join(paired.select("pair", F.col("gt_col").alias("col"), F.lit(1).alias("hit")).distinct(), ["pair", "col"], "left").na.fill(0, ["hit"])
     concepts = hit.where("level = 'preferred'").groupBy("pair", "concept").agg(F.max("hit").alias("hit")).groupBy("pair").agg(F.avg("hit").alias("recall"))
     matched = hit.groupBy("pair").agg(F.sum("hit").alias("matched"))
@@ -200,6 +200,28 @@ def score_schema(columns: DataFrame, paired: DataFrame, n_sys: DataFrame) -> Dat
     return t.select("pair", F.coalesce("recall", F.lit(1.0)).alias("schema_recall"), F.when(F.coalesce("n", F.lit(0)) > 0, F.least(F.col("matched") / F.col("n"), F.lit(1.0))).otherwise(F.lit(1.0)).alias("schema_precision"))
 
 
+def score_schema_overlap(columns: DataFrame, gt: DataFrame, sys: DataFrame) -> DataFrame:
+    """The older rule, by values that are shared and not trivial, without pairing.
+
+    columns (pair, col, level, concept), cells (pair, col, value). A preferred concept is met if any of its columns shares a
+    value with any found column; a column without a concept is one of its own. Precision is the share of found columns that share a
+    value with any expected one, 0 without found columns; recall is 1 without preferred ones.
+    """
+    from graphloom.functions.text import is_trivial
+
+    use = lambda df, c: df.where(F.col("value").isNotNull() & ~is_trivial(F.col("value"))).select("pair", F.col("col").alias(c), "value").distinct()
+    expected, found = use(gt.join(columns.select("pair", "col").distinct(), ["pair", "col"], "left_semi"), "gt_col"), use(sys, "sys_col")
+    values = found.select("pair", "value").distinct()
+    hit = expected.join(values, ["pair", "value"], "left_semi").select("pair", F.col("gt_col").alias("col"), F.lit(1).alias("hit")).distinct()
+    own = columns.where("level = 'preferred'").join(hit, ["pair", "col"], "left").na.fill(0, ["hit"])
+    concept = F.when(F.coalesce("concept", F.lit("")) == "", F.struct(F.lit(True), F.col("col").cast("string"))).otherwise(F.struct(F.lit(False), F.col("concept").cast("string")))
+    recall = own.groupBy("pair", concept.alias("c")).agg(F.max("hit").alias("hit")).groupBy("pair").agg(F.avg("hit").alias("recall"))
+    matched = found.join(expected.select("pair", "value").distinct(), ["pair", "value"], "left_semi").groupBy("pair").agg(F.count_distinct("sys_col").alias("matched"))
+    n = sys.where("value is not null").groupBy("pair").agg(F.count_distinct("col").alias("n"))
+    t = columns.select("pair").distinct().join(recall, "pair", "left").join(n, "pair", "left").join(matched, "pair", "left")
+    return t.select("pair", F.coalesce("recall", F.lit(1.0)).alias("schema_recall"), F.coalesce(F.col("matched") / F.col("n"), F.lit(0.0)).alias("schema_precision"))
+
+
 def best_reading(scores: DataFrame) -> DataFrame:
     """By schema recall, data F1, schema precision, then the first reading."""
     order = Window.partitionBy("run_id").orderBy(F.desc("schema_recall"), F.desc("data_f1"), F.desc("schema_precision"), "reading_id")
@@ -423,6 +445,17 @@ def same_result(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("pair", F.col("fingerprint").eqNullSafe(F.col("other")).cast("int").alias("correct"))
 
 
+def result_tallies(runs: DataFrame) -> DataFrame:
+    """Runs (purpose, correct 0/1/null, error) by purpose: all, correct, incorrect, failed, and the share that is correct.
+
+    What isn't correct is incorrect if its error says "incorrect answer" or there is none, else failed.
+    """
+    right = F.coalesce(F.col("correct") == 1, F.lit(False))
+    wrong = ~right & (F.coalesce("error", F.lit("incorrect answer")) == "incorrect answer")
+    n = F.count(F.lit(1))
+    return runs.groupBy("purpose").agg(n.alias("n"), F.count_if(right).alias("correct"), F.count_if(wrong).alias("incorrect"), (n - F.count_if(right) - F.count_if(wrong)).alias("failed"), (F.count_if(right) / n).alias("accuracy"))
+
+
 def vote(results: DataFrame) -> DataFrame:
     """Results (question_id, candidate, text, fingerprint): the shortest text of the largest cluster."""
     size = results.groupBy("question_id", "fingerprint").agg(F.count(F.lit(1)).alias("votes"))
