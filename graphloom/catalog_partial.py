@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.catalog import _runs
+from graphloom.catalog import CUSTOMER, NS, ORDER, _runs, graph
 from graphloom.catalog_more import SCHEMA, _part_schema
 from graphloom.functions.terms import RDF_TYPE
 from graphloom.operators import analytics, reshape, schema, scoring, truth
@@ -102,3 +102,13 @@ def h9_width(spark, d):
     nation = F.when(k % 4 == 1, F.lit("x")).otherwise(F.col("c_nationkey").cast("string"))
     cells = F.when(k % 3 == 0, F.array(name)).when(k % 3 == 1, F.array(name, nation)).otherwise(F.array(name, nation, F.col("c_mktsegment"), F.lit("more")))
     return reshape.fit_width(table(spark, d, "customer").select(cells.alias("values")), [("name", "string"), ("nation", "int"), ("segment", "string")])
+
+
+@register("""WITH o AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY 'http://example.org/order/' || o_orderkey) AS l FROM orders), c AS (SELECT c_custkey, row_number() OVER (ORDER BY 'http://example.org/customer/' || c_custkey) AS r FROM customer)
+SELECT l AS left_nr, r AS right_nr FROM o JOIN c ON o_custkey = c_custkey""")
+def h7_links(spark, d):
+    """Orders and their customers by the integer keys of both entity tables."""
+    g = graph(spark, d, [CUSTOMER, ORDER], RDF_TYPE, NS + "by", NS + "name", NS + "priority")
+    orders = reshape.entities(g, NS + "Order", {NS + "priority": "priority"})
+    customers = reshape.entities(g, NS + "Customer", {NS + "name": "name"})
+    return reshape.linked_keys(reshape.link_table(g, NS + "by"), orders, customers)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog import _events, _runs
 from graphloom.functions import text
-from graphloom.operators import analytics, linking, scoring
+from graphloom.operators import analytics, linking, reshape, scoring
 from graphloom.registry import register, table
 from graphloom.sources import files
 from graphloom.streaming import traces
@@ -34,8 +34,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY r) AS i FROM cells
 t AS (SELECT col, bool_and(i > 100 OR TRY_CAST(v AS BIGINT) IS NOT NULL AND NOT contains(v, '.')) AS whole, bool_and(i > 100 OR TRY_CAST(v AS DOUBLE) IS NOT NULL) AS num, max(length(v)) AS n FROM f WHERE i <= 1000 GROUP BY col)
 SELECT c.col, CASE WHEN whole THEN 'INT' WHEN num THEN 'DECIMAL(15,6)' WHEN n <= 255 THEN 'VARCHAR(' || least(2 * n, 255) || ')' ELSE 'TEXT' END AS type FROM (SELECT DISTINCT col FROM cells) c LEFT JOIN t USING (col)""")
 def s2_infer_types(spark, d):
-    r = F.row_number().over(Window.orderBy("c_custkey"))
-    c = table(spark, d, "customer").orderBy("c_custkey").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", r.alias("r"))
+    c = reshape.numbered(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), "c_custkey", "r").orderBy("r")
     late = F.when(F.col("r") % 3 == 0, " ").when(F.col("r") <= 150, F.col("r").cast("string")).otherwise(F.concat(F.lit("x"), "r"))
     early = F.when(F.col("r") == 7, "seven").otherwise(F.col("r").cast("string"))
     return files.infer_types(c.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", late.alias("late text"), early.alias("early text"), F.lit("  ").alias("blank"))).select("col", "type")

@@ -119,6 +119,12 @@ def link_table(g: DataFrame, prop: str) -> DataFrame:
     return g.where(F.col("p") == prop).select("s", "o").distinct()
 
 
+def linked_keys(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """H7: a link table (left_nr, right_nr) of the integer keys that ``entities`` gave both ends; ends that are no entities drop out."""
+    met = links.join(left.select("s", F.col("nr").alias("left_nr")), "s")
+    return met.join(right.select(F.col("s").alias("o"), F.col("nr").alias("right_nr")), "o").select("left_nr", "right_nr").distinct()
+
+
 def coalesce_updates(log: DataFrame, columns: list[str]) -> DataFrame:
     """H8: log (key, seq, col, value): the last write of each known column, wide."""
     last = log.where(F.col("col").isin(columns)).groupBy("key", "col").agg(F.max_by("value", "seq").alias("value"))
