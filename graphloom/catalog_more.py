@@ -528,12 +528,12 @@ r AS MATERIALIZED (SELECT pair, a, row_number() OVER (PARTITION BY pair ORDER BY
 g AS (SELECT pair, 0::BIGINT AS i, []::BIGINT[] AS taken, 0::BIGINT AS tp FROM (SELECT DISTINCT pair FROM r) UNION ALL SELECT h.pair, h.i, CASE WHEN h.best IS NULL THEN h.taken ELSE list_append(h.taken, h.best.e) END, h.tp + coalesce(h.best.n, 0)
  FROM (SELECT g.pair, r.i, g.taken, g.tp, min_by({'e': m.e, 'n': m.n}, (-m.n, m.e)) FILTER (NOT list_contains(g.taken, m.e)) AS best FROM g JOIN r ON r.pair = g.pair AND r.i = g.i + 1 JOIN m ON m.pair = r.pair AND m.a = r.a GROUP BY ALL) h),
 t AS (SELECT pair, max_by(tp, i) AS tp FROM g GROUP BY pair), s AS (SELECT pair, count(*) FILTER (k % 3 > 0) AS a, count(*) FILTER (k % 2 = 0) AS e FROM x GROUP BY pair)
-SELECT pair, round(CASE WHEN a > 0 THEN coalesce(tp, 0) / a ELSE 0 END, 6) AS precision, round(CASE WHEN e > 0 THEN coalesce(tp, 0) / e ELSE 0 END, 6) AS recall, round(CASE WHEN coalesce(tp, 0) > 0 THEN 2 * tp / (a + e) ELSE 0 END, 6) AS f1 FROM s LEFT JOIN t USING (pair) WHERE a + e > 0""")
+SELECT pair, round(CASE WHEN a > 0 THEN coalesce(tp, 0) / a ELSE 0 END, 12) AS precision, round(CASE WHEN e > 0 THEN coalesce(tp, 0) / e ELSE 0 END, 12) AS recall, round(CASE WHEN coalesce(tp, 0) > 0 THEN 2 * tp / (a + e) ELSE 0 END, 12) AS f1 FROM s LEFT JOIN t USING (pair) WHERE a + e > 0""")
 def e3_cell_f1(spark, d):
     """Rows take rows greedily, one after the other."""
     cells = lambda keep: table(spark, d, "part").where(keep).select((F.col("p_partkey") % 50).alias("pair"), F.col("p_partkey").alias("row_id"), F.explode(F.create_map(F.lit("type"), F.col("p_type"), F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))).alias("col", "value"))
     t = scoring.score_cells(cells("p_partkey % 3 > 0"), cells("p_partkey % 2 = 0"))
-    return t.select("pair", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+    return t.select("pair", *(F.round(c, 12).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @register()
