@@ -20,7 +20,10 @@ def _steps(spark, d) -> DataFrame:
     k = F.col("event_id")
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (k % len(KINDS) + 1).cast("int"))
     agent = F.when(k % 13 > 0, F.concat(F.lit("a"), (k * 7 % 4).cast("string")))
-    return _events(spark, d).select("run_id", "event_id", "ts", agent.alias("agent"), kind.alias("event_type"), F.when(k % 3 == 0, F.col("value") - 20).alias("duration_ms"))
+    return _events(spark, d).select(
+        "run_id", "event_id", "ts", agent.alias("agent"), kind.alias("event_type"),
+        F.when(k % 3 == 0, F.col("value") - 20).alias("duration_ms")
+    )
 
 
 INTERVALS = f"""{STEPS}, marks AS (SELECT * FROM steps WHERE agent IS NOT NULL AND event_type IN ('agent_start', 'agent_end')),
@@ -83,7 +86,10 @@ RESULTS = ["found 12 rows", "[1, 2, 3]", "Error: no such class", "returned 7", "
 def t2_call_results(spark, d):
     call = F.floor(F.col("event_id") / 2)
     content = F.element_at(F.array(*(F.lit(x) for x in RESULTS)), (call % len(RESULTS) + 1).cast("int"))
-    e = table(spark, d, "events").select((call % 50).alias("run_id"), call.alias("call_id"), F.col("event_type").alias("agent"), "ts", content.alias("content"), F.when(F.col("event_id") % 2 == 0, "tool_call").otherwise("tool_result").alias("event_type"))
+    e = table(spark, d, "events").select(
+        (call % 50).alias("run_id"), call.alias("call_id"), F.col("event_type").alias("agent"), "ts", content.alias("content"),
+        F.when(F.col("event_id") % 2 == 0, "tool_call").otherwise("tool_result").alias("event_type")
+    )
     return traces.call_results(e).select("call_id", "call_ts", "result_ts", "duration_ms", "output_size", "success", "results")
 
 
@@ -98,7 +104,11 @@ def t7_run_times(spark, d):
     return t.select("run_id", "total_ms", *(F.round(f"{k}_ms", 4).alias(f"{k}_ms") for k in kinds))
 
 
-@register("SELECT event_id, CASE WHEN k = 1 THEN n END AS tokens, CASE WHEN k = 1 THEN c END AS cost FROM (SELECT event_id, lead(value * 2) OVER w AS n, lead(value) OVER w AS c, lead(event_id % 2) OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_id % 2 = 0")
+@register(
+    "SELECT event_id, CASE WHEN k = 1 THEN n END AS tokens, CASE WHEN k = 1 THEN c END AS cost FROM (SELECT event_id, lead(value * 2) OVER w AS n, lead(value) OVER w AS c, lead(event_id % 2) OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_id % 2 = 0"
+)
 def t3_llm_costs(spark, d):
     e = _events(spark, d).withColumn("event_type", F.when(F.col("event_id") % 2 == 0, "llm_call").otherwise("llm_result"))
-    return traces.llm_calls(e.withColumn("tokens", F.col("value") * 2).withColumn("cost", F.col("value")), "tokens", "cost").select("event_id", "tokens", "cost")
+    return traces.llm_calls(
+        e.withColumn("tokens", F.col("value") * 2).withColumn("cost", F.col("value")), "tokens", "cost"
+    ).select("event_id", "tokens", "cost")

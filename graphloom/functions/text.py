@@ -71,11 +71,18 @@ def norm_tolerant(col: Column) -> Column:
     text = F.coalesce(stripped(col), F.lit(""))
     text = F.when(text.rlike(r"[^\x00-\x7F]"), _nfc(text)).otherwise(text)
     number = F.when(text.rlike(FLOAT), text.try_cast("double"))
-    return F.lower(F.when(text == "", "").when(number.isNotNull(), _six_digits(F.abs(number))).when(text.rlike("^https?://"), local_value(text)).otherwise(text))
+    return F.lower(
+        F.when(text == "", "").when(
+            number.isNotNull(), _six_digits(F.abs(number))
+        ).when(text.rlike("^https?://"), local_value(text)).otherwise(text)
+    )
 
 
 #: Values that carry no information (fixed values).
-TRIVIAL = ["0", "0.0", "0.00", "0.000", "0.0000", "0.00000", "0.000000", "", "null", "none", "n/a", "na", "nil", "true", "false", "yes", "no", "1", "unknown", "undefined", "other", "-", "--", "..."]
+TRIVIAL = [
+    "0", "0.0", "0.00", "0.000", "0.0000", "0.00000", "0.000000", "", "null", "none", "n/a", "na", "nil", "true", "false", "yes", "no", "1",
+    "unknown", "undefined", "other", "-", "--", "..."
+]
 
 
 def is_trivial(col: Column) -> Column:
@@ -106,7 +113,9 @@ def infer_kind(cells: DataFrame, most: int = 100) -> DataFrame:
 
     ranked = cells.where(stripped(F.col("value")) != "").select("col", "value").distinct()
     ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("col").orderBy("value"))).where(F.col("r") <= most)
-    flags = ranked.groupBy("col").agg(F.bool_and(is_float(F.col("value"))).alias("num"), F.bool_and(is_temporal(F.col("value"))).alias("temp"))
+    flags = ranked.groupBy("col").agg(
+        F.bool_and(is_float(F.col("value"))).alias("num"), F.bool_and(is_temporal(F.col("value"))).alias("temp")
+    )
     return flags.select("col", F.when(F.col("num"), "numeric").when(F.col("temp"), "temporal").otherwise("none").alias("kind"))
 
 
@@ -118,7 +127,10 @@ def literal_kind(col: Column, datatype: Column) -> Column:
 
 def query_features(log: DataFrame, col: str = "query") -> DataFrame:
     """Which clauses a query text has, and how many aggregates."""
-    words = {"limit": "LIMIT", "filter": "FILTER", "grouped": "GROUP\\s+BY", "ordered": "ORDER\\s+BY", "is_distinct": "DISTINCT", "has_optional": "OPTIONAL", "has_union": "UNION", "subquery": "\\{\\s*SELECT"}
+    words = {
+        "limit": "LIMIT", "filter": "FILTER", "grouped": "GROUP\\s+BY", "ordered": "ORDER\\s+BY", "is_distinct": "DISTINCT",
+        "has_optional": "OPTIONAL", "has_union": "UNION", "subquery": "\\{\\s*SELECT"
+    }
     flags = [F.col(col).rlike(f"(?i)\\b{w}" if w[0] != "\\" else f"(?i){w}").alias(n) for n, w in words.items()]
     aggregates = F.size(F.regexp_extract_all(F.col(col), F.lit(r"(?i)\b(COUNT|SUM|AVG|MIN|MAX|SAMPLE|GROUP_CONCAT)\s*\("), F.lit(1)))
     return log.select("*", *flags, aggregates.alias("n_aggregates"))
@@ -149,7 +161,10 @@ def error_class(col: Column) -> Column:
 
 
 #: Levels of complexity by the clauses of a query's text (fixed values).
-LEVELS = [("VERY_HARD", "SERVICE"), ("HARD", "HAVING|NOT EXISTS|MINUS"), ("HARD", "FILTER *[(] *! *BOUND"), ("MEDIUM", "GROUP BY|COUNT|SUM|AVG|OPTIONAL")]
+LEVELS = [
+    ("VERY_HARD", "SERVICE"), ("HARD", "HAVING|NOT EXISTS|MINUS"), ("HARD", "FILTER *[(] *! *BOUND"),
+    ("MEDIUM", "GROUP BY|COUNT|SUM|AVG|OPTIONAL")
+]
 
 
 def complexity(col: Column) -> Column:
@@ -168,17 +183,25 @@ def ranked(col: Column) -> Column:
     limit = F.regexp_extract(col, LIMIT, 1)
     var = F.regexp_extract(col, ORDER_BY, 2)
     direction = F.when(F.upper(F.regexp_extract(col, ORDER_BY, 1)) == "DESC", "desc").otherwise("asc")
-    return F.when((var != "") & (limit != ""), F.struct(var.alias("variable"), direction.alias("direction"), limit.try_cast("int").alias("n")))
+    return F.when(
+        (var != "") & (limit != ""), F.struct(var.alias("variable"), direction.alias("direction"), limit.try_cast("int").alias("n"))
+    )
 
 
 #: Classes of ambiguity by what a question's notes hold (fixed values), and what sets without such notes are.
 AMBIGUITY = [
-    ("case_variation", "case variation"), ("partial_match", "partial match"), ("synonym", "synonym"), ("temporal", "temporal"), ("fuzzy_typo", "fuzzy|typo"),
-    ("abbreviation", "abbreviation"), ("numeric_filter", "numeric filter"), ("multi_step", "multi-step"), ("semantic_variance", "semantic variance"),
-    ("role_ambiguity", "^(?=.*ambiguity)(?=.*(role|owns|responsible))"), ("activity_ambiguity", "^(?=.*ambiguity)(?=.*active)"), ("underspecified", "ambiguity|underspecified"),
+    ("case_variation", "case variation"), ("partial_match", "partial match"), ("synonym", "synonym"), ("temporal", "temporal"),
+    ("fuzzy_typo", "fuzzy|typo"),
+    ("abbreviation", "abbreviation"), ("numeric_filter", "numeric filter"), ("multi_step", "multi-step"),
+    ("semantic_variance", "semantic variance"),
+    ("role_ambiguity", "^(?=.*ambiguity)(?=.*(role|owns|responsible))"), ("activity_ambiguity", "^(?=.*ambiguity)(?=.*active)"),
+    ("underspecified", "ambiguity|underspecified"),
 ]
 #: Categories of tools by what their names hold (fixed values).
-TOOLS = [("retrieval", "search|grep|find|retrieve"), ("sparql", "sparql|query|execute"), ("validation", "validate|check|verify"), ("data_access", "sample|instance|data")]
+TOOLS = [
+    ("retrieval", "search|grep|find|retrieve"), ("sparql", "sparql|query|execute"), ("validation", "validate|check|verify"),
+    ("data_access", "sample|instance|data")
+]
 
 
 def ambiguity(notes: Column, query_set: Column) -> Column:
@@ -197,7 +220,9 @@ def typo_hits(calls: DataFrame, notes: DataFrame) -> DataFrame:
     """Pairs ``right -> wrong`` in notes (question_id, note); (run_id, question_id, typo, hit) of each call text and misspelling, found as whole words."""
     found = notes.select("question_id", F.explode(F.regexp_extract_all("note", F.lit(TYPO_PAIR), F.lit(1))).alias("typo"))
     found = found.select("question_id", F.lower(stripped(F.col("typo"))).alias("typo")).distinct()
-    return calls.join(found, "question_id").select("run_id", "question_id", "typo", F.expr("coalesce(lower(text) rlike concat('\\\\b', typo, '\\\\b'), false)").alias("hit"))
+    return calls.join(found, "question_id").select(
+        "run_id", "question_id", "typo", F.expr("coalesce(lower(text) rlike concat('\\\\b', typo, '\\\\b'), false)").alias("hit")
+    )
 
 
 def mask_literals(col: Column) -> Column:

@@ -26,7 +26,10 @@ def condition_table(runs: DataFrame, scores: list[str], by: list[str]) -> DataFr
     search = F.filter("calls", lambda c: F.contains(F.lower(c["tool_name"]), F.lit("search")))
     failed = F.filter(search, lambda c: c["output_size"] <= 150)
     t = runs.withColumn("_n", F.size(search)).withColumn("_f", F.size(failed))
-    return t.groupBy(*by).agg(*map(_mean, scores), F.avg("_n").alias("searches"), F.coalesce(100 * F.sum("_f") / F.nullif(F.sum("_n"), F.lit(0)), F.lit(0.0)).alias("failed_percent"))
+    return t.groupBy(*by).agg(
+        *map(_mean, scores), F.avg("_n").alias("searches"),
+        F.coalesce(100 * F.sum("_f") / F.nullif(F.sum("_n"), F.lit(0)), F.lit(0.0)).alias("failed_percent")
+    )
 
 
 def retry_rate(runs: DataFrame, by: list[str]) -> DataFrame:
@@ -37,7 +40,9 @@ def retry_rate(runs: DataFrame, by: list[str]) -> DataFrame:
 def recognition(runs: DataFrame) -> DataFrame:
     """A4: recognised and false alarms per question and overall; columns question_id, instructed, underspecified, recognised."""
     hit, alarm = F.count_if(F.col("underspecified") & F.col("recognised")), F.count_if(~F.col("underspecified") & F.col("recognised"))
-    return runs.groupingSets([["instructed", "question_id"], ["instructed"]], "instructed", "question_id").agg(F.count(F.lit(1)).alias("n"), hit.alias("recognised"), alarm.alias("false_alarms"))
+    return runs.groupingSets([["instructed", "question_id"], ["instructed"]], "instructed", "question_id").agg(
+        F.count(F.lit(1)).alias("n"), hit.alias("recognised"), alarm.alias("false_alarms")
+    )
 
 
 def tool_time(runs: DataFrame, by: list[str]) -> DataFrame:
@@ -48,13 +53,17 @@ def tool_time(runs: DataFrame, by: list[str]) -> DataFrame:
 
 def handback(runs: DataFrame, by: list[str]) -> DataFrame:
     """Runs handed back and others: n, mean F1, share of at least 0.9."""
-    return runs.groupBy(*by, "handed_back").agg(F.count(F.lit(1)).alias("n"), F.avg("f1").alias("mean_f1"), F.avg((F.col("f1") >= 0.9).cast("double")).alias("high_share"))
+    return runs.groupBy(*by, "handed_back").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("f1").alias("mean_f1"), F.avg((F.col("f1") >= 0.9).cast("double")).alias("high_share")
+    )
 
 
 def search_size(runs: DataFrame, default_k: int, by: list[str]) -> DataFrame:
     """Calls (array of structs with k): share over the default, largest, median of each run's largest."""
     calls = runs.select(*by, "run_id", F.explode("calls.k").alias("k"))
-    per_run = calls.groupBy(*by, "run_id").agg(F.max("k").alias("most"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") > default_k).alias("over"))
+    per_run = calls.groupBy(*by, "run_id").agg(
+        F.max("k").alias("most"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") > default_k).alias("over")
+    )
     sums = per_run.groupBy(*by).agg((F.sum("over") / F.sum("n")).alias("over_share"), F.max("most").alias("max_k"))
     return _beside(sums, exact_quantiles(per_run, by, "most", {"median_max_k": 0.5}).drop("n"), by)
 
@@ -85,18 +94,25 @@ def _beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
 
 def error_rates(runs: DataFrame, by: list[str]) -> DataFrame:
     """A10: ratios of sums."""
-    return runs.groupBy(*by).agg((F.sum("syntax_errors") / F.nullif(F.sum("queries"), F.lit(0))).alias("syntax_error_rate"), (F.sum("tool_ok") / F.nullif(F.sum("tool_calls"), F.lit(0))).alias("tool_success_rate"))
+    return runs.groupBy(*by).agg(
+        (F.sum("syntax_errors") / F.nullif(F.sum("queries"), F.lit(0))).alias("syntax_error_rate"),
+        (F.sum("tool_ok") / F.nullif(F.sum("tool_calls"), F.lit(0))).alias("tool_success_rate")
+    )
 
 
 def tool_usage(calls: DataFrame, n: int = 20) -> DataFrame:
     """The most used tools with their mean latency."""
-    return calls.groupBy("tool_name").agg(F.count(F.lit(1)).alias("calls"), F.avg("duration_ms").alias("mean_ms")).orderBy(F.desc("calls"), "tool_name").limit(n)
+    return calls.groupBy("tool_name").agg(
+        F.count(F.lit(1)).alias("calls"), F.avg("duration_ms").alias("mean_ms")
+    ).orderBy(F.desc("calls"), "tool_name").limit(n)
 
 
 def cell_stats(runs: DataFrame, by: list[str], score: str) -> DataFrame:
     """Mean and standard error over per-question means (0 for one question)."""
     q = runs.groupBy(*by, "question_id").agg(F.avg(score).alias("m"))
-    return q.groupBy(*by).agg(F.avg("m").alias("mean"), F.coalesce(F.stddev_samp("m") / F.sqrt(F.count("m")), F.lit(0.0)).alias("se"), F.count("m").alias("n"))
+    return q.groupBy(*by).agg(
+        F.avg("m").alias("mean"), F.coalesce(F.stddev_samp("m") / F.sqrt(F.count("m")), F.lit(0.0)).alias("se"), F.count("m").alias("n")
+    )
 
 
 def paired_cells(runs: DataFrame, config: str, a, b, score: str) -> DataFrame:
@@ -121,14 +137,18 @@ def subtypes(questions: DataFrame, cut: int = 50) -> DataFrame:
 def baseline_of(questions: DataFrame) -> DataFrame:
     """(question_id, baseline_id) of variants: SYN01, TYPO01 and LARGE01 belong to BASE01."""
     number = F.regexp_extract("question_id", r"^(?:SYN|TYPO|LARGE)(.*)$", 1)
-    return questions.where(F.col("question_id").rlike("^(SYN|TYPO|LARGE)")).select("question_id", F.concat(F.lit("BASE"), number).alias("baseline_id")).distinct()
+    return questions.where(F.col("question_id").rlike("^(SYN|TYPO|LARGE)")).select(
+        "question_id", F.concat(F.lit("BASE"), number).alias("baseline_id")
+    ).distinct()
 
 
 def deltas(runs: DataFrame, pairs: DataFrame, score: str) -> DataFrame:
     """Variant minus baseline, per model."""
     m = runs.groupBy("question_id", "model").agg(F.avg(score).alias("m"))
     base = m.select(F.col("question_id").alias("baseline_id"), "model", F.col("m").alias("b"))
-    return pairs.join(m, "question_id").join(base, ["baseline_id", "model"]).select("question_id", "model", (F.col("m") - F.col("b")).alias("delta"))
+    return pairs.join(m, "question_id").join(base, ["baseline_id", "model"]).select(
+        "question_id", "model", (F.col("m") - F.col("b")).alias("delta")
+    )
 
 
 def summary(runs: DataFrame, measures: list[str], sets: list[list[str]], spread: str | None = None) -> DataFrame:
@@ -156,7 +176,11 @@ def batch_stats(runs: DataFrame, by: list[str]) -> DataFrame:
     the run called impossible.
     """
     zero = F.lit(0.0)
-    each = [f(m) for m in ("f1", "accuracy", "time_ms", "tokens") for f in (lambda c: F.coalesce(F.avg(c), zero).alias(f"mean_{c}"), lambda c: F.coalesce(F.stddev_pop(c), zero).alias(f"std_{c}"))]
+    each = [
+        f(m) for m in ("f1", "accuracy", "time_ms", "tokens") for f in (
+            lambda c: F.coalesce(F.avg(c), zero).alias(f"mean_{c}"), lambda c: F.coalesce(F.stddev_pop(c), zero).alias(f"std_{c}")
+        )
+    ]
     rate = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(f"{c}_rate")
     return runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *each, rate("success"), rate("unanswerable"))
 
@@ -167,32 +191,44 @@ def _syntax_errors(runs: DataFrame) -> DataFrame:
     corrected = ~uncorrected & F.coalesce("corrected", F.lit(False))
     none = F.array().cast("array<string>")
     found = F.when(uncorrected, F.array("initial_error")).when(corrected, F.coalesce("errors", none)).otherwise(none)
-    return runs.select("run_id", uncorrected.alias("uncorrected"), corrected.alias("corrected"), found.alias("found"), F.when(corrected & (F.col("iterations") > 0), F.col("iterations")).alias("used"))
+    return runs.select(
+        "run_id", uncorrected.alias("uncorrected"), corrected.alias("corrected"), found.alias("found"),
+        F.when(corrected & (F.col("iterations") > 0), F.col("iterations")).alias("used")
+    )
 
 
 def syntax_metrics(runs: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` commonest errors with how many runs have them; of runs (run_id, error_type, initial_error, corrected, errors, iterations)."""
     e = _syntax_errors(runs).select("run_id", F.explode("found").alias("error"))
-    return e.groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("run_id").alias("runs")).orderBy(F.desc("n"), "error").limit(n)
+    return e.groupBy("error").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("run_id").alias("runs")
+    ).orderBy(F.desc("n"), "error").limit(n)
 
 
 def syntax_summary(runs: DataFrame) -> DataFrame:
     """One row: corrected runs, their percentage, all errors, uncorrected runs, mean iterations of corrected runs; rounded to 1."""
     t = _syntax_errors(runs)
     rate = F.coalesce(F.round(100 * F.count_if("corrected") / F.count(F.lit(1)), 1), F.lit(0.0))
-    return t.agg(F.count_if("corrected").alias("corrections"), rate.alias("correction_rate"), F.coalesce(F.sum(F.size("found")), F.lit(0)).alias("errors"), F.count_if("uncorrected").alias("uncorrected"), F.coalesce(F.round(F.avg("used"), 1), F.lit(0.0)).alias("mean_iterations"))
+    return t.agg(
+        F.count_if("corrected").alias("corrections"), rate.alias("correction_rate"),
+        F.coalesce(F.sum(F.size("found")), F.lit(0)).alias("errors"), F.count_if("uncorrected").alias("uncorrected"),
+        F.coalesce(F.round(F.avg("used"), 1), F.lit(0.0)).alias("mean_iterations")
+    )
 
 
 def template_summary(runs: DataFrame, score: str) -> DataFrame:
     """Mean, sample variance and failures by template."""
-    return runs.groupBy("template").agg(F.avg(score).alias("mean"), F.var_samp(score).alias("variance"), F.count_if(~F.col("success")).alias("failures"))
+    return runs.groupBy("template").agg(
+        F.avg(score).alias("mean"), F.var_samp(score).alias("variance"), F.count_if(~F.col("success")).alias("failures")
+    )
 
 
 #: Thresholds of the problem rules: very low and low recall, partial concepts and success (fixed values).
 LOW, MIDDLE, HIGH = 0.3, 0.7, 0.8
 #: What low recall is put down to, by ambiguity (fixed values).
 CAUSES = {
-    "case_variation": "instance_case_mismatch", "synonym": "instance_synonym_not_resolved", "temporal": "instance_temporal_not_resolved", "fuzzy_typo": "instance_fuzzy_not_resolved",
+    "case_variation": "instance_case_mismatch", "synonym": "instance_synonym_not_resolved", "temporal": "instance_temporal_not_resolved",
+    "fuzzy_typo": "instance_fuzzy_not_resolved",
     "cross_dataset": "cross_missing_query", "multi_step": "cross_missing_query",
 }
 
@@ -205,35 +241,49 @@ def detect_problems(runs: DataFrame) -> DataFrame:
     c = F.col
     problem = lambda name, severity: F.struct(name.alias("problem"), F.lit(severity).alias("severity"))
     short = (F.size("measurements") > 0) & (c("n_matched") < F.size("measurements")) & F.arrays_overlap("measurements", "missing")
-    cause = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in CAUSES.items() for x in kv)), F.coalesce("ambiguity", F.lit("none"))), F.lit("low_recall"))
+    cause = F.coalesce(
+        F.element_at(F.create_map(*(F.lit(x) for kv in CAUSES.items() for x in kv)), F.coalesce("ambiguity", F.lit("none"))),
+        F.lit("low_recall")
+    )
     low = (c("best_recall") < MIDDLE) & (c("n_rows") != 0)
     rules = [
         F.when(c("n_rows") == 0, problem(F.lit("empty_over_constrained"), "critical")),
-        F.when(c("schema_recall") == 0, problem(F.lit("concept_missing"), "critical")).when(c("schema_recall") < HIGH, problem(F.lit("concept_partial"), "major")),
+        F.when(
+            c("schema_recall") == 0, problem(F.lit("concept_missing"), "critical")
+        ).when(c("schema_recall") < HIGH, problem(F.lit("concept_partial"), "major")),
         F.when(short, problem(F.lit("measurement_missing"), "major")),
         F.when(low & (c("best_recall") < LOW), problem(cause, "critical")).when(low, problem(cause, "major")),
         F.when(short, problem(F.lit("agg_missing_group_by"), "major")),
     ]
-    return runs.select("run_id", "question_id", "ambiguity", F.explode(F.array_compact(F.array(*rules))).alias("p")).select("run_id", "question_id", "ambiguity", "p.problem", "p.severity")
+    return runs.select(
+        "run_id", "question_id", "ambiguity", F.explode(F.array_compact(F.array(*rules))).alias("p")
+    ).select("run_id", "question_id", "ambiguity", "p.problem", "p.severity")
 
 
 def category_stats(runs: DataFrame, by: list[str], f1: str = "f1") -> DataFrame:
     """Successes (F1 >= 0.8), partial ones, failures (0) and the mean."""
     x = F.col(f1)
-    return runs.groupBy(*by).agg(F.count_if(x >= HIGH).alias("success"), F.count_if((x < HIGH) & (x > 0)).alias("partial"), F.count_if(x == 0).alias("failure"), F.avg(x).alias("mean_f1"))
+    return runs.groupBy(*by).agg(
+        F.count_if(x >= HIGH).alias("success"), F.count_if((x < HIGH) & (x > 0)).alias("partial"), F.count_if(x == 0).alias("failure"),
+        F.avg(x).alias("mean_f1")
+    )
 
 
 def correlations(problems: DataFrame, runs: DataFrame) -> DataFrame:
     """P(problem given ambiguity)."""
     n = runs.groupBy("ambiguity").agg(F.count(F.lit(1)).alias("n"))
     k = problems.groupBy("ambiguity", "problem").agg(F.count_distinct("run_id").alias("k"))
-    return k.join(n, "ambiguity").select("ambiguity", "problem", (F.col("k") / F.col("n")).alias("p")).orderBy(F.desc("p"), "ambiguity", "problem")
+    return k.join(n, "ambiguity").select(
+        "ambiguity", "problem", (F.col("k") / F.col("n")).alias("p")
+    ).orderBy(F.desc("p"), "ambiguity", "problem")
 
 
 def report(runs: DataFrame, problems: DataFrame) -> DataFrame:
     """The five hardest questions and ten commonest problems."""
     hard = runs.groupBy(F.col("question_id").alias("name")).agg(F.avg("f1").alias("value")).orderBy("value", "name").limit(5)
-    common = problems.groupBy(F.col("problem").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")).orderBy(F.desc("value"), "name").limit(10)
+    common = problems.groupBy(F.col("problem").alias("name")).agg(
+        F.count(F.lit(1)).cast("double").alias("value")
+    ).orderBy(F.desc("value"), "name").limit(10)
     return hard.withColumn("part", F.lit("hardest")).unionByName(common.withColumn("part", F.lit("commonest")))
 
 
@@ -242,7 +292,12 @@ def merge_runs(first: DataFrame, second: DataFrame, plan: DataFrame | None = Non
     keep = lambda df, n: df.where(F.trim("prediction") != "").select("question_id", F.col("prediction").alias(n))
     both = keep(first, "p1").join(keep(second, "p2"), "question_id", "full")
     both = both.join(plan, "question_id", "left") if plan is not None else both.withColumn("source", F.lit(None).cast("int"))
-    return both.select("question_id", F.when(F.col("source") == 1, F.col("p1")).when(F.col("source") == 2, F.col("p2")).otherwise(F.coalesce("p2", "p1")).alias("prediction")).where("prediction is not null")
+    return both.select(
+        "question_id",
+        F.when(
+            F.col("source") == 1, F.col("p1")
+        ).when(F.col("source") == 2, F.col("p2")).otherwise(F.coalesce("p2", "p1")).alias("prediction")
+    ).where("prediction is not null")
 
 
 def missing_questions(questions: DataFrame, merged: DataFrame) -> DataFrame:
@@ -253,5 +308,7 @@ def missing_questions(questions: DataFrame, merged: DataFrame) -> DataFrame:
 def skip_report(runs: DataFrame, readings: DataFrame) -> DataFrame:
     """Runs by why they can't be evaluated, next to those that are."""
     t = runs.join(readings.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_readings")), "question_id", "left")
-    reason = F.when(F.col("n_readings").isNull(), "no_reading").when(~F.col("success"), "failed_run").when(F.col("prediction").isNull(), "no_prediction").otherwise("evaluated")
+    reason = F.when(F.col("n_readings").isNull(), "no_reading").when(~F.col("success"), "failed_run").when(
+        F.col("prediction").isNull(), "no_prediction"
+    ).otherwise("evaluated")
     return t.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))

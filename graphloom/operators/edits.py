@@ -38,12 +38,17 @@ def _probes(x: Column, length: Column, edits: Column) -> Column:
         low = F.greatest(F.lit(0), start - i, start + off - after)
         high = F.least(F.length(x) - size, start + i, start + off + after)
         places = F.when(high >= low, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda s: F.struct(length.cast("int").alias("length"), i.cast("int").alias("i"), F.substring(x, s + 1, size).alias("part")))
+        return F.transform(
+            places,
+            lambda s: F.struct(length.cast("int").alias("length"), i.cast("int").alias("i"), F.substring(x, s + 1, size).alias("part"))
+        )
 
     return F.flatten(F.transform(F.sequence(F.lit(0), edits), of))
 
 
-def candidates(a: DataFrame, b: DataFrame, x: str, y: str, edits: Callable[[Column], Column], longest: Callable[[Column], Column]) -> DataFrame:
+def candidates(
+    a: DataFrame, b: DataFrame, x: str, y: str, edits: Callable[[Column], Column], longest: Callable[[Column], Column]
+) -> DataFrame:
     """Distinct pairs of rows of ``a`` (with text ``x``) and ``b`` (with text ``y``) that may be within so many edits of each other.
 
     ``edits`` gives the edits for the length of y, and must not fall as it grows; ``longest`` is the greatest length of y that

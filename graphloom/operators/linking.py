@@ -75,10 +75,18 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     kinds = queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    asked = queries.select(F.lit(0).alias("kind"), "query_id", F.lit(None).cast(kinds[1]).alias("item_id"), "v", place("query_id", blocks).alias("block"), number(salts).alias("salt"))
-    passed = items.select(F.lit(1).alias("kind"), F.lit(None).cast(kinds[0]).alias("query_id"), "item_id", "v", number(blocks).alias("block"), place("item_id", salts).alias("salt"))
+    asked = queries.select(
+        F.lit(0).alias("kind"), "query_id", F.lit(None).cast(kinds[1]).alias("item_id"), "v", place("query_id", blocks).alias("block"),
+        number(salts).alias("salt")
+    )
+    passed = items.select(
+        F.lit(1).alias("kind"), F.lit(None).cast(kinds[0]).alias("query_id"), "item_id", "v", number(blocks).alias("block"),
+        place("item_id", salts).alias("salt")
+    )
     met = asked.unionByName(passed).withColumn("task", F.col("block") * salts + F.col("salt"))
-    met = met.repartitionById(blocks * salts, "task").sortWithinPartitions("task", "kind").select("task", "kind", "query_id", "item_id", "v")
+    met = met.repartitionById(blocks * salts, "task").sortWithinPartitions("task", "kind").select(
+        "task", "kind", "query_id", "item_id", "v"
+    )
 
     def matrix(frame: pd.DataFrame) -> np.ndarray:
         x = np.stack([np.asarray(v, np.float64) for v in frame["v"]])
@@ -103,7 +111,9 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
                     keys = np.round(score, 12) + 0.0
                     keep = np.argsort(-keys, axis=1, kind="stable")[:, :k]
                     at = np.repeat(np.arange(len(keep)), keep.shape[1])
-                    yield pd.DataFrame({"query_id": ids[a : a + 256][at], "item_id": items_here[keep.ravel()], "score": score[at, keep.ravel()], "key": keys[at, keep.ravel()]})
+                    yield pd.DataFrame(
+                        {"query_id": ids[a : a + 256][at], "item_id": items_here[keep.ravel()], "score": score[at, keep.ravel()], "key": keys[at, keep.ravel()]}
+                    )
 
     out = met.mapInPandas(best, f"query_id {kinds[0]}, item_id {kinds[1]}, score double, key double")
     order = Window.partitionBy("query_id").orderBy(F.desc("key"), "item_id")
@@ -149,7 +159,10 @@ def profile_property(g: DataFrame, prop: str, n: int = 5) -> DataFrame:
     facts = g.where(F.col("p") == prop)
     number = F.col("o").try_cast("double")
     samples = facts.select("o").distinct().orderBy("o").limit(n).agg(F.array_sort(F.collect_list("o")).alias("samples"))
-    stats = facts.agg(F.array_sort(F.collect_set("o_datatype")).alias("datatypes"), F.min(number).alias("low"), F.max(number).alias("high"), (F.max(number) - F.min(number)).alias("spread"))
+    stats = facts.agg(
+        F.array_sort(F.collect_set("o_datatype")).alias("datatypes"), F.min(number).alias("low"), F.max(number).alias("high"),
+        (F.max(number) - F.min(number)).alias("spread")
+    )
     return stats.join(F.broadcast(samples))
 
 
@@ -162,11 +175,15 @@ def rank_documents(hits: DataFrame, k: int, min_hits: int, n: int, margin: float
     """Hits (query_id, doc, hit_id, distance): the k nearest, of documents with enough of them, whose mean of the best n is within the margin of the best document."""
     near = hits.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "hit_id"))).where(F.col("r") <= k)
     near = near.withColumn("in_doc", F.row_number().over(Window.partitionBy("query_id", "doc").orderBy("distance", "hit_id")))
-    docs = near.groupBy("query_id", "doc").agg(F.count(F.lit(1)).alias("n_hits"), F.avg(F.when(F.col("in_doc") <= n, F.col("distance"))).alias("doc_score"))
+    docs = near.groupBy("query_id", "doc").agg(
+        F.count(F.lit(1)).alias("n_hits"), F.avg(F.when(F.col("in_doc") <= n, F.col("distance"))).alias("doc_score")
+    )
     docs = docs.where(F.col("n_hits") >= min_hits)
     best = docs.groupBy("query_id").agg(F.min("doc_score").alias("best"))
     kept = docs.join(best, "query_id").where(F.col("doc_score") <= F.col("best") * (1 + margin))
-    return near.join(kept.select("query_id", "doc", "doc_score"), ["query_id", "doc"]).select("query_id", "doc", "hit_id", "distance", "doc_score")
+    return near.join(
+        kept.select("query_id", "doc", "doc_score"), ["query_id", "doc"]
+    ).select("query_id", "doc", "hit_id", "distance", "doc_score")
 
 
 def token_budget(docs: DataFrame, budget: int) -> DataFrame:
@@ -179,8 +196,12 @@ def token_budget(docs: DataFrame, budget: int) -> DataFrame:
     within = Window.partitionBy("query_id", "_range").orderBy(F.desc("score"), "doc").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("query_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("query_id", "_range").agg(F.sum(size).alias("_total"))
-    totals = totals.select(F.col("query_id").alias("_query"), F.col("_range").alias("_at"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    summed = placed.withColumn("used", F.sum(size).over(within)).join(totals, F.col("query_id").eqNullSafe(F.col("_query")) & (F.col("_range") == F.col("_at")))
+    totals = totals.select(
+        F.col("query_id").alias("_query"), F.col("_range").alias("_at"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before")
+    )
+    summed = placed.withColumn("used", F.sum(size).over(within)).join(
+        totals, F.col("query_id").eqNullSafe(F.col("_query")) & (F.col("_range") == F.col("_at"))
+    )
     return summed.withColumn("used", F.col("used") + F.col("_before")).where(F.col("used") <= budget).select(*docs.columns, "used")
 
 
@@ -197,14 +218,21 @@ def target_rank(scores: DataFrame, targets: DataFrame) -> DataFrame:
 
 def reachability(ranks: DataFrame, k: int) -> DataFrame:
     """Per phrase whether all targets are among the k of their type and 3k overall, and the worst rank."""
-    return ranks.groupBy("phrase").agg(F.bool_and((F.col("type_rank") <= k) & (F.col("rank") <= 3 * k)).alias("reachable"), F.max("rank").alias("worst_rank"))
+    return ranks.groupBy("phrase").agg(
+        F.bool_and((F.col("type_rank") <= k) & (F.col("rank") <= 3 * k)).alias("reachable"), F.max("rank").alias("worst_rank")
+    )
 
 
 def _forms(x: Column) -> Column:
     """A normalised phrase and what its singular may be."""
     n = F.length(x)
     cut = lambda k: F.substring(x, F.lit(1), n - k)
-    return F.array_compact(F.array(x, F.when(x.endswith("ies") & (n > 5), F.concat(cut(3), F.lit("y"))), F.when(x.endswith("es") & (n > 4), cut(2)), F.when(x.endswith("s") & (n > 3), cut(1))))
+    return F.array_compact(
+        F.array(
+            x, F.when(x.endswith("ies") & (n > 5), F.concat(cut(3), F.lit("y"))), F.when(x.endswith("es") & (n > 4), cut(2)),
+            F.when(x.endswith("s") & (n > 3), cut(1))
+        )
+    )
 
 
 def phrase_score(phrase: Column, name: Column) -> Column:
@@ -226,7 +254,14 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def mention_sim(questions: DataFrame, literals: DataFrame) -> DataFrame:
     """For (question_id, question) and (question_id, literal): the most similar window of 1 to 4 words."""
     words = F.split(F.lower(F.trim("question")), r"\s+")
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))))
+    spans = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.lit(4)),
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " ")
+            )
+        )
+    )
     windows = questions.select("question_id", F.explode(F.array_distinct(spans)).alias("window"))
     met = windows.join(literals, "question_id").withColumn("_low", F.lower("literal"))
     # the letters shared bound the ratio; a window that can't reach what the most promising one has is not compared
@@ -234,17 +269,25 @@ def mention_sim(questions: DataFrame, literals: DataFrame) -> DataFrame:
     met = cut(met.withColumn("_bound", bound))
     first = met.groupBy("question_id", "literal", "_low").agg(F.max_by("window", F.struct("_bound", "window")).alias("window"))
     first = first.withColumn("_least", ratio("window", "_low")).select("question_id", "literal", "_least")
-    own = met.join(first.withColumnRenamed("literal", "_literal"), (met["question_id"] == first["question_id"]) & met["literal"].eqNullSafe(F.col("_literal"))).drop(first["question_id"])
+    own = met.join(
+        first.withColumnRenamed("literal", "_literal"),
+        (met["question_id"] == first["question_id"]) & met["literal"].eqNullSafe(F.col("_literal"))
+    ).drop(first["question_id"])
     scored = own.where(F.col("_bound") >= F.col("_least") - 1e-9).withColumn("sim", ratio("window", "_low"))
     best = scored.groupBy("question_id", "literal").agg(F.max(F.struct("sim", "window")).alias("b"))
-    return best.select("question_id", "literal", "b.sim", "b.window", (F.substring("b.window", 1, 3) == F.substring(F.lower("literal"), 1, 3)).alias("same_prefix"))
+    return best.select(
+        "question_id", "literal", "b.sim", "b.window",
+        (F.substring("b.window", 1, 3) == F.substring(F.lower("literal"), 1, 3)).alias("same_prefix")
+    )
 
 
 #: Parts of column names that are not worth an index (fixed values); names that end with Id aren't either.
 BLOCKED = ["_id", " id", "url", "email", "web", "time", "phone", "date", "address"]
 
 
-def eligible_columns(df: DataFrame, keys: list[str], most: int = 100, total: int = 2_000_000, mean: float = 25.0, total_names: int = 5_000_000) -> DataFrame:
+def eligible_columns(
+    df: DataFrame, keys: list[str], most: int = 100, total: int = 2_000_000, mean: float = 25.0, total_names: int = 5_000_000
+) -> DataFrame:
     """Text columns and whether they are worth an index: by name, and by lengths and number of distinct values.
 
     A column is if its distinct values are together below ``total_names`` characters and its name has "name" in it, or below
@@ -254,7 +297,9 @@ def eligible_columns(df: DataFrame, keys: list[str], most: int = 100, total: int
     if not texts:
         return df.sparkSession.createDataFrame([], "col string, n_values long, sum_length long, mean_length double, eligible boolean")
     cells = df.select(*texts).unpivot([], texts, "col", "value").where("value is not null").distinct()
-    stats = cells.groupBy("col").agg(F.count(F.lit(1)).alias("n_values"), F.sum(F.length("value")).alias("sum_length"), F.avg(F.length("value")).alias("mean_length"))
+    stats = cells.groupBy("col").agg(
+        F.count(F.lit(1)).alias("n_values"), F.sum(F.length("value")).alias("sum_length"), F.avg(F.length("value")).alias("mean_length")
+    )
     name = F.lower("col")
     blocked = F.col("col").endswith("Id")
     for part in BLOCKED:
@@ -272,8 +317,15 @@ def lsh_values(values: DataFrame, keywords: DataFrame, n: int = 10, hashes: int
 def keyword_parts(df: DataFrame) -> DataFrame:
     """(id, keyword) -> the whole, both sides of every blank, and what follows an equals sign."""
     w = F.split("keyword", " ")
-    sides = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 1)), lambda i: F.array(F.array_join(F.slice(w, F.lit(1), i), " "), F.array_join(F.slice(w, i + 1, F.size(w)), " "))))
-    after = F.when(F.contains("keyword", F.lit("=")), F.array(F.trim(F.element_at(F.split("keyword", "="), -1)))).otherwise(F.array().cast("array<string>"))
+    sides = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 1)),
+            lambda i: F.array(F.array_join(F.slice(w, F.lit(1), i), " "), F.array_join(F.slice(w, i + 1, F.size(w)), " "))
+        )
+    )
+    after = F.when(
+        F.contains("keyword", F.lit("=")), F.array(F.trim(F.element_at(F.split("keyword", "="), -1)))
+    ).otherwise(F.array().cast("array<string>"))
     return df.select("id", F.explode(F.array_distinct(F.concat(F.array("keyword"), sides, after))).alias("part")).where("part <> ''")
 
 
@@ -288,7 +340,9 @@ def filter_entities(cands: DataFrame) -> DataFrame:
 def _letters_shared(a: str, b: str) -> Column:
     """How many letters the texts share, in any order: at least as many as a matcher of blocks finds."""
     count = lambda c, x: F.length(c) - F.length(F.replace(F.col(c), x, F.lit("")))
-    return F.aggregate(F.array_distinct(F.split(F.col(a), "")), F.lit(0), lambda n, x: n + F.when(x == "", 0).otherwise(F.least(count(a, x), count(b, x))))
+    return F.aggregate(
+        F.array_distinct(F.split(F.col(a), "")), F.lit(0), lambda n, x: n + F.when(x == "", 0).otherwise(F.least(count(a, x), count(b, x)))
+    )
 
 
 def match_columns_by_name(cols: DataFrame, keywords: DataFrame, least: float = 0.9, sims: DataFrame | None = None) -> DataFrame:

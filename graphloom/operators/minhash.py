@@ -27,19 +27,28 @@ def signature(c: Column, hashes: int = HASHES) -> Column:
 
 
 def _banded(df: DataFrame, rows: int) -> DataFrame:
-    bands = F.transform(F.sequence(F.lit(0), F.floor((F.size("sig") - 1) / rows).cast("int")), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("sig", b * rows + 1, F.lit(rows))).alias("bucket")))
+    bands = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("sig") - 1) / rows).cast("int")),
+        lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("sig", b * rows + 1, F.lit(rows))).alias("bucket"))
+    )
     return df.withColumn("key", F.explode(bands))
 
 
-def similar_values(values: DataFrame, keywords: DataFrame, n: int = 10, hashes: int = HASHES, rows: int = 1, exact: bool = False) -> DataFrame:
+def similar_values(
+    values: DataFrame, keywords: DataFrame, n: int = 10, hashes: int = HASHES, rows: int = 1, exact: bool = False
+) -> DataFrame:
     """(keyword, value, jaccard, rank): for each keyword the ``n`` most similar values (value), estimated from signatures.
 
     A pair of Jaccard J is met with a chance of 1 - (1 - J**rows) ** (hashes / rows): with rows = 1 and 100 hashes 0.99 from
     J = 0.045 on. ``exact`` ranks the candidates by their trigrams instead of the share of equal signature numbers. Ties go to
     the smaller value. Null and empty values and keywords are left out, equal ones count once.
     """
-    own = values.select("value").where("value <> ''").distinct().withColumn("grams", shingles("value")).withColumn("sig", signature(F.col("grams"), hashes))
-    asked = keywords.select("keyword").where("keyword <> ''").distinct().withColumn("_grams", shingles("keyword")).withColumn("sig", signature(F.col("_grams"), hashes))
+    own = values.select("value").where("value <> ''").distinct().withColumn("grams", shingles("value")).withColumn(
+        "sig", signature(F.col("grams"), hashes)
+    )
+    asked = keywords.select("keyword").where("keyword <> ''").distinct().withColumn("_grams", shingles("keyword")).withColumn(
+        "sig", signature(F.col("_grams"), hashes)
+    )
     left = _banded(own.select("value", "sig"), rows).select("value", "key")
     right = _banded(asked.select("keyword", "sig"), rows).select("keyword", "key")
     shared = left.join(right, "key").groupBy("keyword", "value").agg(F.count(F.lit(1)).alias("same"))
@@ -59,8 +68,12 @@ def similar_values(values: DataFrame, keywords: DataFrame, n: int = 10, hashes:
 
 def exact_similar_values(values: DataFrame, keywords: DataFrame, n: int = 10) -> DataFrame:
     """The same from all pairs that share a trigram: the exact way, to measure recall against."""
-    left = values.select("value").where("value <> ''").distinct().select("value", F.size(shingles("value")).alias("k"), F.explode(shingles("value")).alias("gram"))
-    right = keywords.select("keyword").where("keyword <> ''").distinct().select("keyword", F.size(shingles("keyword")).alias("m"), F.explode(shingles("keyword")).alias("gram"))
+    left = values.select("value").where("value <> ''").distinct().select(
+        "value", F.size(shingles("value")).alias("k"), F.explode(shingles("value")).alias("gram")
+    )
+    right = keywords.select("keyword").where("keyword <> ''").distinct().select(
+        "keyword", F.size(shingles("keyword")).alias("m"), F.explode(shingles("keyword")).alias("gram")
+    )
     met = left.join(right, "gram").groupBy("keyword", "value", "k", "m").agg(F.count(F.lit(1)).alias("both"))
     scored = met.select("keyword", "value", (F.col("both") / (F.col("k") + F.col("m") - F.col("both"))).alias("jaccard"))
     order = Window.partitionBy("keyword").orderBy(F.desc("jaccard"), "value")

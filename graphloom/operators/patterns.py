@@ -72,7 +72,9 @@ def optional(left: DataFrame, right: DataFrame, nullable: tuple[str, ...] = (),
     if not ln and not rn:
         return left.join(right, on, "left")
     own = [c for c in right.columns if c not in on]
-    rights = [(free, part.select(*(F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns))) for free, part in _masks(right, rn)]
+    rights = [
+        (free, part.select(*(F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns))) for free, part in _masks(right, rn)
+    ]
     parts = []
     for unbound, rows in _masks(left, ln):
         alone = rows

@@ -23,7 +23,10 @@ def expanded(rows: DataFrame, sets: list[list[str]], others: list[str]) -> DataF
     """``rows`` once for each grouping set, with ``_set`` (its number) and null for the keys that it leaves out."""
     keys = list(dict.fromkeys(k for s in sets for k in s))
     kinds = {f.name: f.dataType for f in rows.schema}
-    each = [F.struct(F.lit(i).alias("_set"), *(F.col(k) if k in s else F.lit(None).cast(kinds[k]).alias(k) for k in keys)) for i, s in enumerate(sets)]
+    each = [
+        F.struct(F.lit(i).alias("_set"), *(F.col(k) if k in s else F.lit(None).cast(kinds[k]).alias(k) for k in keys)) for i,
+        s in enumerate(sets)
+    ]
     return rows.select(F.explode(F.array(*each)).alias("_keys"), *others).select("_keys.*", *others)
 
 
@@ -36,7 +39,10 @@ def _inside(rows: DataFrame, cells: DataFrame) -> DataFrame:
 
 def order_statistics(rows: DataFrame, wanted: DataFrame, limit: int = LIMIT, ways: int = WAYS) -> DataFrame:
     """(g, rank, v): the value of each 0-based rank; rows are (g, v) without null values, wanted is (g, n, rank), n being the group's rows."""
-    targets = wanted.select("g", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.col("rank").alias("at"), "rank", F.col("n").alias("m"))
+    targets = wanted.select(
+        "g", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.col("rank").alias("at"), "rank",
+        F.col("n").alias("m")
+    )
     found = []
     while True:
         targets = cut(targets)
@@ -45,21 +51,29 @@ def order_statistics(rows: DataFrame, wanted: DataFrame, limit: int = LIMIT, way
             break
         inside = _inside(rows, large.select("g", "lo", "hi").distinct())
         grid = F.array(*(F.lit((i + 1) / ways) for i in range(ways - 1)))
-        borders = cut(inside.groupBy("cell").agg(F.array_sort(F.array_distinct(F.percentile_approx("v", grid, F.lit(ways * 50)))).alias("b")))
+        borders = cut(
+            inside.groupBy("cell").agg(F.array_sort(F.array_distinct(F.percentile_approx("v", grid, F.lit(ways * 50)))).alias("b"))
+        )
         known = small(borders.withColumnRenamed("cell", "_cell"))
         below = F.size(F.filter("b", lambda x: x < F.col("v")))
-        placed = inside.join(known, inside["cell"].eqNullSafe(known["_cell"])).select("cell", (2 * below + F.array_contains("b", F.col("v")).cast("int")).alias("place"))
+        placed = inside.join(known, inside["cell"].eqNullSafe(known["_cell"])).select(
+            "cell", (2 * below + F.array_contains("b", F.col("v")).cast("int")).alias("place")
+        )
         counts = placed.groupBy("cell", "place").agg(F.count(F.lit(1)).alias("k"))
         up_to = F.sum("k").over(Window.partitionBy("cell").orderBy("place"))
         counts = counts.withColumn("before", up_to - F.col("k")).withColumnRenamed("cell", "_cell")
         parts = counts.join(borders, counts["_cell"].eqNullSafe(borders["cell"])).select("_cell", "place", "k", "before", "b")
         own = large.withColumn("cell", F.struct("g", "lo", "hi"))
-        met = own.join(parts, own["cell"].eqNullSafe(parts["_cell"]) & (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("k")))
+        met = own.join(
+            parts, own["cell"].eqNullSafe(parts["_cell"]) & (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("k"))
+        )
         met = cut(met.select("g", "lo", "hi", "rank", "at", "place", "k", "before", "b"))
         found.append(met.where("place % 2 = 1").select("g", "rank", F.get("b", F.expr("place div 2").cast("int")).alias("v")))
         half = F.expr("place div 2").cast("int")
         lo, hi = F.coalesce(F.get("b", half - 1), "lo"), F.coalesce(F.get("b", half), "hi")
-        open_ = met.where("place % 2 = 0").select("g", lo.alias("lo"), hi.alias("hi"), (F.col("at") - F.col("before")).alias("at"), "rank", F.col("k").alias("m"))
+        open_ = met.where("place % 2 = 0").select(
+            "g", lo.alias("lo"), hi.alias("hi"), (F.col("at") - F.col("before")).alias("at"), "rank", F.col("k").alias("m")
+        )
         targets = targets.where(F.col("m") <= limit).unionByName(open_)
     last = _inside(rows, targets.select("g", "lo", "hi").distinct())
     ranked = last.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("v")) - 1).withColumnRenamed("cell", "_cell")

@@ -48,7 +48,9 @@ def split_by_keys(tables: Tables, fks: list[ForeignKey], order: dict[str, str])
 def ranges(df: DataFrame, col: str) -> DataFrame:
     """``df`` written in order of a column, with _range and the place _at in it: partitions are ranges of the column."""
     placed = df.repartitionByRange(col).sortWithinPartitions(col).withColumn("_id", F.monotonically_increasing_id())
-    return cut(placed.select(*df.columns, F.shiftright("_id", 33).alias("_range"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+    return cut(
+        placed.select(*df.columns, F.shiftright("_id", 33).alias("_range"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    )
 
 
 def nth(df: DataFrame, col: str, n: int):
@@ -65,8 +67,12 @@ def numbered(df: DataFrame, col: str, name: str = "nr") -> DataFrame:
     """``df`` with each row's place (from 1) by a unique column; only the counts of ranges are gathered."""
     placed = ranges(df, col)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(offsets), "_range").select(*df.columns, (F.col("_before") + F.col("_at") + 1).alias(name))  # a row a range
+    offsets = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    return placed.join(F.broadcast(offsets), "_range").select(
+        *df.columns, (F.col("_before") + F.col("_at") + 1).alias(name)
+    )  # a row a range
 
 
 def rename_table(df: DataFrame, colmap: dict[str, str]) -> DataFrame:
@@ -86,19 +92,30 @@ def check_joins(halves: dict[str, Tables], fks: list[ForeignKey]) -> DataFrame:
         for k in fks:
             keys = tables[k.parent].select(F.col(k.parent_col).alias("_k"))
             joined = tables[k.child].select(F.col(k.child_col).alias("_k")).join(keys, "_k")
-            parts.append(joined.agg(F.count(F.lit(1)).alias("n_joined")).select(F.lit(half).alias("half"), F.lit(f"{k.child}->{k.parent}").alias("fk"), "n_joined"))
+            parts.append(
+                joined.agg(F.count(F.lit(1)).alias("n_joined")).select(
+                    F.lit(half).alias("half"), F.lit(f"{k.child}->{k.parent}").alias("fk"), "n_joined"
+                )
+            )
     return reduce(DataFrame.unionByName, parts)
 
 
 def profile_columns(name: str, df: DataFrame, keys: tuple[str, ...] = (), n: int = 3) -> DataFrame:
     """H6: per column its type, key flag, readable name, number of distinct values and the first n of them."""
     kinds = dict(df.dtypes)
-    cells = df.select(*(F.col(c).cast("string").alias(c) for c in df.columns)).unpivot([], df.columns, "col", "value").where("value is not null").distinct()
+    cells = df.select(
+        *(F.col(c).cast("string").alias(c) for c in df.columns)
+    ).unpivot([], df.columns, "col", "value").where("value is not null").distinct()
     # the first n of each task go to the window, not all values
     first = cells.withColumn("r", F.row_number().over(Window.partitionBy("col").orderBy("value"))).where(F.col("r") <= n)
-    t = cells.groupBy("col").agg(F.count(F.lit(1)).alias("n_distinct")).join(first.groupBy("col").agg(F.array_sort(F.collect_list("value")).alias("samples")), "col")
+    t = cells.groupBy("col").agg(F.count(F.lit(1)).alias("n_distinct")).join(
+        first.groupBy("col").agg(F.array_sort(F.collect_list("value")).alias("samples")), "col"
+    )
     kind = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))[F.col("col")]
-    return t.select(F.lit(name).alias("tbl"), "col", kind.alias("type"), F.col("col").isin(list(keys)).alias("is_key"), F.replace("col", F.lit("_"), F.lit(" ")).alias("readable"), "n_distinct", "samples")
+    return t.select(
+        F.lit(name).alias("tbl"), "col", kind.alias("type"), F.col("col").isin(list(keys)).alias("is_key"),
+        F.replace("col", F.lit("_"), F.lit(" ")).alias("readable"), "n_distinct", "samples"
+    )
 
 
 def entities(g: DataFrame, cls: str, props: dict[str, str]) -> DataFrame:

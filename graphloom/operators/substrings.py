@@ -21,7 +21,9 @@ END = "\x00\x00"
 def grams(text: Column) -> Column:
     """The distinct trigrams of a text; none if it is shorter."""
     last = F.length(text) - 2
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return F.when(
+        last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+    ).otherwise(F.array().cast("array<string>"))
 
 
 @dataclass(frozen=True)
@@ -51,13 +53,21 @@ def search(index: SubstringIndex, terms: DataFrame, term_col: str = "term") -> D
     """(term, text): the indexed texts that contain each distinct term, in any case. Null and empty terms have none."""
     own = terms.select(F.col(f"`{term_col}`").cast("string").alias("term")).where("term <> ''").distinct()
     own = own.withColumn("low", F.lower("term"))
-    long = own.where(F.length("low") >= 3).select("term", F.explode(grams(F.col("low"))).alias("gram"), F.size(grams(F.col("low"))).alias("all"))
+    long = own.where(F.length("low") >= 3).select(
+        "term", F.explode(grams(F.col("low"))).alias("gram"), F.size(grams(F.col("low"))).alias("all")
+    )
     by_term = Window.partitionBy("term")
-    known = long.join(index.counts, "gram").withColumn("found", F.count(F.lit(1)).over(by_term)).withColumn("r", F.row_number().over(by_term.orderBy("n", "gram")))
+    known = long.join(index.counts, "gram").withColumn("found", F.count(F.lit(1)).over(by_term)).withColumn(
+        "r", F.row_number().over(by_term.orderBy("n", "gram"))
+    )
     # a term with a gram that no text has is in none
-    asked = known.where((F.col("found") == F.col("all")) & (F.col("r") <= FEW)).select("term", "gram", F.least("all", F.lit(FEW)).alias("needs"))
+    asked = known.where((F.col("found") == F.col("all")) & (F.col("r") <= FEW)).select(
+        "term", "gram", F.least("all", F.lit(FEW)).alias("needs")
+    )
     beginnings = [
-        own.where(F.length("low") == n).select("term", F.col("low").alias("_begins")).join(index.counts.select("gram", F.substring("gram", 1, n).alias("_begins")), "_begins").select("term", "gram", F.lit(1).alias("needs"))
+        own.where(F.length("low") == n).select("term", F.col("low").alias("_begins")).join(
+            index.counts.select("gram", F.substring("gram", 1, n).alias("_begins")), "_begins"
+        ).select("term", "gram", F.lit(1).alias("needs"))
         for n in (1, 2)
     ]
     asked = asked.unionByName(beginnings[0]).unionByName(beginnings[1])

@@ -34,17 +34,27 @@ def retrieval_elements(patterns: DataFrame, filters: DataFrame | None = None, sc
     is_type, constant = F.col("p") == RDF_TYPE, ~F.col("p").startswith("?")
     p = patterns.where(constant)
 
-    def rows(df: DataFrame, kind: str, term: Column, value_type: Column = null, cls: Column = null, prop: Column = null, need: Column | None = None) -> DataFrame:
-        return df.select("question_id", F.lit(kind).alias("kind"), term.alias("term"), value_type.alias("value_type"), cls.alias("associated_class"), prop.alias("associated_property"), need if need is not None else _need())
+    def rows(
+        df: DataFrame, kind: str, term: Column, value_type: Column = null, cls: Column = null, prop: Column = null,
+        need: Column | None = None
+    ) -> DataFrame:
+        return df.select(
+            "question_id", F.lit(kind).alias("kind"), term.alias("term"), value_type.alias("value_type"), cls.alias("associated_class"),
+            prop.alias("associated_property"), need if need is not None else _need()
+        )
 
     parts = [rows(p.where(is_type & (F.col("o_kind") == "iri")), "class", F.col("o")), rows(p.where(~is_type), "property", F.col("p"))]
     # a variable's class, in any block of its query
-    classes = patterns.where(is_type & (F.col("o_kind") == "iri") & F.col("s").startswith("?")).groupBy(*at, F.col("s").alias("v")).agg(F.min("o").alias("cls"))
+    classes = patterns.where(
+        is_type & (F.col("o_kind") == "iri") & F.col("s").startswith("?")
+    ).groupBy(*at, F.col("s").alias("v")).agg(F.min("o").alias("cls"))
     known = F.lit(False)
     for ns in schema_namespaces:
         known = known | F.col("term").startswith(ns)
     own = p.where(~is_type)
-    ends = rows(own.where(~F.col("s").startswith("?")), "instance", F.col("s"), F.lit("uri"), prop=F.col("p")).unionByName(rows(own.where(F.col("o_kind") == "iri"), "instance", F.col("o"), F.lit("uri"), prop=F.col("p")))
+    ends = rows(own.where(~F.col("s").startswith("?")), "instance", F.col("s"), F.lit("uri"), prop=F.col("p")).unionByName(
+        rows(own.where(F.col("o_kind") == "iri"), "instance", F.col("o"), F.lit("uri"), prop=F.col("p"))
+    )
     parts.append(ends.where(~known))
     literals = own.where(F.col("o_kind") == "literal").join(classes.withColumnRenamed("v", "s"), [*at, "s"], "left")
     parts.append(rows(literals, "instance", F.col("o"), literal_kind(F.col("o"), F.col("o_datatype")), F.col("cls"), F.col("p")))
@@ -53,7 +63,9 @@ def retrieval_elements(patterns: DataFrame, filters: DataFrame | None = None, sc
         allowed = (F.col("op") == "IN") & (F.col("value_kind") == "iri")
         parts.append(rows(filters.where(allowed).join(typed, [*at, "variable"], "left_semi"), "class", F.col("value")))
         # the property whose object the filtered variable is, and its subject's class
-        uses = own.where(F.col("o_kind") == "variable").select(*at, F.col("o").alias("variable"), F.col("s").alias("v"), "p").join(classes, [*at, "v"], "left")
+        uses = own.where(F.col("o_kind") == "variable").select(
+            *at, F.col("o").alias("variable"), F.col("s").alias("v"), "p"
+        ).join(classes, [*at, "v"], "left")
         use = uses.groupBy(*at, "variable").agg(F.min(F.struct("p", "cls")).alias("use"))
         others = filters.join(typed, [*at, "variable"], "left_anti").join(use, [*at, "variable"], "left")
         kind = F.when(F.col("value_kind") == "iri", "uri").otherwise(literal_kind(F.col("value"), F.col("value_datatype")))

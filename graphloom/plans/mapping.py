@@ -68,7 +68,9 @@ def ref(predicate: str, other: TriplesMap, child: str, parent: str) -> Obj:
 
 def _triple(rows: DataFrame, s: Column, p: str, o: Column, iri: bool, datatype: str | None = None, lang: str | None = None) -> DataFrame:
     kinds = F.lit("iri" if iri else "literal"), F.lit(datatype).cast("string"), F.lit(lang).cast("string")
-    return rows.select(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), *(k.alias(n) for k, n in zip(kinds, TRIPLE[3:], strict=True))).where("s is not null and o is not null")
+    return rows.select(
+        s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), *(k.alias(n) for k, n in zip(kinds, TRIPLE[3:], strict=True))
+    ).where("s is not null and o is not null")
 
 
 def _object(rows: DataFrame, m: TriplesMap, o: Obj, tables: Tables) -> DataFrame:
@@ -78,7 +80,9 @@ def _object(rows: DataFrame, m: TriplesMap, o: Obj, tables: Tables) -> DataFrame
         if template_columns(o.ref.subject) == [parent] and o.ref.table == m.table:
             return _triple(rows, s, o.predicate, from_template(o.ref.subject.replace(f"{{{parent}}}", f"{{{child}}}")), True)
         right = o.ref.rows(tables).select(F.col(parent).alias("_key"), from_template(o.ref.subject).alias("_o"))
-        return _triple(rows.select(F.col(child).alias("_key"), s.alias("_s")).join(right, "_key"), F.col("_s"), o.predicate, F.col("_o"), True)
+        return _triple(
+            rows.select(F.col(child).alias("_key"), s.alias("_s")).join(right, "_key"), F.col("_s"), o.predicate, F.col("_o"), True
+        )
     if o.column is not None:
         return _triple(rows, s, o.predicate, F.col(o.column), False, o.datatype, o.lang)
     if o.template is not None:
@@ -91,7 +95,11 @@ def triples(mapping: list[TriplesMap], tables: Tables, p: str | None = None, cls
     parts = []
     for m in mapping:
         rows = m.rows(tables)
-        parts += [_triple(rows, from_template(m.subject), RDF_TYPE, F.lit(c), True) for c in m.classes if p in (None, RDF_TYPE) and cls in (None, c)]
+        parts += [
+            _triple(
+                rows, from_template(m.subject), RDF_TYPE, F.lit(c), True
+            ) for c in m.classes if p in (None, RDF_TYPE) and cls in (None, c)
+        ]
         parts += [_object(rows, m, o, tables) for o in m.objects if cls is None and p in (None, o.predicate)]
     if not parts:
         return SparkSession.active().createDataFrame([], ", ".join(f"{c} string" for c in TRIPLE))
@@ -106,7 +114,9 @@ def materialize(mapping: list[TriplesMap], tables: Tables) -> DataFrame:
 def entail_types(graph: DataFrame, closure: DataFrame) -> DataFrame:
     """Adds the types that follow from ``closure`` (child, ancestor)."""
     types = graph.where(F.col("p") == RDF_TYPE)
-    more = types.join(small(closure.select(F.col("child").alias("o"), "ancestor")), "o").withColumn("o", F.col("ancestor")).select(*graph.columns)
+    more = types.join(
+        small(closure.select(F.col("child").alias("o"), "ancestor")), "o"
+    ).withColumn("o", F.col("ancestor")).select(*graph.columns)
     return graph.unionByName(more).distinct()
 
 
@@ -115,7 +125,10 @@ def check_mapping(mapping: list[TriplesMap], tables: Tables) -> list[str]:
     found = []
     for m in mapping:
         have = set(m.rows(tables).columns)
-        used = [*template_columns(m.subject), *(c for o in m.objects for c in (template_columns(o.template or "") + ([o.column] if o.column else []) + ([o.join[0]] if o.join else [])))]
+        used = [
+            *template_columns(m.subject),
+            *(c for o in m.objects for c in (template_columns(o.template or "") + ([o.column] if o.column else []) + ([o.join[0]] if o.join else [])))
+        ]
         found += [f"{m.subject}: {c}" for c in used if c not in have]
     return found
 
@@ -127,7 +140,11 @@ def audit_templates(mapping: list[TriplesMap], tables: Tables) -> DataFrame:
         keys = template_columns(m.subject)
         by_iri = m.rows(tables).select(from_template(m.subject).alias("iri"), F.struct(*keys).alias("k")).where("iri is not null")
         by_iri = by_iri.groupBy("iri").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("keys"))
-        parts.append(by_iri.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_iris"), F.count_if(F.col("keys") > 1).alias("collisions")).select(F.lit(m.subject).alias("template"), "n_rows", "n_iris", "collisions"))
+        parts.append(
+            by_iri.agg(
+                F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_iris"), F.count_if(F.col("keys") > 1).alias("collisions")
+            ).select(F.lit(m.subject).alias("template"), "n_rows", "n_iris", "collisions")
+        )
     return reduce(DataFrame.unionByName, parts)
 
 

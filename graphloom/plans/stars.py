@@ -120,7 +120,15 @@ class MappedGraph:
     def _pruned(self, found: list[list[Solutions]]) -> list[list[Solutions]]:
         """Leaves out maps whose terms can't equal those of any map of another star; of none, an empty one stays."""
         while True:
-            kept = [[x for x in own if all(any(x.terms[v].fits(y.terms[v]) for y in other) for other in found if other is not own and other for v in set(x.terms) & set(other[0].terms))] for own in found]
+            kept = [
+                [
+                    x for x in own if all(
+                        any(
+                            x.terms[v].fits(y.terms[v]) for y in other
+                        ) for other in found if other is not own and other for v in set(x.terms) & set(other[0].terms)
+                    )
+                ] for own in found
+            ]
             if [len(k) for k in kept] == [len(f) for f in found]:
                 return found
             found = [k or [f[0].where(F.lit(False))] if f else k for k, f in zip(kept, found, strict=True)]
@@ -133,12 +141,16 @@ class MappedGraph:
         terms, columns = {}, [[] for _ in found]
         for v in found[0].terms:
             own = [x.terms[v] for x in found]
-            same = len({(t.shape, t.iri) for t in own}) == 1 and len({tuple(x.df.schema[c].dataType for c in t.columns) for x, t in zip(found, own, strict=True)}) == 1
+            same = len({(t.shape, t.iri) for t in own}) == 1 and len(
+                {tuple(x.df.schema[c].dataType for c in t.columns) for x, t in zip(found, own, strict=True)}
+            ) == 1
             names = [self._name() for _ in own[0].columns] if same else [self._name()]
             for to, x, t in zip(columns, found, own, strict=True):
                 to += [F.col(c).alias(n) for c, n in zip(t.columns, names, strict=True)] if same else [t.text().alias(names[0])]
             turn = iter(names)
-            terms[v] = Term(re.sub(r"\{\w+\}", lambda _: f"{{{next(turn)}}}", own[0].template), own[0].iri) if same else Term(f"{{{names[0]}}}", False)  # noqa: B023
+            terms[v] = Term(
+                re.sub(r"\{\w+\}", lambda _: f"{{{next(turn)}}}", own[0].template), own[0].iri
+            ) if same else Term(f"{{{names[0]}}}", False)  # noqa: B023
         rows = reduce(DataFrame.unionByName, (x.df.select(*c) for x, c in zip(found, columns, strict=True)))
         return Solutions(rows.distinct() if several else rows, terms)
 
@@ -156,7 +168,10 @@ class MappedGraph:
 
         A map may have several for one pattern. Branches may then give the same bindings, which are one solution.
         """
-        ways = [[*([c for c in m.classes if is_var(o) or c == o] if p == RDF_TYPE else []), *(x for x in m.objects if x.predicate == p)] for _, p, o in patterns]
+        ways = [
+            [*([c for c in m.classes if is_var(o) or c == o] if p == RDF_TYPE else []), *(x for x in m.objects if x.predicate == p)] for _,
+            p, o in patterns
+        ]
         found = [self._branch(m, patterns, way) for way in product(*ways)]
         for x in found:
             x.several = len(found) > 1
@@ -209,7 +224,9 @@ class MappedGraph:
                 return template.replace(f"{{{parent}}}", f"{{{child}}}"), True, kept
             names = {c: f"_{self._name()}" for c in template_columns(template)}
             there = o.ref.rows(self.tables).select(F.col(parent).alias("_parent"), *(F.col(c).alias(n) for c, n in names.items()))
-            return re.sub(r"\{(\w+)\}", lambda k: f"{{{names[k[1]]}}}", template), True, rows.join(there, F.col(child) == F.col("_parent")).drop("_parent")
+            return re.sub(
+                r"\{(\w+)\}", lambda k: f"{{{names[k[1]]}}}", template
+            ), True, rows.join(there, F.col(child) == F.col("_parent")).drop("_parent")
         if o.column is not None:
             return f"{{{o.column}}}", False, rows
         if o.template is not None:

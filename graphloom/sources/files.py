@@ -29,15 +29,23 @@ def infer_types(df: DataFrame, sample: int = 1000, most: int = 100) -> DataFrame
     most), TEXT beyond 255 characters and for columns without values.
     """
     columns = spark_names(df)
-    cells = df.select(F.monotonically_increasing_id().alias("_row"), *(F.col(f"`{c}`").cast("string").alias(n) for c, n in columns.items())).unpivot(["_row"], list(columns.values()), "col", "value")
-    first = cells.where(F.trim(F.regexp_replace("value", r"\s", " ")) != "").withColumn("r", F.row_number().over(Window.partitionBy("col").orderBy("_row"))).where(F.col("r") <= sample)
+    cells = df.select(
+        F.monotonically_increasing_id().alias("_row"), *(F.col(f"`{c}`").cast("string").alias(n) for c, n in columns.items())
+    ).unpivot(["_row"], list(columns.values()), "col", "value")
+    first = cells.where(F.trim(F.regexp_replace("value", r"\s", " ")) != "").withColumn(
+        "r", F.row_number().over(Window.partitionBy("col").orderBy("_row"))
+    ).where(F.col("r") <= sample)
     whole, number = F.col("value").rlike(r"^\s*[+-]?\d+(_\d+)*\s*$"), is_float(F.col("value"))
     early = F.col("r") <= most
-    t = first.groupBy("col").agg(F.bool_and(whole | ~early).alias("i"), F.bool_and(number | ~early).alias("d"), F.max(F.length("value")).alias("max_len"))
+    t = first.groupBy("col").agg(
+        F.bool_and(whole | ~early).alias("i"), F.bool_and(number | ~early).alias("d"), F.max(F.length("value")).alias("max_len")
+    )
     names = df.sparkSession.createDataFrame([(n, c) for c, n in columns.items()], "col string, name string")  # one row a column
     varchar = F.concat(F.lit("VARCHAR("), F.least(2 * F.col("max_len"), F.lit(255)).cast("string"), F.lit(")"))
     kind = F.when(F.col("i"), "INT").when(F.col("d"), "DECIMAL(15,6)").when(F.col("max_len") <= 255, varchar).otherwise("TEXT")
-    return names.join(t, "col", "left").select(F.col("name").alias("col"), kind.alias("type"), F.coalesce("max_len", F.lit(0)).alias("max_len"))
+    return names.join(t, "col", "left").select(
+        F.col("name").alias("col"), kind.alias("type"), F.coalesce("max_len", F.lit(0)).alias("max_len")
+    )
 
 
 def spark_names(df: DataFrame) -> dict[str, str]:
@@ -50,15 +58,21 @@ def sample_tables(tables: dict[str, DataFrame], n: int = 100) -> dict[str, DataF
     return {k: df.select(*(F.col(c).cast("string").alias(c) for c in df.columns)).limit(n) for k, df in tables.items()}
 
 
-def read_runs(spark: SparkSession, path: str, schema: StructType | str, required: tuple[str, ...] = ("run_id", "question_id"), multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_runs(
+    spark: SparkSession, path: str, schema: StructType | str, required: tuple[str, ...] = ("run_id", "question_id"), multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """One JSON document a file (or a line, without ``multi_line``); (complete runs, rejects counted by reason)."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    df = spark.read.schema(StructType(schema.fields).add("_corrupt", "string")).option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=multi_line)
+    df = spark.read.schema(
+        StructType(schema.fields).add("_corrupt", "string")
+    ).option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=multi_line)
     missing = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in required))
     reason = F.when(F.col("_corrupt").isNotNull(), "unreadable").when(missing, "incomplete")
     tagged = df.withColumn("reason", reason)
-    return tagged.where("reason is null").drop("reason", "_corrupt"), tagged.where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return tagged.where("reason is null").drop("reason", "_corrupt"), tagged.where("reason is not null").groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n")
+    )
 
 
 def shrink(df: DataFrame, rows: int = 100_000, seed: int = 0) -> DataFrame:
@@ -107,7 +121,9 @@ def write_eval(df: DataFrame, path: str) -> None:
 
 def build_snapshot(runs: dict[str, DataFrame]) -> DataFrame:
     """All runs, tagged with their source; missing columns are null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("source_run", F.lit(k)) for k, df in runs.items()))
+    return reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("source_run", F.lit(k)) for k, df in runs.items())
+    )
 
 
 def read_jdbc(spark: SparkSession, url: str, tbl: str, column: str | None = None, low: int = 0, high: int = 0, parts: int = 8) -> DataFrame:

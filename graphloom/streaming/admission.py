@@ -27,7 +27,9 @@ def _first_of_each(events: DataFrame, id_col: str, order: list[str]) -> DataFram
     return first.select("_first.*").unionByName(events.where(F.col(id_col).isNull()))
 
 
-def admit(log: DataFrame, lateness: str = "10 minutes", batch_col: str = "batch", id_col: str = "event_id", ts_col: str = "ts") -> tuple[DataFrame, DataFrame]:
+def admit(
+    log: DataFrame, lateness: str = "10 minutes", batch_col: str = "batch", id_col: str = "event_id", ts_col: str = "ts"
+) -> tuple[DataFrame, DataFrame]:
     """(admitted, rejected) of a log whose deliveries are numbered by ``batch_col``.
 
     The floors are a window over one row a batch number; everything else is grouped or joined by key.
@@ -79,16 +81,24 @@ class Admission:
         earlier = self.read(spark, "state").where(F.col("epoch") < epoch)
         top = earlier.agg(F.max("top").alias("top"), F.max("epoch").alias("epoch"))
         floor = F.expr(f"top - INTERVAL {self.lateness}")
-        judged = batch.join(F.broadcast(top.select(floor.alias("_floor"))), how="cross").withColumn("_late", _late(ts, F.col("_floor"))).drop("_floor")
-        known = self.read(spark, "open").where(F.col("epoch") == (top.first()["epoch"] if top.first()["epoch"] is not None else -1)).select(self.id_col, self.ts_col)
+        judged = batch.join(
+            F.broadcast(top.select(floor.alias("_floor"))), how="cross"
+        ).withColumn("_late", _late(ts, F.col("_floor"))).drop("_floor")
+        known = self.read(spark, "open").where(
+            F.col("epoch") == (top.first()["epoch"] if top.first()["epoch"] is not None else -1)
+        ).select(self.id_col, self.ts_col)
         fresh = _first_of_each(judged.where("NOT _late").drop("_late"), self.id_col, [self.ts_col])
         fresh = fresh.join(known.select(self.id_col).distinct(), self.id_col, "left_anti").select(*self.schema.fieldNames())
         self._write(judged.where("_late").drop("_late"), "rejected", epoch)
         self._write(fresh, "admitted", epoch)
         written = spark.read.schema(self.schema).parquet(f"{self.folder}/admitted/epoch={epoch}").select(self.id_col, self.ts_col)
-        self._write(top.select("top").unionByName(batch.agg(F.max(self.ts_col).alias("top"))).agg(F.max("top").alias("top")), "state", epoch)
+        self._write(
+            top.select("top").unionByName(batch.agg(F.max(self.ts_col).alias("top"))).agg(F.max("top").alias("top")), "state", epoch
+        )
         now = self.read(spark, "state").where(F.col("epoch") == epoch).select(floor.alias("_floor"))
-        still = known.unionByName(written).where(F.col(self.id_col).isNotNull()).join(F.broadcast(now), how="cross").where(F.coalesce(ts >= F.col("_floor"), F.lit(True))).drop("_floor")
+        still = known.unionByName(written).where(F.col(self.id_col).isNotNull()).join(F.broadcast(now), how="cross").where(
+            F.coalesce(ts >= F.col("_floor"), F.lit(True))
+        ).drop("_floor")
         self._write(still, "open", epoch)
         batch.unpersist()
         self._forget(spark, epoch - 2)

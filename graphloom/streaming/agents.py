@@ -36,10 +36,16 @@ def agent_intervals(events: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("run_id", "agent").orderBy("ts", "event_id")
     t = events.where(F.col("event_type").isin("agent_start", "agent_end") & F.col("agent").isNotNull())
-    t = t.select("run_id", "agent", "event_type", F.col("ts").alias("start_ts"), *(F.lead(c).over(w).alias(f"next_{c}") for c in ("event_type", "ts", "duration_ms")))
+    t = t.select(
+        "run_id", "agent", "event_type", F.col("ts").alias("start_ts"),
+        *(F.lead(c).over(w).alias(f"next_{c}") for c in ("event_type", "ts", "duration_ms"))
+    )
     ended = F.col("next_event_type") == "agent_end"
     given = F.when(F.col("next_duration_ms") > 0, F.col("next_duration_ms").cast("double"))
-    return t.where("event_type = 'agent_start'").select("run_id", "agent", "start_ts", F.when(ended, F.col("next_ts")).alias("end_ts"), F.when(ended, F.coalesce(given, _ms("start_ts", "next_ts"))).alias("duration_ms"))
+    return t.where("event_type = 'agent_start'").select(
+        "run_id", "agent", "start_ts", F.when(ended, F.col("next_ts")).alias("end_ts"),
+        F.when(ended, F.coalesce(given, _ms("start_ts", "next_ts"))).alias("duration_ms")
+    )
 
 
 def agent_totals(intervals: DataFrame) -> DataFrame:
@@ -67,7 +73,12 @@ def agent_markers(events: DataFrame) -> DataFrame:
     control = F.col("event_type").isin(*CONTROL)
     # in falling order, the last one before a row is the next one after it
     t = own.withColumn("next", F.last(F.when(control, place), True).over(after))
-    t = t.withColumn("change", F.last(F.when(control & (F.col("next.agent") != F.col("agent")), F.struct("agent", F.col("next").alias("to"))), True).over(from_here))
+    t = t.withColumn(
+        "change",
+        F.last(
+            F.when(control & (F.col("next.agent") != F.col("agent")), F.struct("agent", F.col("next").alias("to"))), True
+        ).over(from_here)
+    )
     t = t.withColumn("later", F.last(F.when(control, F.struct("agent", "change")), True).over(after))
     # the next control of another agent: the next one at all, or the one that takes control from it
     other = F.when(F.col("next.agent") != F.col("agent"), F.col("next")).otherwise(F.col("later.change.to"))
@@ -77,7 +88,9 @@ def agent_markers(events: DataFrame) -> DataFrame:
     waits = F.col("other").isNotNull() & (F.lead(here).over(agent).isNull() | (there < F.lead(here).over(agent)))
     marked = content.withColumn("waits", waits).withColumn("waited", F.lag(waits).over(agent))
     active = marked.where("waited IS NULL OR waited").select("run_id", "agent", "ts", F.lit("active").alias("marker"))
-    return active.unionByName(marked.where("waits").select("run_id", "agent", F.col("other.ts").alias("ts"), F.lit("waiting").alias("marker")))
+    return active.unionByName(
+        marked.where("waits").select("run_id", "agent", F.col("other.ts").alias("ts"), F.lit("waiting").alias("marker"))
+    )
 
 
 class RunAgents(StatefulProcessor):
@@ -101,7 +114,9 @@ class RunAgents(StatefulProcessor):
             if len(frame):
                 micros = frame["ts"].astype("datetime64[us]").astype("int64")
                 duration = frame["duration_ms"].astype(float)
-                self.held.appendList([(int(i), int(t), k, a, None if pd.isna(d) else float(d)) for i, t, k, a, d in zip(frame["event_id"], micros, frame["event_type"], frame["agent"], duration, strict=True)])
+                self.held.appendList(
+                    [(int(i), int(t), k, a, None if pd.isna(d) else float(d)) for i, t, k, a, d in zip(frame["event_id"], micros, frame["event_type"], frame["agent"], duration, strict=True)]
+                )
                 self.handle.registerTimer(-(-int(micros.max()) // 1000))
         yield pd.DataFrame()
 
@@ -166,4 +181,6 @@ def agents_stream(events: DataFrame, lateness: str = "10 minutes", idle_ms: int
     """
     kind = events.schema["run_id"].dataType.simpleString()
     own = events.select("event_id", "run_id", "ts", "event_type", "agent", F.col("duration_ms").cast("double").alias("duration_ms"))
-    return own.withWatermark("ts", lateness).groupBy("run_id").transformWithStateInPandas(RunAgents(idle_ms), f"run_id {kind}, {OUTPUT}", "append", "EventTime")
+    return own.withWatermark("ts", lateness).groupBy("run_id").transformWithStateInPandas(
+        RunAgents(idle_ms), f"run_id {kind}, {OUTPUT}", "append", "EventTime"
+    )

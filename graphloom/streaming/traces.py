@@ -21,10 +21,14 @@ def _by_run() -> object:
 def phase_intervals(events: DataFrame) -> DataFrame:
     """Each phase_start to its end, the next start, or the run's last event; a given duration wins."""
     marks = events.where(F.col("event_type").isin("phase_start", "phase_end", "run_end"))
-    t = marks.withColumn("end_ts", F.lead("ts").over(_by_run())).withColumn("given", F.lead("duration_ms").over(_by_run())).withColumn("next_type", F.lead("event_type").over(_by_run()))
+    t = marks.withColumn("end_ts", F.lead("ts").over(_by_run())).withColumn("given", F.lead("duration_ms").over(_by_run())).withColumn(
+        "next_type", F.lead("event_type").over(_by_run())
+    )
     span = (F.col("end_ts").cast("timestamp").cast("double") - F.col("ts").cast("timestamp").cast("double")) * 1000
     given = F.when(F.col("next_type") == "phase_end", F.col("given"))
-    return t.where("event_type = 'phase_start'").select("run_id", "phase", F.col("ts").alias("start_ts"), "end_ts", F.coalesce(given, span).alias("duration_ms"))
+    return t.where("event_type = 'phase_start'").select(
+        "run_id", "phase", F.col("ts").alias("start_ts"), "end_ts", F.coalesce(given, span).alias("duration_ms")
+    )
 
 
 def phase_intervals_stream(events: DataFrame, lateness: str | None = "10 minutes") -> DataFrame:
@@ -56,13 +60,18 @@ def phase_intervals_stream(events: DataFrame, lateness: str | None = "10 minutes
     marks = events.where(F.col("event_type").isin("phase_start", "phase_end", "run_end"))
     marks = marks.withWatermark("ts", lateness) if lateness else marks
     kind = events.schema["run_id"].dataType.simpleString()
-    return marks.groupBy("run_id").applyInPandasWithState(step, f"run_id {kind}, phase string, duration_ms double", "phase string, start_ms double", "append", GroupStateTimeout.EventTimeTimeout)
+    return marks.groupBy("run_id").applyInPandasWithState(
+        step, f"run_id {kind}, phase string, duration_ms double", "phase string, start_ms double", "append",
+        GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def pair_calls(events: DataFrame, within: str = "1 hour", watermark: str | None = None) -> DataFrame:
     """Tool calls with their results by call id. On streams ``watermark`` is needed, and ``within`` bounds the state: later results are not paired."""
     one = events.where("event_type = 'tool_call'").select("run_id", "call_id", "agent", F.col("ts").alias("call_ts"))
-    two = events.where("event_type = 'tool_result'").select(F.col("run_id").alias("r"), F.col("call_id").alias("c"), F.col("ts").alias("result_ts"), "duration_ms")
+    two = events.where("event_type = 'tool_result'").select(
+        F.col("run_id").alias("r"), F.col("call_id").alias("c"), F.col("ts").alias("result_ts"), "duration_ms"
+    )
     if watermark:
         one, two = one.withWatermark("call_ts", watermark), two.withWatermark("result_ts", watermark)
     bound = f" and result_ts <= call_ts + interval {within}" if watermark else ""
@@ -78,27 +87,40 @@ def call_results(events: DataFrame) -> DataFrame:
     """
     one = events.where("event_type = 'tool_call'").select("run_id", "call_id", "agent", F.col("ts").alias("call_ts"))
     content = F.coalesce("content", F.lit("")).alias("content")
-    two = events.where("event_type = 'tool_result'").select(F.col("run_id").alias("r"), F.col("call_id").alias("c"), F.col("ts").alias("result_ts"), content)
+    two = events.where("event_type = 'tool_result'").select(
+        F.col("run_id").alias("r"), F.col("call_id").alias("c"), F.col("ts").alias("result_ts"), content
+    )
     met = one.join(two, F.expr("run_id = r and call_id = c and result_ts >= call_ts"))
     span = (F.unix_micros(F.col("result_ts").cast("timestamp")) - F.unix_micros(F.col("call_ts").cast("timestamp"))) / 1000
     low = F.lower("content")
-    named = F.try_to_number(F.nullif(F.regexp_extract(low, r"(?:found|returned|retrieved)\s+(\d+)", 1), F.lit("")), F.lit("9" * 18)).cast("long")
+    named = F.try_to_number(
+        F.nullif(F.regexp_extract(low, r"(?:found|returned|retrieved)\s+(\d+)", 1), F.lit("")), F.lit("9" * 18)
+    ).cast("long")
     listed = F.when(F.startswith("content", F.lit("[")) & F.endswith("content", F.lit("]")), F.json_array_length("content"))
     success = ~F.contains(F.substring(low, 1, 100), F.lit("error"))
-    return met.select("run_id", "call_id", "agent", "call_ts", "result_ts", span.alias("duration_ms"), F.length("content").alias("output_size"), success.alias("success"), F.coalesce(named, listed.cast("long"), F.lit(0).cast("long")).alias("results"))
+    return met.select(
+        "run_id", "call_id", "agent", "call_ts", "result_ts", span.alias("duration_ms"), F.length("content").alias("output_size"),
+        success.alias("success"), F.coalesce(named, listed.cast("long"), F.lit(0).cast("long")).alias("results")
+    )
 
 
 def llm_calls(events: DataFrame, *values: str) -> DataFrame:
     """An LLM call takes the next result's ``values``: tokens unless named otherwise, such as cost."""
     values = values or ("tokens",)
-    t = events.where(F.col("event_type").isin("llm_call", "llm_result")).select("*", F.lead(F.struct("event_type", *values)).over(_by_run()).alias("next"))
-    return t.where("event_type = 'llm_call'").select("run_id", "event_id", "ts", *(F.when(F.col("next.event_type") == "llm_result", F.col(f"next.{v}")).alias(v) for v in values))
+    t = events.where(F.col("event_type").isin("llm_call", "llm_result")).select(
+        "*", F.lead(F.struct("event_type", *values)).over(_by_run()).alias("next")
+    )
+    return t.where("event_type = 'llm_call'").select(
+        "run_id", "event_id", "ts", *(F.when(F.col("next.event_type") == "llm_result", F.col(f"next.{v}")).alias(v) for v in values)
+    )
 
 
 def agent_times(intervals: DataFrame) -> DataFrame:
     """T4: intervals (run_id, agent, duration_ms): n, total, mean, min, max of those above 0."""
     d = F.col("duration_ms")
-    return intervals.where(d > 0).groupBy("agent").agg(F.count(F.lit(1)).alias("n"), F.sum(d).alias("total"), F.avg(d).alias("mean"), F.min(d).alias("low"), F.max(d).alias("high"))
+    return intervals.where(d > 0).groupBy("agent").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(d).alias("total"), F.avg(d).alias("mean"), F.min(d).alias("low"), F.max(d).alias("high")
+    )
 
 
 def delegations(events: DataFrame) -> DataFrame:
@@ -111,7 +133,10 @@ def delegations(events: DataFrame) -> DataFrame:
     t = t.select("*", *(F.lag(c).over(w).alias(f"start_{c}") for c in ("event_type", "ts", "from_agent", "reason")))
     span = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp"))) / 1000
     ended = t.where("event_type = 'delegate_end' and start_event_type = 'delegate'")
-    return ended.select("run_id", F.col("start_from_agent").alias("from_agent"), F.col("agent").alias("to_agent"), F.col("start_reason").alias("reason"), span.alias("duration_ms"), F.coalesce(F.contains(F.lower("reason"), F.lit("success")), F.lit(False)).alias("success"))
+    return ended.select(
+        "run_id", F.col("start_from_agent").alias("from_agent"), F.col("agent").alias("to_agent"), F.col("start_reason").alias("reason"),
+        span.alias("duration_ms"), F.coalesce(F.contains(F.lower("reason"), F.lit("success")), F.lit(False)).alias("success")
+    )
 
 
 def delegations_stream(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
@@ -127,7 +152,9 @@ def delegations_stream(events: DataFrame, lateness: str = "10 minutes") -> DataF
             if row.event_type == "delegate":
                 open_ = (row.from_agent, row.reason, row.ts.timestamp() * 1000)
             elif open_ is not None:
-                out.append((key[0], open_[0], key[1], open_[1], row.ts.timestamp() * 1000 - open_[2], "success" in (row.reason or "").lower()))
+                out.append(
+                    (key[0], open_[0], key[1], open_[1], row.ts.timestamp() * 1000 - open_[2], "success" in (row.reason or "").lower())
+                )
                 open_ = None
         if open_ is None:
             if state.exists:
@@ -140,7 +167,10 @@ def delegations_stream(events: DataFrame, lateness: str = "10 minutes") -> DataF
 
     own = events.where(F.col("event_type").isin("delegate", "delegate_end")).withWatermark("ts", lateness)
     kind = events.schema["run_id"].dataType.simpleString()
-    return own.groupBy("run_id", "agent").applyInPandasWithState(step, f"run_id {kind}, from_agent string, to_agent string, reason string, duration_ms double, success boolean", "from_agent string, reason string, start_ms double", "append", GroupStateTimeout.EventTimeTimeout)
+    return own.groupBy("run_id", "agent").applyInPandasWithState(
+        step, f"run_id {kind}, from_agent string, to_agent string, reason string, duration_ms double, success boolean",
+        "from_agent string, reason string, start_ms double", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def tool_usage_by_agent(calls: DataFrame) -> DataFrame:
@@ -150,7 +180,11 @@ def tool_usage_by_agent(calls: DataFrame) -> DataFrame:
     d, n = F.col("duration_ms"), F.count(F.lit(1))
     ok = F.count_if(F.coalesce("success", F.lit(False)))
     times = [F.sum(d).alias("total_ms"), F.avg(d).alias("mean_ms"), F.min(d).alias("low_ms"), F.max(d).alias("high_ms")]
-    t = calls.groupBy("run_id", "agent", "tool").agg(n.alias("calls"), *times, ok.alias("ok"), (n - ok).alias("errors"), (ok / n).alias("success_rate"), F.sum("results").alias("results"), F.avg("results").alias("mean_results"), F.count_if(F.coalesce("useful", F.lit(False))).alias("useful"))
+    t = calls.groupBy("run_id", "agent", "tool").agg(
+        n.alias("calls"), *times, ok.alias("ok"), (n - ok).alias("errors"), (ok / n).alias("success_rate"),
+        F.sum("results").alias("results"), F.avg("results").alias("mean_results"),
+        F.count_if(F.coalesce("useful", F.lit(False))).alias("useful")
+    )
     return t.withColumn("category", tool_category(F.col("tool")))
 
 
@@ -169,18 +203,25 @@ def run_times(events: DataFrame, durations: DataFrame, kinds: list[str]) -> Data
     span = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1000
     runs = events.groupBy("run_id").agg(span.alias("total_ms"))
     sums = durations.groupBy("run_id").agg(*(F.sum(F.when(F.col("kind") == k, F.col("duration_ms"))).alias(f"{k}_ms") for k in kinds))
-    return runs.join(sums, "run_id", "left").select("run_id", "total_ms", *(F.coalesce(f"{k}_ms", F.lit(0.0)).alias(f"{k}_ms") for k in kinds))
+    return runs.join(sums, "run_id", "left").select(
+        "run_id", "total_ms", *(F.coalesce(f"{k}_ms", F.lit(0.0)).alias(f"{k}_ms") for k in kinds)
+    )
 
 
 def run_summary(events: DataFrame) -> DataFrame:
     """One row a run."""
-    return events.groupBy("run_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("n_events"), F.count_distinct("agent").alias("n_agents"), F.count_if(F.col("event_type") == "tool_call").alias("n_calls"))
+    return events.groupBy("run_id").agg(
+        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("n_events"),
+        F.count_distinct("agent").alias("n_agents"), F.count_if(F.col("event_type") == "tool_call").alias("n_calls")
+    )
 
 
 def timeline(events: DataFrame) -> DataFrame:
     """The events at which control goes to another agent."""
     prev = F.lag("agent").over(_by_run())
-    return events.where("agent is not null").withColumn("from_agent", prev).where("from_agent is null or from_agent <> agent").select("run_id", "ts", "from_agent", F.col("agent").alias("to_agent"))
+    return events.where("agent is not null").withColumn("from_agent", prev).where("from_agent is null or from_agent <> agent").select(
+        "run_id", "ts", "from_agent", F.col("agent").alias("to_agent")
+    )
 
 
 def pending(plan: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -100,12 +100,23 @@ def test_deep_closure_and_paths(spark):
 
 
 def test_issues_of_patterns(spark):
-    s = spark.createDataFrame([("Deposit", "name", "string", False), ("Deposit", "owner", "Company", True), ("Company", "vat", "string", False)], "class string, property string, range string, is_object boolean")
+    s = spark.createDataFrame(
+        [("Deposit", "name", "string", False), ("Deposit", "owner", "Company", True), ("Company", "vat", "string", False)],
+        "class string, property string, range string, is_object boolean"
+    )
     up = spark.createDataFrame([("Field", "Deposit")], "child string, ancestor string")
-    issues = lambda *p: sorted((r["p"], r["issue"], r["severity"]) for r in schema.validate(spark.createDataFrame(p, "s string, p string, o string"), s, up).collect())
+    issues = lambda *p: sorted(
+        (r["p"], r["issue"], r["severity"]) for r in schema.validate(
+            spark.createDataFrame(p, "s string, p string, o string"), s, up
+        ).collect()
+    )
     kind = terms.RDF_TYPE
-    assert issues(("?f", kind, "Field"), ("?f", "name", "?n"), ("?f", "owner", "?c"), ("?c", kind, "Company")) == [(kind, "unknown class", "error")]
-    assert issues(("?d", kind, "Deposit"), ("?d", "vat", "?v")) == [("vat", "class property mismatch", "error"), ("vat", "domain mismatch", "warning")]
+    assert issues(
+        ("?f", kind, "Field"), ("?f", "name", "?n"), ("?f", "owner", "?c"), ("?c", kind, "Company")
+    ) == [(kind, "unknown class", "error")]
+    assert issues(("?d", kind, "Deposit"), ("?d", "vat", "?v")) == [
+        ("vat", "class property mismatch", "error"), ("vat", "domain mismatch", "warning")
+    ]
     assert issues(("?d", kind, "Deposit"), ("?d", "owner", "?o"), ("?o", kind, "Deposit")) == [("owner", "range mismatch", "warning")]
     assert issues(("?d", "owner", "5")) == [("owner", "range mismatch", "warning")]
     assert issues(("?d", "name", "?n"), ("?n", kind, "Company")) == [("name", "range mismatch", "warning")]
@@ -117,14 +128,24 @@ def test_evaluation_of_runs(spark):
     gt, sys = [], []
     for reading in (1, 2):
         for i, (a, b, n) in enumerate([("x", "p", "3"), ("y", None, "4"), ("z", "q", "5")]):
-            gt += [((1, reading), i, "a", a if reading == 1 else a + "2"), ((1, reading), i, "b", b), ((1, reading), i, "n", n), ((1, reading), i, "label", "L")]
+            gt += [
+                ((1, reading), i, "a", a if reading == 1 else a + "2"), ((1, reading), i, "b", b), ((1, reading), i, "n", n),
+                ((1, reading), i, "label", "L")
+            ]
             if b is not None:
                 sys += [((1, reading), i, "u", a), ((1, reading), i, "v", b), ((1, reading), i, "m", n)]
     columns = [((1, r), c, "preferred", c, c == "label") for r in (1, 2) for c in ("a", "b", "n", "label")]
-    props = lambda c, p: spark.createDataFrame([((1, r), c, [p]) for r in (1, 2)], "pair struct<run_id: int, reading_id: int>, col string, properties array<string>")
-    ranked = spark.createDataFrame([((1, r), i, i + 1) for r in (1, 2) for i in range(3)], "pair struct<run_id: int, reading_id: int>, row_id int, pos int")
+    props = lambda c, p: spark.createDataFrame(
+        [((1, r), c, [p]) for r in (1, 2)], "pair struct<run_id: int, reading_id: int>, col string, properties array<string>"
+    )
+    ranked = spark.createDataFrame(
+        [((1, r), i, i + 1) for r in (1, 2) for i in range(3)], "pair struct<run_id: int, reading_id: int>, row_id int, pos int"
+    )
     best = scoring.evaluate(
-        spark.createDataFrame(gt, cell), spark.createDataFrame(sys, cell), spark.createDataFrame(columns, "pair struct<run_id: int, reading_id: int>, col string, level string, concept string, is_label boolean"),
+        spark.createDataFrame(gt, cell), spark.createDataFrame(sys, cell),
+        spark.createDataFrame(
+            columns, "pair struct<run_id: int, reading_id: int>, col string, level string, concept string, is_label boolean"
+        ),
         props("n", "depth"), props("m", "height"), ranked,
     ).collect()
     assert len(best) == 1
@@ -139,7 +160,10 @@ def test_search_in_blocks(spark, monkeypatch):
     items = [(f"i{k:03d}", [float(k % 17), float(k % 5), 1.0]) for k in range(200)]
     queries = [(q, [1.0, float(q), 0.5]) for q in range(25)]
     got = defaultdict(list)
-    for r in linking.vector_topk(spark.createDataFrame(queries, "query_id long, v array<double>"), spark.createDataFrame(items, "item_id string, v array<double>").repartition(3), 6).orderBy("rank").collect():
+    for r in linking.vector_topk(
+        spark.createDataFrame(queries, "query_id long, v array<double>"),
+        spark.createDataFrame(items, "item_id string, v array<double>").repartition(3), 6
+    ).orderBy("rank").collect():
         got[r["query_id"]].append(r["item_id"])
     norm = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
     for q, v in queries:

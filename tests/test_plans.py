@@ -26,10 +26,15 @@ def plan(df):
 @pytest.fixture(scope="module")
 def shop(spark):
     tables = {
-        "a": spark.createDataFrame([(1, "x", "y", "K"), (2, "z", "z", "L"), (3, None, "w", None)], "id int, one string, two string, kind string"),
+        "a": spark.createDataFrame(
+            [(1, "x", "y", "K"), (2, "z", "z", "L"), (3, None, "w", None)], "id int, one string, two string, kind string"
+        ),
         "b": spark.createDataFrame([(7, "x")], "id int, one string"),
     }
-    a = m.TriplesMap("a", NS + "a/{id}", (NS + "A", NS + "Thing"), (m.obj_col(NS + "p", "one"), m.obj_col(NS + "p", "two"), m.obj_tpl(terms.RDF_TYPE, NS + "{kind}"), m.obj_col(NS + "only", "two")))
+    a = m.TriplesMap(
+        "a", NS + "a/{id}", (NS + "A", NS + "Thing"),
+        (m.obj_col(NS + "p", "one"), m.obj_col(NS + "p", "two"), m.obj_tpl(terms.RDF_TYPE, NS + "{kind}"), m.obj_col(NS + "only", "two"))
+    )
     b = m.TriplesMap("b", NS + "b/{id}", (NS + "B",), (m.obj_col(NS + "p", "one"),))
     return [a, b], tables
 
@@ -76,7 +81,9 @@ def test_optional_and_minus_with_unbound_variables(spark, seed):
     on, want, kept = ("x", "y", "z"), [], []
     for r in left:
         met = [s for s in right if compatible(r, s, on)]
-        want += [(r["k"], *(r[v] if r[v] is not None else s[v] for v in on), s["w"]) for s in met] or [(r["k"], r["x"], r["y"], r["z"], None)]
+        want += [
+            (r["k"], *(r[v] if r[v] is not None else s[v] for v in on), s["w"]) for s in met
+        ] or [(r["k"], r["x"], r["y"], r["z"], None)]
         if not any(any(r[v] is not None and s[v] is not None for v in on) for s in met):
             kept.append(tuple(r.values()))
     found = patterns.optional(a, b, ("x", "y"), ("x", "y"))
@@ -96,7 +103,9 @@ def test_minus_without_a_common_bound_variable_keeps_rows(spark):
 
 
 def test_triples_of_one_subject_join_without_a_shuffle(spark, tmp_path):
-    triples = [(f"s{i}", p, f"{p}{i}", "literal", None, None) for i, p in product(range(200), ("p", "q"))] + [(f"s{i}", "hot", str(j), "literal", None, None) for i, j in product(range(200), range(10))]
+    triples = [
+        (f"s{i}", p, f"{p}{i}", "literal", None, None) for i, p in product(range(200), ("p", "q"))
+    ] + [(f"s{i}", "hot", str(j), "literal", None, None) for i, j in product(range(200), range(10))]
     g = spark.createDataFrame(triples, "s string, p string, o string, o_kind string, o_datatype string, o_lang string")
     stored = files.write_triples(g, str(tmp_path / "g"), buckets=4)
     assert rows(stored) == rows(g)

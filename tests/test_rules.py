@@ -21,7 +21,9 @@ def one(spark, expr_df):
 
 def test_terms(spark):
     df = spark.createDataFrame([("http://x/a%20b+c", "http://x#n"), (None, None)], "i string, j string")
-    assert df.select(terms.local_value(F.col("i")), terms.local_name(F.col("j")), terms.namespace(F.col("j"))).collect()[0] == ("a b+c", "n", "http://x#")
+    assert df.select(
+        terms.local_value(F.col("i")), terms.local_name(F.col("j")), terms.namespace(F.col("j"))
+    ).collect()[0] == ("a b+c", "n", "http://x#")
     made = spark.createDataFrame([("a b", 1), (None, 2)], "a string, b int").select(terms.from_template("http://x/{a}-{b}")).collect()
     assert [r[0] for r in made] == ["http://x/a%20b-1", None]
 
@@ -50,7 +52,9 @@ def test_metrics_of_empty_and_equal_results(spark):
 
 
 def test_pairing_and_null_variants(spark):
-    overlap = spark.createDataFrame([(1, "a", "x", 5), (1, "a", "y", 4), (1, "b", "x", 4), (1, "b", "y", 1)], "pair int, gt_col string, sys_col string, overlap long")
+    overlap = spark.createDataFrame(
+        [(1, "a", "x", 5), (1, "a", "y", 4), (1, "b", "x", 4), (1, "b", "y", 1)], "pair int, gt_col string, sys_col string, overlap long"
+    )
     assert rows(scoring.pair_columns(overlap).select("gt_col", "sys_col")) == [("a", "x"), ("b", "y")]
     r = spark.createDataFrame([(1, ["a", ""]), (1, ["b", "c"])], "pair int, row array<string>")
     got = scoring.null_variants(r).groupBy("variant").count().orderBy("variant").collect()
@@ -65,7 +69,9 @@ def test_null_variants_of_late_and_many_columns(spark):
     got = scoring.null_variants(r).cache()
     assert rows(got.where("pair = 1").groupBy("variant").count()) == [(0, 2), (1 << 14, 1)]
     assert got.where("pair = 2").select("variant").distinct().count() == 1 << 13 and got.where("pair = 2").count() == (1 << 13) + 1
-    best = scoring.score_adaptive(got.where("pair = 1").select("pair", "variant", "row"), spark.createDataFrame([(1, ["b"] * 15)], "pair int, row array<string>")).first()
+    best = scoring.score_adaptive(
+        got.where("pair = 1").select("pair", "variant", "row"), spark.createDataFrame([(1, ["b"] * 15)], "pair int, row array<string>")
+    ).first()
     assert (best["variant"], best["f1"]) == (1 << 14, 1.0)
 
 
@@ -79,7 +85,10 @@ def test_prefix_and_topn(spark):
 
 
 def test_vote_and_agreement(spark):
-    r = spark.createDataFrame([(1, 1, "long text", "f"), (1, 2, "short", "f"), (1, 3, "x", "g")], "question_id int, candidate int, text string, fingerprint string")
+    r = spark.createDataFrame(
+        [(1, 1, "long text", "f"), (1, 2, "short", "f"), (1, 3, "x", "g")],
+        "question_id int, candidate int, text string, fingerprint string"
+    )
     assert scoring.vote(r).first()["candidate"] == 2
     a = scoring.agreement(r.withColumn("ok", F.lit(True)).withColumn("n_rows", F.lit(1))).first()
     assert abs(a["confidence"] - (0.3 + 0.5 * 2 / 3 + 0.2)) < 1e-9
@@ -96,37 +105,62 @@ def test_texts(spark):
     assert text.query_features(q).first()["limit"] and text.query_features(q).first()["ordered"]
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(text.error_class(F.lit("Read Timeout"))) == "TIMEOUT" and one(text.error_class(F.lit(None).cast("string"))) == "UNKNOWN"
-    assert [one(text.norm_number(F.lit(x))) for x in (" ABC ", "0.00", "-0.0", "1E3", "+007", ".5", "5.", "1e-3", "-Inf", "")] == ["abc", "0", "-0", "1000", "7", "0.5", "5", "0.001", "-infinity", ""]
-    assert one(text.mask_literals(F.lit('a 5 ; b 2.5 , c "x"@en , d "1"^^xsd:int .'))) == "a xsd:string ; b xsd:string , c xsd:string , d xsd:string ."
+    assert [
+        one(text.norm_number(F.lit(x))) for x in (" ABC ", "0.00", "-0.0", "1E3", "+007", ".5", "5.", "1e-3", "-Inf", "")
+    ] == ["abc", "0", "-0", "1000", "7", "0.5", "5", "0.001", "-infinity", ""]
+    assert one(
+        text.mask_literals(F.lit('a 5 ; b 2.5 , c "x"@en , d "1"^^xsd:int .'))
+    ) == "a xsd:string ; b xsd:string , c xsd:string , d xsd:string ."
 
 
 def test_kinds_of_columns(spark):
     """Known answers: plain numbers, exponents, dates, times, years with months, mixed columns."""
     columns = {
-        "a": ["10", "20", "3.14"], "b": ["-5", "0", "1e10"], "c": ["2020-01-15", "2021-06-30"], "d": ["2020-01-15t10:30:00".upper()], "e": ["00:04:51", "12:30:45"], "f": ["2020", "2021"], "g": ["hello", "world"], "h": ["10", "hello"], "i": ["2020-01-15", "hello"],
-        "j": ["", "  ", "10"], "k": ["2020-01", "2020"], "l": ["2020-02-30"], "m": ["2020-01-15T10:30:00Z"], "n": ["15/01/2020"], "o": [" ", None],
+        "a": ["10", "20", "3.14"], "b": ["-5", "0", "1e10"], "c": ["2020-01-15", "2021-06-30"], "d": ["2020-01-15t10:30:00".upper()],
+        "e": ["00:04:51", "12:30:45"], "f": ["2020", "2021"], "g": ["hello", "world"], "h": ["10", "hello"], "i": ["2020-01-15", "hello"],
+        "j": ["", "  ", "10"], "k": ["2020-01", "2020"], "l": ["2020-02-30"], "m": ["2020-01-15T10:30:00Z"], "n": ["15/01/2020"],
+        "o": [" ", None],
     }
     cells = spark.createDataFrame([(c, v) for c, vs in columns.items() for v in vs], "col string, value string")
-    assert dict(map(tuple, text.infer_kind(cells).collect())) == dict(zip("abcdefghijklmn", ["numeric", "numeric", "temporal", "temporal", "temporal", "numeric", "none", "none", "none", "numeric", "temporal", "none", "temporal", "none"], strict=True))
+    assert dict(map(tuple, text.infer_kind(cells).collect())) == dict(
+        zip(
+            "abcdefghijklmn",
+            ["numeric", "numeric", "temporal", "temporal", "temporal", "numeric", "none", "none", "none", "numeric", "temporal", "none", "temporal", "none"],
+            strict=True
+        )
+    )
 
 
 def test_signatures(spark):
     """Known answers: like columns 1, other properties 0, SUM for COUNT by inner predicates, contexts break ties."""
     kind = terms.RDF_TYPE
     patterns = [
-        ("1", "?d", kind, "Deposit"), ("1", "?d", "name", "?x"), ("1", "?d", "size", "?n"), ("1", "?c", kind, "Company"), ("1", "?c", "name", "?y"),
+        ("1", "?d", kind, "Deposit"), ("1", "?d", "name", "?x"), ("1", "?d", "size", "?n"), ("1", "?c", kind, "Company"),
+        ("1", "?c", "name", "?y"),
         ("2", "?e", kind, "Deposit"), ("2", "?e", "name", "?x"), ("2", "?e", "size", "?n"), ("2", "?e", "owner", "?c"),
     ]
-    projections = [("1", "d", None, [], None), ("1", "x", None, [], None), ("1", "y", None, [], None), ("1", "t", "SUM", ["n"], None), ("2", "e", None, [], None), ("2", "x", None, [], None), ("2", "u", "COUNT", ["n"], None), ("2", "w", "AVG", ["n"], "COUNT")]
+    projections = [
+        ("1", "d", None, [], None), ("1", "x", None, [], None), ("1", "y", None, [], None), ("1", "t", "SUM", ["n"], None),
+        ("2", "e", None, [], None), ("2", "x", None, [], None), ("2", "u", "COUNT", ["n"], None), ("2", "w", "AVG", ["n"], "COUNT")
+    ]
     projections = [(q, f"?{v}", a, [f"?{i}" for i in inner], n) for q, v, a, inner, n in projections]
-    got = scoring.signatures(spark.createDataFrame(patterns, "query_id string, s string, p string, o string"), spark.createDataFrame(projections, "query_id string, variable string, agg string, inner array<string>, nested string")).cache()
+    got = scoring.signatures(
+        spark.createDataFrame(patterns, "query_id string, s string, p string, o string"),
+        spark.createDataFrame(projections, "query_id string, variable string, agg string, inner array<string>, nested string")
+    ).cache()
     by = {(r["query_id"], r["variable"]): r for r in got.collect()}
     assert by["1", "?d"]["types"] == ["Deposit"] and by["1", "?d"]["out_predicates"] == ["name", "size"] and by["1", "?x"]["in_predicates"] == ["name"]
-    assert by["1", "?x"]["subject_context"] == ["out:name", "out:size", "type:Deposit"] and by["2", "?w"]["inner_predicates"] == ["_nested_COUNT", "size"]
+    assert by["1", "?x"]["subject_context"] == [
+        "out:name", "out:size", "type:Deposit"
+    ] and by["2", "?w"]["inner_predicates"] == ["_nested_COUNT", "size"]
     side = lambda q: got.where(F.col("query_id") == q).withColumn("pair", F.lit(1))
     found = {(r["gt_col"], r["sys_col"]): round(r["sim"], 4) for r in scoring.match_signatures(side("1"), side("2")).collect()}
     assert found == {("?x", "?x"): round(0.7 + 0.3 * 3 / 4, 4), ("?d", "?e"): 1.0, ("?t", "?u"): 1.0}
-    aggregated = scoring.signature_sim(side("1").select(*(F.col(c).alias(f"a_{c}") for c in got.columns)).crossJoin(side("2").select(*(F.col(c).alias(f"b_{c}") for c in got.columns))).where("a_agg = 'SUM' and b_agg = 'AVG' or a_variable = '?x' and b_agg is not null"))
+    aggregated = scoring.signature_sim(
+        side("1").select(*(F.col(c).alias(f"a_{c}") for c in got.columns)).crossJoin(side("2").select(*(F.col(c).alias(f"b_{c}") for c in got.columns))).where(
+            "a_agg = 'SUM' and b_agg = 'AVG' or a_variable = '?x' and b_agg is not null"
+        )
+    )
     assert {r["sim"] for r in aggregated.collect()} == {0.0}
 
 def test_closure_and_components(spark):
@@ -157,7 +191,9 @@ def test_components_of_all_orders(spark, sf_dir, tmp_path):
     for d in (str(tmp_path), sf_dir):
         got = {r["node"]: r["component"] for r in catalog.queries()["g10_components_all"](spark, d).collect()}
         o = {r["o_orderkey"]: r["o_custkey"] for r in spark.read.parquet(f"{d}/orders.parquet").collect()}
-        assert got == union_find({(o[r["l_orderkey"]], 1_000_000 + r["l_suppkey"]) for r in spark.read.parquet(f"{d}/lineitem.parquet").collect() if r["l_orderkey"] in o})
+        assert got == union_find(
+            {(o[r["l_orderkey"]], 1_000_000 + r["l_suppkey"]) for r in spark.read.parquet(f"{d}/lineitem.parquet").collect() if r["l_orderkey"] in o}
+        )
 
 
 def test_lsh_takes_all_values(spark, sf_dir):
@@ -165,7 +201,11 @@ def test_lsh_takes_all_values(spark, sf_dir):
     grams = {n: {n.lower()[i : i + 3] for i in range(max(1, len(n) - 2))} for n in names}
     got = catalog.queries()["l17_lsh_values"](spark, sf_dir).collect()
     assert {r["keyword"] for r in got} == names
-    assert all(abs(r["jaccard"] - len(grams[r["keyword"]] & grams[r["value"]]) / len(grams[r["keyword"]] | grams[r["value"]])) < 0.05 and r["jaccard"] >= 0.01 for r in got)
+    assert all(
+        abs(
+            r["jaccard"] - len(grams[r["keyword"]] & grams[r["value"]]) / len(grams[r["keyword"]] | grams[r["value"]])
+        ) < 0.05 and r["jaccard"] >= 0.01 for r in got
+    )
 
 
 def test_whole_queries_take_more_with_size(spark, sf_dir):
@@ -176,7 +216,9 @@ def test_whole_queries_take_more_with_size(spark, sf_dir):
 
 
 def test_vector_ties_go_to_the_smaller_item(spark):
-    items = spark.createDataFrame([(i, [1.0 + i % 3, 2.0 + 2 * (i % 3)]) for i in range(200, 0, -1)], "item_id long, v array<double>").coalesce(1)
+    items = spark.createDataFrame(
+        [(i, [1.0 + i % 3, 2.0 + 2 * (i % 3)]) for i in range(200, 0, -1)], "item_id long, v array<double>"
+    ).coalesce(1)
     q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, v array<double>")
     assert rows(linking.vector_topk(q, items, 3).select("rank", "item_id")) == [(1, 1), (2, 2), (3, 3)]
     values = items.select(F.format_string("v%03d", "item_id").alias("value"), "v")
@@ -186,7 +228,10 @@ def test_vector_ties_go_to_the_smaller_item(spark):
 def test_linking(spark):
     parts = linking.keyword_parts(spark.createDataFrame([(1, "a b=c")], "id int, keyword string"))
     assert {r["part"] for r in parts.collect()} == {"a b=c", "a", "b=c", "c"}
-    pairs = spark.createDataFrame([("cities", "city"), ("total drill depth greater than", "totalDrillDepth"), ("operated", "activeDepositOperator"), ("order", "orderline"), ("ab", "cd"), ("pass", "pas")], "a string, b string")
+    pairs = spark.createDataFrame(
+        [("cities", "city"), ("total drill depth greater than", "totalDrillDepth"), ("operated", "activeDepositOperator"), ("order", "orderline"), ("ab", "cd"), ("pass", "pas")],
+        "a string, b string"
+    )
     assert [r[0] for r in pairs.select(linking.phrase_score(F.col("a"), F.col("b"))).collect()] == [2, 1, 1, 1, 0, 2]
     q = spark.createDataFrame([(1, "Which ports are in Rotterdam today")], "question_id int, question string")
     best = linking.mention_sim(q, spark.createDataFrame([(1, "Roterdam")], "question_id int, literal string")).first()
@@ -194,7 +239,9 @@ def test_linking(spark):
 
 
 def test_analytics(spark):
-    r = spark.createDataFrame([("SYN01", "m", 1.0), ("BASE01", "m", 0.25), ("UND01", "m", 0.5)], "question_id string, model string, f1 double")
+    r = spark.createDataFrame(
+        [("SYN01", "m", 1.0), ("BASE01", "m", 0.25), ("UND01", "m", 0.5)], "question_id string, model string, f1 double"
+    )
     assert analytics.deltas(r, analytics.baseline_of(r), "f1").first()["delta"] == 0.75
     s = spark.createDataFrame([("a", "q1", 1.0)], "c string, question_id string, f1 double")
     assert analytics.cell_stats(s, ["c"], "f1").first()["se"] == 0.0
@@ -222,16 +269,23 @@ def test_files(spark, tmp_path):
     (runs / "3.json").write_text(json.dumps({"run_id": "r"}))
     good, bad = files.read_runs(spark, str(runs), "run_id string, question_id string")
     assert good.count() == 1 and {r["reason"]: r["n"] for r in bad.collect()} == {"unreadable": 1, "incomplete": 1}
-    g = spark.createDataFrame([("s", "http://p", "o", "iri", None, None)], "s string, p string, o string, o_kind string, o_datatype string, o_lang string")
+    g = spark.createDataFrame(
+        [("s", "http://p", "o", "iri", None, None)], "s string, p string, o string, o_kind string, o_datatype string, o_lang string"
+    )
     files.write_triples(g, str(tmp_path / "g"))
     assert rows(files.read_triples(spark, str(tmp_path / "g")).select("s", "p", "o")) == [("s", "http://p", "o")]
 
 
-EVENTS = [(1, "r", "2024-01-01 00:00:00", "phase_start", "plan", None), (2, "r", "2024-01-01 00:00:05", "phase_start", "act", None), (3, "r", "2024-01-01 00:00:09", "phase_end", "act", 3500.0), (3, "r", "2024-01-01 00:00:09", "phase_end", "act", 3500.0)]
+EVENTS = [
+    (1, "r", "2024-01-01 00:00:00", "phase_start", "plan", None), (2, "r", "2024-01-01 00:00:05", "phase_start", "act", None),
+    (3, "r", "2024-01-01 00:00:09", "phase_end", "act", 3500.0), (3, "r", "2024-01-01 00:00:09", "phase_end", "act", 3500.0)
+]
 
 
 def events(spark):
-    return spark.createDataFrame(EVENTS, "event_id long, run_id string, ts string, event_type string, phase string, duration_ms double").withColumn("ts", F.to_timestamp("ts"))
+    return spark.createDataFrame(
+        EVENTS, "event_id long, run_id string, ts string, event_type string, phase string, duration_ms double"
+    ).withColumn("ts", F.to_timestamp("ts"))
 
 
 def test_phases(spark):
@@ -243,13 +297,23 @@ def test_streams(spark, tmp_path):
     events(spark).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events(spark).schema).parquet(str(tmp_path / "in"))
     for name, df in (("phases", traces.phase_intervals_stream(traces.dedupe_events(stream), None)), ("rates", traces.event_rates(stream))):
-        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").option(
+            "checkpointLocation", str(tmp_path / name)
+        ).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert q.exception() is None
-    hand = [(1, "r", "2024-01-01 00:00:00", "delegate", "x", "m", "why"), (2, "r", "2024-01-01 00:00:02", "delegate", "x", "n", "again"), (3, "r", "2024-01-01 00:00:05", "delegate_end", "x", None, "SUCCESS"), (4, "r", "2024-01-01 00:00:06", "delegate_end", "x", None, "success"), (5, "r", "2024-01-01 00:00:07", "delegate", "y", "m", None)]
-    handed = spark.createDataFrame(hand, "event_id long, run_id string, ts string, event_type string, agent string, from_agent string, reason string").withColumn("ts", F.to_timestamp("ts"))
+    hand = [
+        (1, "r", "2024-01-01 00:00:00", "delegate", "x", "m", "why"), (2, "r", "2024-01-01 00:00:02", "delegate", "x", "n", "again"),
+        (3, "r", "2024-01-01 00:00:05", "delegate_end", "x", None, "SUCCESS"),
+        (4, "r", "2024-01-01 00:00:06", "delegate_end", "x", None, "success"), (5, "r", "2024-01-01 00:00:07", "delegate", "y", "m", None)
+    ]
+    handed = spark.createDataFrame(
+        hand, "event_id long, run_id string, ts string, event_type string, agent string, from_agent string, reason string"
+    ).withColumn("ts", F.to_timestamp("ts"))
     handed.write.parquet(str(tmp_path / "hand"))
-    q = traces.delegations_stream(spark.readStream.schema(handed.schema).parquet(str(tmp_path / "hand"))).writeStream.format("memory").queryName("handed").outputMode("append").trigger(availableNow=True).start()
+    q = traces.delegations_stream(
+        spark.readStream.schema(handed.schema).parquet(str(tmp_path / "hand"))
+    ).writeStream.format("memory").queryName("handed").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("handed")) == rows(traces.delegations(handed)) == [("r", "n", "x", "again", 3000.0, True)]
     got = {r["phase"]: r["duration_ms"] for r in spark.table("phases").collect()}

@@ -11,15 +11,26 @@ def rows(df):
 
 
 def ranked(spark, data):
-    return spark.createDataFrame([(p, [str(x) for x in r], float(s) if s is not None else None) for p, r, s in data], "pair string, row array<string>, score double")
+    return spark.createDataFrame(
+        [(p, [str(x) for x in r], float(s) if s is not None else None) for p, r, s in data], "pair string, row array<string>, score double"
+    )
 
 
 def test_topn_at_the_boundary_and_without_scores(spark):
-    gt = ranked(spark, [("a", [1], 9), ("a", [2], 5), ("a", [3], 5), ("a", [4], None), ("b", ["x"], None), ("b", ["y"], None), ("c", [1], 3)])
-    sys = ranked(spark, [("a", [1], 9), ("a", [7], 5), ("a", [8], 5), ("a", [9], 5), ("a", [10], None), ("b", ["x"], None), ("b", ["z"], 4), ("d", [1], 1)])
+    gt = ranked(
+        spark, [("a", [1], 9), ("a", [2], 5), ("a", [3], 5), ("a", [4], None), ("b", ["x"], None), ("b", ["y"], None), ("c", [1], 3)]
+    )
+    sys = ranked(
+        spark,
+        [("a", [1], 9), ("a", [7], 5), ("a", [8], 5), ("a", [9], 5), ("a", [10], None), ("b", ["x"], None), ("b", ["z"], 4), ("d", [1], 1)]
+    )
     found = {r.pair: (r.tp, round(r.precision, 6), round(r.recall, 6)) for r in scoring.score_topn(gt, sys).collect()}
     assert found == {"a": (3, 0.6, 1.0), "b": (1, 0.5, 0.5), "c": (0, 0.0, 0.0)}
-    low = {r.pair: r.tp for r in scoring.score_topn(gt.withColumn("score", -F.col("score")), sys.withColumn("score", -F.col("score")), descending=False).collect()}
+    low = {
+        r.pair: r.tp for r in scoring.score_topn(
+            gt.withColumn("score", -F.col("score")), sys.withColumn("score", -F.col("score")), descending=False
+        ).collect()
+    }
     assert low == {"a": 3, "b": 1, "c": 0}
 
 
@@ -35,7 +46,10 @@ COLUMNS = [("1name", "preferred", "name", False), ("2score", "preferred", "score
 
 
 def judged(spark, gt, sys, **more):
-    columns = spark.createDataFrame([(p, *c) for p in gt for c in COLUMNS], "pair struct<run_id string, reading_id int>, col string, level string, concept string, is_label boolean")
+    columns = spark.createDataFrame(
+        [(p, *c) for p in gt for c in COLUMNS],
+        "pair struct<run_id string, reading_id int>, col string, level string, concept string, is_label boolean"
+    )
     return {r.run_id: r for r in scoring.evaluate(cells(spark, gt), cells(spark, sys), columns, **more).collect()}
 
 
@@ -49,20 +63,41 @@ def test_a_run_with_only_acceptable_values_finds_nothing(spark):
         ("both", 1): [{"a": "ann", "n": "tall", "s": "12"}, {"a": "bob", "n": "short", "s": "11"}, {"a": None, "n": None, "s": None}],
     }
     found = judged(spark, gt, sys)
-    assert {k: (round(r.data_f1, 6), round(r.schema_recall, 6), round(r.schema_precision, 6)) for k, r in found.items()} == {"only": (0, 0, 0), "preferred": (1, 0.5, 1), "none": (0, 0, 0), "both": (1, 1, 1)}
+    assert {
+        k: (round(r.data_f1, 6), round(r.schema_recall, 6), round(r.schema_precision, 6)) for k, r in found.items()
+    } == {"only": (0, 0, 0), "preferred": (1, 0.5, 1), "none": (0, 0, 0), "both": (1, 1, 1)}
 
 
 def test_ranked_runs_tolerate_ties(spark):
-    gt = {("r", 1): [{"1name": "ann", "2score": "9"}, {"1name": "bob", "2score": "5"}], ("s", 1): [{"1name": "ann", "2score": "9"}, {"1name": "bob", "2score": "5"}], ("t", 1): [{"1name": "ann", "2score": "2"}, {"1name": "bob", "2score": "5"}]}
-    sys = {("r", 1): [{"n": "ann", "v": "9"}, {"n": "cat", "v": "5"}], ("s", 1): [{"n": "ann", "v": "9"}, {"n": "cat", "v": "5"}], ("t", 1): [{"n": "ann", "v": "2"}, {"n": "cat", "v": "5"}]}
-    order = spark.createDataFrame([(("r", 1), "2score", True), (("t", 1), "2score", False)], "pair struct<run_id string, reading_id int>, col string, descending boolean")
+    gt = {
+        ("r", 1): [{"1name": "ann", "2score": "9"}, {"1name": "bob", "2score": "5"}],
+        ("s", 1): [{"1name": "ann", "2score": "9"}, {"1name": "bob", "2score": "5"}],
+        ("t", 1): [{"1name": "ann", "2score": "2"}, {"1name": "bob", "2score": "5"}]
+    }
+    sys = {
+        ("r", 1): [{"n": "ann", "v": "9"}, {"n": "cat", "v": "5"}], ("s", 1): [{"n": "ann", "v": "9"}, {"n": "cat", "v": "5"}],
+        ("t", 1): [{"n": "ann", "v": "2"}, {"n": "cat", "v": "5"}]
+    }
+    order = spark.createDataFrame(
+        [(("r", 1), "2score", True), (("t", 1), "2score", False)],
+        "pair struct<run_id string, reading_id int>, col string, descending boolean"
+    )
     assert {k: round(r.data_f1, 6) for k, r in judged(spark, gt, sys, order=order).items()} == {"r": 1.0, "s": 0.5, "t": 1.0}
 
 
 def test_ranges_rise_to_parents_of_classes_at_any_depth(spark):
-    s = spark.createDataFrame([("Bachelor", "mentor", "Senior", True), ("Senior", "age", "integer", False), ("Junior", "age", "integer", False), ("Alone", "knows", "Junior", True)], "class string, property string, range string, is_object boolean")
-    edges = spark.createDataFrame([("Bachelor", "Learner"), ("Senior", "Educator"), ("Mid", "Educator"), ("Junior", "Mid"), ("Alone", "Single")], "child string, parent string")
-    assert rows(schema.lift_schema(s, edges)) == sorted([("Learner", "mentor", "Educator", True), ("Educator", "age", "integer", False), ("Mid", "age", "integer", False), ("Single", "knows", "Junior", True)], key=str)
+    s = spark.createDataFrame(
+        [("Bachelor", "mentor", "Senior", True), ("Senior", "age", "integer", False), ("Junior", "age", "integer", False), ("Alone", "knows", "Junior", True)],
+        "class string, property string, range string, is_object boolean"
+    )
+    edges = spark.createDataFrame(
+        [("Bachelor", "Learner"), ("Senior", "Educator"), ("Mid", "Educator"), ("Junior", "Mid"), ("Alone", "Single")],
+        "child string, parent string"
+    )
+    assert rows(schema.lift_schema(s, edges)) == sorted(
+        [("Learner", "mentor", "Educator", True), ("Educator", "age", "integer", False), ("Mid", "age", "integer", False), ("Single", "knows", "Junior", True)],
+        key=str
+    )
 
 
 def test_white_space_of_any_kind_is_stripped_before_composing(spark):

@@ -17,7 +17,10 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-TEXTS = ["Banana bread", "banana", "Ananas", "aaaa", "ab", "a", "", None, "naïve café", "x" * 300 + "needle" + "y" * 300, "banana", "ÄÖÜ", "100%_[a]"]
+TEXTS = [
+    "Banana bread", "banana", "Ananas", "aaaa", "ab", "a", "", None, "naïve café", "x" * 300 + "needle" + "y" * 300, "banana", "ÄÖÜ",
+    "100%_[a]"
+]
 TERMS = ["anan", "ANA", "a", "ab", "b", "needle", "aaa", "aaaaa", "fé", "é", "zzz", "", None, "äö", "%_[", "d", "ad"]
 
 
@@ -27,13 +30,18 @@ def test_substring_index_finds_what_contains_does(spark, tmp_path):
     want = {(t, x) for t in TERMS if t for x in TEXTS if x is not None and t.lower() in x.lower()}
     assert rows(found) == sorted(want, key=str)
     assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
-    assert rows(substrings.search(substrings.open_index(spark, str(tmp_path / "i")), spark.createDataFrame([("ban",)], "term string"))) == [("ban", "Banana bread"), ("ban", "banana")]
+    assert rows(
+        substrings.search(substrings.open_index(spark, str(tmp_path / "i")), spark.createDataFrame([("ban",)], "term string"))
+    ) == [("ban", "Banana bread"), ("ban", "banana")]
     none = substrings.build_index(spark.createDataFrame([], "text string"), str(tmp_path / "none"))
     assert substrings.search(none, spark.createDataFrame([("ban",)], "term string")).count() == 0
 
 
 def test_searches_on_the_index(spark, tmp_path):
-    e = spark.createDataFrame([(1, "class", "Full professor"), (2, "class", "Professor"), (3, "property", "professor of"), (1, "class", "Full professor")], "element_id int, type string, text string")
+    e = spark.createDataFrame(
+        [(1, "class", "Full professor"), (2, "class", "Professor"), (3, "property", "professor of"), (1, "class", "Full professor")],
+        "element_id int, type string, text string"
+    )
     index = substrings.build_index(e, str(tmp_path / "e"))
     terms = spark.createDataFrame([("PROF",), ("l p",)], "term string")
     assert rows(linking.grep_terms(e, terms, index, "class").select("term", "element_id")) == [("PROF", 1), ("PROF", 2), ("l p", 1)]
@@ -41,11 +49,15 @@ def test_searches_on_the_index(spark, tmp_path):
     found = linking.with_hierarchy(spark.createDataFrame([("A", 1), ("C", 2), ("Z", 3)], "element_id string, n int"), edges)
     assert rows(found.drop("n")) == [("A", ["B", "D"], ["B", "D", "C"], [], 3), ("C", ["D"], ["D"], ["B"], 1), ("Z", [], [], [], 0)]
     t = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
-    g = [(f"s{i}", "p", f"value {i:03d}", "literal", None, None) for i in range(600)] + [(f"s{i}", t, "C", "iri", None, None) for i in range(600)]
+    g = [
+        (f"s{i}", "p", f"value {i:03d}", "literal", None, None) for i in range(600)
+    ] + [(f"s{i}", t, "C", "iri", None, None) for i in range(600)]
     g = spark.createDataFrame(g, "s string, p string, o string, o_kind string, o_datatype string, o_lang string")
     assert rows(linking.grep_values(g, "C", "p", "^VALUE 59[89]$")) == [("value 598",), ("value 599",)]
     values = substrings.build_index(g.where("p = 'p'"), str(tmp_path / "v"), "o")
-    assert rows(linking.grep_values_terms(g, "C", "p", spark.createDataFrame([("UE 59",)], "term string"), values, 2)) == [("UE 59", "value 590"), ("UE 59", "value 591")]
+    assert rows(
+        linking.grep_values_terms(g, "C", "p", spark.createDataFrame([("UE 59",)], "term string"), values, 2)
+    ) == [("UE 59", "value 590"), ("UE 59", "value 591")]
     met = linking.search_instances(g.withColumn("dataset", F.lit("d")), spark.createDataFrame([("lue 00",), ("lu",)], "term string"))
     assert rows(met) == [("d", "lue 00", 10, "s0")]
     assert "NestedLoop" not in plan(met)
@@ -95,15 +107,23 @@ def test_names_with_a_ratio_lose_no_pair(spark):
     draw = random.Random(2)
     names = ["customer_name", "Name", "names", "", "s", "ab", "order date", "orderdates", "zip", None, "n_nationkey", "nation key"]
     names += ["".join(draw.choices("ab_ s", k=draw.randint(1, 12))) for _ in range(60)]
-    keys = ["x_customer_name", "NAME", "order_date", "zips", "", "nationkeys", "Abab"] + [n[1:] for n in names if n] + [n + "a" for n in names if n]
+    keys = [
+        "x_customer_name", "NAME", "order_date", "zips", "", "nationkeys", "Abab"
+    ] + [n[1:] for n in names if n] + [n + "a" for n in names if n]
     plain = lambda x: x.lower().replace(" ", "").replace("_", "").rstrip("s")
     sim = lambda c, k: SequenceMatcher(None, plain(c), plain(k)).ratio()
     for least in (0.9, 0.6):
         want = {(c, k) for c in names if c is not None for k in keys if sim(c, k) >= least}
-        found = linking.match_columns_by_name(spark.createDataFrame([(n,) for n in names], "col string"), spark.createDataFrame([(k,) for k in set(keys)], "keyword string"), least)
+        found = linking.match_columns_by_name(
+            spark.createDataFrame([(n,) for n in names], "col string"), spark.createDataFrame([(k,) for k in set(keys)], "keyword string"),
+            least
+        )
         assert {(r.col, r.keyword) for r in found.collect()} == want
     sims = spark.createDataFrame([("Name", 0.2), ("names", 0.8)], "col string, sim double")
-    found = linking.match_columns_by_name(spark.createDataFrame([("Name",), ("names",), ("nam",)], "col string"), spark.createDataFrame([("name",)], "keyword string"), 0.8, sims)
+    found = linking.match_columns_by_name(
+        spark.createDataFrame([("Name",), ("names",), ("nam",)], "col string"), spark.createDataFrame([("name",)], "keyword string"), 0.8,
+        sims
+    )
     assert [r.col for r in found.collect()] == ["names", "Name", "nam"]
 
 
@@ -111,7 +131,9 @@ def test_mentions_with_bounds_equal_all_windows(spark):
     draw = random.Random(3)
     qs = [(i, " ".join("".join(draw.choices("abc", k=draw.randint(1, 5))) for _ in range(draw.randint(1, 9)))) for i in range(30)]
     ls = [(i, "".join(draw.choices("abc ", k=draw.randint(1, 9)))) for i in range(30) for _ in range(2)]
-    found = linking.mention_sim(spark.createDataFrame(qs, "question_id int, question string"), spark.createDataFrame(ls, "question_id int, literal string"))
+    found = linking.mention_sim(
+        spark.createDataFrame(qs, "question_id int, question string"), spark.createDataFrame(ls, "question_id int, literal string")
+    )
     want = set()
     for i, q in qs:
         ws = q.split()
