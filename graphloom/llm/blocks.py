@@ -120,8 +120,8 @@ def gathered(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 
 def together(df: DataFrame, key: str, *then: str) -> DataFrame:
-    """Rows of one value of ``key`` behind each other in one partition."""
-    return df.repartition(partitions(df), key).sortWithinPartitions(key, *then)
+    """Rows of one value of ``key`` behind each other in one partition; values, which are numbers from 0, are dealt in turn."""
+    return df.repartitionById(partitions(df), key).sortWithinPartitions(key, *then)
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
