@@ -767,9 +767,22 @@ def e3_cell_f1(spark, d):
     return t.select("pair", *(F.round(c, 12).alias(c) for c in ("precision", "recall", "f1")))
 
 
-@register()
+#: The ratio of a matcher of longest common blocks for the rows (a, b) of ``pairs``: the longest run that both have, first in a and then in
+#: b, and the same on either side of it; m has the common runs from each two places, g the parts with their best run.
+LIKENESS = """c AS MATERIALIZED (SELECT a, b, i, j, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS island FROM pairs, range(length(a)) x(i), range(length(b)) y(j) WHERE a[i + 1] = b[j + 1]),
+m AS MATERIALIZED (SELECT a, b, i, j, count(*) OVER (PARTITION BY a, b, i - j, island ORDER BY i DESC) AS k FROM c),
+g AS (SELECT a, b, 0::BIGINT AS a0, length(a)::BIGINT AS a1, 0::BIGINT AS b0, length(b)::BIGINT AS b1, max_by({'i': i, 'j': j, 'k': k}, (k, -i, -j)) AS best FROM m GROUP BY a, b UNION ALL
+ SELECT h.a, h.b, a0, a1, b0, b1, max_by({'i': i, 'j': j, 'k': least(k, a1 - i, b1 - j)}, (least(k, a1 - i, b1 - j), -i, -j)) FROM (
+  SELECT a, b, CASE WHEN side = 0 THEN a0 ELSE best.i + best.k END AS a0, CASE WHEN side = 0 THEN best.i ELSE a1 END AS a1, CASE WHEN side = 0 THEN b0 ELSE best.j + best.k END AS b0, CASE WHEN side = 0 THEN best.j ELSE b1 END AS b1
+  FROM g, range(2) t(side)) h JOIN m ON m.a = h.a AND m.b = h.b AND i >= a0 AND i < a1 AND j >= b0 AND j < b1 GROUP BY ALL),
+likeness AS (SELECT p.a, p.b, CASE WHEN length(p.a) + length(p.b) = 0 THEN 1 ELSE 2::DOUBLE * coalesce(n, 0) / (length(p.a) + length(p.b)) END AS ratio FROM pairs p LEFT JOIN (SELECT a, b, sum(best.k) AS n FROM g GROUP BY ALL) s ON s.a = p.a AND s.b = p.b)"""
+
+
+@register(f"""WITH RECURSIVE q AS (SELECT p_partkey AS question_id, p_name AS literal, string_split(lower('which ' || substr(p_name, 2) || ' are in stock'), ' ') AS ws FROM part),
+w AS (SELECT DISTINCT question_id, literal, array_to_string(ws[i:i + n - 1], ' ') AS win FROM q, range(1, 5) x(n), range(1, 9) y(i) WHERE i <= len(ws) - n + 1), pairs AS MATERIALIZED (SELECT DISTINCT win AS a, lower(literal) AS b FROM w), {LIKENESS}
+SELECT question_id, literal, max(ratio) AS sim, max_by(win, (ratio, win)) AS "window", max_by(win, (ratio, win))[:3] = lower(literal)[:3] AS same_prefix FROM w JOIN likeness ON a = win AND b = lower(literal) GROUP BY 1, 2""")
 def l15_mentions(spark, d):
-    """Part names within questions that misspell them; likeness of texts has no SQL, tests compare with a plain version."""
+    """Part names within questions that misspell them."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("question_id"), "p_name")
     return linking.mention_sim(
         p.select("question_id", F.concat(F.lit("which "), F.substring("p_name", 2, 100), F.lit(" are in stock")).alias("question")),
@@ -777,7 +790,9 @@ def l15_mentions(spark, d):
     )
 
 
-@register()
+@register(f"""WITH RECURSIVE e AS (SELECT DISTINCT substr(p_name, 2) AS keyword, 'p_name' AS col, p_name AS value, (p_partkey % 50) / 100 + 0.5::DOUBLE AS sim FROM part), pairs AS MATERIALIZED (SELECT DISTINCT lower(keyword) AS a, lower(value) AS b FROM e), {LIKENESS},
+n AS (SELECT e.*, ratio FROM e JOIN likeness ON a = lower(keyword) AND b = lower(value) WHERE ratio >= 0.3 AND sim >= 0.6)
+SELECT * FROM n QUALIFY ratio >= 0.9 * max(ratio) OVER (PARTITION BY keyword, col) AND sim >= 0.9 * max(sim) OVER (PARTITION BY keyword, col)""")
 def l19_entities(spark, d):
     p = table(spark, d, "part")
     cands = p.select(
@@ -787,13 +802,23 @@ def l19_entities(spark, d):
     return linking.filter_entities(cands)
 
 
-@register()
+@register(f"""WITH RECURSIVE s AS (SELECT DISTINCT c_mktsegment AS col FROM customer), k AS (SELECT col, lower(col) || 's' AS keyword FROM s), n AS (SELECT s.col, k.keyword, rtrim(replace(replace(lower(s.col), ' ', ''), '_', ''), 's') AS a, rtrim(replace(replace(lower(k.keyword), ' ', ''), '_', ''), 's') AS b FROM s, k),
+pairs AS MATERIALIZED (SELECT DISTINCT a, b FROM n), {LIKENESS} SELECT col, keyword, ratio FROM n JOIN likeness USING (a, b) WHERE ratio >= 0.9""")
 def l20_column_names(spark, d):
     """Segments as column names against nations' and segments' plurals."""
     c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("col")).distinct()
     return linking.match_columns_by_name(c, c.select(F.concat(F.lower("col"), F.lit("s")).alias("keyword")))
 
 
+@register(f"""WITH RECURSIVE s AS (SELECT DISTINCT p_name AS col FROM part), k AS (SELECT DISTINCT 'x_' || col AS keyword FROM s UNION SELECT replace(col, ' ', '') || 'es' FROM s), n AS (SELECT s.col, k.keyword, rtrim(replace(replace(lower(s.col), ' ', ''), '_', ''), 's') AS a, rtrim(replace(replace(lower(k.keyword), ' ', ''), '_', ''), 's') AS b FROM s, k),
+pairs AS MATERIALIZED (SELECT DISTINCT a, b FROM n), {LIKENESS} SELECT col, keyword, ratio FROM n JOIN likeness USING (a, b) WHERE ratio >= 0.9""")
+def l20_changed_names(spark, d):
+    """Names of parts with another first letter or another end."""
+    c = table(spark, d, "part").select(F.col("p_name").alias("col")).distinct()
+    k = c.select(F.concat(F.lit("x_"), "col").alias("keyword")).union(c.select(F.concat(F.replace("col", F.lit(" "), F.lit("")), F.lit("es"))))
+    return linking.match_columns_by_name(c, k.distinct())
+
+
 # retrieval: readings over the schema of part types
 def _readings(spark, d) -> DataFrame:
     """Questions of part types: reading 1 asks size0 of the type, reading 2 size0 and, acceptably, size1."""
