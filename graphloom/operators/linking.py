@@ -309,9 +309,12 @@ def eligible_columns(
     return stats.withColumn("eligible", fits)
 
 
-def lsh_values(values: DataFrame, keywords: DataFrame, n: int = 10, hashes: int = 100, rows: int = 1) -> DataFrame:
-    """For each keyword the n values of largest Jaccard on 3-grams of characters, met by MinHash bands and estimated from signatures."""
-    return similar_values(values, keywords, n, hashes, rows)
+def lsh_values(values: DataFrame, keywords: DataFrame, n: int = 10, hashes: int = 100, rows: int = 1, exact: bool = True) -> DataFrame:
+    """For each keyword the n values of largest Jaccard on 3-grams of characters, met by MinHash bands.
+
+    What meets is compared by its 3-grams, or estimated from signatures alone if not ``exact``.
+    """
+    return similar_values(values, keywords, n, hashes, rows, exact)
 
 
 def keyword_parts(df: DataFrame) -> DataFrame:
