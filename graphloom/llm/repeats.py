@@ -234,8 +234,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = cut(_node_answers(seeded, k, seed_shift, shift, buckets))
     pieces = B.stored(_pieces(seeded, nodes, k, seed_shift, shift, buckets, kind))
 
-    source = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "block", "row", "start", "edges", "words")).alias("source")
-    mixed = (F.min("words") != F.max("words")) | (F.min("edges") != F.max("edges"))
+    source = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "edges", "words")).alias("source")
+    # paths of different length have different hashes of their words, too
+    mixed = F.min("words") != F.max("words")
     paths = pieces.groupBy("first").agg(source, F.count(F.lit(1)).alias("n"), mixed.alias("mixed")).where("n > 1")
     paths, of_paths = observed(paths, mixed=F.count_if("mixed"))
     same = (F.col("edges") == F.col("source.edges")) & (F.col("words") == F.col("source.words"))
