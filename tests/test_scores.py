@@ -109,3 +109,12 @@ def test_white_space_of_any_kind_is_stripped_before_composing(spark):
 def test_templates_keep_unreserved_signs_only(spark):
     df = spark.createDataFrame([("a b~c*d-e._f/g+h%",)], "x string")
     assert df.select(terms.from_template("http://n/{x}")).first()[0] == "http://n/a%20b~c%2Ad-e._f%2Fg%2Bh%25"
+
+
+def test_best_of_totals_that_are_equal_but_for_rounding(spark):
+    """In doubles 0.3 + 0.2 + 0.2 * 0.9 is more than 0.3 + 0.3 + 0.2 * 0.4."""
+    cands = spark.createDataFrame(
+        [("q", 1, None, 103, 0.4), ("q", 2, "x", 9, 0.9), ("r", 1, "x", 9, 0.9), ("r", 2, None, 103, 0.4), ("s", 1, "x", 9, 0.9), ("s", 2, None, 103, 0.5)],
+        "question_id string, candidate long, error string, n_rows long, confidence double"
+    )
+    assert {r["question_id"]: r["candidate"] for r in scoring.select_best(cands).collect()} == {"q": 1, "r": 1, "s": 2}
