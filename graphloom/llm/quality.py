@@ -2,7 +2,8 @@
 
 A document of label 1 is preferred to one of label 0. The score is linear in
 features of the text; it is fitted by logistic loss on feature differences, and the
-threshold is the quantile of the fitting documents' scores at label 0's share.
+threshold is the quantile of the fitting documents' scores at label 0's share. All labelled
+documents are fitted.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from graphloom.llm.common import crc_bucket, cut, free, small, text_batches
+from graphloom.llm.common import crc_bucket, cut, free, ordered_rank, small, text_batches
 from graphloom.llm.words import distinct_per_row, shingle_hashes, text_slices, word_hashes
 
 #: Classes of bytes; each gives the root of its share of a text's bytes.
@@ -26,6 +27,8 @@ CLASSES = {
     "stop": b".", "comma": b",", "shout": b"!", "ask": b"?", "bar": b"|", "symbol": b"#$%&*@^~", "markup": b"<>=/\\{}[]", "quote": b"\"'`", "dash": b"-_", "other_mark": b":;()+",
 }
 NAMES = (*CLASSES, "other", "log_words", "word_length", "distinct_words", "top_word", "distinct_triples")
+#: Rows of features that may be broadcast (170 bytes each): with fewer of a label there are few buckets, so its rows are sent to the others.
+BROADCAST_FEATURES = 20_000
 _class_of = np.full(256, len(CLASSES), np.int64)
 for _k, _bytes in enumerate(CLASSES.values()):
     _class_of[list(_bytes)] = _k
@@ -68,41 +71,50 @@ def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(features, f"id {rows.schema['id'].dataType.simpleString()}, features array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, reg: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[float], float]:
-    """(weights, threshold) from labelled rows, held-out ones already left out by the caller.
+def fit(docs: DataFrame, labels: DataFrame, *, reg: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[float], float]:
+    """(weights, threshold) from all labelled rows, held-out ones already left out by the caller.
 
-    At most about ``sample_rows`` labelled ids are used, chosen by a hash of the id. Without
-    both labels the weights are 0, so every document scores 0.5 and is accepted.
+    Without both labels the weights are 0, so every document scores 0.5 and is accepted.
     """
     text_batches(docs.sparkSession)
+    return fit_features(with_features(docs, id_col, text_col), labels, reg=reg, id_col=id_col, label_col=label_col)
+
+
+def fit_features(features: DataFrame, labels: DataFrame, *, reg: float = 1e-4, id_col: str = "doc_id", label_col: str = "quality") -> tuple[list[float], float]:
+    """What ``fit`` does, from the rows (id, features) of ``with_features``; of an id's rows the one of smallest features counts.
+
+    Only narrow rows are shuffled. A document meets documents of the other label, about as many as there are on the larger side for
+    each on the smaller one, so there are about as many pairs as documents.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("label"))
-    share = min(1.0, sample_rows / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(picked, 2 * sample_rows), "id")
-    sample = cut(_sample_features(texts))
-    counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    learnt = cut(features.join(small(known), "id").groupBy("id", "label").agg(F.min("features").alias("features")))
+    counts = {r["label"]: r["n"] for r in learnt.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return [0.0] * len(NAMES), 0.0
-    # each document meets those of the other label in its bucket; buckets are small by the bound of the sample
+    # a bucket has about two documents of the rarer label, each of the other label is in one bucket
     buckets = max(1, min(counts.values()) // 2)
-    side = sample.withColumn("bucket", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(buckets)))
+    rarer = F.broadcast if min(counts.values()) <= BROADCAST_FEATURES else lambda df: df
+    side = learnt.withColumn("bucket", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(buckets)))
     good = side.where("label = 1").select("bucket", F.col("id").alias("good"), F.col("features").alias("x"))
     bad = side.where("label = 0").select("bucket", F.col("id").alias("bad"), F.col("features").alias("y"))
     sign = F.when(F.pmod(F.xxhash64("good", "bad"), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    pairs = good.join(bad, "bucket").withColumn("sign", sign)
+    met = rarer(good).join(bad, "bucket") if counts[1.0] <= counts[0.0] else good.join(rarer(bad), "bucket")
+    pairs = met.withColumn("sign", sign)
     difference = F.transform(F.arrays_zip("x", "y"), lambda z: (z["x"] - z["y"]) * F.col("sign"))
     pairs = pairs.select(array_to_vector(difference).alias("features"), F.greatest("sign", F.lit(0.0)).alias("label"))
     model = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=60).fit(pairs)
     weights = [float(w) for w in model.coefficients]
-    q = counts[0.0] / (counts[0.0] + counts[1.0])
-    scores = sample.select(linear("features", weights).alias("s"))
-    return weights, float(scores.agg(F.percentile("s", F.lit(q))).first()[0])
+    share = counts[0.0] / (counts[0.0] + counts[1.0])
+    return weights, _quantile(learnt.select(linear("features", weights).alias("s")), share, sum(counts.values()))
 
 
-def _sample_features(texts: DataFrame) -> DataFrame:
-    """(id, label, features), one row an id."""
-    labelled = texts.select(F.struct("id", "label").alias("key"), "text")
-    return with_features(labelled, "key").select("id.id", "id.label", "features").dropDuplicates(["id"])
+def _quantile(scores: DataFrame, share: float, n: int) -> float:
+    """The exact quantile of n scores (s), linear between the two ranks beside it; no task holds them all."""
+    at = share * (n - 1)
+    low = int(at)
+    found = ordered_rank(scores, ["s"]).where(F.col("rank").isin(low, min(low + 1, n - 1))).collect()  # one or two rows
+    value = {r["rank"]: r["s"] for r in found}
+    return value[low] + (at - low) * (value[min(low + 1, n - 1)] - value[low])
 
 
 def linear(features: str, weights: list[float]):
@@ -118,8 +130,13 @@ def score(docs: DataFrame, weights: list[float], threshold: float, *, id_col: st
 
     Null and empty texts get the score of zero features; repeated rows and null ids stay.
     """
+    return score_features(with_features(docs, id_col, text_col), weights, threshold, id_col=id_col)
+
+
+def score_features(features: DataFrame, weights: list[float], threshold: float, *, id_col: str = "doc_id") -> DataFrame:
+    """What ``score`` does, from the rows (id, features) of ``with_features``."""
     s = 1 / (1 + F.exp(-(linear("features", weights) - F.lit(threshold))))
-    rows = with_features(docs, id_col, text_col).select(F.col("id").alias(id_col), s.alias("score"))
+    rows = features.select(F.col("id").alias(id_col), s.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -143,5 +160,5 @@ def judged(docs: DataFrame, weights: list[float], threshold: float, *, text_col:
 
 
 def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The labels that may be learnt: those whose crc32(id as text) mod 3 is not 1."""
+    """The rows that may be learnt, of labels or documents: those whose crc32(id as text) mod 3 is not 1."""
     return labels.where(crc_bucket(F.col(id_col), 3) != 1)

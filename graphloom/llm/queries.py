@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import clustering, collocations, jaccard, language_model, mixing, neighbours, packing, quality, repeats, secrets, sharding, sketch, tokens
-from graphloom.llm.common import crc_bucket, table
+from graphloom.llm.common import crc_bucket, cut, table, text_batches
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +33,11 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    weights, threshold = quality.fit(docs, quality.training_labels(table(spark, sf_dir, "labels")))
+    text_batches(spark)
+    features = cut(quality.with_features(docs))  # narrow rows, for the fit and for all scores
+    weights, threshold = quality.fit_features(features, quality.training_labels(table(spark, sf_dir, "labels")))
     held_out = (crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out")
-    return quality.score(docs, weights, threshold).select("doc_id", held_out, "score", "predicted")
+    return quality.score_features(features, weights, threshold).select("doc_id", held_out, "score", "predicted")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,6 +186,31 @@ def test_op4_held_out_accuracy(spark, sf_dir, docs, empty):
     assert quality.fit(docs, docs.select("doc_id", F.lit(1).alias("quality")))[0] == [0.0] * len(quality.NAMES)
 
 
+def test_op4_learns_from_every_labelled_row(spark):
+    """Of 45,000 labelled texts none is left out."""
+    n = 45_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "Good words, all of them.").otherwise("bad bad bad |").alias("text"))
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"))
+    seen = []
+    rows = quality.cut
+
+    def spy(df):
+        seen.append(rows(df))
+        return seen[-1]
+
+    quality.cut = spy
+    try:
+        weights, threshold = quality.fit(docs, labels)
+    finally:
+        quality.cut = rows
+    assert seen[0].count() == n and seen[0].select("id").distinct().count() == n
+    # the threshold is the quantile over all of them
+    scores = [r["s"] for r in quality.with_features(docs).select(quality.linear("features", weights).alias("s")).collect()]
+    assert abs(threshold - float(np.quantile(scores, 0.5))) < 1e-9
+    one = spark.createDataFrame([(i * 1.0,) for i in (5, 1, 4, 2, 3)], "s double")
+    assert [quality._quantile(one, q, 5) for q in (0.0, 0.25, 0.3, 1.0)] == [1.0, 2.0, pytest.approx(2.2), 5.0]
+
+
 def test_op5_counts_as_the_library(spark, sf_dir, docs, empty):
     t = Tokenizer.from_file(str(P.path("byte_bpe_50k.json")))
     own = texts(spark, sf_dir)
