@@ -6,6 +6,8 @@ from itertools import product
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from graphloom.functions import terms
 from graphloom.operators import patterns
 from graphloom.plans import mapping as m
@@ -120,3 +122,20 @@ def test_triples_of_one_subject_join_without_a_shuffle(spark, tmp_path):
     assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
     files.write_triples(g.where("p = 'q'"), str(tmp_path / "g"), buckets=2)
     assert files.read_triples(spark, str(tmp_path / "g")).count() == 200
+
+
+def test_optional_deals_rows_that_meet_many(spark, monkeypatch):
+    """One task's rows, or rows of few keys, don't make all pairs in one task."""
+    monkeypatch.setattr(patterns, "PAIRS", 500)
+    data = [(k, None if k % 2 else k, k % 2) for k in range(100)]
+    left = spark.createDataFrame(data, "k long, c long, x long").coalesce(1)
+    right = spark.createDataFrame([(c, None if c % 3 else c % 2, f"v{c}") for c in range(60)], "c long, x long, v string").coalesce(1)
+    got = patterns.optional(left, right, ("c",), ("x",))
+    want = [
+        (k, rc if c is None else c, x, v)
+        for k, c, x in data for rc, rx, v in ((c, None if c % 3 else c % 2, f"v{c}") for c in range(60)) if c in (None, rc) and rx in (None, x)
+    ]
+    held = {k for k, *_ in want}
+    want += [(k, c, x, None) for k, c, x in data if k not in held]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) <= 1000
