@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,23 +51,49 @@ def score_rows(actual: DataFrame, expected: DataFrame, pairs: DataFrame) -> Data
 
 
 def score_cells(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """Each actual row, in order, takes the free expected row with most equal cells; one pair a group."""
-    met = actual.withColumnRenamed("row_id", "a").join(
-        expected.withColumnRenamed("row_id", "e"), ["pair", "col", "value"]
-    ).groupBy("pair", "a", "e").agg(F.count(F.lit(1)).alias("n"))
+    """Each actual row, in order, takes the free expected row with most equal cells, the smaller one of several; one pair a group.
 
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        taken, total = set(), 0
-        for _, own in frame.sort_values(["a", "n", "e"], ascending=[True, False, True]).groupby("a", sort=True):
-            for e, n in zip(own["e"], own["n"], strict=True):
-                if e not in taken:
-                    taken.add(e)
-                    total += int(n)
-                    break
-        return pd.DataFrame({"pair": [frame["pair"].iloc[0]], "tp": [total]})
+    Expected rows of equal cells are one class with a queue, so a row is compared with the classes that share a cell, not with rows,
+    and pairs of rows are never made.
+    """
+
+    def greedy(a: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        pair = (a if len(a) else e)["pair"].iloc[0]
+        a, e = (f[f["col"].notna() & f["value"].notna() & f["row_id"].notna()] for f in (a, e))
+        code = pd.concat([a[["col", "value"]], e[["col", "value"]]]).groupby(["col", "value"], sort=False).ngroup().to_numpy()
+        queues, contents, postings = [], {}, {}
+        for rank, cells in enumerate(_cells_by_row(e, code[len(a) :])):
+            own = contents.setdefault(cells.tobytes(), len(contents))
+            if own == len(queues):
+                queues.append([])
+                for cell, n in zip(*np.unique(cells, return_counts=True), strict=True):
+                    postings.setdefault(cell, ([], []))
+                    postings[cell][0].append(own)
+                    postings[cell][1].append(n)
+            queues[own].append(rank)
+        postings = {c: (np.array(k), np.array(n)) for c, (k, n) in postings.items()}
+        gone = len(e) + 1
+        head, at, total, weight = np.array([q[0] for q in queues] or [gone]), [0] * len(queues), 0, np.zeros(len(queues) + 1, np.int64)
+        for cells in _cells_by_row(a, code[: len(a)]) if queues else ():
+            met = [postings[c] for c in cells if c in postings]
+            if not met:
+                continue
+            for k, n in met:
+                weight[k] += n
+            k = np.concatenate([k for k, _ in met])
+            # most equal cells first, then the smallest row; a class without free rows is worth nothing
+            worth = np.where(head[k] < gone, weight[k] * (gone + 1) - head[k], 0)
+            best = k[np.argmax(worth)]
+            if worth.max() > 0:
+                total += int(weight[best])
+                at[best] += 1
+                head[best] = queues[best][at[best]] if at[best] < len(queues[best]) else gone
+            weight[k] = 0
+        return pd.DataFrame({"pair": [pair], "tp": [total]})
 
     kind = actual.schema["pair"].dataType.simpleString()
-    tp = met.groupBy("pair").applyInPandas(greedy, f"pair {kind}, tp long")
+    cells = lambda df: df.select("pair", "row_id", "col", "value").groupBy("pair")
+    tp = cells(actual).cogroup(cells(expected)).applyInPandas(greedy, f"pair {kind}, tp long")
     sizes = actual.groupBy("pair").agg(F.count(F.lit(1)).alias("n_a")).join(
         expected.groupBy("pair").agg(F.count(F.lit(1)).alias("n_e")), "pair", "full"
     )
@@ -74,6 +101,13 @@ def score_cells(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return t.select("pair", *_prf(F.col("tp"), F.col("n_a"), F.col("n_e")))
 
 
+def _cells_by_row(frame: pd.DataFrame, code: np.ndarray) -> list[np.ndarray]:
+    """The sorted cell numbers of each row, in order of the rows."""
+    rank = pd.factorize(frame["row_id"], sort=True)[0]
+    order = np.lexsort((code, rank))
+    return np.split(code[order], np.flatnonzero(np.diff(rank[order])) + 1) if len(order) else []
+
+
 def score_tuples(gt: DataFrame, sys: DataFrame) -> DataFrame:
     """Sets of tuples; nothing on both sides scores 0."""
     both = gt.select("pair", "row", F.lit(1).alias("g")).distinct().join(
