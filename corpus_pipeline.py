@@ -18,8 +18,8 @@ from graphloom.llm.common import cut, free, shared_folder, small, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier accepts, each by its own text. The labels whose crc32(id) mod 3 is not 1 are learnt."""
-    weights, threshold = quality.fit(docs, quality.training_labels(table(spark, sf_dir, "labels")))
+    """Rows that the classifier accepts, each by its own text. All labels whose crc32(id) mod 3 is not 1 are learnt."""
+    weights, threshold = quality.fit(quality.training_labels(docs), quality.training_labels(table(spark, sf_dir, "labels")))
     predicted = free(docs.columns, "predicted")
     kept = quality.judged(docs, weights, threshold, predicted_col=predicted).where(F.col(predicted) == 1)
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
