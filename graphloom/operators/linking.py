@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -251,8 +252,27 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def _best_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each row's windows the most similar to ``low``, the last one of several; those whose shared letters can't reach the best so far are not compared."""
+    for frame in frames:
+        found = []
+        for windows, low in zip(frame["windows"], frame["low"], strict=True):
+            held, best, sims = Counter(low), 0.0, []
+            bounds = sorted(((2 * sum((Counter(w) & held).values()) / max(1, len(w) + len(low)), w) for w in windows), reverse=True)
+            for bound, w in bounds:
+                if bound < best - 1e-9:
+                    break
+                sims.append((SequenceMatcher(None, w, low).ratio(), w))
+                best = max(best, sims[-1][0])
+            found.append(max(sims))
+        yield frame[["question_id", "literal"]].assign(sim=[x for x, _ in found], window=[w for _, w in found])
+
+
 def mention_sim(questions: DataFrame, literals: DataFrame) -> DataFrame:
-    """For (question_id, question) and (question_id, literal): the most similar window of 1 to 4 words."""
+    """For (question_id, question) and (question_id, literal): the most similar window of 1 to 4 words.
+
+    A question's windows stay one row, never shuffled; only its best one of each literal is.
+    """
     words = F.split(F.lower(F.trim("question")), r"\s+")
     spans = F.flatten(
         F.transform(
@@ -262,19 +282,11 @@ def mention_sim(questions: DataFrame, literals: DataFrame) -> DataFrame:
             )
         )
     )
-    windows = questions.select("question_id", F.explode(F.array_distinct(spans)).alias("window"))
-    met = windows.join(literals, "question_id").withColumn("_low", F.lower("literal"))
-    # the letters shared bound the ratio; a window that can't reach what the most promising one has is not compared
-    bound = 2 * _letters_shared("window", "_low") / F.greatest(F.lit(1), F.length("window") + F.length("_low"))
-    met = cut(met.withColumn("_bound", bound))
-    first = met.groupBy("question_id", "literal", "_low").agg(F.max_by("window", F.struct("_bound", "window")).alias("window"))
-    first = first.withColumn("_least", ratio("window", "_low")).select("question_id", "literal", "_least")
-    own = met.join(
-        first.withColumnRenamed("literal", "_literal"),
-        (met["question_id"] == first["question_id"]) & met["literal"].eqNullSafe(F.col("_literal"))
-    ).drop(first["question_id"])
-    scored = own.where(F.col("_bound") >= F.col("_least") - 1e-9).withColumn("sim", ratio("window", "_low"))
-    best = scored.groupBy("question_id", "literal").agg(F.max(F.struct("sim", "window")).alias("b"))
+    met = questions.join(literals, "question_id").where("question is not null and literal is not null")
+    rows = met.select("question_id", "literal", F.lower("literal").alias("low"), F.array_distinct(spans).alias("windows"))
+    kind = rows.schema["question_id"].dataType.simpleString()
+    found = rows.mapInPandas(_best_windows, f"question_id {kind}, literal string, sim double, window string")
+    best = found.groupBy("question_id", "literal").agg(F.max(F.struct("sim", "window")).alias("b"))
     return best.select(
         "question_id", "literal", "b.sim", "b.window",
         (F.substring("b.window", 1, 3) == F.substring(F.lower("literal"), 1, 3)).alias("same_prefix")

@@ -93,6 +93,17 @@ def test_likeness_of_texts(spark, sf_dir):
     assert {(c, c.lower() + "s") for c, _ in got} <= got and len({c for c, _ in got}) == 5
 
 
+def test_windows_of_a_question_stay_one_row(spark):
+    """One row a question and literal is shuffled, not one a window; ties go to the last window, nulls have none."""
+    asked = spark.createDataFrame([(1, "ab ba x"), (1, "AB"), (2, None), (3, "zz")], "question_id long, question string")
+    literals = spark.createDataFrame([(1, "ab"), (1, "ba x"), (2, "q"), (3, None), (3, "k")], "question_id long, literal string")
+    found = linking.mention_sim(asked, literals)
+    assert sorted((r["question_id"], r["literal"], r["sim"], r["window"]) for r in found.collect()) == [
+        (1, "ab", 1.0, "ab"), (1, "ba x", 1.0, "ba x"), (3, "k", 0.0, "zz")
+    ]
+    assert "Generate" not in found._jdf.queryExecution().toString()
+
+
 def test_places_by_ranges(spark):
     df = spark.range(1, 1001).select((F.col("id") * 7 % 1009).alias("v"), F.lit("x").alias("w")).repartition(5)
     want = sorted(i * 7 % 1009 for i in range(1, 1001))
