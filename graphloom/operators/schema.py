@@ -149,23 +149,37 @@ def path_through(graph: DataFrame, classes: list[str], max_hops: int = 6) -> Dat
     return near.select("a", "b", "hops", "path")
 
 
+#: Edges, in both directions, of one part of a graph.
+PART_EDGES = 1 << 20
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) by the smallest label that reaches a node along (a, b)."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
-    while True:
-        near = both.join(
-            labels.select(F.col("node").alias("b"), "component"), "b"
-        ).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = labels.join(near, "node", "left").withColumn("low", F.least("component", F.coalesce("near", "component")))
-        # the label's own label is a shortcut
-        jump = new.select("node", F.col("low").alias("hop"), "component").join(
-            new.select(F.col("node").alias("hop"), F.col("low").alias("far")), "hop", "left"
-        )
-        nxt = cut(jump.select("node", F.least("hop", F.coalesce("far", "hop")).alias("new"), "component"))
-        if nxt.where("new <> component").isEmpty():
-            return labels
-        labels = nxt.select("node", F.col("new").alias("component"))
+    conf, name = edges.sparkSession.conf, "spark.sql.shuffle.partitions"
+    raw, usual = cut(edges.select("a", "b")), conf.get("spark.sql.shuffle.partitions")
+    # parts grow in number with the edges, not in size; repeated edges are dealt before they are told apart, so no task gathers those of its input
+    parts = max(int(usual), -(-2 * raw.count() // PART_EDGES))
+    conf.set(name, str(parts))
+    try:
+        both = raw.unionByName(raw.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
+        both = cut(both.repartition(parts, "a", "b").distinct())
+        nodes = raw.select(F.explode(F.array("a", "b")).alias("node")).repartition(parts, "node")
+        labels = cut(nodes.distinct().withColumn("component", F.col("node")))
+        while True:
+            near = both.join(
+                labels.select(F.col("node").alias("b"), "component"), "b"
+            ).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+            new = labels.join(near, "node", "left").withColumn("low", F.least("component", F.coalesce("near", "component")))
+            # the label's own label is a shortcut
+            jump = new.select("node", F.col("low").alias("hop"), "component").join(
+                new.select(F.col("node").alias("hop"), F.col("low").alias("far")), "hop", "left"
+            )
+            nxt = cut(jump.select("node", F.least("hop", F.coalesce("far", "hop")).alias("new"), "component"))
+            if nxt.where("new <> component").isEmpty():
+                return labels
+            labels = nxt.select("node", F.col("new").alias("component"))
+    finally:
+        conf.set(name, usual)
 
 
 def check_connected(edges: DataFrame) -> DataFrame:

@@ -318,3 +318,18 @@ def test_streams(spark, tmp_path):
     assert rows(spark.table("handed")) == rows(traces.delegations(handed)) == [("r", "n", "x", "again", 3000.0, True)]
     got = {r["phase"]: r["duration_ms"] for r in spark.table("phases").collect()}
     assert got == {"plan": 5000.0, "act": 4000.0}
+
+
+def test_parts_of_a_graph_grow_with_its_edges(spark, monkeypatch):
+    """A part of a graph has a bounded number of edges; rows without one end and loops keep their nodes, the session its number of parts."""
+    monkeypatch.setattr(schema, "PART_EDGES", 100)
+    chains = spark.range(1000).selectExpr("id AS a", "IF(id % 10 = 9, id, id + 1) AS b")
+    odd = spark.createDataFrame([(5000, 5000), (None, 6000)], "a long, b long")
+    found = schema.components(chains.union(chains).union(odd))
+    want = {i: i // 10 * 10 for i in range(1000)} | {5000: 5000, 6000: 6000, None: None}
+    assert {r["node"]: r["component"] for r in found.collect()} == want
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    made = []
+    monkeypatch.setattr(schema, "cut", lambda df, plain=schema.cut: made.append(plain(df)) or made[-1])
+    schema.components(chains)
+    assert made[1].rdd.getNumPartitions() == 20
