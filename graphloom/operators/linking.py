@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import replace
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -20,10 +21,12 @@ from graphloom.operators.minhash import similar_values
 from graphloom.operators.patterns import bgp
 from graphloom.operators.schema import closure
 from graphloom.operators.substrings import SubstringIndex, build_index, search
-from graphloom.sizes import cut, shared_folder
+from graphloom.sizes import cut, parts, shared_folder
 
 #: Numbers of query vectors that a task holds, and items that pass it, at least and at most.
 QUERY_FLOATS, BATCH, TASK_ITEMS = 4_000_000, 10_000, 1 << 20
+#: Tasks that count the subjects of one text, at most.
+TEXT_SALTS = 64
 
 
 def grep(elements: DataFrame, term: str, kind: str | None = None) -> DataFrame:
@@ -395,5 +398,11 @@ def search_instances(g: DataFrame, terms: DataFrame, index: SubstringIndex | Non
     """
     own = g.where("o_kind = 'literal'")
     index = index or build_index(own, f"{shared_folder(g.sparkSession)}/literals-{uuid.uuid4().hex}", "o")
-    met = search(index, terms.where(F.length("term") >= 3)).join(own, F.col("text") == F.col("o"))
-    return met.groupBy("dataset", "term").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("example"))
+    n = parts(own.count())
+    # the literals of a text are counted before terms meet it, those of a very common one in several tasks
+    salted = own.select("dataset", F.col("o").alias("text"), "s", F.pmod(F.xxhash64("s"), F.lit(TEXT_SALTS)).alias("salt"))
+    some = salted.repartition(n, "text", "salt").groupBy("dataset", "text", "salt").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("example"))
+    total = F.sum("n").alias("n"), F.min("example").alias("example")
+    counted = some.repartition(n, "text").groupBy("dataset", "text").agg(*total)
+    texts = index.texts.hint("merge").join(counted, "text")
+    return search(replace(index, texts=texts), terms.where(F.length("term") >= 3)).groupBy("dataset", "term").agg(*total)

@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import sizes
 from graphloom.operators import edits, linking, minhash, schema, substrings
 
 
@@ -63,6 +64,35 @@ def test_searches_on_the_index(spark, tmp_path):
     assert "NestedLoop" not in plan(met)
 
 
+def test_searches_deal_rows_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sizes, "PART_ROWS", 64)
+    names = [f"customer{i:05d}" for i in range(300)]
+    index = substrings.build_index(spark.createDataFrame([(n,) for n in names], "text string"), str(tmp_path / "i"))
+    by_file = [r["count"] for r in index.postings.groupBy(F.input_file_name()).count().collect()]
+    assert sum(by_file) > 40 * 64 and max(by_file) < 6 * 64
+    terms = [f"{i:04d}" for i in range(40)]
+    found = substrings.search(index, spark.createDataFrame([(t,) for t in terms], "term string"))
+    want = {(t, n) for t in terms for n in names if t in n}
+    assert rows(found) == sorted(want)
+    # what meets are the terms' texts, no more, and they are dealt by their number
+    assert found.rdd.getNumPartitions() == sizes.parts(len(want)) > 4
+
+
+def test_literals_of_a_text_are_counted_once(spark):
+    kinds = ["Steel", "steelworks", "tin", "Tin steel"]
+    g = [(f"s{i:03d}", "p", kinds[i % 4 if i % 5 else 0], "literal" if i % 7 else "iri", f"d{i % 3}") for i in range(300)]
+    terms = ["TEE", "teel", "steelw", "tin", "in s", "none", "ti"]
+    want = {}
+    for s, _, o, kind, dataset in g:
+        for t in terms:
+            if kind == "literal" and len(t) > 2 and t.lower() in o.lower():
+                n, first = want.get((dataset, t), (0, s))
+                want[dataset, t] = n + 1, min(first, s)
+    graph = spark.createDataFrame(g, "s string, p string, o string, o_kind string, dataset string")
+    met = linking.search_instances(graph, spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert rows(met) == sorted((*k, *v) for k, v in want.items())
+
+
 def distance(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
