@@ -25,6 +25,8 @@ from graphloom.sizes import cut, parts, shared_folder
 
 #: Numbers of query vectors that a task holds, and items that pass it, at least and at most.
 QUERY_FLOATS, BATCH, TASK_ITEMS = 4_000_000, 10_000, 1 << 20
+#: Scores that a task holds at once.
+SCORES = 1 << 19
 #: Tasks that count the subjects of one text, at most.
 TEXT_SALTS = 64
 
@@ -105,18 +107,19 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
                 if len(asking := own[own["kind"] == 0]):
                     held.append(asking)
                 own = own[own["kind"] == 1].sort_values("item_id", kind="stable", na_position="first")
-                if not len(own) or not held:
+                if not len(own) or (q is None and not held):
                     continue
                 if q is None:
-                    ids, q = np.concatenate([h["query_id"].to_numpy() for h in held]), np.concatenate([matrix(h) for h in held])
+                    ids, q, held = np.concatenate([h["query_id"].to_numpy() for h in held]), np.concatenate([matrix(h) for h in held]), held[:0]
                 x, items_here = matrix(own), own["item_id"].to_numpy()
-                for a in range(0, len(ids), 256):
-                    score = q[a : a + 256] @ x.T
+                step = max(1, SCORES // len(own))
+                for a in range(0, len(ids), step):
+                    score = q[a : a + step] @ x.T
                     keys = np.round(score, 12) + 0.0
                     keep = np.argsort(-keys, axis=1, kind="stable")[:, :k]
                     at = np.repeat(np.arange(len(keep)), keep.shape[1])
                     yield pd.DataFrame(
-                        {"query_id": ids[a : a + 256][at], "item_id": items_here[keep.ravel()], "score": score[at, keep.ravel()], "key": keys[at, keep.ravel()]}
+                        {"query_id": ids[a : a + step][at], "item_id": items_here[keep.ravel()], "score": score[at, keep.ravel()], "key": keys[at, keep.ravel()]}
                     )
 
     out = met.mapInPandas(best, f"query_id {kinds[0]}, item_id {kinds[1]}, score double, key double")

@@ -225,6 +225,16 @@ def test_vector_ties_go_to_the_smaller_item(spark):
     assert rows(linking.search_values(values, q, 2).select("rank", "item_id")) == [(1, "v001"), (2, "v002")]
 
 
+def test_vector_scores_are_held_in_blocks(spark, monkeypatch):
+    vectors = [(i, [float(i * 7 % 11), float(i * 5 % 13), 1.0]) for i in range(60)]
+    items = spark.createDataFrame(vectors, "item_id long, v array<double>")
+    q = spark.createDataFrame(vectors[:20], "query_id long, v array<double>")
+    whole = rows(linking.vector_topk(q, items, 4).select("query_id", "rank", "item_id"))
+    for most in (7, 150):
+        monkeypatch.setattr(linking, "SCORES", most)
+        assert rows(linking.vector_topk(q, items, 4).select("query_id", "rank", "item_id")) == whole
+
+
 def test_linking(spark):
     parts = linking.keyword_parts(spark.createDataFrame([(1, "a b=c")], "id int, keyword string"))
     assert {r["part"] for r in parts.collect()} == {"a b=c", "a", "b=c", "c"}
