@@ -34,6 +34,8 @@ BLOCKS, CELLS = 256, 1 << 16
 FLUSH, SALTS = 1 << 20, 16
 #: Bits of the map of shared tokens (16 MiB).
 MAP_BITS = 27
+#: Parts in which the driver fetches that map (at most 2 MiB each), however many partitions the tokens have.
+MAP_PARTS = 8
 #: Rounds of pivots before what is apart meets in full, and how many pairs end them earlier.
 ROUNDS, PAIRS_PER_ROW = 8, 16
 #: A round that leaves more than this share of the pairs apart is the last of pivots: the rest are unlike.
@@ -159,7 +161,8 @@ def maybe_shared(sets: DataFrame, shared: DataFrame) -> DataFrame:
     """(token, id, place) of prefix tokens, without nearly all that ``shared`` lacks: a bitmap of fixed size tells."""
     block, bit = F.shiftrightunsigned("token", 64 - MAP_BITS + 15), F.shiftrightunsigned("token", 64 - MAP_BITS).bitwiseAND(F.lit((1 << 15) - 1))
     bits = np.zeros((1 << (MAP_BITS - 15), 1 << 12), np.uint8)
-    for row in shared.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bits")).toLocalIterator():  # at most 2**MAP_BITS bits
+    blocks = shared.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    for row in blocks.repartition(MAP_PARTS).toLocalIterator():  # at most 2**MAP_BITS bits, a job a part
         bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     held = sets.sparkSession.sparkContext.broadcast(bits.reshape(-1))
 

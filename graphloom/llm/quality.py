@@ -29,6 +29,8 @@ CLASSES = {
 NAMES = (*CLASSES, "other", "log_words", "word_length", "distinct_words", "top_word", "distinct_triples")
 #: Rows of features that may be broadcast (170 bytes each): with fewer of a label there are few buckets, so its rows are sent to the others.
 BROADCAST_FEATURES = 20_000
+#: Pairs in a partition while the weights are fitted (180 bytes each).
+PAIRS = 16_384
 _class_of = np.full(256, len(CLASSES), np.int64)
 for _k, _bytes in enumerate(CLASSES.values()):
     _class_of[list(_bytes)] = _k
@@ -102,6 +104,8 @@ def fit_features(features: DataFrame, labels: DataFrame, *, reg: float = 1e-4, i
     pairs = met.withColumn("sign", sign)
     difference = F.transform(F.arrays_zip("x", "y"), lambda z: (z["x"] - z["y"]) * F.col("sign"))
     pairs = pairs.select(array_to_vector(difference).alias("features"), F.greatest("sign", F.lit(0.0)).alias("label"))
+    # each iteration is a job over all pairs, so their partitions follow their number and not that of the documents' files or shuffles
+    pairs = pairs.coalesce(1 + max(counts.values()) // PAIRS)
     model = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=60).fit(pairs)
     weights = [float(w) for w in model.coefficients]
     share = counts[0.0] / (counts[0.0] + counts[1.0])
