@@ -139,3 +139,22 @@ def test_optional_deals_rows_that_meet_many(spark, monkeypatch):
     want += [(k, c, x, None) for k, c, x in data if k not in held]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) <= 1000
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_optional_in_bundles(spark, monkeypatch, seed):
+    """Bundles of several sizes, with and without keys, several parts of either side, equal rows among them."""
+    for name, n in (("PAIRS", 20), ("MANY", 0), ("BUNDLE", 4), ("BLOCK", 3), ("OTHERS", 10)):
+        monkeypatch.setattr(patterns, name, n)
+    left, right = sides(seed, 40)
+    left, right = [r | {"k": i % 30} for i, r in enumerate(left)], [s | {"w": i % 30} for i, s in enumerate(right)]
+    a, b = spark.createDataFrame(left, "k int, x int, y int, z int"), spark.createDataFrame(right, "x int, y int, z int, w int")
+    for on in (("x",), ("x", "y")):
+        want = []
+        for r in left:
+            own = tuple(r[v] for v in ("k", "z") if v not in on)
+            met = [s for s in right if compatible(r, s, on)]
+            want += [(*own, *(r[v] if r[v] is not None else s[v] for v in on), s["w"]) for s in met] or [(*own, *(r[v] for v in on), None)]
+        found = patterns.optional(a.select("k", "z", *on), b.select(*on, "w"), on, on)
+        assert "Cartesian" in plan(found)
+        assert rows(found) == sorted(want, key=str)
