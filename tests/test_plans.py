@@ -158,3 +158,20 @@ def test_optional_in_bundles(spark, monkeypatch, seed):
         found = patterns.optional(a.select("k", "z", *on), b.select(*on, "w"), on, on)
         assert "Cartesian" in plan(found)
         assert rows(found) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("bound", [False, True])
+def test_pairs_of_rows_that_meet_many_take_little_room(spark, monkeypatch, tmp_path, bound):
+    """A result that grows with the product of its sides is made in runs of equal values: 4 bytes a row else."""
+    monkeypatch.setattr(patterns, "PAIRS", 1 << 21)
+    k = F.col("id")
+    left = spark.range(400).select(k.alias("k"), F.lit(None).cast("long").alias("c"), (k % 2).alias("x"))
+    right = spark.range(40_000 if bound else 20_000).select((k * 1_000_003 % 1_000_000_007).alias("c"), (k % 2).alias("x"))
+    if not bound:
+        left, right = left.drop("x"), right.withColumnRenamed("x", "v")
+    patterns.optional(left, right, ("c",)).write.parquet(str(tmp_path / "met"))
+    met = spark.read.parquet(str(tmp_path / "met"))
+    assert met.count() == met.select("k", "c").distinct().count() == 8_000_000
+    if bound:
+        assert met.join(right.withColumnRenamed("x", "own"), "c").where("x = own AND k % 2 = x").count() == 8_000_000
+    assert sum(f.stat().st_size for f in os.scandir(tmp_path / "met") if f.name.endswith(".parquet")) < 0.6 * 8_000_000
